@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leadmill.llm import chat, linededup, minhash, mixing
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,10 +15,36 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from leadmill.llm.minhash import near_duplicates
+    return minhash.near_duplicates(_docs(spark, sf_dir))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_chats(turns.unionByName(own)))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.dedup_lines(_docs(spark, sf_dir))
+    return cut.select(
+        "doc_id",
+        F.col("__lines").alias("n_lines"),
+        F.col("__removed").alias("n_removed"),
+        F.col("__runs").alias("n_runs"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
 
-    return near_duplicates(_docs(spark, sf_dir))
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_line_dedup": op3_line_dedup,
+    "op9_source_mixing": op9_source_mixing,
+}
+ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_source_mixing": mixing.ORACLE}
