@@ -147,7 +147,7 @@ def _prefixes(width: int, percent: int, bits: int, counts):
     return run
 
 
-def prefix_pairs(texts: DataFrame, comps: DataFrame, scratch: Scratch, percent: int = 75, width: int = WIDTH, bits: int = 21) -> DataFrame:
+def prefix_pairs(texts: DataFrame, comps: DataFrame, scratch: Scratch, percent: int = 75, width: int = WIDTH, bits: int = 18) -> DataFrame:
     """All pairs of ``texts`` (id, text) in different components (id, comp) that can reach the similarity.
 
     Exact for any order of the shingles. The order is by counts in 2 ** bits slots, an array of fixed size
@@ -155,8 +155,8 @@ def prefix_pairs(texts: DataFrame, comps: DataFrame, scratch: Scratch, percent:
     """
     spark = texts.sparkSession
     rows = texts.mapInArrow(_slots(width, bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << bits, np.int64)
-    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    counts = np.zeros(1 << bits, np.int32)
+    counts[rows["slot"].to_numpy()] = rows["n"].clip(upper=2**31 - 1).to_numpy()
     found = texts.mapInArrow(_prefixes(width, percent, bits, spark.sparkContext.broadcast(counts)), "key long, id long, n int").join(comps, "id")
     found = scratch.write(found, "prefixes")
     several = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
