@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import chat, linededup, minhash, mixing
+from leadmill.llm import chat, langid, linededup, lmscore, minhash, mixing, mpegts, pieces, sketch, suffixes
+
+#: The tokenizer of op4, a name of the installed public tokenizers.
+TOKENIZER = "piece_bpe_32k.model"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +40,48 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(pieces.encode(_docs(spark, sf_dir), pieces.read_model(public_tokenizers.path(TOKENIZER))))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_next(_docs(spark, sf_dir))
+
+
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.digests(mpegts.parse(mpegts.store(_docs(spark, sf_dir))))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup_substrings(_docs(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
+    good = (F.col("__quality") == 1) & (F.coalesce("__toxic", F.lit(0)) == 0)
+    model = lmscore.fit(docs.join(labels, "doc_id", "left"), good)
+    return lmscore.score(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
-    "op2_chat_formatting": op2_chat_formatting,
-    "op3_line_dedup": op3_line_dedup,
-    "op9_source_mixing": op9_source_mixing,
-}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_chat_formatting, op3_line_dedup, op4_sentencepiece, op5_document_fingerprints,
+        op6_transport_streams, op7_suffix_array_dedup, op8_language_id, op9_source_mixing, op10_lm_scoring,
+    )
+}
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_source_mixing": mixing.ORACLE}
