@@ -33,6 +33,8 @@ from leadmill.llm.scratch import Scratch
 from leadmill.llm.words import mix, shingle_hashes, words_of
 
 BANDS, ROWS, WIDTH = 32, 4, 5
+#: Slots of one block of counts.
+BLOCK = 4096
 #: Pairs of a hub that one slice compares; a larger hub is split over slices.
 SLICE = 128
 
@@ -128,41 +130,59 @@ def _slots(width: int, bits: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of slots as one byte per slot; only the order of counts matters, so they end at 255."""
+    for batch in batches:
+        out = []
+        for entries in batch.column(1).to_pylist():
+            block = np.zeros(BLOCK, np.uint8)
+            block[[e["slot"] % BLOCK for e in entries]] = [min(e["n"], 255) for e in entries]
+            out.append(block.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "counts"])
+
+
 def _prefixes(width: int, percent: int, bits: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        table = np.frombuffer(counts.value, np.uint8)
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, places, keys = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_hashes(words_of(text), width)
                 seen = table[s >> np.uint64(64 - bits)]
                 rare = np.lexsort((s, seen))[: len(s) - (percent * len(s) + 99) // 100 + 1]
-                rare = rare[seen[rare] > 1]  # a slot counted once has no other document
-                ids.append(np.full(len(rare), doc, np.int64))
-                sizes.append(np.full(len(rare), len(s), np.int32))
-                keys.append(s[rare].view(np.int64))
-            whole = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], ["key", "id", "n"])
+                place = np.flatnonzero(seen[rare] > 1)  # a slot counted once has no other document
+                ids.append(np.full(len(place), doc, np.int64))
+                sizes.append(np.full(len(place), len(s), np.int32))
+                places.append(place.astype(np.int32))
+                keys.append(s[rare[place]].view(np.int64))
+            whole = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32), (places, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], ["key", "id", "n", "at"])
 
     return run
 
 
-def prefix_pairs(texts: DataFrame, comps: DataFrame, scratch: Scratch, percent: int = 75, width: int = WIDTH, bits: int = 18) -> DataFrame:
+def prefix_pairs(texts: DataFrame, comps: DataFrame, scratch: Scratch, percent: int = 75, width: int = WIDTH, bits: int = 22) -> DataFrame:
     """All pairs of ``texts`` (id, text) in different components (id, comp) that can reach the similarity.
 
-    Exact for any order of the shingles. The order is by counts in 2 ** bits slots, an array of fixed size
-    that is broadcast; slots shared by several shingles cost candidates, never links.
+    Shingles are ordered by how often their slot occurs, rare ones first. Two sets that reach it share one
+    in their prefixes, and at the first that they share enough of both sets must be left. That is exact for
+    any order; the counts are an array of fixed size, and slots shared by several shingles cost candidates,
+    never links.
     """
     spark = texts.sparkSession
-    rows = texts.mapInArrow(_slots(width, bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << bits, np.int32)
-    counts[rows["slot"].to_numpy()] = rows["n"].clip(upper=2**31 - 1).to_numpy()
-    found = texts.mapInArrow(_prefixes(width, percent, bits, spark.sparkContext.broadcast(counts)), "key long, id long, n int").join(comps, "id")
+    slots = texts.mapInArrow(_slots(width, bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    blocks = slots.groupBy(F.expr(f"cast(slot / {BLOCK} as int)").alias("block")).agg(F.collect_list(F.struct("slot", "n")).alias("entries"))
+    counts = bytearray(1 << bits)
+    for row in blocks.mapInArrow(_packed, "block int, counts binary").toLocalIterator():  # 2 ** bits bytes
+        counts[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = row["counts"]
+    found = texts.mapInArrow(_prefixes(width, percent, bits, spark.sparkContext.broadcast(bytes(counts))), "key long, id long, n int, at int").join(comps, "id")
     found = scratch.write(found, "prefixes")
     several = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     found = found.join(several, "key")
-    left, right = found.select("key", F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu")), found.select("key", F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"))
-    return left.join(right, "key").where(f"u < v and cu <> cv and 100 * nu >= {percent} * nv and 100 * nv >= {percent} * nu").select("u", "v").distinct()
+    left, right = (found.select("key", *(F.col(c).alias(c + side) for c in ("id", "comp", "n", "at"))) for side in ("u", "v"))
+    enough = f"(100 + {percent}) * least(nu - atu, nv - atv) >= {percent} * (nu + nv)"
+    near = f"idu < idv and compu <> compv and 100 * nu >= {percent} * nv and 100 * nv >= {percent} * nu and {enough}"
+    return left.join(right, "key").where(near).select(F.col("idu").alias("u"), F.col("idv").alias("v")).distinct()
 
 
 class _Linker:
