@@ -7,7 +7,8 @@ Suffixes that matter are those with ``length`` bytes ahead. Winnowing groups the
 smallest hash of a ``gram``-byte string in its first ``length`` bytes, the last on a tie, and neighbouring
 suffixes that point to one place form a group, about one per 26 bytes of text. A suffix array here keeps one
 entry per group: its first eight bytes, in whose order it is sorted, and a hash of all that the group's
-strings cover. Documents come in batches by ascending id. A batch's groups are sorted into an array,
+strings cover. Groups whose smallest hash occurs once in the corpus match nothing and stay out; a bitmap of
+the others filters them in the tasks while it is at most ``BITMAP`` bytes, and a join does beyond. Documents come in batches by ascending id. A batch's groups are sorted into an array,
 merge-scanned against all levels for groups they have already, and the rest becomes a level; levels of one
 size are merged into one twice as large. In the end the levels hold the first occurrence of each group.
 
@@ -37,6 +38,9 @@ from leadmill.llm.words import mix
 LENGTH, GRAM, BATCHES = 100, 50, 3
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bytes that the bitmap of shared anchors may have, and bits for each of them.
+BITMAP, BITS_EACH = 1 << 26, 16
+BLOCK = 4096
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -122,12 +126,55 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts[first:]
 
 
-def _grouped(cuts: list[float], length: int, gram: int):
+def _anchors(length: int, gram: int):
+    """Anchors and how many groups have them, over a piece of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _chunks([t.encode() for t in batch.column(0).to_pylist()]):
+                found, n = np.unique(groups(texts, length, gram)[5], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int32))], ["anchor", "n"])
+
+    return run
+
+
+def _bits(size: int):
+    """Blocks of the bitmap that have the given slots set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for slots in batch.column(1).to_pylist():
+                bits = np.zeros(BLOCK * 8, bool)
+                bits[np.array(slots) % (BLOCK * 8)] = True
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "bits"])
+
+    return run
+
+
+def _bitmap(shared: DataFrame, size: int) -> bytes:
+    """``size`` bits, a power of two, with the low bits of each anchor set; the driver gets size / 8 bytes."""
+    slots = shared.select((F.col("anchor").bitwiseAND(size - 1)).cast("int").alias("slot"))
+    blocks = slots.groupBy(F.expr(f"cast(slot / {BLOCK * 8} as int)").alias("block")).agg(F.collect_set("slot").alias("slots"))
+    out = bytearray(size // 8)
+    for row in blocks.mapInArrow(_bits(size), "block int, bits binary").toLocalIterator():
+        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = row["bits"]
+    return bytes(out)
+
+
+def _grouped(cuts: list[float], length: int, gram: int, bitmap, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in _chunks([t.encode() for t in batch.column(1).to_pylist()]):
-                text, lo, n, head, whole, anchor = groups(texts, length, gram)
+                found = groups(texts, length, gram)
+                if table is not None:
+                    slot = found[5] & (size - 1)
+                    keep = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+                    found = tuple(x[keep] for x in found)
+                text, lo, n, head, whole, anchor = found
                 own = ids[first + text].astype(np.int64)
                 turn = np.searchsorted(cuts, own, "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -137,6 +184,19 @@ def _grouped(cuts: list[float], length: int, gram: int):
     return run
 
 
+def candidate_groups(texts: DataFrame, cuts: list[float], scratch: Scratch, length: int, gram: int, most: int = BITMAP) -> DataFrame:
+    """All groups of texts (id, text) whose anchor another group has too, with the batch of their id."""
+    counted = texts.select("text").mapInArrow(_anchors(length, gram), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
+    shared = scratch.write(counted.where("n > 1").select("anchor"), "anchors")
+    size = 1 << max(18, (shared.count() * BITS_EACH).bit_length())
+    fits = size <= most * 8
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(shared, size)) if fits else None
+    found = texts.mapInArrow(_grouped(cuts, length, gram, bitmap, size), "batch int, id long, lo int, n byte, head long, whole long, anchor long")
+    found = scratch.write(found if fits else found.join(shared, "anchor", "left_semi"), "groups")
+    scratch.drop(shared)
+    return found
+
+
 class IndexFamily:
     """Levels of sorted group arrays, each with the first occurrence of its groups."""
 
@@ -211,11 +271,11 @@ def _cut(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, most: int = BITMAP) -> DataFrame:
     """texts: (id, text), no nulls, to (id, spans): repeated strings start at lo to lo + n - 1 of each span."""
     scratch = Scratch(texts.sparkSession, "suffixes")
     cuts = sorted(set(texts.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
-    found = scratch.write(texts.mapInArrow(_grouped(cuts, length, gram), "batch int, id long, lo int, n byte, head long, whole long, anchor long"), "groups")
+    found = candidate_groups(texts, cuts, scratch, length, gram, most)
     family = IndexFamily(scratch)
     for b in range(len(cuts) + 1):
         family.add(found.where(F.col("batch") == b).drop("batch"))
@@ -233,8 +293,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     return repeats.union(again).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, most: int = BITMAP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept are the remaining bytes."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(texts.where(f"id is not null and octet_length(text) >= {length}"), length, gram, batches)
+    spans = repeated_spans(texts.where(f"id is not null and octet_length(text) >= {length}"), length, gram, batches, most)
     return texts.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
