@@ -71,9 +71,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
-    good = (F.col("__quality") == 1) & (F.coalesce("__toxic", F.lit(0)) == 0)
-    model = lmscore.fit(docs.join(labels, "doc_id", "left"), good)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0")
+    model = lmscore.fit(lmscore.with_flag(docs, good, "__good"), F.col("__good"))
     return lmscore.score(docs, model)
 
 
