@@ -210,7 +210,7 @@ class _Linker:
         fan = near.groupBy("u").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
         members = near.join(fan, "u").select(F.col("u").alias("hub"), F.expr("cast(pmod(xxhash64(v), slices) as int)").alias("part"), F.lit(1).alias("flag"), F.col("v").alias("id"))
         heads = fan.select(F.col("u").alias("hub"), F.explode(F.expr("sequence(0, slices - 1)")).alias("part"), F.lit(0).alias("flag"), F.col("u").alias("id"))
-        placed = members.union(heads).join(self.texts, "id").select("hub", "part", "flag", "id", "text")
+        placed = members.union(heads).hint("merge").join(self.texts, "id").select("hub", "part", "flag", "id", "text")
         confirmed = (
             placed.repartition("hub", "part").sortWithinPartitions("hub", "part", "flag").mapInArrow(_compare(self.width, self.percent), "u long, v long")
         )
@@ -247,7 +247,9 @@ def near_duplicates(
     keyed = reps.select("id", F.explode("keys").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1")
     members = scratch.write(keyed.join(full.select("key", "hub"), "key"), "members")
-    linker = _Linker(texts, reps.select("id", "marks"), scratch, bands * rows, percent, width)
+    # texts are shuffled whole once, at any size; later rounds read those with a shared band key
+    pool = scratch.write(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "pool")
+    linker = _Linker(pool, reps.select("id", "marks"), scratch, bands * rows, percent, width)
     linker.test(members.where("id > hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct())
     comps = scratch.write(connected_components(linker.all_links(), scratch), "components")
 
@@ -260,7 +262,7 @@ def near_duplicates(
             pairs = open_.join(hubs, "key").where("comp <> h.comp").select(F.least("id", "h.id").alias("u"), F.greatest("id", "h.id").alias("v")).distinct()
         else:
             left = open_.select("id", "comp").distinct()
-            pairs = prefix_pairs(scratch.write(texts.join(left, "id", "left_semi"), "rest"), left, scratch, percent, width)
+            pairs = prefix_pairs(scratch.write(pool.join(left.select("id").hint("merge"), "id", "left_semi"), "rest"), left, scratch, percent, width)
         todo = scratch.write(linker.untested(pairs), "todo")
         if todo.limit(1).count():
             linker.test(todo)
