@@ -14,14 +14,18 @@ repeated and null ids are kept; other columns never reach the prediction.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PER_LANG, SLOT_BITS, PENALTY, SMOOTHING = 2000, 17, 6.0, 0.5
+#: Texts at a time, and distinct words that a worker remembers before it starts afresh.
+BATCH, REMEMBERED = 1024, 250_000
 #: First and last code points of scripts (Unicode blocks).
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
@@ -41,17 +45,25 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
     return np.where(inside, _KINDS[at], len(NAMES) - 1)
 
 
-def grams(word: str, bits: int = SLOT_BITS) -> np.ndarray:
-    """Slots of the 2-, 3- and 4-grams of a word between two marks."""
-    p = np.array([2, *map(ord, word), 3], np.uint64)
-    out = []
+def grams(words: list[str], bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the 2-, 3- and 4-grams of words between two marks, the word of each, and each word's scripts as bits."""
+    marked = "".join(f"\x02{w}\x03" for w in words)
+    p = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array(list(map(len, words)), np.int64) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    slots, owners = [], []
     for n in (2, 3, 4):
         if len(p) >= n:
+            inside = owner[: len(p) - n + 1] == owner[n - 1 :]
             h = np.full(len(p) - n + 1, np.uint64(n))
             for i in range(n):
                 h = (h ^ p[i : len(p) - n + 1 + i]) * np.uint64(0x100000001B3) + (h >> np.uint64(29))
-            out.append((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))
-    return np.concatenate(out).astype(np.int64)
+            slots.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))[inside].astype(np.int64))
+            owners.append(owner[: len(p) - n + 1][inside])
+    ends = np.cumsum(sizes)
+    kinds = np.int64(1) << scripts_of(p.astype(np.int64)).astype(np.int64)
+    kinds[ends - 1] = kinds[ends - sizes] = 0  # the marks have no script
+    return np.concatenate(slots), np.concatenate(owners), np.bitwise_or.reduceat(kinds, ends - sizes)
 
 
 def held_out(ident: Column) -> Column:
@@ -59,27 +71,25 @@ def held_out(ident: Column) -> Column:
 
 
 def _counted(langs: list[str], bits: int):
-    """Counts by language of n-gram slots, and of scripts in slots from 2 ** bits on, over one task."""
+    """Counts by language of n-gram slots, and of words by script in slots from 2 ** bits on, over one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = (1 << bits) + len(NAMES)
-        counts = np.zeros((len(langs), width), np.int64)
-        place = {x: i for i, x in enumerate(langs)}
-        memo: dict[str, np.ndarray] = {}
-        for batch in batches:
+        counts = np.zeros((len(langs), (1 << bits) + len(NAMES)))
+        for batch in (whole.slice(i, BATCH) for whole in batches for i in range(0, whole.num_rows, BATCH)):
+            seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = counts[place[lang]]
-                for word in WORD.findall(text.lower()):
-                    slots = memo.get(word)
-                    if slots is None:
-                        slots = memo[word] = np.concatenate([grams(word, bits), (1 << bits) + scripts_of(np.array(list(map(ord, word))))])
-                    np.add.at(row, slots, 1)
-                if len(memo) > 200_000:
-                    memo.clear()
+                seen.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            for lang, words in seen.items():
+                if words:
+                    times = np.array(list(words.values()), np.float64)
+                    slots, owner, kinds = grams(list(words), bits)
+                    row = counts[langs.index(lang)]
+                    row[: 1 << bits] += np.bincount(slots, times[owner], 1 << bits)
+                    row[1 << bits :] += [times[kinds >> k & 1 > 0].sum() for k in range(len(NAMES))]
         for i, row in enumerate(counts):
             full = np.flatnonzero(row)
             if len(full):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, np.int32)), pa.array(full.astype(np.int32)), pa.array(row[full])], ["lang", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, np.int32)), pa.array(full.astype(np.int32)), pa.array(row[full].astype(np.int64))], ["lang", "slot", "n"])
 
     return run
 
@@ -93,24 +103,26 @@ class Model:
         self.logp = np.log((own + SMOOTHING) / (own.sum(axis=1, keepdims=True) + SMOOTHING * own.shape[1])).astype(np.float32).T.copy()
         self.uses = scripts > 0.001 * scripts.sum(axis=1, keepdims=True)
         self.memo: dict[str, int] = {}
-        self.table = np.empty((1024, len(langs)), np.float32)
-
-    def word(self, word: str) -> int:
-        """The row of ``table`` that has the word's scores."""
-        at = len(self.memo)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        score = self.logp[grams(word, self.bits)].sum(axis=0) / 3
-        kinds = np.unique(scripts_of(np.array(list(map(ord, word)))))
-        fits = self.uses[:, kinds].all(axis=1)
-        if fits.any():
-            score = np.where(fits, score, score.min() - 50)
-        self.table[at] = score
-        self.memo[word] = at
-        return at
+        self.table = np.empty((0, len(langs)), np.float32)
+
+    def learn(self, words: list[str]) -> None:
+        """Give words that are new a row of ``table`` with their scores; a full memory starts afresh."""
+        if len(self.memo) > REMEMBERED:
+            self.memo, self.table = {}, self.table[:0]
+        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        if not new:
+            return
+        slots, owner, kinds = grams(new, self.bits)
+        score = np.stack([np.bincount(owner, self.logp[slots, k], len(new)) for k in range(len(self.langs))], axis=1) / 3
+        masks, at = np.unique(kinds, return_inverse=True)
+        fits = np.array([[all(self.uses[k, b] for b in range(len(NAMES)) if m >> b & 1) for k in range(len(self.langs))] for m in masks])
+        fits[~fits.any(axis=1)] = True
+        score = np.where(fits[at], score, score.min(axis=1, keepdims=True) - 50)
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        self.table = np.concatenate([self.table, score.astype(np.float32)])
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": {}, "table": np.empty((1024, len(self.langs)), np.float32)}
+        return {**self.__dict__, "memo": {}, "table": self.table[:0]}
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -152,54 +164,57 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
     return label
 
 
-def _predicted(broadcast):
+SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
+
+def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+    """Language, score and spans of each text."""
+    k, langs = len(model.langs), [*model.langs, "und"]
+    if not k:
+        return ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+    words: list[str] = []
+    lengths = np.zeros(len(texts), np.int64)
+    for d, text in enumerate(texts):
+        own = WORD.findall(text.lower()) if text else []
+        lengths[d] = len(own)
+        words.extend(own)
+    model.learn(words)
+    scores = model.table[np.array([model.memo[w] for w in words], np.int64)]
+    letters = np.array(list(map(len, words)), np.int64)
+    starts = np.cumsum(lengths) - lengths
+    full = np.flatnonzero(lengths)
+    labels = viterbi(scores, starts[full], lengths[full], model.penalty)
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    by = np.bincount(doc * k + labels, letters, len(texts) * k).reshape(-1, k)
+    best = np.where(lengths > 0, by.argmax(axis=1), k)
+    score = np.zeros(len(texts))
+    if len(doc):
+        e = np.exp(scores - scores.max(axis=1, keepdims=True))
+        post = e[np.arange(len(doc)), best[doc]] / e.sum(axis=1)
+        score = np.bincount(doc, post * letters, len(texts)) / np.maximum(np.bincount(doc, letters, len(texts)), 1)
+    spans = []
+    for d, text in enumerate(texts):
+        own = labels[starts[d] : starts[d] + lengths[d]]
+        cuts = np.flatnonzero(own[1:] != own[:-1]) + 1 if len(own) else []
+        if not len(own):
+            spans.append([])
+        elif not len(cuts):
+            spans.append([{"begin": 0, "end": len(text), "lang": model.langs[own[0]]}])
+        else:  # a span ends where the next one's first word begins
+            begins = [m.start() for m in WORD.finditer(text)]
+            at = [0, *(begins[c] if c < len(begins) else len(text) for c in cuts), len(text)]
+            spans.append([{"begin": a, "end": b, "lang": model.langs[own[c]]} for a, b, c in zip(at, at[1:], [0, *cuts], strict=False)])
+    return [langs[b] for b in best], np.clip(score, 0, 1), spans
+
+
+def _labelled(shared, text_at: int, kept: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = broadcast.value
-        langs = np.array([*model.langs, "und"])
-        k = len(model.langs)
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                texts = batch.column(1).to_pylist()
-                if len(model.memo) > 400_000:
-                    model.memo, model.table = {}, np.empty((1024, k), np.float32)
-                ids, lengths, letters = [], np.zeros(len(texts), np.int64), []
-                if k:
-                    for d, text in enumerate(texts):
-                        words = WORD.findall(text.lower()) if text else []
-                        lengths[d] = len(words)
-                        get, add = model.memo.get, model.word
-                        ids.extend([add(w) if (i := get(w)) is None else i for w in words])
-                        letters.extend(map(len, words))
-                scores = model.table[np.array(ids, np.int64)]
-                letters = np.array(letters, np.int64)
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-                full = np.flatnonzero(lengths)
-                label = viterbi(scores, starts[full], lengths[full], model.penalty)
-                doc = np.repeat(np.arange(len(texts)), lengths)
-                by = np.bincount(doc * k + label, letters, len(texts) * k).reshape(-1, k) if len(doc) else np.zeros((len(texts), max(k, 1)))
-                best = np.where(lengths > 0, by.argmax(axis=1), k)
-                score = np.zeros(len(texts))
-                if len(doc):
-                    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-                    post = e[np.arange(len(doc)), best[doc]] / e.sum(axis=1)
-                    score = np.bincount(doc, post * letters, len(texts)) / np.maximum(np.bincount(doc, letters, len(texts)), 1)
-                spans = []
-                for d, text in enumerate(texts):
-                    own = label[starts[d] : starts[d] + lengths[d]]
-                    cuts = np.flatnonzero(own[1:] != own[:-1]) + 1 if len(own) else []
-                    if not len(own):
-                        spans.append([])
-                    elif not len(cuts):
-                        spans.append([{"begin": 0, "end": len(text), "lang": model.langs[own[0]]}])
-                    else:  # a span ends where the next one's first word begins
-                        words = [m.start() for m in WORD.finditer(text)]
-                        at = [0, *(words[c] if c < len(words) else len(text) for c in cuts), len(text)]
-                        spans.append([{"begin": a, "end": b, "lang": model.langs[own[c]]} for a, b, c in zip(at, at[1:], [0, *cuts], strict=False)])
-                kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(langs[best].astype(object), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(spans, kind)], ["id", "lang_pred", "score", "spans"]
-                )
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                langs, score, spans = label(batch.column(text_at).to_pylist(), shared.value)
+                names = [batch.schema.names[i] for i in kept]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(score), pa.array(spans, SPANS)], [*names, "__lang", "__score", "__spans"])
 
     return run
 
@@ -219,15 +234,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, counts, bits, penalty)
 
 
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with __lang, __score and __spans of (begin, end, lang) in characters; rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = StructType([*docs.schema.fields, *StructType.fromDDL("__lang string, __score double, __spans array<struct<begin: int, end: int, lang: string>>").fields])
+    return docs.mapInArrow(_labelled(shared, docs.columns.index(text_col), list(range(len(docs.columns)))), kind)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, spans of (begin, end, lang) in characters)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = picked.mapInArrow(_predicted(shared), "id long, lang_pred string, score double, spans array<struct<begin: int, end: int, lang: string>>")
-    return out.withColumnRenamed("id", "doc_id")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = picked.mapInArrow(_labelled(shared, 1, [0]), "doc_id long, __lang string, __score double, __spans array<struct<begin: int, end: int, lang: string>>")
+    return out.toDF("doc_id", "lang_pred", "score", "spans")
 
 
-def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with a recognised language; ``und`` and scores under ``least`` go."""
-    bad = predict(docs, model, id_col, text_col).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    known = with_language(docs, model, text_col).where((F.col("__lang") != "und") & (F.col("__score") >= least))
+    return known.select(*docs.columns)

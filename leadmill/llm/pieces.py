@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class CharMap:
