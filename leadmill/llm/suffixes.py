@@ -5,7 +5,7 @@ smaller id, or further up in the same one.
 
 Suffixes that matter are those with ``length`` bytes ahead. Winnowing groups them: each one points to the
 smallest hash of a ``gram``-byte string in its first ``length`` bytes, the last on a tie, and neighbouring
-suffixes that point to one place form a group, about one per 26 bytes of text. A suffix array here keeps one
+suffixes that point to one place form a group, about one per 19 bytes of text. A suffix array here keeps one
 entry per group: its first eight bytes, in whose order it is sorted, and a hash of all that the group's
 strings cover. Groups whose smallest hash occurs once in the corpus match nothing and stay out; a bitmap of
 the others filters them in the tasks while it is at most ``BITMAP`` bytes, and a join does beyond. Documents come in batches by ascending id. A batch's groups are sorted into an array,
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from leadmill.llm.scratch import Scratch
 from leadmill.llm.words import mix
 
-LENGTH, GRAM, BATCHES = 100, 50, 3
+LENGTH, GRAM, BATCHES = 100, 64, 3
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Bytes that the bitmap of shared anchors may have, and bits for each of them.
@@ -85,34 +85,35 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return n - 1 - (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def groups(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of the texts laid end to end: text number, first suffix, number of suffixes, head, hash and anchor of each group."""
+def groups(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, only_anchors: bool = False) -> tuple[np.ndarray, ...]:
+    """Of the texts laid end to end: anchor, text number, first suffix, number of suffixes, head and hash of each group."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    none = np.empty(0, np.int64)
+    none = (np.empty(0, np.int64),) * (1 if only_anchors else 6)
     if len(data) < length:
-        return none, none, none, none, none, none
-    short, full = rolling(data, (gram, length))
+        return none
+    short, *full = rolling(data, (gram,) if only_anchors else (gram, length))
     anchor = smallest(mix(short), length - gram + 1)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    start = np.arange(len(full))
-    inside = start + length <= ends[owner[: len(full)]]
-    place = start[inside]
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
+    place = np.flatnonzero(np.arange(length, length + len(anchor)) <= ends[owner])
     if not len(place):
-        return none, none, none, none, none, none
+        return none
     at = anchor[place]
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)])
+    name = mix(short[at[new]]).view(np.int64)
+    if only_anchors:
+        return (name,)
     lo = place[new]
     hi = place[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(place) - 1]])]
     n = hi - lo + 1
-    whole = mix(full[lo] * np.uint64(0x9E3779B97F4A7C15) + mix(full[hi] + n.astype(np.uint64)))
+    whole = mix(full[0][lo] * np.uint64(0x9E3779B97F4A7C15) + mix(full[0][hi] + n.astype(np.uint64)))
     head = np.zeros(len(lo), np.uint64)
     for i in range(8):
         head = head << np.uint64(8) | data[lo + i].astype(np.uint64)
     text = owner[lo]
     head = (head ^ np.uint64(1 << 63)).view(np.int64)  # keeps the byte order in a signed number
-    return text, lo - (ends - sizes)[text], n, head, whole.view(np.int64), mix(short[at[new]]).view(np.int64)
+    return name, text, lo - (ends - sizes)[text], n, head, whole.view(np.int64)
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -132,7 +133,7 @@ def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _chunks([t.encode() for t in batch.column(0).to_pylist()]):
-                found, n = np.unique(groups(texts, length, gram)[5], return_counts=True)
+                found, n = np.unique(groups(texts, length, gram, True)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
     return run
@@ -171,10 +172,10 @@ def _grouped(cuts: list[float], length: int, gram: int, bitmap, size: int):
             for first, texts in _chunks([t.encode() for t in batch.column(1).to_pylist()]):
                 found = groups(texts, length, gram)
                 if table is not None:
-                    slot = found[5] & (size - 1)
+                    slot = found[0] & (size - 1)
                     keep = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
                     found = tuple(x[keep] for x in found)
-                text, lo, n, head, whole, anchor = found
+                anchor, text, lo, n, head, whole = found
                 own = ids[first + text].astype(np.int64)
                 turn = np.searchsorted(cuts, own, "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -274,7 +275,7 @@ def _cut(length: int):
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, most: int = BITMAP) -> DataFrame:
     """texts: (id, text), no nulls, to (id, spans): repeated strings start at lo to lo + n - 1 of each span."""
     scratch = Scratch(texts.sparkSession, "suffixes")
-    cuts = sorted(set(texts.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
+    cuts = sorted(set(texts.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     found = candidate_groups(texts, cuts, scratch, length, gram, most)
     family = IndexFamily(scratch)
     for b in range(len(cuts) + 1):
