@@ -59,6 +59,7 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     met = scratch.write(all_windows.join(shared, "fingerprint"), "met")
     start = F.struct("id", "mark", "i")
     first = met.groupBy("key").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first < last").select("key", "first")
+    first = scratch.write(first, "first")  # as a table of its own, so that the join can split a hot key
     again = met.join(first, "key").where(start > F.col("first"))
     under = again.select("id", "mark", F.explode(F.expr("sequence(i, i + size - 1)")).alias("line"))
     return under.groupBy("id", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone"))

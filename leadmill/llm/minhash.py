@@ -240,12 +240,13 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     signed = scratch.write(signatures(docs, id_col, text_col, bands, rows, width), "signatures")
     known = signed.where("id is not null and n > 0")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
+    # sums by key are tables of their own, so that the joins with them can split a hot key
+    classes = scratch.write(known.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = scratch.write(known.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "keys", "marks"), "reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     keyed = reps.select("id", F.explode("keys").alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1")
+    full = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1"), "buckets")
     members = scratch.write(keyed.join(full.select("key", "hub"), "key"), "members")
     # texts are shuffled whole once, at any size; later rounds read those with a shared band key
     pool = scratch.write(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "pool")
@@ -256,7 +257,7 @@ def near_duplicates(
     for step in range(hub_rounds + 1):
         labelled = members.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
         split = labelled.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and c > 2")
-        open_ = labelled.join(split, "key")
+        open_ = labelled.join(scratch.write(split, "open"), "key")
         if step < hub_rounds:  # one more hub of each bucket, from a component that the last ones did not reach
             hubs = open_.where("comp <> lo").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("r"), "id", "comp")).alias("h"))
             pairs = open_.join(hubs, "key").where("comp <> h.comp").select(F.least("id", "h.id").alias("u"), F.greatest("id", "h.id").alias("v")).distinct()

@@ -288,9 +288,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     scratch.drop(found, *(level for _, level in family.levels))
     strings = scratch.write(texts.join(edges, "id").select("id", "text", "spans").mapInArrow(_strings(length), "key long, id long, lo int"), "strings")
     first = strings.groupBy("key").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
+    first = scratch.write(first, "first")  # as a table of its own, so that the join can split a hot key
     again = strings.join(first, "key").where(F.struct("id", "lo") > F.col("first"))
     again = scratch.write(again.groupBy("id").agg(F.collect_list(F.struct("lo", F.lit(1).alias("n"))).alias("spans")), "ends")
-    scratch.drop(strings, edges)
+    scratch.drop(strings, first, edges)
     return repeats.union(again).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
