@@ -226,15 +226,27 @@ class IndexFamily:
         return out
 
 
+#: A span is one number: its first start times SPAN, plus the number of starts.
+SPAN = 256
+
+
+def _spans(column: pa.ListArray) -> list[np.ndarray | None]:
+    """The numbers of each row; none for a null."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
+
+
 def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 keys, ids, places = [], [], []
-                for own, text, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                for own, text, spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _spans(part.column(2)), strict=True):
                     data = np.frombuffer(text.encode(), np.uint8)
-                    at = np.unique(np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in spans]))
+                    lo, n = spans // SPAN, spans % SPAN
+                    first = np.repeat(lo - np.cumsum(n) + n, n)
+                    at = np.unique(first + np.arange(len(first)))
                     at = at[at + length <= len(data)]
                     if len(at):
                         keys.append(mix(rolling(data, (length,))[0][at]).view(np.int64))
@@ -252,16 +264,19 @@ def _cut(length: int):
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 sizes, removed, runs, kept = [], [], [], []
-                for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for text, spans in zip(batch.column(1).to_pylist(), _spans(batch.column(2)), strict=True):
                     data = text.encode()
-                    edge = np.zeros(len(data) + 1, np.int32)
-                    if spans:
-                        lo = np.array([s["lo"] for s in spans], np.int64)
-                        hi = lo + np.array([s["n"] for s in spans], np.int64) - 1 + length
-                        np.add.at(edge, np.minimum(lo, len(data)), 1)
-                        np.add.at(edge, np.minimum(hi, len(data)), -1)
-                    gone = np.cumsum(edge[:-1]) > 0
                     sizes.append(len(data))
+                    if spans is None:
+                        removed.append(0)
+                        runs.append(0)
+                        kept.append(data)
+                        continue
+                    lo = spans // SPAN
+                    hi = lo + spans % SPAN - 1 + length
+                    n = len(data) + 1
+                    edge = np.bincount(np.minimum(lo, n - 1), minlength=n) - np.bincount(np.minimum(hi, n - 1), minlength=n)
+                    gone = np.cumsum(edge[:-1]) > 0
                     removed.append(int(gone.sum()))
                     runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                     kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if removed[-1] else data)
@@ -273,7 +288,7 @@ def _cut(length: int):
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, most: int = BITMAP) -> DataFrame:
-    """texts: (id, text), no nulls, to (id, spans): repeated strings start at lo to lo + n - 1 of each span."""
+    """texts: (id, text), no nulls, to (id, spans): the starts of repeated strings, as numbers of ``SPAN``."""
     scratch = Scratch(texts.sparkSession, "suffixes")
     cuts = sorted(set(texts.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     found = candidate_groups(texts, cuts, scratch, length, gram, most)
@@ -281,16 +296,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     for b in range(len(cuts) + 1):
         family.add(found.where(F.col("batch") == b).drop("batch"))
     entries = family.entries()
-    repeats = found.select("id", "lo", "n").join(entries.select("id", "lo"), ["id", "lo"], "left_anti").groupBy("id").agg(F.collect_list(F.struct("lo", F.col("n").cast("int").alias("n"))).alias("spans"))
+    repeats = found.select("id", "lo", "n").join(entries.select("id", "lo"), ["id", "lo"], "left_anti").groupBy("id").agg(F.collect_list(F.col("lo").cast("long") * SPAN + F.col("n")).alias("spans"))
     repeats = scratch.write(repeats, "repeats")
     shared = entries.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    edges = scratch.write(entries.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.struct("lo", F.col("n").cast("int").alias("n"))).alias("spans")), "edges")
+    edges = scratch.write(entries.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.col("lo").cast("long") * SPAN + F.col("n")).alias("spans")), "edges")
     scratch.drop(found, *(level for _, level in family.levels))
     strings = scratch.write(texts.join(edges, "id").select("id", "text", "spans").mapInArrow(_strings(length), "key long, id long, lo int"), "strings")
     first = strings.groupBy("key").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
     first = scratch.write(first, "first")  # as a table of its own, so that the join can split a hot key
     again = strings.join(first, "key").where(F.struct("id", "lo") > F.col("first"))
-    again = scratch.write(again.groupBy("id").agg(F.collect_list(F.struct("lo", F.lit(1).alias("n"))).alias("spans")), "ends")
+    again = scratch.write(again.groupBy("id").agg(F.collect_list(F.col("lo").cast("long") * SPAN + 1).alias("spans")), "ends")
     scratch.drop(strings, first, edges)
     return repeats.union(again).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -300,3 +315,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = repeated_spans(texts.where(f"id is not null and octet_length(text) >= {length}"), length, gram, batches, most)
     return texts.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+ORACLE = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS i FROM h),
+k AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 200 <= length(x) THEN substr(x, 2 * i + 1, 200) END AS s FROM p),
+r AS (SELECT doc_id, i, byte, s IS NOT NULL AND row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id, i) > 1 AS again FROM k),
+g AS (SELECT doc_id, i, byte, coalesce(max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS gone FROM r),
+b AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM g),
+t AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, sum(begins::INT) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM b GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN t USING (doc_id)
+"""
