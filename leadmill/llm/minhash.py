@@ -287,3 +287,19 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` that stay when one document of each group of near copies is kept."""
     gone = near_duplicates(docs, id_col, text_col, **kw).where("not kept").select(F.col("doc_id").alias("__gone_id"))
     return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+
+
+#: All pairs that share a shingle, exactly; equal to the query up to the probability that banding misses a link.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT e.v, r.root FROM reach r JOIN edges e ON e.u = r.node),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+class AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY array_to_string(ws, ' ')) END AS class_id FROM w)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept, class_id FROM comp JOIN class ON doc_id = node LEFT JOIN n USING (doc_id)
+"""

@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_transport_streams, op7_suffix_array_dedup, op8_language_id, op9_source_mixing, op10_lm_scoring,
     )
 }
-ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": minhash.ORACLE, "op7_suffix_array_dedup": suffixes.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_source_mixing": mixing.ORACLE}
