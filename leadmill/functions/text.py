@@ -27,6 +27,11 @@ def literals(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_in(text: Column, tokens: Column) -> Column:
     """Whether a token that isn't empty occurs in the text."""
     return F.coalesce(F.exists(tokens, lambda t: (t != "") & F.contains(text, t)), F.lit(False))
@@ -102,18 +107,27 @@ def registrable_label(domain: Column, registrable=registrable_domain) -> Column:
 
 def name_from_title(title: Column, domain: Column, registrable=registrable_domain) -> Column:
     """A company name from a page title, or ``''``: see the three ways in."""
-    segment = _first_segment(title)
+    return let(
+        F.struct(_first_segment(title).alias("segment"), registrable_label(domain, registrable).alias("label")),
+        lambda x: let(F.struct(x["segment"].alias("segment"), x["label"].alias("label"), _suffix_end(x["segment"]).alias("end")), lambda y: _title_name(y["segment"], y["label"], y["end"])),
+    )
+
+
+def _suffix_end(segment: Column) -> Column:
+    """End of the last company suffix, 0 without one."""
+    n = F.length(segment)
+    own = [F.when(F.contains(segment, F.lit(s)), n - F.length(F.substring_index(segment, s, -1))).otherwise(0) for s in vocab.ORG_SUFFIXES]
+    return F.array_max(F.array(F.lit(0), *own, _last_match_end(segment)))
+
+
+def _title_name(segment: Column, label: Column, end: Column) -> Column:
     n = F.length(segment)
     fits = (n > 0) & (n <= 40) & (F.size(F.filter(F.split(segment, r"(?U)\s+"), lambda w: w != "")) <= 3) & ~segment.rlike(f"[{vocab.SENTENCE_MARKS}]")
-    ends = F.array_max(
-        F.array(F.lit(0), *[F.when(F.contains(segment, F.lit(s)), n - F.length(F.substring_index(segment, s, -1))).otherwise(0) for s in vocab.ORG_SUFFIXES], _last_match_end(segment))
-    )
-    by_suffix = strip(F.substring(segment, F.lit(1), ends))
-    label = registrable_label(domain, registrable)
+    by_suffix = strip(F.substring(segment, F.lit(1), end))
     flat = F.regexp_replace(F.lower(segment), r"[^0-9a-z\x{4e00}-\x{9fa5}]", "")
     agrees = (F.length(label) >= 4) & (flat != "") & (F.contains(flat, label) | F.contains(label, flat))
     brand = (n <= 12) & any_in(segment, literals(vocab.INDUSTRY_WORDS))
-    return F.when(~fits, "").when((ends > 0) & (F.length(by_suffix) >= 2), by_suffix).when(brand | agrees, segment).otherwise("")
+    return F.when(~fits, "").when((end > 0) & (F.length(by_suffix) >= 2), by_suffix).when(brand | agrees, segment).otherwise("")
 
 
 def _last_match_end(segment: Column) -> Column:
