@@ -23,14 +23,14 @@ TARGETS_SQL = f"WITH {A.COMPANIES} SELECT name, domain, CASE WHEN summary = '' T
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first web result about each nation that lacks a summary, directory results first."""
-    n = A.places(spark, sf_dir).select(F.lower("n_name").alias("dedupe_key"), F.col("n_name").alias("name"), F.concat(F.lit("thther"), F.lit(".org")).alias("domain"), F.array(F.lit("summary")).alias("missing"))
+    n = A.places(spark, sf_dir).select("nationkey", F.lower("n_name").alias("dedupe_key"), F.col("n_name").alias("name"), F.concat(F.lit("thther"), F.lit(".org")).alias("domain"), F.array(F.lit("summary")).alias("missing"))
     w = A.web_results(spark, sf_dir)
-    results = w.join(F.broadcast(n.select("dedupe_key"))).where(F.pmod(F.col("pos") + F.length("dedupe_key"), F.lit(3)) == 0).select("dedupe_key", (F.col("pos") % 2).alias("stage"), "rank", "url", F.lit("t").alias("title"), "content")
-    found = E.first_relevant(n, results)
+    results = w.join(F.broadcast(n.select("nationkey", "dedupe_key")), F.col("pos") % 25 == F.col("nationkey")).select("dedupe_key", (F.col("pos") % 2).alias("stage"), "rank", "url", F.lit("t").alias("title"), "content")
+    found = E.first_relevant(n.drop("nationkey"), results)
     return found.select("dedupe_key", "stage", F.length("summary").alias("chars"), "url", "source", F.size("attributes").alias("fields"))
 
 
-RELEVANT_SQL = f"""WITH {A.WEB}, x AS (SELECT lower(n_name) AS dedupe_key, pos % 2 AS stage, rank, url, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body FROM web, nation WHERE (pos + length(n_name)) % 3 = 0 AND contains(lower(url), 'thther')),
+RELEVANT_SQL = f"""WITH {A.WEB}, x AS (SELECT lower(n_name) AS dedupe_key, pos % 2 AS stage, rank, url, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body FROM web JOIN nation ON pos % 25 = n_nationkey WHERE contains(lower(url), 'thther')),
 f AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY stage, rank) AS nth FROM x WHERE body <> '')
 SELECT dedupe_key, stage, least(length(body), 400)::INT AS chars, url, CASE stage WHEN 0 THEN 'directory' ELSE 'web_search' END AS source, 0 AS fields FROM f WHERE nth = 1"""
 
@@ -63,11 +63,11 @@ r AS (SELECT *, row_number() OVER (ORDER BY created_at, cache_key) AS nth, count
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a second source for two thirds of the companies, one per key."""
+    """Records of a second source, one per key."""
     c = A.companies(spark, sf_dir).withColumn("key", T.dedupe_key(F.col("domain"), F.col("name"))).groupBy("key").agg(F.min(F.struct("pos", "name", "domain")).alias("x"))
     p = F.col("x.pos")
     page = lambda s: F.struct(F.lit("more").alias("title"), F.concat(F.lit("https://"), F.col("x.domain"), F.lit(s)).alias("url"), F.lit("").alias("snippet"))
-    return c.where("x.pos % 3 <> 0").select(
+    return c.select(
         F.col("x.name").alias("name"), F.col("x.domain").alias("domain"), F.concat(F.lit("about "), F.col("x.name")).alias("summary"), F.lit("Earth").alias("location"), F.when(p % 2 == 0, "10-20").otherwise("").alias("employees"), F.lit("B轮").alias("funding_stage"),
         F.array(F.lit("new")).alias("industries"), F.array(page("/about"), page("/press")).cast(f"array<{EVIDENCE}>").alias("evidence"), F.create_map(F.lit("origin"), F.lit("second"), F.lit("founded"), F.lit("1999")).alias("attributes"), F.lit("vendor").alias("source_id"),
     )
@@ -78,7 +78,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("external_id", "summary", "location", "employees", "funding_stage", F.array_join("industries", "/").alias("industries"), F.size("evidence").alias("evidence"), F.array_join(F.array_sort("missing_fields"), "/").alias("missing"), F.col("attributes")["origin"].alias("origin"), F.try_element_at("attributes", F.lit("enriched_by")).alias("enriched_by"))
 
 
-MERGED = f"""{A.COMPANIES}, k AS (SELECT dedupe_key, min(pos) AS p FROM companies GROUP BY dedupe_key HAVING min(pos) % 3 <> 0), e AS (SELECT k.dedupe_key, k.p, c.name AS new_name FROM k JOIN companies c ON c.pos = k.p),
+MERGED = f"""{A.COMPANIES}, k AS (SELECT dedupe_key, min(pos) AS p FROM companies GROUP BY dedupe_key), e AS (SELECT k.dedupe_key, k.p, c.name AS new_name FROM k JOIN companies c ON c.pos = k.p),
 m AS (SELECT c.*, e.p IS NOT NULL AS got, e.p, new_name, CASE WHEN c.pos % 4 = 0 THEN '' WHEN c.pos % 4 = 1 THEN (c.pos % 90 + 10) || '-' || (c.pos % 90 + 60) || ' 人' WHEN c.pos % 4 = 2 THEN '500 人以上' ELSE '120' END AS employees FROM companies c LEFT JOIN e USING (dedupe_key))"""
 MERGED_SQL = f"""WITH {MERGED} SELECT external_id, CASE WHEN got AND summary = '' THEN 'about ' || new_name ELSE summary END AS summary, CASE WHEN got AND location = '' THEN 'Earth' ELSE location END AS location,
   CASE WHEN got AND employees = '' AND p % 2 = 0 THEN '10-20' ELSE employees END AS employees, CASE WHEN got AND funding_stage = '' THEN 'B轮' ELSE funding_stage END AS funding_stage, CASE WHEN got AND industry = '' THEN 'new' ELSE industry END AS industries,
@@ -177,14 +177,14 @@ ENTITY_SQL = """SELECT * FROM (SELECT p_brand AS run_id, p_size AS round, (row_n
 def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dossiers applied to company rows: blanks filled, the name upgraded."""
     rows = A.companies(spark, sf_dir).withColumn("row_key", F.col("external_id")).withColumn("official_contact_state", F.lit("blocked"))
-    d = rows.where("pos % 2 = 0").select("row_key", F.concat(F.lit("d "), F.col("name")).alias("name"), F.when(F.col("pos") % 4 == 0, F.concat(F.lit("legal "), F.col("name"))).otherwise("").alias("legal_name"), F.lit("new.org").alias("domain"), F.lit("s").alias("summary"), F.array(F.lit("i")).alias("industries"), F.when(F.col("pos") % 6 == 0, "m@x.org").otherwise(" ").alias("official_contact"))
+    d = rows.where("contact_count > 0").select("row_key", F.concat(F.lit("d "), F.col("name")).alias("name"), F.when(F.col("pos") % 4 == 0, F.concat(F.lit("legal "), F.col("name"))).otherwise("").alias("legal_name"), F.lit("new.org").alias("domain"), F.lit("s").alias("summary"), F.array(F.lit("i")).alias("industries"), F.when(F.col("pos") % 4 == 1, "m@x.org").otherwise(" ").alias("official_contact"))
     out = E.apply_dossier(rows, d)
     return out.select("row_key", "name", "domain", "summary", F.array_join("industries", "/").alias("industries"), "official_contact_state", F.size("agent_fields").alias("extra"), F.array_join(F.array_sort(F.map_keys("written")), "/").alias("written"))
 
 
-APPLIED_SQL = f"""WITH {A.COMPANIES} SELECT external_id AS row_key, CASE WHEN pos % 4 = 0 THEN 'legal ' || name WHEN pos % 2 = 0 THEN 'd ' || name ELSE name END AS name, CASE WHEN pos % 2 = 0 AND domain = '' THEN 'new.org' ELSE domain END AS domain, CASE WHEN pos % 2 = 0 AND summary = '' THEN 's' ELSE summary END AS summary,
-  CASE WHEN pos % 2 = 0 AND industry = '' THEN 'i' ELSE industry END AS industries, CASE WHEN pos % 6 = 0 THEN 'ready' ELSE 'blocked' END AS official_contact_state, CASE WHEN pos % 2 = 1 THEN 0 ELSE (pos % 4 = 0)::INT + (pos % 6 = 0)::INT END AS extra,
-  CASE WHEN pos % 2 = 1 THEN '' ELSE array_to_string(list_filter([CASE WHEN domain = '' THEN 'domain' END, CASE WHEN industry = '' THEN 'industries' END, 'name', CASE WHEN summary = '' THEN 'summary' END], lambda x: x IS NOT NULL), '/') END AS written FROM companies"""
+APPLIED_SQL = f"""WITH {A.COMPANIES} SELECT external_id AS row_key, CASE WHEN contact_count = 0 THEN name WHEN pos % 4 = 0 THEN 'legal ' || name ELSE 'd ' || name END AS name, CASE WHEN contact_count > 0 AND domain = '' THEN 'new.org' ELSE domain END AS domain, CASE WHEN contact_count > 0 AND summary = '' THEN 's' ELSE summary END AS summary,
+  CASE WHEN contact_count > 0 AND industry = '' THEN 'i' ELSE industry END AS industries, CASE WHEN contact_count > 0 AND pos % 4 = 1 THEN 'ready' ELSE 'blocked' END AS official_contact_state, CASE WHEN contact_count = 0 THEN 0 ELSE (pos % 4 = 0)::INT + (pos % 4 = 1)::INT END AS extra,
+  CASE WHEN contact_count = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN domain = '' THEN 'domain' END, CASE WHEN industry = '' THEN 'industries' END, 'name', CASE WHEN summary = '' THEN 'summary' END], lambda x: x IS NOT NULL), '/') END AS written FROM companies"""
 
 
 def light_records(spark: SparkSession, sf_dir: str) -> DataFrame:

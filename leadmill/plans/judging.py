@@ -69,14 +69,14 @@ SELECT list_id, row_key, x.pos AS pos, x.condition AS condition, CASE x.v WHEN 1
 
 
 def rejudged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old results judged anew; every eighth row has lost its record and keeps its result."""
+    """Old results judged anew; rows of companies without a funding stage have lost their record and keep their result."""
     judged = judged_companies(spark, sf_dir).withColumn("row_key", F.col("external_id"))
     old = judged.select("list_id", "row_key", F.lit(1).alias("score"), F.lit("待确认").alias("match_level"), F.lit("old").alias("match_reason"), "criteria")
-    records = A.companies(spark, sf_dir).where("pos % 8 <> 0").withColumn("row_key", F.col("external_id"))
+    records = A.companies(spark, sf_dir).where("funding_stage <> ''").withColumn("row_key", F.col("external_id"))
     return J.rejudge(old, records).drop("match_reason")
 
 
-REJUDGED_SQL = f"WITH {JUDGED} SELECT list_id, external_id AS row_key, CASE WHEN pos % 8 = 0 THEN 1 ELSE score END AS score, CASE WHEN pos % 8 = 0 THEN '待确认' ELSE match_level END AS match_level FROM j"
+REJUDGED_SQL = f"WITH {JUDGED} SELECT list_id, external_id AS row_key, CASE WHEN stage = '' THEN 1 ELSE score END AS score, CASE WHEN stage = '' THEN '待确认' ELSE match_level END AS match_level FROM j"
 
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ ROWS = f"""{JUDGED}, p AS (SELECT *, row_number() OVER (PARTITION BY list_id ORD
 listed AS (SELECT list_id, 'row-' || n_nationkey || '-' || ix AS row_id, ix AS pos, CASE WHEN domain = '' THEN name ELSE domain END AS row_key, name, domain, summary, location, industry, score, match_level,
   CASE WHEN p.pos % 7 = 0 THEN 'failed' ELSE 'ready' END AS summary_state, CASE WHEN p.pos % 7 = 0 THEN 'failed' ELSE 'ready' END AS contact_state, 'blocked' AS official_contact_state, contact_count,
   TIMESTAMP '2024-01-31' + to_seconds(ix * 7) AS created_at FROM p JOIN nation ON list_id = nation.n_name)"""
-BUILT_SQL = f"WITH {ROWS} SELECT list_id, row_id, pos, row_key, name, score, match_level, summary_state, contact_state, official_contact_state, contact_count, created_at FROM listed"
+BUILT_SQL = f"WITH {ROWS} SELECT list_id, row_id, pos::INT AS pos, row_key, name, score, match_level, summary_state, contact_state, official_contact_state, contact_count, created_at FROM listed"
 
 
 def paged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +107,13 @@ SELECT list_id, place::INT AS place, row_id, name, total FROM f WHERE place BETW
 
 
 def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected rows, every third, that have no deep dive yet."""
-    rows = built(spark, sf_dir).withColumn("dossier_state", F.when(F.col("pos") % 2 == 0, "ready").otherwise("blocked"))
-    chosen = rows.where("pos % 3 = 0").select("list_id", "row_id")
+    """Selected rows, those that may match, that have no deep dive yet."""
+    rows = built(spark, sf_dir).withColumn("dossier_state", F.when(F.col("contact_count") == 2, "ready").otherwise("blocked"))
+    chosen = rows.where("match_level <> '待确认'").select("list_id", "row_id")
     return L.blocked_rows(rows, chosen).select("list_id", "row_id")
 
 
-BLOCKED_SQL = f"WITH {ROWS} SELECT list_id, row_id FROM listed WHERE pos % 3 = 0 AND pos % 2 = 1"
+BLOCKED_SQL = f"WITH {ROWS} SELECT list_id, row_id FROM listed WHERE match_level <> '待确认' AND contact_count <> 2"
 
 
 def research_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,15 +129,15 @@ RESEARCH_SQL = f"""WITH {ROWS} SELECT list_id, row_id, contact_state AS contacts
 
 
 def judged_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's list judges all people by name, role, seniority, employer, place and background."""
+    """Each nation's list judges the people of its region by name, role, seniority, employer, place and background."""
     tokens = lambda *xs: F.array(*map(F.lit, xs))
     made = F.array(
         C.criterion("n", "姓名：Kehang Chen", "", "name", 5, tokens("Kehang Chen", "berg"), "", ""), C.criterion("t", "职位：销售", "", "title", 4, tokens("sales", "Marketing"), "", ""),
         C.criterion("s", "职级：管理层及以上", "", "seniority", 3, tokens("director"), "管理层", ""), C.criterion("c", "公司特征：软件", "", "company", 4, tokens("software"), "软件", ""),
         C.criterion("g", "地域：x", "", "geo", 3, F.array("list_id"), "x", ""), C.criterion("b", "履历背景：sales", "", "background", 3, tokens("sales before"), "", "", True),
     )
-    listed = A.places(spark, sf_dir).select(F.col("n_name").alias("list_id")).withColumn("criteria", C.with_reachability(made, True))
-    judged = J.judge(A.people(spark, sf_dir).join(F.broadcast(listed)), True)
+    listed = A.places(spark, sf_dir).select(F.col("n_name").alias("list_id"), F.col("r_name").alias("region")).withColumn("criteria", C.with_reachability(made, True))
+    judged = J.judge(A.people(spark, sf_dir).join(F.broadcast(listed), F.col("r_name") == F.col("region")), True)
     return judged.select("list_id", "external_id", "score", "match_level", "hard_miss", F.array_join(F.transform("verdicts", lambda v: v["verdict"]), "/").alias("verdicts"))
 
 
@@ -148,7 +148,7 @@ v AS (SELECT l.n_name AS list_id, p.*, CASE WHEN first = 'Chen' AND last = 'Keha
       WHEN 'Finance Analyst' THEN 0.0 WHEN 'Sales Manager' THEN 0.5 WHEN 'Chief Marketing Officer' THEN 1.0 ELSE 0.5 END AS c,
     CASE WHEN company || summary || keywords = '' THEN 0.5 WHEN contains(company || summary || keywords, 'software') THEN 1.0 WHEN contains(company, 'retail') THEN 0.0 ELSE 0.5 END AS d,
     CASE WHEN location = '' THEN 0.5 WHEN contains(location, l.n_name) THEN 1.0 ELSE 0.0 END AS e, CASE WHEN summary <> '' THEN 1.0 ELSE 0.5 END AS f, CASE WHEN has_mail THEN 1.0 ELSE 0.5 END AS g
-  FROM people p, (SELECT n_name FROM nation) l),
+  FROM people p JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) l ON p.r_name = l.r_name),
 s AS (SELECT *, (5 * a + 4 * b + 3 * c + 4 * d + 3 * e + 3 * f + g)::DOUBLE / 23 AS ratio, a = 0 OR b = 0 OR c = 0 OR d = 0 OR e = 0 AS hard_miss FROM v)
 SELECT list_id, external_id, round_even(ratio * 100, 0)::INT AS score, CASE WHEN ratio >= 0.75 AND NOT hard_miss THEN '明确符合' WHEN ratio >= 0.45 THEN '可能符合' ELSE '待确认' END AS match_level, hard_miss,
   array_to_string(list_transform([a, b, c, d, e, f, g], lambda x: CASE x WHEN 1 THEN '符合' WHEN 0.5 THEN '不确定' ELSE '不符合' END), '/') AS verdicts FROM s"""

@@ -34,9 +34,9 @@ SELECT query_id, rank, site AS key, upper(substr(site, 1, 1)) || replace(substr(
 
 def merged_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two recalls of each nation, twenty rows each at most, merged in order by key and name."""
-    c = A.companies(spark, sf_dir).select(F.col("n_name").alias("query_id"), "pos", "name", "domain")
-    first = R.top(c.where("pos % 2 = 0"), ["query_id"], 20, "pos")
-    more = R.top(c.where("pos % 3 = 0"), ["query_id"], 20, "pos")
+    c = A.companies(spark, sf_dir).select(F.col("n_name").alias("query_id"), "pos", "name", "domain", "contact_count")
+    first = R.top(c, ["query_id"], 20, "pos")
+    more = R.top(c, ["query_id"], 20, F.col("contact_count").desc(), "pos")
     return R.merge_recalls(first, more)
 
 
@@ -116,11 +116,11 @@ WHERE CASE n_nationkey % 4 WHEN 0 THEN first = 'Chen' AND last = 'Kehang' WHEN 1
 
 def more_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next ten companies of each nation that its list doesn't have."""
-    c = A.companies(spark, sf_dir).select(F.col("n_name").alias("list_id"), F.col("external_id").alias("row_key"), "pos")
-    return R.exclude_taken(c, c.where("pos % 3 = 0"), 10, "pos").select("list_id", "row_key")
+    c = A.companies(spark, sf_dir).select(F.col("n_name").alias("list_id"), F.col("external_id").alias("row_key"), "pos", "contact_count")
+    return R.exclude_taken(c, c.where("contact_count = 0"), 10, "pos").select("list_id", "row_key")
 
 
-MORE_SQL = f"WITH {A.COMPANIES}, x AS (SELECT n_name AS list_id, external_id AS row_key, row_number() OVER (PARTITION BY n_name ORDER BY pos) AS nth FROM companies WHERE pos % 3 <> 0) SELECT list_id, row_key FROM x WHERE nth <= 10"
+MORE_SQL = f"WITH {A.COMPANIES}, x AS (SELECT n_name AS list_id, external_id AS row_key, row_number() OVER (PARTITION BY n_name ORDER BY pos) AS nth FROM companies WHERE contact_count <> 0) SELECT list_id, row_key FROM x WHERE nth <= 10"
 
 
 def domain_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,12 +177,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(path), l
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sixteen documents of each source as one numbered text."""
-    d = A.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("list_id"), F.col("doc_id").alias("pos"), F.col("lang").alias("title"), F.lit("u").alias("url"), F.substring("text", 1, 900).alias("content"), F.lit("w").alias("website"), F.lit("d").alias("date"))
+    d = A.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("list_id"), F.col("doc_id").alias("pos"), F.col("lang").alias("title"), F.lit("u").alias("url"), F.col("text").alias("content"), F.lit("w").alias("website"), F.lit("d").alias("date"))
     packed = R.pack_documents(d)
     return packed.select("list_id", "n_documents", F.length("packed").cast("long").alias("chars"), F.sha2(F.col("packed").cast("binary"), 256).alias("digest"))
 
 
-PACKED_SQL = r"""WITH d AS (SELECT coalesce(source, '') AS list_id, doc_id, lang, trim(regexp_replace(substr(text, 1, 900), '\s+', ' ', 'g')) AS body, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS nth FROM documents),
+PACKED_SQL = r"""WITH d AS (SELECT coalesce(source, '') AS list_id, doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS nth FROM documents),
 p AS (SELECT list_id, count(*) AS n, string_agg('[' || nth || '] ' || lang || chr(10) || '    站点：w　日期：d' || chr(10) || '    URL：u' || chr(10) || '    正文：' || substr(body, 1, 260), chr(10) ORDER BY nth) AS packed FROM d WHERE nth <= 16 GROUP BY list_id)
 SELECT list_id, n::INT AS n_documents, length(packed)::BIGINT AS chars, sha256(packed) AS digest FROM p"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import html
@@ -195,20 +195,19 @@ def merged_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as the output of a generator: a list per order, good and bad entries mixed."""
     x = A.table(spark, sf_dir, "lineitem")
-    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    n, k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")), F.col("l_partkey")
     kind = F.element_at(F.array(*map(F.lit, ("geo", "industry", "size", "funding", "business", "reachability"))), (k % 6).cast("int") + 1)
     expected = F.when(k % 6 == 2, F.concat((k % 90).cast("string"), F.lit(":"), (k % 70 + 20).cast("string"))).when(k % 6 == 3, F.when(k % 4 == 1, "A轮").otherwise("Z轮")).otherwise("x")
     tokens = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(" a "), F.lit("a"), F.lit("")))
-    return x.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string")).alias("list_id"), n.alias("pos"), kind.alias("category"), F.concat(F.lit(" n"), n.cast("string")).alias("name"), F.lit("").alias("question"), expected.alias("expected"), F.lit("").alias("note"), (k % 7).cast("string").alias("weight"), tokens.alias("tokens"), F.col("l_suppkey").alias("tie"))
+    return x.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string")).alias("list_id"), n.alias("pos"), kind.alias("category"), F.concat(F.lit(" n"), F.col("l_linenumber").cast("string")).alias("name"), F.lit("").alias("question"), expected.alias("expected"), F.lit("").alias("note"), (k % 7).cast("string").alias("weight"), tokens.alias("tokens"))
 
 
 def validated_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_criteria(spark, sf_dir).groupBy("list_id", "pos").agg(F.min_by(F.struct("category", "name", "question", "expected", "note", "weight", "tokens"), F.struct("weight", "category", "expected")).alias("r"), F.count("*").alias("c")).where("c = 1").select("list_id", "pos", "r.*")
-    return C.validate_criteria(raw).withColumn("tokens", F.array_join("tokens", "/"))
+    return C.validate_criteria(raw_criteria(spark, sf_dir)).withColumn("tokens", F.array_join("tokens", "/"))
 
 
-VALIDATED_SQL = """WITH u AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k FROM lineitem GROUP BY ALL HAVING count(*) = 1),
-r AS (SELECT 'l' || l_orderkey AS list_id, l_linenumber AS pos, list_extract(['geo', 'industry', 'size', 'funding', 'business', 'reachability'], (k % 6)::INT + 1) AS category, 'n' || l_linenumber AS name, (k % 7)::INT AS weight, k FROM u),
+VALIDATED_SQL = """WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS pos FROM lineitem),
+r AS (SELECT 'l' || l_orderkey AS list_id, pos, list_extract(['geo', 'industry', 'size', 'funding', 'business', 'reachability'], (k % 6)::INT + 1) AS category, 'n' || l_linenumber AS name, (k % 7)::INT AS weight, k FROM u),
 g AS (SELECT *, row_number() OVER (PARTITION BY list_id, category ORDER BY pos) AS nth FROM r WHERE category <> 'reachability' AND weight BETWEEN 1 AND 5
   AND CASE category WHEN 'size' THEN k % 90 <= k % 70 + 20 WHEN 'funding' THEN k % 4 = 1 ELSE k % 5 <> 0 END),
 f AS (SELECT *, count(*) OVER (PARTITION BY list_id) AS n FROM g WHERE nth <= CASE category WHEN 'business' THEN 3 ELSE 1 END)

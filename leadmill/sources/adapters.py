@@ -71,7 +71,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("pos"), F.concat(F.lit("p"), k.cast("string")).alias("external_id"), F.concat(pick(FIRST), F.lit(" "), pick(LAST)).alias("name"), local.alias("name_local"), pick(TITLES).alias("title"), employer.alias("company"),
         F.lit("").alias("company_domain"), F.when(k % 9 == 0, "").otherwise(F.col("n_name")).alias("location"), F.when(k % 6 == 0, "worked in sales before").otherwise("").alias("summary"), F.array().cast("array<string>").alias("aliases"),
         F.when(k % 10 == 0, F.array(F.lit("software"))).otherwise(F.array().cast("array<string>")).alias("keywords"), F.when(k % 4 == 0, F.concat(F.lit("p"), k.cast("string"), F.lit("@x.org"))).otherwise("").alias("contact_email"),
-        F.lit("").alias("contact_phone"), F.concat(F.lit("https://people.org/in/"), k.cast("string")).alias("source_url"), F.array().cast(f"array<{EVIDENCE}>").alias("evidence"), "n_name",
+        F.lit("").alias("contact_phone"), F.concat(F.lit("https://people.org/in/"), k.cast("string")).alias("source_url"), F.array().cast(f"array<{EVIDENCE}>").alias("evidence"), "n_name", "r_name",
     )
 
 
@@ -89,20 +89,20 @@ people AS (
   SELECT s_suppkey AS pos, 'p' || s_suppkey AS external_id, {_pick(FIRST)} AS first, {_pick(LAST)} AS last, CASE WHEN s_suppkey % 8 = 0 THEN {_pick(("陈可航", "王小明", "李雷"))} ELSE '' END AS name_local,
     {_pick(TITLES)} AS title, {_pick(("software house", "retail chain", "holding", ""))} AS company, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE n_name END AS location,
     CASE WHEN s_suppkey % 6 = 0 THEN 'worked in sales before' ELSE '' END AS summary, CASE WHEN s_suppkey % 10 = 0 THEN 'software' ELSE '' END AS keywords,
-    s_suppkey % 4 = 0 AS has_mail, n_name
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+    s_suppkey % 4 = 0 AS has_mail, n_name, r_name
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as web results of ten queries; title and a stretch of text by patterns, so that SQL can follow."""
+    """Pages as web results of ten queries; title and text by patterns, so that SQL can follow."""
     p = table(spark, sf_dir, "pages")
-    body = F.substring(F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*)$", 1), r"<[^>]*>", " "), 1, 400)
+    body = F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*)$", 1), r"<[^>]*>", " ")
     return p.select(F.concat(F.lit("q"), (F.col("page_id") % 10).cast("string")).alias("query_id"), F.col("page_id").alias("rank"), F.col("page_id").alias("pos"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), body.alias("content"), "html")
 
 
 WEB = r"""
 web AS (SELECT 'q' || (page_id % 10) AS query_id, page_id AS rank, page_id AS pos, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-  substr(regexp_replace(regexp_extract(html, '(?s)<article>(.*)$', 1), '<[^>]*>', ' ', 'g'), 1, 400) AS content,
+  regexp_replace(regexp_extract(html, '(?s)<article>(.*)$', 1), '<[^>]*>', ' ', 'g') AS content,
   lower(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', '')) AS host FROM pages)"""
 
 
