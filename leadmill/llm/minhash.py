@@ -260,7 +260,7 @@ def near_duplicates(
         open_ = labelled.join(scratch.write(split, "open"), "key")
         if step < hub_rounds:  # one more hub of each bucket, from a component that the last ones did not reach
             hubs = open_.where("comp <> lo").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("r"), "id", "comp")).alias("h"))
-            pairs = open_.join(hubs, "key").where("comp <> h.comp").select(F.least("id", "h.id").alias("u"), F.greatest("id", "h.id").alias("v")).distinct()
+            pairs = open_.join(scratch.write(hubs, "hubs"), "key").where("comp <> h.comp").select(F.least("id", "h.id").alias("u"), F.greatest("id", "h.id").alias("v")).distinct()
         else:
             left = open_.select("id", "comp").distinct()
             pairs = prefix_pairs(scratch.write(pool.join(left.select("id").hint("merge"), "id", "left_semi"), "rest"), left, scratch, percent, width)
