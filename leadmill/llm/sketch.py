@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from leadmill.llm.words import mix
 
 CELLS, GROWTH, HASHES = 24, 4, 3
+#: Cells of a sketch at most; a difference of a million paragraphs fits.
+LARGEST = 1 << 21
 #: Words of a paragraph at most; longer ones are cut.
 LONGEST = 12
 PARAGRAPH = re.compile(r"[^\n.!?]+[.!?]*")
@@ -40,14 +42,15 @@ PARAGRAPH = re.compile(r"[^\n.!?]+[.!?]*")
 def paragraph_digests(text: str) -> np.ndarray:
     """One 64-bit digest for each paragraph; the n-th occurrence of a paragraph has its own."""
     seen: dict[str, int] = {}
-    out = []
+    out, nth = [], []
     for sentence in PARAGRAPH.findall(text):
         words = sentence.split()
         for i in range(0, len(words), LONGEST):
             piece = " ".join(words[i : i + LONGEST])
             n = seen[piece] = seen.get(piece, -1) + 1
-            out.append(xxhash.xxh3_64_intdigest(piece.encode(), n))
-    return np.array(out, np.uint64)
+            out.append(xxhash.xxh3_64_intdigest(piece.encode()))
+            nth.append(n)
+    return mix(np.array(out, np.uint64) + mix(np.array(nth, np.uint64)))  # a seed would make short paragraphs collide
 
 
 def cells_of(keys: np.ndarray, m: int) -> np.ndarray:
@@ -124,6 +127,9 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np
         done = diff.empty()
         differ[open_] = np.bincount(docs, minlength=len(open_))
         open_, cells = open_[~done], cells * GROWTH
+        if cells > LARGEST:  # digests that meet in every cell can't be peeled apart: compare them one by one
+            differ[open_] = [len(np.setxor1d(a[i], b[i])) for i in open_]
+            break
     return np.where(sizes == 0, 1.0, (sizes - differ) / np.maximum(sizes + differ, 1))
 
 
