@@ -77,24 +77,35 @@ def thresholds(rows: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame
     return goals.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("below", F.coalesce("below", F.lit(1 << HASH_BITS)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row; taken is a multiple of size, up to ``most``."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    rows = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("h")), "sizes")
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("h"))
+
+
+def _goals(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(s, source_size, target, passes, below) of each source: whole passes, and the hash below which one more copy is taken."""
     goals = scratch.write(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     goals = scratch.write(thresholds(rows, goals, scratch), "thresholds")
-    g = goals.select(F.col("source").alias("s"), "source_size", "target", "passes", "below")
+    return goals.select(F.col("source").alias("s"), "source_size", "target", "passes", "below")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row; taken is a multiple of size, up to ``most``."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = scratch.write(_sized(docs, id_col, text_col, source_col), "sizes")
+    g = _goals(rows, scratch, weights, most)
     taken = F.col("size") * F.least(F.col("passes") + (F.col("h") < F.col("below")).cast("long"), F.lit(most))
     return rows.join(g, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it."""
-    times = mix(docs, id_col, text_col, source_col, **kw).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
-    columns = docs.columns
-    return docs.join(times, F.col(id_col) == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*columns)
+def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it; rows without tokens go. Texts stay where they are."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    g = _goals(scratch.write(_sized(docs, id_col, text_col, source_col), "sizes"), scratch, weights, most).toDF("__s", "__size", "__target", "__passes", "__below")
+    times = F.least(F.col("__passes") + (unit_hash(F.col(id_col)) < F.col("__below")).cast("long"), F.lit(most)).cast("int")
+    taken = docs.where(token_count(F.col(text_col)) > 0).join(g, F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__times", times).where("__times > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
 ORACLE = r"""

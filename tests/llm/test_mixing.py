@@ -70,3 +70,10 @@ def test_resample_repeats_rows(spark):
     assert out.columns == df.columns
     times = {r.doc_id: r.taken // r.size for r in mixing.mix(df).collect()}
     assert out.count() == sum(times.values())
+
+
+def test_resample_of_odd_rows(spark):
+    df = frame(spark, [(None, "a b", None), (1, "a", None), (1, "b c", None), (2, None, None), (3, "", None)])
+    out = mixing.resample(df).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "a b"), (1, "a"), (1, "b c")]
+    assert mixing.resample(df.limit(0)).count() == 0
