@@ -140,6 +140,13 @@ def test_vocabulary_join_has_two_ways(spark):
     assert [C.match_vocabulary(profiles, words, most).collect()[0].families for most in (10, 0)] == [["x", "y"]] * 2
 
 
+def test_vocabulary_join_has_two_ways_for_one_character(spark):
+    profiles = spark.createDataFrame([("a", "做茶的工厂"), ("b", "酒"), ("c", "none"), ("d", ""), ("e", None)], "list_id string, text string")
+    words = vocab.table(spark, (("tea", ("茶", "")), ("wine", ("酒", "白酒")), ("plant", ("工厂",)), ("x", ("x",))))
+    for most in (10, 0):
+        assert sorted((r.list_id, r.families) for r in C.match_vocabulary(profiles, words, most).collect()) == [("a", ["tea", "plant"]), ("b", ["wine"])]
+
+
 # Recall and enrichment
 
 
