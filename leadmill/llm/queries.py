@@ -73,8 +73,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0")
-    model = lmscore.fit(lmscore.with_flag(docs, good, "__good"), F.col("__good"))
-    return lmscore.score(docs, model)
+    return lmscore.score_whole(lmscore.with_flag(docs, good, "__good"), F.col("__good"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
