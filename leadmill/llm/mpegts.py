@@ -211,7 +211,7 @@ def digests(parsed: DataFrame) -> DataFrame:
         ";",
         *(F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit(""))) for name, value in (
             ("program", F.col("program")), ("pid", F.col("pid")), ("type", F.col("stream_type")), ("packets", F.col("packets")), ("lost", F.col("lost")),
-            ("units", F.size("pts")), ("first_pts", F.get("pts", F.lit(0))), ("last_pts", F.get("pts", F.size("pts") - 1)), ("access", F.array_join(F.slice(F.col("access").cast("array<string>"), 1, 8), ",")), ("access_points", F.size("access")),
+            ("units", F.size("pts")), ("first_pts", F.get("pts", F.lit(0))), ("last_pts", F.get("pts", F.size("pts") - 1)), ("pts", F.array_join(F.col("pts").cast("array<string>"), ",")), ("access", F.array_join(F.col("access").cast("array<string>"), ",")), ("access_points", F.size("access")),
         )),
     )
     return parsed.select(
