@@ -1,17 +1,23 @@
 """Line de-duplication by winnowing over line hashes.
 
-The lines of a text (blank ones left out) are hashed. A window is the shortest run from a line on that has
-``min_lines`` lines or ``min_words`` words, so it depends on its own lines alone. Each window selects its
-smallest line hash, the last on a tie, as fingerprint: equal windows anywhere select the same one, at the
-same offset. Fingerprints that occur at two positions or more are joined with the windows around them,
-which is the extension to both sides; a window whose lines also stand earlier (smaller id, or the same
-document further up) is a repeat, and the lines under repeats, merged into runs, are deleted. A fingerprint
-that occurs once, as most do, costs nothing further. A line that repeats in thousands of documents is only
-ever aggregated by key, never paired.
+A run of consecutive lines (blank ones left out) with ``min_lines`` lines or ``min_words`` words is a repeat
+when the same lines also stand earlier: in a document with a smaller id, or further up in the same one. All
+lines of repeats are deleted, so of a long passage that occurs twice the later one goes whole, to its last line.
+
+* The window at a line is the shortest such run that begins there. It selects its smallest line hash, the last
+  on a tie; equal windows anywhere select the same line. The selected lines are the fingerprints, a row each
+  with the lines around it; most are selected by several windows, and the other lines have no row.
+* Positions of one fingerprint meet by a join; a fingerprint with one position, as most are, ends there.
+* Each match is extended to both sides, line by line, as far as the lines around agree with an earlier position
+  of the same fingerprint. Every further line of a longer match lies around the next fingerprint of the same
+  match, so ``min_lines - 1`` lines each way are enough, and what was extended is a key that can be
+  aggregated: a line that repeats in thousands of documents is never paired with all its copies.
+* Lines under repeats are merged into maximal runs, which are cut from the text.
 
 Nulls: a null text stays null and an empty one empty. Rows with a null id are left as they are. Rows with
 one id and one text are the same document; rows with one id and different texts are told apart by a hash.
-Documents shorter than a window are left alone. All other columns are kept.
+Documents without a window are left alone. All other columns are kept, whatever their names. Work is linear
+in the lines of a text.
 """
 
 from __future__ import annotations
@@ -19,73 +25,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadmill.llm.columns import col, free
 from leadmill.llm.mixing import TOKEN
 from leadmill.llm.scratch import Scratch
 
 MIN_LINES, MIN_WORDS = 3, 50
+ADDED = ("__lines", "__removed", "__runs")
 
 
-def _sum_words(lines: int) -> str:
-    return " + ".join(f"lines[i + {k}].w" for k in range(lines))
+def _enough(n: int, words: list[str], min_lines: int, min_words: int) -> str:
+    return "true" if n == min_lines else f"{' + '.join(words)} >= {min_words}"
 
 
-def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs: (id, mark, text) to (id, mark, i, size, at, fingerprint, key), one row per window.
+def fingerprints(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs: (id, mark, text) to (id, mark, at, fingerprint, around), a row per selected line.
 
-    i counts the lines that aren't blank; the fingerprint is at line ``at``.
+    ``at`` counts the lines that aren't blank; ``around`` has hash h and words w of the lines from
+    ``min_lines - 1`` before it to as many after it, null beyond the ends of the text.
     """
     lines = F.expr(f"filter(transform(split(text, '\\n'), l -> struct(xxhash64(l) as h, regexp_count(l, r'{TOKEN}') as w)), x -> x.w > 0)")
-    size = "CASE " + " ".join(f"WHEN i + {k} <= size(lines) AND ({k} = {min_lines} OR {_sum_words(k)} >= {min_words}) THEN {k}" for k in range(1, min_lines + 1)) + " END"
+    # the smallest hash of the window, the last on a tie: its place is kept negative
+    least = lambda n: "array_min(array(" + ", ".join(f"struct(lines[i + {k}].h as h, -(i + {k}) as j)" for k in range(n)) + ")).j"
+    window = " ".join(f"WHEN i + {n} <= size(lines) AND {_enough(n, [f'lines[i + {k}].w' for k in range(n)], min_lines, min_words)} THEN -{least(n)}" for n in range(1, min_lines + 1))
     listed = docs.where("id is not null and text is not null").select("id", "mark", lines.alias("lines")).where("size(lines) > 0")
-    spans = listed.select("id", "mark", "lines", F.expr(f"filter(transform(sequence(0, size(lines) - 1), i -> struct(i, {size} as size)), x -> x.size is not null)").alias("spans"))
-    each = spans.select(
-        "id",
-        "mark",
-        F.explode(
-            F.expr("""transform(spans, s -> struct(s.i as i, s.size as size,
-                array_min(transform(sequence(s.i, s.i + s.size - 1), j -> struct(lines[j].h as h, -j as j))) as f,
-                xxhash64(transform(slice(lines, s.i + 1, s.size), x -> x.h)) as key))""")
-        ).alias("x"),
-    )
-    return each.select("id", "mark", "x.i", "x.size", F.expr("-x.f.j").alias("at"), F.col("x.f.h").alias("fingerprint"), "x.key")
+    picked = listed.select("id", "mark", "lines", F.expr(f"array_distinct(filter(transform(sequence(0, size(lines) - 1), i -> CASE {window} END), p -> p is not null))").alias("picked"))
+    far = min_lines - 1
+    around = ", ".join(f"get(lines, p + {k})" for k in range(-far, far + 1))
+    each = picked.select("id", "mark", F.explode(F.expr(f"transform(picked, p -> struct(p as at, lines[p].h as fingerprint, array({around}) as around))")).alias("x"))
+    return each.select("id", "mark", "x.*")
+
+
+def _extended(min_lines: int, min_words: int) -> str:
+    """Of a position: before, after and a hash of every run around it that is long enough, up to ``min_lines`` lines."""
+    far, runs = min_lines - 1, []
+    for before in range(min_lines):
+        for after in range(min_lines - before):
+            at = range(far - before, far + after + 1)
+            there = " AND ".join(f"around[{k}] is not null" for k in at)
+            run = f"struct({before} as before, {after} as after, xxhash64({', '.join(f'around[{k}].h' for k in at)}) as key)"
+            runs.append(f"CASE WHEN {there} AND {_enough(len(at), [f'around[{k}].w' for k in at], min_lines, min_words)} THEN {run} END")
+    return f"array_compact(array({', '.join(runs)}))"
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs: (id, mark, text) to (id, mark, gone): the numbers of the lines under repeated windows."""
+    """docs: (id, mark, text) to (id, mark, gone): the numbers of the lines in repeated runs, ascending."""
     scratch = Scratch(docs.sparkSession, "lines")
-    all_windows = scratch.write(windows(docs, min_lines, min_words), "windows")
-    place = F.struct("id", "mark", "at")
-    shared = all_windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fingerprint")
-    met = scratch.write(all_windows.join(shared, "fingerprint"), "met")
-    start = F.struct("id", "mark", "i")
-    first = met.groupBy("key").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first < last").select("key", "first")
-    first = scratch.write(first, "first")  # as a table of its own, so that the join can split a hot key
-    again = met.join(first, "key").where(start > F.col("first"))
-    under = again.select("id", "mark", F.explode(F.expr("sequence(i, i + size - 1)")).alias("line"))
+    selected = scratch.write(fingerprints(docs, min_lines, min_words), "fingerprints")
+    # sums by key are tables of their own, so that the joins with them can split a hot key
+    shared = scratch.write(selected.groupBy("fingerprint").agg(F.count("*").alias("c")).where("c > 1").select("fingerprint"), "shared")
+    met = selected.join(shared, "fingerprint").select("id", "mark", "at", "fingerprint", F.explode(F.expr(_extended(min_lines, min_words))).alias("x"))
+    met = scratch.write(met.select("id", "mark", (F.col("at") - F.col("x.before")).alias("i"), (F.col("x.before") + F.col("x.after") + 1).alias("n"), "fingerprint", "x.before", "x.key"), "extended")
+    start, same = F.struct("id", "mark", "i"), ["key", "fingerprint", "before"]
+    first = met.groupBy(*same).agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first < last").select(*same, "first")
+    again = met.join(scratch.write(first, "first"), same).where(start > F.col("first"))
+    under = again.select("id", "mark", F.explode(F.expr("sequence(i, i + n - 1)")).alias("line"))
     return under.groupBy("id", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
+def added(columns: list[str]) -> list[str]:
+    """The names of the three columns that ``dedup_lines`` adds to these: ``ADDED``, with underscores added where one is taken."""
+    return free(columns, *ADDED)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated runs cut from its text, and __lines, __removed, __runs (longs) added."""
+    """``docs`` with the repeated runs cut from its text, and three longs added (``added``): lines, removed lines, runs."""
     columns = docs.columns
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    gone = repeated_lines(picked, min_lines, min_words).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__mark")), "left")
-    text = F.col(text_col)
-    full = F.expr(f"transform(split({_q(text_col)}, '\\n'), l -> regexp_count(l, r'{TOKEN}') > 0)")
-    joined = joined.withColumn("__full", full).withColumn("__lines", F.coalesce(F.size(F.filter("__full", lambda x: x)), F.lit(0)).cast("long"))
-    # the k-th line that isn't blank has number k; kept are blank lines and those not under a repeat
-    joined = joined.withColumn("__places", F.expr("filter(transform(__full, (x, p) -> if(x, p, null)), p -> p is not null)"))
-    joined = joined.withColumn("__cut", F.expr("transform(__gone, g -> __places[g])"))
-    cut = F.expr(f"array_join(transform(array_except(sequence(0, size(__full) - 1), __cut), p -> split({_q(text_col)}, '\\n')[p]), '\\n')")
-    joined = joined.withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    joined = joined.withColumn("__runs", F.coalesce(F.size(F.expr("filter(__gone, g -> not array_contains(__gone, g - 1))")), F.lit(0)).cast("long"))
-    joined = joined.withColumn("__kept", F.when(F.col("__removed") > 0, cut).otherwise(text))
-    return joined.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in columns], "__lines", "__removed", "__runs")
-
-
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    names = added(columns)
+    ident, mark, gone, cut = free([*columns, *names], "__id", "__mark", "__gone", "__cut")
+    picked = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    found = repeated_lines(picked, min_lines, min_words).toDF(ident, mark, gone)
+    joined = docs.join(found, (col(id_col) == F.col(ident)) & (F.xxhash64(col(text_col)) == F.col(mark)), "left")
+
+    # each lambda binds its argument, so a text is split once; all lookups are by place or by hash
+    def kept(parts, full):
+        lost = F.transform(F.col(gone), lambda g: full[g])  # the k-th line that isn't blank has number k
+        places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost)
+        return F.when(F.col(gone).isNotNull(), F.array_join(F.transform(places, lambda p: parts[p]), "\n")).otherwise(col(text_col))
+
+    def read(parts):
+        full = F.filter(F.transform(parts, lambda x, p: F.when(F.regexp_like(x, F.lit(TOKEN)), p)), lambda p: p.isNotNull())
+        return F.transform(F.array(full), lambda f: F.struct(F.size(f).cast("long").alias("lines"), kept(parts, f).alias("text")))[0]
+
+    ends = F.size(F.array_except(F.col(gone), F.transform(F.col(gone), lambda g: g + 1)))
+    joined = joined.withColumn(cut, F.transform(F.array(F.split(col(text_col), "\n")), read)[0])
+    counts = (F.coalesce(F.col(cut)["lines"], F.lit(0)), F.coalesce(F.size(gone), F.lit(0)), F.coalesce(ends, F.lit(0)))
+    kept_columns = [F.col(cut)["text"].alias(c) if c == text_col else col(c) for c in columns]
+    return joined.select(*kept_columns, *(n.cast("long").alias(name) for n, name in zip(counts, names, strict=True)))
 
 
 ORACLE = r"""
@@ -93,10 +118,12 @@ WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generat
 counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM counted WHERE w > 0),
 near AS (SELECT *, lead(line) OVER d AS l1, lead(line, 2) OVER d AS l2, lead(w) OVER d AS w1 FROM numbered WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-win AS (SELECT *, CASE WHEN w >= 50 THEN 1 WHEN w + w1 >= 50 THEN 2 WHEN l2 IS NOT NULL THEN 3 END AS n FROM near),
-keyed AS (SELECT *, CASE n WHEN 1 THEN line WHEN 2 THEN line || chr(10) || l1 WHEN 3 THEN line || chr(10) || l1 || chr(10) || l2 END AS k FROM win),
-firsts AS (SELECT *, n IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM keyed),
-marked AS (SELECT *, again OR coalesce(lag(again AND n >= 2) OVER d, false) OR coalesce(lag(again AND n >= 3, 2) OVER d, false) AS gone FROM firsts WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+run AS (SELECT doc_id, i, 1 AS n, line AS k FROM near WHERE w >= 50
+  UNION ALL SELECT doc_id, i, 2, line || chr(10) || l1 FROM near WHERE w + w1 >= 50
+  UNION ALL SELECT doc_id, i, 3, line || chr(10) || l1 || chr(10) || l2 FROM near WHERE l2 IS NOT NULL),
+again AS (SELECT doc_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, i) AS nth FROM run) WHERE nth > 1),
+lost AS (SELECT DISTINCT doc_id, i + o AS i FROM again, range(3) t(o) WHERE o < n),
+marked AS (SELECT m.*, l.i IS NOT NULL AS gone FROM numbered m LEFT JOIN lost l ON l.doc_id = m.doc_id AND l.i = m.i),
 runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
 kept AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.pos) AS text FROM raw r LEFT JOIN runs m ON m.doc_id = r.doc_id AND m.pos = r.pos WHERE NOT coalesce(m.gone, false) GROUP BY r.doc_id),
 sums AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_runs FROM runs GROUP BY doc_id)
