@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.llm import langid, linededup, minhash, mixing, pieces
-from leadmill.llm.scratch import shared_dir
+from leadmill.llm.columns import col
+from leadmill.llm.scratch import delete, shared_dir, temporary
 
 #: The tokenizer's file, a name of the installed public tokenizers.
 TOKENIZER = "piece_bpe_32k.model"
@@ -27,7 +28,8 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that stand earlier in the corpus; one that had nothing else goes."""
     cut = linededup.dedup_lines(docs)
-    emptied = (F.col("__removed") > 0) & (F.col("__removed") == F.col("__lines"))
+    lines, removed, _ = map(col, linededup.added(docs.columns))
+    emptied = (removed > 0) & (removed == lines)
     return cut.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -61,12 +63,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. Only the last stage's table stays, in the shared folder; it is the caller's to delete."""
     import uuid
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    last = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if last:
+            delete(spark, last)
+        last = f"{root}/{name}"
     return docs

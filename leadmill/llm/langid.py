@@ -2,18 +2,24 @@
 
 Character n-grams of labelled texts give each word a score per language. The scripts of a word's letters
 narrow its candidates to languages that were seen in that script. Viterbi over the words of a text, with a
-penalty for each switch, labels spans; the language with most letters is the document's, and the score is
-the mean posterior of that language over the letters.
+penalty for each switch, labels spans; the language with most letters is the document's (of several with as
+many, the first by name), and the score is the mean posterior of that language over the letters. A document's
+familiarity is the share of its n-grams that the language's training documents have; it falls for languages
+that were never learned and for junk, whatever the number of languages.
+
+A letter is a character of Unicode category L; digits, other numbers and marks end a word.
 
 The model is fitted on at most about ``per_lang`` documents of each language, drawn by a hash of the id
 (a documented bound); every document is predicted. Nulls: a text that is null or has no letter is ``und``
 with score 0 and no spans. A table without labelled rows predicts ``und`` throughout. Rows map one to one;
-repeated and null ids are kept; other columns never reach the prediction.
+repeated and null ids are kept; other columns never reach the prediction. Whole texts are labelled, and a
+very long one takes some 50 bytes a word in its task.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from leadmill.llm.columns import col, free
+
 PER_LANG, SLOT_BITS, PENALTY, SMOOTHING = 2000, 17, 6.0, 0.5
 #: Texts at a time, and distinct words that a worker remembers before it starts afresh.
 BATCH, REMEMBERED = 1024, 250_000
@@ -35,7 +43,15 @@ SCRIPTS = (
 NAMES = sorted({s for s, _, _ in SCRIPTS}) + ["other"]
 _EDGES = sorted((a, b, NAMES.index(s)) for s, a, b in SCRIPTS)
 _STARTS, _ENDS, _KINDS = (np.array(x) for x in zip(*_EDGES, strict=True))
-WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits, such as fractions and letter numbers.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+
+
+def lowered(text: str) -> str:
+    """In lower case, with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -78,7 +94,7 @@ def _counted(langs: list[str], bits: int):
         for batch in (whole.slice(i, BATCH) for whole in batches for i in range(0, whole.num_rows, BATCH)):
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(WORD.findall(lowered(text)))
             for lang, words in seen.items():
                 if words:
                     times = np.array(list(words.values()), np.float64)
@@ -101,14 +117,19 @@ class Model:
         self.langs, self.bits, self.penalty = langs, bits, penalty
         own, scripts = counts[:, : 1 << bits], counts[:, 1 << bits :]
         self.logp = np.log((own + SMOOTHING) / (own.sum(axis=1, keepdims=True) + SMOOTHING * own.shape[1])).astype(np.float32).T.copy()
+        self.seen = (own > 0).T.copy()
         self.uses = scripts > 0.001 * scripts.sum(axis=1, keepdims=True)
         self.memo: dict[str, int] = {}
         self.table = np.empty((0, len(langs)), np.float32)
+        self.known = np.empty((0, len(langs) + 1), np.int32)
 
     def learn(self, words: list[str]) -> None:
-        """Give words that are new a row of ``table`` with their scores; a full memory starts afresh."""
+        """Give words that are new rows of ``table``, their scores, and ``known``, their n-grams seen by language and in all.
+
+        A full memory starts afresh.
+        """
         if len(self.memo) > REMEMBERED:
-            self.memo, self.table = {}, self.table[:0]
+            self.memo, self.table, self.known = {}, self.table[:0], self.known[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         if not new:
             return
@@ -120,9 +141,12 @@ class Model:
         score = np.where(fits[at], score, score.min(axis=1, keepdims=True) - 50)
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         self.table = np.concatenate([self.table, score.astype(np.float32)])
+        seen = self.seen[slots]
+        known = [np.bincount(owner[seen[:, k]], minlength=len(new)) for k in range(len(self.langs))] + [np.bincount(owner, minlength=len(new))]
+        self.known = np.concatenate([self.known, np.stack(known, axis=1).astype(np.int32)])
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": {}, "table": self.table[:0]}
+        return {**self.__dict__, "memo": {}, "table": self.table[:0], "known": self.known[:0]}
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -133,12 +157,13 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     n, k = scores.shape
-    back = np.empty((n, k), np.uint8)
-    label = np.empty(n, np.uint8)
-    own = np.arange(k, dtype=np.uint8)
+    kind = np.min_scalar_type(max(k - 1, 0))
+    back = np.empty((n, k), kind)
+    label = np.empty(n, kind)
+    own = np.arange(k, dtype=kind)
     best = scores[starts].astype(np.float64)
     active = len(starts)
-    final = np.zeros(len(starts), np.uint8)
+    final = np.zeros(len(starts), kind)
     longest = int(lengths[0]) if len(lengths) else 0
     ends = np.searchsorted(-lengths, -np.arange(longest + 1), "left")  # documents with more than t words
     for t in range(1, longest + 1):
@@ -149,7 +174,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
         if not active:
             break
         rows = starts[:active] + t
-        top = best.argmax(axis=1).astype(np.uint8)
+        top = best.argmax(axis=1).astype(kind)
         moved = best[np.arange(active), top][:, None] - penalty
         switch = moved > best
         back[rows] = np.where(switch, top[:, None], own)
@@ -167,28 +192,31 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
-def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, list[list[dict]]]:
-    """Language, score and spans of each text."""
+def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray, list[list[dict]]]:
+    """Language, score, familiarity and spans of each text."""
     k, langs = len(model.langs), [*model.langs, "und"]
     if not k:
-        return ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
     words: list[str] = []
     lengths = np.zeros(len(texts), np.int64)
     for d, text in enumerate(texts):
-        own = WORD.findall(text.lower()) if text else []
+        own = WORD.findall(lowered(text)) if text else []
         lengths[d] = len(own)
         words.extend(own)
     model.learn(words)
-    scores = model.table[np.array([model.memo[w] for w in words], np.int64)]
+    rows = np.array([model.memo[w] for w in words], np.int64)
+    scores = model.table[rows]
     letters = np.array(list(map(len, words)), np.int64)
     starts = np.cumsum(lengths) - lengths
     full = np.flatnonzero(lengths)
     labels = viterbi(scores, starts[full], lengths[full], model.penalty)
     doc = np.repeat(np.arange(len(texts)), lengths)
-    by = np.bincount(doc * k + labels, letters, len(texts) * k).reshape(-1, k)
+    by = np.bincount(doc * k + labels.astype(np.int64), letters, len(texts) * k).reshape(-1, k)
     best = np.where(lengths > 0, by.argmax(axis=1), k)
-    score = np.zeros(len(texts))
+    score, familiar = np.zeros(len(texts)), np.zeros(len(texts))
     if len(doc):
+        known = model.known[rows]
+        familiar = np.bincount(doc, known[np.arange(len(doc)), best[doc]], len(texts)) / np.maximum(np.bincount(doc, known[:, k], len(texts)), 1)
         e = np.exp(scores - scores.max(axis=1, keepdims=True))
         post = e[np.arange(len(doc)), best[doc]] / e.sum(axis=1)
         score = np.bincount(doc, post * letters, len(texts)) / np.maximum(np.bincount(doc, letters, len(texts)), 1)
@@ -201,27 +229,32 @@ def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
         elif not len(cuts):
             spans.append([{"begin": 0, "end": len(text), "lang": model.langs[own[0]]}])
         else:  # a span ends where the next one's first word begins
-            begins = [m.start() for m in WORD.finditer(text)]
-            at = [0, *(begins[c] if c < len(begins) else len(text) for c in cuts), len(text)]
+            begins = [m.start() for m in WORD.finditer(lowered(text))]
+            at = [0, *(begins[c] for c in cuts), len(text)]
             spans.append([{"begin": a, "end": b, "lang": model.langs[own[c]]} for a, b, c in zip(at, at[1:], [0, *cuts], strict=False)])
-    return [langs[b] for b in best], np.clip(score, 0, 1), spans
+    return [langs[b] for b in best], np.clip(score, 0, 1), familiar, spans
+
 
+#: What labelling adds to the columns of a frame.
+ADDED = ("__lang", "__score", "__familiar", "__spans")
+_KINDS_ADDED = ("string", "double", "double", "array<struct<begin: int, end: int, lang: string>>")
 
-def _labelled(shared, text_at: int, kept: list[int]):
+
+def _labelled(shared, text_at: int, kept: list[int], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                langs, score, spans = label(batch.column(text_at).to_pylist(), shared.value)
+                langs, score, familiar, spans = label(batch.column(text_at).to_pylist(), shared.value)
                 names = [batch.schema.names[i] for i in kept]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(score), pa.array(spans, SPANS)], [*names, "__lang", "__score", "__spans"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(score), pa.array(familiar), pa.array(spans, SPANS)], [*names, *added])
 
     return run
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, bits: int = SLOT_BITS, penalty: float = PENALTY) -> Model:
     """A model of the labelled rows whose id isn't held out, from about ``per_lang`` documents of each language at most."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     langs = sorted(sizes)
@@ -234,22 +267,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, counts, bits, penalty)
 
 
+def added(columns: list[str]) -> list[str]:
+    """The names of the columns that ``with_language`` adds to these: ``ADDED``, with underscores added where one is taken."""
+    return free(columns, *ADDED)
+
+
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lang, __score and __spans of (begin, end, lang) in characters; rows stay where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = StructType([*docs.schema.fields, *StructType.fromDDL("__lang string, __score double, __spans array<struct<begin: int, end: int, lang: string>>").fields])
-    return docs.mapInArrow(_labelled(shared, docs.columns.index(text_col), list(range(len(docs.columns)))), kind)
+    """``docs`` with language, score, familiarity and spans of (begin, end, lang) in characters added (``added``); rows stay where they are."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), added(docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots don't reach Python workers
+    new = [f"n{i}" for i in range(len(names))]
+    kind = StructType([*plain.schema.fields, *StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(new, _KINDS_ADDED, strict=True))).fields])
+    return plain.mapInArrow(_labelled(shared, docs.columns.index(text_col), list(range(len(docs.columns))), new), kind).toDF(*docs.columns, *names)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, spans of (begin, end, lang) in characters)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = picked.mapInArrow(_labelled(shared, 1, [0]), "doc_id long, __lang string, __score double, __spans array<struct<begin: int, end: int, lang: string>>")
-    return out.toDF("doc_id", "lang_pred", "score", "spans")
+    """(doc_id, lang_pred, score, familiar, spans of (begin, end, lang) in characters)."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), ["lang_pred", "score", "familiar", "spans"]
+    picked = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    return picked.mapInArrow(_labelled(shared, 1, [0], names), "doc_id long, " + ", ".join(f"{n} {k}" for n, k in zip(names, _KINDS_ADDED, strict=True)))
+
+
+#: Least score and familiarity of a recognised language. Held-out clean documents have a familiarity over 0.9.
+LEAST_SCORE, LEAST_FAMILIAR = 0.3, 0.5
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a recognised language; ``und`` and scores under ``least`` go."""
-    known = with_language(docs, model, text_col).where((F.col("__lang") != "und") & (F.col("__score") >= least))
-    return known.select(*docs.columns)
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE, familiar: float = LEAST_FAMILIAR) -> DataFrame:
+    """The rows of ``docs`` with a recognised language; ``und``, low scores and texts of unfamiliar n-grams go."""
+    lang, score, share, _ = map(col, added(docs.columns))
+    known = with_language(docs, model, text_col).where((lang != "und") & (score >= least) & (share >= familiar))
+    return known.select(*map(col, docs.columns))

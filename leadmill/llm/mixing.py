@@ -7,7 +7,9 @@ buckets are summed again at a finer grain until they hold one hash value. Nothin
 budgets take supersets of smaller ones.
 
 Nulls: a null text has size 0; null sources form one source, last in order; rows with a null id hash alike.
-Rows that repeat an id share their decision. Empty tables give empty results; other columns are ignored.
+Rows that repeat an id share their decision. Empty tables give empty results; other columns are ignored, and
+``resample`` keeps them, whatever their names. Very long texts count like any other. Budgets are windows over
+one row per source: made for sources by the thousand, not for a source per host.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.llm.columns import col, free
 from leadmill.llm.scratch import Scratch
 
 #: A token is a run of characters other than ASCII white space.
@@ -78,7 +81,7 @@ def thresholds(rows: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("h"))
+    return docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), token_count(col(text_col)).alias("size"), unit_hash(col(id_col)).alias("h"))
 
 
 def _goals(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -102,10 +105,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it; rows without tokens go. Texts stay where they are."""
     scratch = Scratch(docs.sparkSession, "mix")
-    g = _goals(scratch.write(_sized(docs, id_col, text_col, source_col), "sizes"), scratch, weights, most).toDF("__s", "__size", "__target", "__passes", "__below")
-    times = F.least(F.col("__passes") + (unit_hash(F.col(id_col)) < F.col("__below")).cast("long"), F.lit(most)).cast("int")
-    taken = docs.where(token_count(F.col(text_col)) > 0).join(g, F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__times", times).where("__times > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    own, passes, below, n, copy = free(docs.columns, "__source", "__passes", "__below", "__times", "__copy")
+    g = _goals(scratch.write(_sized(docs, id_col, text_col, source_col), "sizes"), scratch, weights, most).select(F.col("s").alias(own), F.col("passes").alias(passes), F.col("below").alias(below))
+    times = F.least(F.col(passes) + (unit_hash(col(id_col)) < F.col(below)).cast("long"), F.lit(most)).cast("int")
+    taken = docs.where(token_count(col(text_col)) > 0).join(g, col(source_col).eqNullSafe(F.col(own))).withColumn(n, times).where(F.col(n) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*map(col, docs.columns))
 
 
 ORACLE = r"""

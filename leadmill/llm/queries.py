@@ -29,12 +29,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = linededup.dedup_lines(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
+    cut = linededup.dedup_lines(docs)
     return cut.select(
         "doc_id",
-        F.col("__lines").alias("n_lines"),
-        F.col("__removed").alias("n_removed"),
-        F.col("__runs").alias("n_runs"),
+        *(F.col(c).alias(name) for c, name in zip(linededup.added(docs.columns), ("n_lines", "n_removed", "n_runs"), strict=True)),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
@@ -62,7 +61,8 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     found = langid.predict(docs, langid.fit(docs))
-    return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"], s["end"], s["lang"])), ",")
+    return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "familiar", F.size("spans").alias("n_spans"), spans.alias("spans"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -49,6 +50,53 @@ def test_mixed_text_gives_spans(spark):
     assert text[r.spans[1].begin : r.spans[1].end].startswith("strength") and r.spans[0].begin == 0 and r.spans[-1].end == len(text)
 
 
+def test_letters_are_of_category_l(spark):
+    texts = ["½ ² ①", "Ⅻ ⅔", "٣٤", "", "´`", "x²", "一二三"]
+    out = langid.predict(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), langid.fit(frame(spark, corpus()))).collect()
+    und = {r.doc_id for r in out if r.lang_pred == "und"}
+    assert und == {i for i, t in enumerate(texts) if not any(unicodedata.category(c)[0] == "L" for c in t)} == {0, 1, 2, 3, 4}
+
+
+def test_places_hold_where_lower_case_is_longer(spark):
+    text = "İİİ banana İnanas kanada alabama banana. strength rhythm schmuck twelfth rhythm! привет мир слово"
+    r = langid.predict(frame(spark, [(1, text, None)]), langid.fit(frame(spark, corpus()))).first()
+    parts = {s.lang: text[s.begin : s.end] for s in r.spans}
+    assert "".join(text[s.begin : s.end] for s in r.spans) == text and parts["bb"].startswith("strength") and parts["ru"].startswith("привет")
+
+
+def test_three_hundred_languages():
+    rng = random.Random(1)
+    langs = [f"l{i:03}" for i in range(300)]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(4)] for x in langs}
+    counts = np.zeros((300, (1 << 17) + len(langid.NAMES)), np.int64)
+    for i, x in enumerate(langs):
+        slots, _, _ = langid.grams(words[x])
+        np.add.at(counts[i], slots, 5)
+        counts[i, (1 << 17) + langid.NAMES.index("latin")] = 9
+    model = langid.Model(langs, counts, 17)
+    found, _, familiar, spans = langid.label([" ".join(words[x]) for x in langs], model)
+    assert found == langs and (familiar > 0.99).all() and {s[0]["lang"] for s in spans} == set(langs)
+
+
+def test_tie_goes_to_the_first_by_name():
+    counts = np.ones((2, (1 << 17) + len(langid.NAMES)), np.int64)
+    assert langid.label(["some words"], langid.Model(["aa", "bb"], counts, 17))[0] == ["aa"]
+
+
+def test_unknown_languages_and_junk_go(spark):
+    rows = corpus() + [(600, "щи да каша пища наша едим ложкой", None), (601, "xqzj wkvv qqpz jjkx zzvq wxkj", None), (602, "ελληνικά γράμματα εδώ", None)]
+    kept = {r.doc_id for r in langid.keep_known(frame(spark, rows), langid.fit(frame(spark, corpus()))).collect()}
+    assert kept == set(range(240))
+
+
+def test_clashing_names(spark):
+    names = ["__lang", "__SCORE", "__spans", "__familiar", "__lang_", "a.b"]
+    df = spark.createDataFrame([(1, "banana kanada", *range(len(names))), (2, "...", *range(len(names)))], ["doc_id", "text", *names])
+    model = langid.fit(frame(spark, corpus()))
+    assert langid.with_language(df, model).columns == [*df.columns, *langid.added(df.columns)]
+    assert [tuple(r) for r in langid.keep_known(df, model).collect()] == [(1, "banana kanada", *range(len(names)))]
+
+
 def test_no_labels_and_empty(spark):
     df = frame(spark, [(1, "banana", None)])
     assert [r.lang_pred for r in langid.predict(df, langid.fit(df)).collect()] == ["und"]

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,17 @@ def test_odd_rows(spark):
     assert out == [(False, 1, 1, True), (False, 1, 1, True), (False, 5, 5, True), (False, 6, 5, False), (True, 0, None, True), (True, 0, None, True)]
 
 
+def test_clashing_names(spark):
+    names = ["__lost", "__LOST_", "id", "digest", "a.b"]
+    df = spark.createDataFrame([(i, "a b c d e f g", *range(len(names))) for i in (1, 2)], ["doc_id", "text", *names])
+    assert [tuple(r) for r in minhash.keep_one_each(df).collect()] == [(1, "a b c d e f g", *range(len(names)))]
+
+
+def test_levels_keep_the_order_of_counts():
+    n = np.array([1, 2, 3, 254, 300, 5000, 10**6, 10**9])
+    assert (np.diff(minhash.level_of(n).astype(int)) > 0).all() and minhash.level_of(np.array([1]))[0] == 1
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(df).count() == 0

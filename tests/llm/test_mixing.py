@@ -72,6 +72,13 @@ def test_resample_repeats_rows(spark):
     assert out.count() == sum(times.values())
 
 
+def test_clashing_names(spark):
+    names = ["__source", "__s", "__PASSES", "__below", "__times", "__copy", "__copy_", "h", "size", "a.b"]
+    df = spark.createDataFrame([(i, "w w", "a", *range(len(names))) for i in range(6)], ["doc_id", "text", "source", *names])
+    out = mixing.resample(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == {(i, "w w", "a", *range(len(names))) for i in range(6)}
+
+
 def test_resample_of_odd_rows(spark):
     df = frame(spark, [(None, "a b", None), (1, "a", None), (1, "b c", None), (2, None, None), (3, "", None)])
     out = mixing.resample(df).collect()
