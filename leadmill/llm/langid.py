@@ -288,7 +288,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return picked.mapInArrow(_labelled(shared, 1, [0], names), "doc_id long, " + ", ".join(f"{n} {k}" for n, k in zip(names, _KINDS_ADDED, strict=True)))
 
 
-#: Least score and familiarity of a recognised language. Held-out clean documents have a familiarity over 0.9.
+#: Least score and familiarity of a recognised language. The least familiar clean document of 50,000 had 0.79.
 LEAST_SCORE, LEAST_FAMILIAR = 0.3, 0.5
 
 

@@ -2,11 +2,13 @@
 
 ``mux`` stores a payload as an elementary stream of 188-byte packets under one program; ``demux`` parses
 the program tables, checks continuity counters, reassembles the elementary packets and returns the payload
-with its timestamps and random-access points. It reads any stream whose tables are intact, with lost
-packets counted; both are row-local, so no data move between tasks.
+with its timestamps and random-access points. It reads streams with several programs and streams, sections
+over several packets, duplicate packets, announced discontinuities and elementary packets of stated or open
+length; missing packets are counted. Both are row-local, so no data move between tasks.
 
 Nulls: a null text is empty, and its payload is one unit of blanks; null media give a null payload with no
-program. Rows map one to one, with null and repeated ids; other columns are dropped.
+program. Rows map one to one, with null and repeated ids; other columns are dropped. A very long text is one
+stream in one task, which holds it about eight times.
 """
 
 from __future__ import annotations
@@ -108,62 +110,123 @@ def mux(payload: bytes) -> bytes:
     return _table_packet(0, 0) + _table_packet(PMT_PID, 0) + out.tobytes()
 
 
-def _tables(packets: np.ndarray, pids: np.ndarray, pid: int, table: int) -> bytes | None:
-    """The body of the first intact section of a table."""
-    for row in packets[(pids == pid) & (packets[:, 1] & 0x40 > 0)]:
-        at = 4 + (int(row[4]) + 1 if row[3] & 0x20 else 0)
-        at += 1 + int(row[at]) if at < PACKET else 0
-        section = row[at:].tobytes()
-        size = 3 + (int.from_bytes(section[1:3], "big") & 0xFFF) if len(section) > 8 else 0
-        if section[:1] == bytes([table]) and 12 <= size <= len(section) and crc_mpeg(section[: size - 4]) == int.from_bytes(section[size - 4 : size], "big"):
-            return section[8 : size - 4]
-    return None
-
-
-def demux(media: bytes) -> dict:
-    """Payload, presentation times, random-access packets, and what the tables and counters say."""
-    empty = {"payload": None, "pts": [], "access": [], "lost": 0, "packets": len(media) // PACKET, "program": None, "pid": None, "stream_type": None}
+def _sections(packets: np.ndarray, pids: np.ndarray, pid: int, table: int) -> list[bytes]:
+    """The bodies of the intact sections of a table, in order; a section may fill several packets.
+
+    A damaged section, one with a packet missing, and one not in force yet are left out.
+    """
+    out, section, last = [], b"", None
+
+    def close() -> None:
+        nonlocal section
+        while len(section) >= 3 and section[0] != 0xFF:
+            size = 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)
+            if size > len(section):
+                return
+            whole, section = section[:size], section[size:]
+            if whole[0] == table and size >= 12 and whole[5] & 1 and crc_mpeg(whole[:-4]) == int.from_bytes(whole[-4:], "big"):
+                out.append(whole[8:-4])
+
+    for row in packets[(pids == pid) & (packets[:, 3] & 0x10 > 0)]:
+        counter = int(row[3]) & 15
+        if last is not None and counter == last:
+            continue  # a duplicate
+        if last is not None and counter != (last + 1) % 16:
+            section = b""
+        last = counter
+        data = row[4 + (int(row[4]) + 1 if row[3] & 0x20 else 0) :].tobytes()
+        if row[1] & 0x40 and data:
+            rest, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            section = section + rest if section else b""
+            close()
+            section = data
+        elif section:
+            section += data
+        close()
+    return out
+
+
+def streams_of(pmt: bytes) -> list[tuple[int, int]]:
+    """(stream type, PID) of the elementary streams of a program map."""
+    out, i = [], 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
+    while i + 5 <= len(pmt):
+        out.append((pmt[i], int.from_bytes(pmt[i + 1 : i + 3], "big") & 0x1FFF))
+        i += 5 + (int.from_bytes(pmt[i + 3 : i + 5], "big") & 0xFFF)
+    return out
+
+
+def demux(media: bytes, pid: int | None = None) -> dict:
+    """Payload, presentation times, random-access packets, and what the tables and counters say.
+
+    Of the first program that has an elementary stream, its first one, or that with the given PID; ``streams``
+    lists all of that program. ``lost`` is the number of packets that the counters miss.
+    """
+    empty = {"payload": None, "pts": [], "access": [], "lost": 0, "duplicates": 0, "packets": len(media) // PACKET, "program": None, "pid": None, "stream_type": None, "streams": []}
     packets = np.frombuffer(media, np.uint8, len(media) // PACKET * PACKET).reshape(-1, PACKET)
     if not len(packets) or (packets[:, 0] != 0x47).any():
         return empty
     pids = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
-    pat = _tables(packets, pids, 0, 0)
-    programs = [(int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF) for i in range(0, len(pat or b"") - 3, 4)]
-    for program, at in programs:
-        pmt = _tables(packets, pids, at, 2) if program else None
-        if pmt is None:
-            continue
-        i = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
-        if i + 5 > len(pmt):
-            continue
-        return empty | {"program": program, "stream_type": pmt[i], "pid": (pid := int.from_bytes(pmt[i + 1 : i + 3], "big") & 0x1FFF)} | _elementary(packets, np.flatnonzero(pids == pid))
+    for pat in _sections(packets, pids, 0, 0):
+        for i in range(0, len(pat) - 3, 4):
+            program, at = int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF
+            for pmt in _sections(packets, pids, at, 2) if program else ():
+                streams = streams_of(pmt)
+                kind, own = next(((k, p) for k, p in streams if pid in (None, p)), (None, None))
+                if own is not None:
+                    told = {"program": program, "stream_type": kind, "pid": own, "streams": [f"{p}:{k}" for k, p in streams]}
+                    return empty | told | _elementary(packets, np.flatnonzero(pids == own))
     return empty
 
 
+def _unrepeated(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which packets are no duplicates: a packet may be sent twice with one counter, only its clock reference differs."""
+    payload = own[:, 3] & 0x10 > 0
+    fresh = np.ones(len(own), bool)
+    at = np.flatnonzero(payload)
+    if len(at) > 1:
+        a, b = own[at[:-1]], own[at[1:]]
+        same = ((a[:, 3] & 15) == (b[:, 3] & 15)) & (a[:, 1] == b[:, 1]) & (starts[at[:-1]] == starts[at[1:]])
+        k = np.flatnonzero(same)
+        inside = np.arange(PACKET) >= starts[at[k]][:, None]
+        same[k] = ((a[k] == b[k]) | ~inside).all(axis=1)
+        for i in np.flatnonzero(same):  # few; the second of three is a duplicate, the third is not
+            fresh[at[i + 1]] = not fresh[at[i]]
+    return fresh
+
+
 def _elementary(packets: np.ndarray, places: np.ndarray) -> dict:
     own = packets[places]
     adapted = own[:, 3] & 0x20 > 0
     starts = np.minimum(4 + np.where(adapted, own[:, 4].astype(np.int64) + 1, 0), PACKET)
     starts = np.where(own[:, 3] & 0x10 > 0, starts, PACKET)
-    counters = own[own[:, 3] & 0x10 > 0, 3] & 15
-    lost = int((((counters[1:].astype(int) - counters[:-1]) % 16) != 1).sum())
-    access = places[adapted & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)]
+    fresh = _unrepeated(own, starts)
+    duplicates = int((~fresh).sum())
+    own, places, adapted, starts = own[fresh], places[fresh], adapted[fresh], starts[fresh]
+    flagged = adapted & (own[:, 4] > 0)
+    counted = own[:, 3] & 0x10 > 0
+    steps = (np.diff(own[counted, 3].astype(int) & 15) - 1) % 16
+    told = (flagged & (own[:, 5] & 0x80 > 0))[counted][1:]  # an announced discontinuity loses nothing
+    lost = int(steps[~told].sum())
+    access = places[flagged & (own[:, 5] & 0x40 > 0)]
     mask = np.arange(PACKET) >= starts[:, None]
     data = own[mask]
     offsets = np.concatenate([[0], np.cumsum(PACKET - starts)])
     heads = offsets[:-1][(own[:, 1] & 0x40 > 0) & (offsets[:-1] + 9 <= len(data))]
-    pts, keep = [], np.ones(len(data), bool)
-    if len(heads):
-        keep[: heads[0]] = False
-    width = 9 + data[heads + 8].astype(np.int64) if len(heads) else np.empty(0, np.int64)
-    stamped = heads[(data[heads + 7] & 0x80 > 0) & (heads + 14 <= len(data))] if len(heads) else heads
-    b = data[stamped[:, None] + np.arange(9, 14)].astype(np.int64) if len(stamped) else np.empty((0, 5), np.int64)
+    n = len(data)
+    at = lambda k: data[heads + k].astype(np.int64)
+    size = at(4) << 8 | at(5)
+    width = 9 + at(8)
+    stamped = heads[(at(7) & 0x80 > 0) & (heads + 14 <= n)]
+    b = data[stamped[:, None] + np.arange(9, 14)].astype(np.int64)
     pts = (b[:, 0] >> 1 & 7) << 30 | b[:, 1] << 22 | b[:, 2] >> 1 << 15 | b[:, 3] << 7 | b[:, 4] >> 1
-    edge = np.zeros(len(data) + 1, np.int64)
-    np.add.at(edge, heads, 1)
-    np.add.at(edge, np.minimum(heads + width, len(data)), -1)
-    keep &= np.cumsum(edge[:-1]) == 0
-    return {"payload": data[keep].tobytes(), "pts": pts.tolist(), "access": access.tolist(), "lost": lost}
+    # the payload of a packet is what lies between its header and its stated length, or the next packet
+    ends = np.append(heads[1:], n)
+    ends = np.where(size > 0, np.minimum(heads + 6 + size, ends), ends)
+    begins = np.minimum(heads + width, ends)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, begins, 1)
+    np.add.at(edge, ends, -1)
+    return {"payload": data[np.cumsum(edge[:-1]) > 0].tobytes(), "pts": pts.tolist(), "access": access.tolist(), "lost": lost, "duplicates": duplicates}
 
 
 def payload_of(text: str | None) -> bytes:
@@ -180,11 +243,11 @@ def _muxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
 
-_FIELDS = "payload binary, pts array<long>, access array<int>, lost int, packets int, program int, pid int, stream_type int"
+_FIELDS = "payload binary, pts array<long>, access array<int>, lost int, duplicates int, packets int, program int, pid int, stream_type int, streams array<string>"
 
 
 def _demuxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"payload": pa.binary(), "pts": pa.list_(pa.int64()), "access": pa.list_(pa.int32())}
+    kinds = {"payload": pa.binary(), "pts": pa.list_(pa.int64()), "access": pa.list_(pa.int32()), "streams": pa.list_(pa.string())}
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
@@ -210,7 +273,7 @@ def digests(parsed: DataFrame) -> DataFrame:
     feature = F.concat_ws(
         ";",
         *(F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit(""))) for name, value in (
-            ("program", F.col("program")), ("pid", F.col("pid")), ("type", F.col("stream_type")), ("packets", F.col("packets")), ("lost", F.col("lost")),
+            ("program", F.col("program")), ("pid", F.col("pid")), ("type", F.col("stream_type")), ("streams", F.array_join("streams", ",")), ("packets", F.col("packets")), ("lost", F.col("lost")), ("duplicates", F.col("duplicates")),
             ("units", F.size("pts")), ("first_pts", F.get("pts", F.lit(0))), ("last_pts", F.get("pts", F.size("pts") - 1)), ("pts", F.array_join(F.col("pts").cast("array<string>"), ",")), ("access", F.array_join(F.col("access").cast("array<string>"), ",")), ("access_points", F.size("access")),
         )),
     )
