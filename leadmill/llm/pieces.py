@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+#: Distinct words, and characters of them, that a worker remembers before it starts afresh.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 8_000_000
 
 
 class CharMap:
@@ -131,6 +131,7 @@ class Codec:
         self.by_word = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap and not across and self.fallback
         self.alone = self.library.piece_to_id(SPACE)
         self.memo: dict[str, list[int]] = {}
+        self.held = 0
 
     def _word(self, word: str) -> list[int]:
         if word == SPACE:
@@ -139,9 +140,11 @@ class Codec:
             ids = self.library.encode(word)[1:]
         else:
             ids = self.library.encode(word[1:].replace(SPACE, " "))
-        if len(self.memo) >= REMEMBERED:
+        if len(self.memo) >= REMEMBERED or self.held >= REMEMBERED_CHARS:
             self.memo.clear()
+            self.held = 0
         self.memo[word] = ids
+        self.held += len(word)
         return ids
 
     def encode(self, text: str) -> list[int]:

@@ -3,16 +3,19 @@
 A paragraph's digest is added to three cells of a sketch (count, xor of digests, xor of checks). Two
 sketches subtract cell by cell; peeling cells that hold one digest recovers the paragraphs that differ, and
 likeness is the Jaccard similarity of the paragraph multisets. If peeling gets stuck, both sketches are
-made again four times larger, until it succeeds. A paragraph is a sentence or
-a line, cut after every twelfth word.
+made again four times larger, until it succeeds; beyond ``LARGEST`` cells, which only a difference of millions of
+paragraphs needs, the two lists are compared directly, with the same result. A paragraph is a sentence or a
+line, cut after every twelfth word; marks without words are one too, white space alone is none.
 
 ``compare_with_next`` pairs each document with the next one by descending id. Documents are dealt to
 ranges of ids; the first of each range is also sent to the range before it, so each text moves once and no
 task sees more than its range.
 
-Nulls: a null text is empty; equal texts have equal fingerprints; two empty texts have likeness 1. Rows
-with a null id come last in the order, rows with one id in the order of a hash of their text. A table of
-one row is its own neighbour. Other columns are ignored.
+Nulls: a null text is empty; equal texts have equal fingerprints; two texts without paragraphs (empty or
+blank) have likeness 1, one against any other 0. Rows with a null id come last in the order, rows with one id
+in the order of a hash of their text; such rows are read by one task, which keeps 256 of them at a time. A
+table of one row is its own neighbour. Other columns are ignored. A very long text is held by one task, with
+40 bytes a paragraph.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ CELLS, GROWTH, HASHES = 24, 4, 3
 LARGEST = 1 << 21
 #: Words of a paragraph at most; longer ones are cut.
 LONGEST = 12
-PARAGRAPH = re.compile(r"[^\n.!?]+[.!?]*")
+PARAGRAPH = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 
 
 def paragraph_digests(text: str) -> np.ndarray:

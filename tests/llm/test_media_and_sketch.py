@@ -103,6 +103,28 @@ def test_next_documents(spark, n, parts):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_marks_alone_are_paragraphs():
+    lists = [sketch.paragraph_digests(t) for t in ("", "...", "!!!", " \n ", "... a.", "a. ...")]
+    assert [len(x) for x in lists] == [0, 1, 1, 0, 2, 2]
+    assert sketch.likeness([lists[0], lists[0], lists[1], lists[1]], [lists[1], lists[3], lists[2], lists[1]]).tolist() == [0.0, 1.0, 0.0, 1.0]
+
+
+def test_direct_comparison_gives_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [lists(rng, n) for n in (10, 300, 2000)]
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    peeled = sketch.likeness(a, b)
+    monkeypatch.setattr(sketch, "LARGEST", 8)
+    assert (sketch.likeness(a, b) == peeled).all()
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    text = "a line of words. " * 200_000
+    df = spark.createDataFrame([(1, text, 0, "r", 0), (2, text[:-40] + "other end.", 0, "r", 0)], "doc_id long, text string, place int, range string, head int")
+    rows = {r.doc_id: r for r in sketch.compare_with_next(df).collect()}
+    assert rows[2].n_chars == len(text) - 30 and 0.99 < rows[2].near_next < 1
+
+
 def test_ties_and_empty(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, None)], "doc_id long, text string")
     out = sketch.compare_with_next(df).collect()

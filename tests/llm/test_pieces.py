@@ -1,6 +1,9 @@
+import random
+
 import public_tokenizers
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 
 from leadmill.llm import pieces
 
@@ -84,6 +87,33 @@ def test_longest_prefix_wins_and_keeps_offsets():
     assert spans[5] == (4, 5) and spans[6] == (5, 7)
 
 
+def test_walk_equals_the_library_on_its_own_map():
+    """The library's built-in NFKC map: texts and offsets, over all its sources and random mixtures."""
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    assert len(proto.normalizer_spec.precompiled_charsmap) > 100_000
+    own = pieces.Normalizer(proto.normalizer_spec)
+    rng = random.Random(2)
+    sources = [chr(c) for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000] + ["ﬁ", "①", "ｱﾞ", "が", "e\u0301", "각", "  ", "\u3000", "\u00a0", "①②"]
+    texts = [*sources, *("".join(rng.choice(sources) for _ in range(rng.randint(1, 30))) for _ in range(500))]
+    for text in texts:
+        normal, offsets = library.normalize(text, with_offsets=True)
+        out, begin, _ = own(text)
+        assert out.decode() == normal, text
+        # the library's offsets are of characters: where the source of each normalised character begins
+        starts = [k for k, b in enumerate(out) if b & 0xC0 != 0x80]
+        assert [len(text.encode()[: begin[k]].decode()) for k in starts] == list(offsets[: len(starts)]), text
+
+
+def test_memory_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED_CHARS", 5000)
+    codec = pieces.Codec(MODEL)
+    for i in range(100):
+        codec.encode(f"{i:04}" + "x" * 400)
+    assert codec.held <= 5500 and len(codec.memo) <= 14
+
+
 def test_identity_walk_equals_fast_path():
     class Plain(Spec):
         remove_extra_whitespaces = False
