@@ -5,22 +5,30 @@ smaller id, or further up in the same one.
 
 Suffixes that matter are those with ``length`` bytes ahead. Winnowing groups them: each one points to the
 smallest hash of a ``gram``-byte string in its first ``length`` bytes, the last on a tie, and neighbouring
-suffixes that point to one place form a group, about one per 19 bytes of text. A suffix array here keeps one
-entry per group: its first eight bytes, in whose order it is sorted, and a hash of all that the group's
-strings cover. Groups whose smallest hash occurs once in the corpus match nothing and stay out; a bitmap of
-the others filters them in the tasks while it is at most ``BITMAP`` bytes, and a join does beyond. Documents come in batches by ascending id. A batch's groups are sorted into an array,
-merge-scanned against all levels for groups they have already, and the rest becomes a level; levels of one
-size are merged into one twice as large. In the end the levels hold the first occurrence of each group.
+suffixes that point to one place form a group, about one per 19 bytes of text. A suffix array here is sparse:
+one entry per group, in the order of its first eight bytes, then of a 128-bit hash of all that the group's
+strings cover. Groups and strings are equal when those bytes and hashes are.
+
+Documents come in batches by ascending id. A batch's distinct entries are dealt to ranges of the suffix order
+and sorted; ``merge_scan`` runs over them and the entries of all levels side by side, in that order, and what
+no level has becomes a level of its own. Levels of as many batches are merged into one of twice as many. The
+levels hold the first occurrence of every group.
 
 * A group that occurred before is a match of full length: all its strings are repeats.
 * The ends of matches are groups that are new although their smallest hash is shared with another group.
-  Only there are strings compared one by one, by hash and first position.
+  Only there are strings compared one by one, by 128-bit hash and first position.
+
+``dedup_substrings`` knows the whole corpus, so groups whose smallest hash occurs once in it stay out of the
+index; a bitmap of the others filters them in the tasks while it is at most ``BITMAP`` bytes, and a join does
+beyond. A ``SuffixIndex`` keeps its levels in a folder, with every group, and takes further batches in later
+sessions.
 
-Every step aggregates by key with map-side combination and joins, so a passage in a third of all documents
-is never paired with itself. Strings are compared by 64-bit hashes.
+Every step aggregates by key with map-side combination before rows are dealt, so a passage in a third of all
+documents is never paired with itself and is one row of a range. Texts longer than ``CHUNK`` are read in
+pieces that overlap by a string; a group that a piece's end cuts is an end of a match like any other.
 
 Nulls: a null text is empty; rows with a null id are never cut and cut nothing. Ids should be unique: rows
-with one id share what is removed from any of them. Other columns are ignored.
+with one id share what is removed from any of them. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,33 +37,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm.scratch import Scratch
+from leadmill.llm.columns import col
+from leadmill.llm.scratch import Scratch, delete
 from leadmill.llm.words import mix
 
 LENGTH, GRAM, BATCHES = 100, 64, 3
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Base and bytes of the second hash, which makes 128 bits of the first.
+_BASE2, _BYTE2 = np.uint64(0x94D049BB133111EB), mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 #: Bytes that the bitmap of shared anchors may have, and bits for each of them.
 BITMAP, BITS_EACH = 1 << 26, 16
 BLOCK = 4096
-#: Bytes of text that are hashed at once.
+#: Bytes of text that are hashed at once; rows, and bytes of them, that a task turns into one batch.
 CHUNK = 1 << 20
+ROWS, BYTES = 512, 1 << 25
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_BASE), n, 1 << 64))
-
-
-def rolling(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+def rolling(data: np.ndarray, sizes: tuple[int, ...], base: np.uint64 = _BASE, bytes_: np.ndarray = _BYTE) -> list[np.ndarray]:
     """Polynomial hashes of the strings of each size at every position, by doubling."""
-    doubled = {1: _BYTE[data]}
+    power = lambda n: np.uint64(pow(int(base), n, 1 << 64))
+    doubled = {1: bytes_[data]}
     k = 1
     while 2 * k <= max(sizes) and len(doubled[k]) > k:
         h = doubled[k]
-        doubled[2 * k] = h[:-k] * _power(k) + h[k:]
+        doubled[2 * k] = h[:-k] * power(k) + h[k:]
         k *= 2
     out = []
     for size in sizes:
@@ -66,7 +76,7 @@ def rolling(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
         h, done = np.zeros(n, np.uint64), 0
         for k in sorted(doubled, reverse=True):
             if size & k:
-                h = h * _power(k) + doubled[k][done : done + n]
+                h = h * power(k) + doubled[k][done : done + n]
                 done += k
         out.append(h)
     return out
@@ -86,11 +96,11 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def groups(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, only_anchors: bool = False) -> tuple[np.ndarray, ...]:
-    """Of the texts laid end to end: anchor, text number, first suffix, number of suffixes, head and hash of each group."""
+    """Of the texts laid end to end: anchor, text number, first suffix, number of suffixes, head and two hashes of each group."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    none = (np.empty(0, np.int64),) * (1 if only_anchors else 6)
+    none = (np.empty(0, np.int64),) * (1 if only_anchors else 7)
     if len(data) < length:
         return none
     short, *full = rolling(data, (gram,) if only_anchors else (gram, length))
@@ -107,24 +117,45 @@ def groups(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, only_anch
     lo = place[new]
     hi = place[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(place) - 1]])]
     n = hi - lo + 1
-    whole = mix(full[0][lo] * np.uint64(0x9E3779B97F4A7C15) + mix(full[0][hi] + n.astype(np.uint64)))
+    whole = lambda h: mix(h[lo] * np.uint64(0x9E3779B97F4A7C15) + mix(h[hi] + n.astype(np.uint64))).view(np.int64)
+    second = rolling(data, (length,), _BASE2, _BYTE2)[0]
     head = np.zeros(len(lo), np.uint64)
     for i in range(8):
         head = head << np.uint64(8) | data[lo + i].astype(np.uint64)
     text = owner[lo]
     head = (head ^ np.uint64(1 << 63)).view(np.int64)  # keeps the byte order in a signed number
-    return name, text, lo - (ends - sizes)[text], n, head, whole.view(np.int64)
+    return name, text, lo - (ends - sizes)[text], n, head, whole(full[0]), whole(second)
+
 
+def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """The texts in lists of about ``CHUNK`` bytes: number of the text and offset of each piece, and the pieces.
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    first, size = 0, 0
+    Every string of ``length`` bytes begins in one piece and lies whole in it.
+    """
+    rows, offsets, parts, size = [], [], [], 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield first, texts[first:i]
-            first, size = i, 0
-        size += len(t)
-    if texts:
-        yield first, texts[first:]
+        for start in range(0, max(len(t) - length + 1, 1), CHUNK):
+            part = t if len(t) < CHUNK + length else t[start : start + CHUNK + length - 1]
+            if size and size + len(part) > CHUNK:
+                yield np.array(rows), np.array(offsets), parts
+                rows, offsets, parts, size = [], [], [], 0
+            rows.append(i)
+            offsets.append(start)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield np.array(rows), np.array(offsets), parts
+
+
+def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``ROWS`` rows, and ``BYTES`` bytes of text unless one text has more."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = min(start + ROWS, max(start + 1, int(np.searchsorted(sizes, before + BYTES, "right"))))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _anchors(length: int, gram: int):
@@ -132,9 +163,10 @@ def _anchors(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in _chunks([t.encode() for t in batch.column(0).to_pylist()]):
-                found, n = np.unique(groups(texts, length, gram, True)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int32))], ["anchor", "n"])
+            for part in _slices(batch, 0):
+                for _, _, texts in _pieces([t.encode() for t in part.column(0).to_pylist()], length):
+                    found, n = np.unique(groups(texts, length, gram, True)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
     return run
 
@@ -164,23 +196,28 @@ def _bitmap(shared: DataFrame, size: int) -> bytes:
     return bytes(out)
 
 
+#: An entry's columns: where its group is, and what makes it equal to another.
+ENTRY = "id long, lo int, n short, head long, whole long, more long, anchor long"
+ORDER = ("head", "whole", "more")
+
+
 def _grouped(cuts: list[float], length: int, gram: int, bitmap, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in _chunks([t.encode() for t in batch.column(1).to_pylist()]):
-                found = groups(texts, length, gram)
-                if table is not None:
-                    slot = found[0] & (size - 1)
-                    keep = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-                    found = tuple(x[keep] for x in found)
-                anchor, text, lo, n, head, whole = found
-                own = ids[first + text].astype(np.int64)
-                turn = np.searchsorted(cuts, own, "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (turn, own, lo.astype(np.int32), n.astype(np.int8), head, whole, anchor)], ["batch", "id", "lo", "n", "head", "whole", "anchor"]
-                )
+            for part in _slices(batch, 1):
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                for rows, offsets, texts in _pieces([t.encode() for t in part.column(1).to_pylist()], length):
+                    found = groups(texts, length, gram)
+                    if table is not None:
+                        slot = found[0] & (size - 1)
+                        keep = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+                        found = tuple(x[keep] for x in found)
+                    anchor, text, lo, n, head, whole, more = found
+                    own = ids[rows[text]].astype(np.int64)
+                    turn = np.searchsorted(cuts, own, "right").astype(np.int32)
+                    lo = (lo + offsets[text]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (turn, own, lo, n.astype(np.int16), head, whole, more, anchor)], ["batch", "id", "lo", "n", "head", "whole", "more", "anchor"])
 
     return run
 
@@ -192,36 +229,88 @@ def candidate_groups(texts: DataFrame, cuts: list[float], scratch: Scratch, leng
     size = 1 << max(18, (shared.count() * BITS_EACH).bit_length())
     fits = size <= most * 8
     bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(shared, size)) if fits else None
-    found = texts.mapInArrow(_grouped(cuts, length, gram, bitmap, size), "batch int, id long, lo int, n byte, head long, whole long, anchor long")
+    found = texts.mapInArrow(_grouped(cuts, length, gram, bitmap, size), f"batch int, {ENTRY}")
     found = scratch.write(found if fits else found.join(shared, "anchor", "left_semi"), "groups")
     scratch.drop(shared)
     return found
 
 
+def _unmatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows in suffix order, those of levels first among equals: the new entries that no level has."""
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ORDER])
+        if not keys.shape[1]:
+            continue
+        same = np.concatenate([[last is not None and bool((keys[:, 0] == last).all())], (keys[:, 1:] == keys[:, :-1]).all(axis=0)])
+        last = keys[:, -1].copy()
+        new = batch.column(0).to_numpy() > 0
+        yield batch.filter(pa.array(new & ~same)).select(list(range(1, batch.num_columns)))
+
+
+def merge_scan(batch: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The entries of ``batch`` that no level has, in ranges of the suffix order and sorted.
+
+    batch: entries, one of each group. Batch and levels are dealt to the same ranges, and each task reads
+    its range of all of them in one sorted pass.
+    """
+    place = [c for c in batch.columns if c not in ORDER]
+    rows = batch.select(F.lit(1).cast("byte").alias("new"), *batch.columns)
+    for level in levels:
+        known = [F.lit(None).cast(batch.schema[c].dataType).alias(c) if c in place else F.col(c) for c in batch.columns]
+        rows = rows.unionByName(level.select(F.lit(0).cast("byte").alias("new"), *known))
+    ranged = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER, "new")
+    return ranged.mapInArrow(_unmatched, batch.schema)
+
+
 class IndexFamily:
-    """Levels of sorted group arrays, each with the first occurrence of its groups."""
-
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
-        self.levels: list[tuple[int, DataFrame]] = []  # (rank, table), largest first
-
-    def _sorted(self, entries: DataFrame, name: str) -> DataFrame:
-        return self.scratch.write(entries.sortWithinPartitions("head", "whole"), name)
-
-    def add(self, batch: DataFrame) -> None:
-        """batch: (id, lo, n, head, whole, anchor), of ids after all that the family has."""
-        own = batch.groupBy("head", "whole").agg(F.min(F.struct("id", "lo", "n", "anchor")).alias("first"))
-        for _, level in self.levels:
-            own = own.join(level.select("head", "whole"), ["head", "whole"], "left_anti")
-        self.levels.append((0, self._sorted(own.select("head", "whole", "first.*"), "level")))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._sorted(a.union(b), "merged")))
-            self.scratch.drop(a, b)
+    """Levels of sorted entries in a folder, each with the first occurrence of its groups.
+
+    A level's name says which batches it holds. A merged level replaces the two that it was made of; if a
+    session ends in between, the larger one counts. A family is opened again by its folder.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.levels: list[tuple[int, int, DataFrame]] = []  # (first batch, batches, table), oldest first
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+        held = sorted((tuple(map(int, n.split("-")[1:])) for n in done), key=lambda x: (x[0], -x[1]))
+        for first, n in held:
+            if not self.levels or first >= sum(self.levels[-1][:2]):
+                self.levels.append((first, n, self._read(first, n)))
+
+    @property
+    def batches(self) -> int:
+        return sum(self.levels[-1][:2]) if self.levels else 0
+
+    def _name(self, first: int, n: int) -> str:
+        return f"{self.root}/level-{first:06d}-{n:06d}"
+
+    def _read(self, first: int, n: int) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(self._name(first, n))
+
+    def _write(self, first: int, n: int, entries: DataFrame) -> tuple[int, int, DataFrame]:
+        entries.write.mode("overwrite").parquet(self._name(first, n))
+        return first, n, self._read(first, n)
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """batch: entries of ids after all that the family has. Returns those of new groups, which the family now has."""
+        own = batch.groupBy(*ORDER).agg(F.min(F.struct("id", "lo", "n", "anchor")).alias("first")).select("first.id", "first.lo", "first.n", *ORDER, "first.anchor")
+        self.levels.append(self._write(self.batches, 1, merge_scan(own, [level for *_, level in self.levels])))
+        while len(self.levels) > 1 and self.levels[-1][1] == self.levels[-2][1]:
+            (_, n, b), (first, _, a) = self.levels.pop(), self.levels.pop()
+            merged = a.unionByName(b).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+            self.levels.append(self._write(first, 2 * n, merged))
+            delete(self.spark, self._name(first, n))
+            delete(self.spark, self._name(first + n, n))
+        return self.levels[-1][2]
 
     def entries(self) -> DataFrame:
-        out = self.levels[0][1]
-        for _, level in self.levels[1:]:
+        out = self.levels[0][2]
+        for *_, level in self.levels[1:]:
             out = out.union(level)
         return out
 
@@ -239,47 +328,55 @@ def _spans(column: pa.ListArray) -> list[np.ndarray | None]:
 def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                keys, ids, places = [], [], []
+            for part in _slices(batch, 1):
+                keys, more, ids, places, held = [], [], [], [], 0
                 for own, text, spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _spans(part.column(2)), strict=True):
                     data = np.frombuffer(text.encode(), np.uint8)
-                    lo, n = spans // SPAN, spans % SPAN
-                    first = np.repeat(lo - np.cumsum(n) + n, n)
-                    at = np.unique(first + np.arange(len(first)))
-                    at = at[at + length <= len(data)]
-                    if len(at):
-                        keys.append(mix(rolling(data, (length,))[0][at]).view(np.int64))
-                        ids.append(np.full(len(at), own, np.int64))
-                        places.append(at.astype(np.int32))
-                out = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (ids, np.int64), (places, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "id", "lo"])
+                    spans = np.sort(spans)
+                    for start in range(0, max(len(data) - length + 1, 0), CHUNK):
+                        few = spans[np.searchsorted(spans, (start - SPAN) * SPAN) : np.searchsorted(spans, (start + CHUNK) * SPAN)]
+                        lo, n = few // SPAN, few % SPAN
+                        at = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())) - start
+                        piece = data[start : start + CHUNK + length - 1]
+                        at = at[(at >= 0) & (at < CHUNK) & (at + length <= len(piece))]
+                        if len(at):
+                            keys.append(mix(rolling(piece, (length,))[0][at]).view(np.int64))
+                            more.append(mix(rolling(piece, (length,), _BASE2, _BYTE2)[0][at]).view(np.int64))
+                            ids.append(np.full(len(at), own, np.int64))
+                            places.append((at + start).astype(np.int32))
+                            held += len(at)
+                        if held > CHUNK:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, more, ids, places)], ["key", "more", "id", "lo"])
+                            keys, more, ids, places, held = [], [], [], [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, more, ids, places)], ["key", "more", "id", "lo"])
 
     return run
 
 
+def removed_runs(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs of bytes that the strings of the spans cover."""
+    spans = np.sort(spans)
+    lo = spans // SPAN
+    hi = np.maximum.accumulate(lo + spans % SPAN - 1 + length)
+    new = np.concatenate([[True], lo[1:] > hi[:-1]])
+    return lo[new], hi[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(lo) - 1]])]
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for batch in _slices(whole, 1):
                 sizes, removed, runs, kept = [], [], [], []
                 for text, spans in zip(batch.column(1).to_pylist(), _spans(batch.column(2)), strict=True):
                     data = text.encode()
+                    begins, ends = removed_runs(spans, length) if spans is not None and len(spans) else (np.empty(0, np.int64),) * 2
+                    ends = np.minimum(ends, len(data))
                     sizes.append(len(data))
-                    if spans is None:
-                        removed.append(0)
-                        runs.append(0)
-                        kept.append(data)
-                        continue
-                    lo = spans // SPAN
-                    hi = lo + spans % SPAN - 1 + length
-                    n = len(data) + 1
-                    edge = np.bincount(np.minimum(lo, n - 1), minlength=n) - np.bincount(np.minimum(hi, n - 1), minlength=n)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed.append(int(gone.sum()))
-                    runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
-                    kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if removed[-1] else data)
+                    removed.append(int((ends - begins).sum()))
+                    runs.append(len(begins))
+                    stays = zip([0, *ends.tolist()], [*begins.tolist(), len(data)], strict=True)
+                    kept.append(b"".join(data[a:b] for a, b in stays) if len(begins) else data)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
                 )
@@ -287,34 +384,77 @@ def _cut(length: int):
     return run
 
 
+def _as_spans(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.collect_list(F.col("lo").cast("long") * SPAN + F.col("n")).alias("spans"))
+
+
+def _repeats(found: DataFrame, texts: DataFrame, family: IndexFamily, scratch: Scratch, length: int, drop: bool) -> DataFrame:
+    """(id, spans) of the repeated strings of the groups ``found``, which the family has taken in.
+
+    texts: (id, text) of all documents that the family knows. ``drop`` deletes the family when it isn't needed any more.
+    """
+    entries = family.entries()
+    repeats = scratch.write(_as_spans(found.select("id", "lo", "n").join(entries.select("id", "lo"), ["id", "lo"], "left_anti")), "repeats")
+    shared = entries.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    if not drop:  # only where the new documents have a part
+        shared = shared.join(found.select("anchor").distinct(), "anchor", "left_semi")
+    edges = scratch.write(_as_spans(entries.join(shared, "anchor", "left_semi")), "edges")
+    if drop:
+        scratch.drop(found)
+        delete(scratch.spark, family.root)
+    strings = scratch.write(texts.join(edges, "id").select("id", "text", "spans").mapInArrow(_strings(length), "key long, more long, id long, lo int"), "strings")
+    first = strings.groupBy("key", "more").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "more", "first")
+    first = scratch.write(first, "first")  # as a table of its own, so that the join can split a hot key
+    again = strings.join(first, ["key", "more"]).where(F.struct("id", "lo") > F.col("first"))
+    again = scratch.write(_as_spans(again.select("id", "lo", F.lit(1).alias("n"))), "ends")
+    scratch.drop(strings, first, edges)
+    return repeats.union(again).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, most: int = BITMAP) -> DataFrame:
     """texts: (id, text), no nulls, to (id, spans): the starts of repeated strings, as numbers of ``SPAN``."""
     scratch = Scratch(texts.sparkSession, "suffixes")
     cuts = sorted(set(texts.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     found = candidate_groups(texts, cuts, scratch, length, gram, most)
-    family = IndexFamily(scratch)
+    family = IndexFamily(texts.sparkSession, f"{scratch.root}/levels")
     for b in range(len(cuts) + 1):
         family.add(found.where(F.col("batch") == b).drop("batch"))
-    entries = family.entries()
-    repeats = found.select("id", "lo", "n").join(entries.select("id", "lo"), ["id", "lo"], "left_anti").groupBy("id").agg(F.collect_list(F.col("lo").cast("long") * SPAN + F.col("n")).alias("spans"))
-    repeats = scratch.write(repeats, "repeats")
-    shared = entries.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    edges = scratch.write(entries.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_list(F.col("lo").cast("long") * SPAN + F.col("n")).alias("spans")), "edges")
-    scratch.drop(found, *(level for _, level in family.levels))
-    strings = scratch.write(texts.join(edges, "id").select("id", "text", "spans").mapInArrow(_strings(length), "key long, id long, lo int"), "strings")
-    first = strings.groupBy("key").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
-    first = scratch.write(first, "first")  # as a table of its own, so that the join can split a hot key
-    again = strings.join(first, "key").where(F.struct("id", "lo") > F.col("first"))
-    again = scratch.write(again.groupBy("id").agg(F.collect_list(F.col("lo").cast("long") * SPAN + 1).alias("spans")), "ends")
-    scratch.drop(strings, first, edges)
-    return repeats.union(again).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return _repeats(found, texts, family, scratch, length, True)
+
+
+def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+
+
+def _cut_texts(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    return texts.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, most: int = BITMAP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept are the remaining bytes."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(texts.where(f"id is not null and octet_length(text) >= {length}"), length, gram, batches, most)
-    return texts.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = _picked(docs, id_col, text_col)
+    return _cut_texts(texts, repeated_spans(texts.where(f"id is not null and octet_length(text) >= {length}"), length, gram, batches, most), length)
+
+
+class SuffixIndex:
+    """A family of levels in a folder that further batches of documents are added to and cut against."""
+
+    def __init__(self, spark: SparkSession, root: str, length: int = LENGTH, gram: int = GRAM):
+        self.family, self.length, self.gram = IndexFamily(spark, root), length, gram
+
+    def add(self, docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``dedup_substrings`` of ``docs`` after all that was added before; ids follow the earlier ones.
+
+        known: the documents added before. Of them only those are read again that an end of a match lies in.
+        """
+        spark, length = docs.sparkSession, self.length
+        texts, older = _picked(docs, id_col, text_col), _picked(known, id_col, text_col)
+        long_enough = f"id is not null and octet_length(text) >= {length}"
+        scratch = Scratch(spark, "suffixes")
+        found = scratch.write(texts.where(long_enough).mapInArrow(_grouped([], length, self.gram, None, 0), f"batch int, {ENTRY}").drop("batch"), "groups")
+        self.family.add(found)
+        spans = _repeats(found, older.union(texts).where(long_enough), self.family, scratch, length, False)
+        return _cut_texts(texts, spans, length)
 
 
 ORACLE = r"""

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from leadmill.llm import suffixes
@@ -68,8 +70,9 @@ def test_levels_merge_geometrically(spark):
     add = suffixes.IndexFamily.add
 
     def watched(self, batch):
-        add(self, batch)
-        made.append([rank for rank, _ in self.levels])
+        out = add(self, batch)
+        made.append([n for _, n, _ in self.levels])
+        return out
 
     suffixes.IndexFamily.add = watched
     try:
@@ -77,4 +80,91 @@ def test_levels_merge_geometrically(spark):
         found(df, batches=4)
     finally:
         suffixes.IndexFamily.add = add
-    assert made == [[0], [1], [1, 0], [2]]
+    assert made == [[1], [2], [2, 1], [4]]
+
+
+def test_batches_are_added_to_stored_levels(spark, tmp_path):
+    """Three batches, each by an index opened anew, give what one run over all gives."""
+    rows = sorted(corpus(5) + [(2000, "ab" * 200), (2001, "ab" * 300), (2002, None)])
+    frame = lambda part: spark.createDataFrame([(*r, 1, "x") for r in part], SCHEMA)
+    parts, got = [rows[:20], rows[20:41], rows[41:]], {}
+    for k, part in enumerate(parts):
+        index = suffixes.SuffixIndex(spark, str(tmp_path / "index"))
+        assert index.family.batches == k
+        out = index.add(frame(part), frame([r for p in parts[:k] for r in p]))
+        got |= {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()}
+    assert got == brute(rows, 100)
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["level-000000-000002", "level-000002-000001"]
+
+
+def test_an_interrupted_merge_counts_once(spark, tmp_path):
+    entries = spark.createDataFrame([(1, 0, 3, 5, 6, 7, 8), (2, 0, 3, 9, 6, 7, 8)], "id long, lo int, n short, head long, whole long, more long, anchor long")
+    for name in ("level-000000-000001", "level-000001-000001", "level-000000-000002"):
+        entries.write.parquet(str(tmp_path / name))
+    (tmp_path / "level-000002-000001").mkdir()  # not complete
+    assert [x[:2] for x in suffixes.IndexFamily(spark, str(tmp_path)).levels] == [(0, 2)]
+
+
+def test_levels_are_in_suffix_order(spark, tmp_path):
+    df = spark.createDataFrame([(*r, 1, "x") for r in corpus(6)], SCHEMA)
+    index = suffixes.SuffixIndex(spark, str(tmp_path / "index"))
+    index.add(df, df.limit(0))
+    level = index.family.levels[0][2]
+    ranges = level.selectExpr("input_file_name() as f", "head", "whole", "more", "id", "lo").collect()
+    texts = {i: t.encode() for i, t in corpus(6)}
+    by = {}
+    for r in ranges:
+        by.setdefault(r.f, []).append(r)
+    for rs in by.values():
+        assert [tuple(r)[1:4] for r in rs] == sorted(tuple(r)[1:4] for r in rs)
+        heads = [texts[r.id][r.lo : r.lo + 8] for r in rs]
+        assert heads == sorted(heads)
+    spans = sorted((min(r.head for r in rs), max(r.head for r in rs)) for rs in by.values())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 150)
+    rows = corpus(7) + [(3000, "".join(t for _, t in corpus(7)[:30])), (3001, "".join(t for _, t in corpus(8)))]
+    texts = [(t or "").encode() for _, t in rows]
+    rebuilt = {}
+    for numbers, offsets, parts in suffixes._pieces(texts, 100):
+        for k, at, part in zip(numbers.tolist(), offsets.tolist(), parts):
+            assert texts[k][at : at + len(part)] == part
+            rebuilt.setdefault(k, set()).update(range(at, at + len(part) - 99))
+    assert all(rebuilt.get(k, set()) == set(range(len(t) - 99)) for k, t in enumerate(texts) if len(t) >= 100)
+    run = lambda maker, table: [b.to_pylist() for b in maker(iter([table]))]
+    table = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t or "" for _, t in rows])], ["id", "text"])
+    got = {(r["id"], r["lo"] + k) for b in run(suffixes._grouped([], 100, 64, None, 0), table) for r in b for k in range(r["n"])}
+    assert got == {(i, p) for (i, _), t in zip(rows, texts) for p in range(len(t) - 99)}
+    spans = pa.array([[p * suffixes.SPAN + 1 for p in range(max(len(t) - 99, 0))] for t in texts], pa.list_(pa.int64()))
+    cut = pa.RecordBatch.from_arrays([*table.columns, spans], ["id", "text", "spans"])
+    strings = [r for b in run(suffixes._strings(100), cut) for r in b]
+    seen = {}
+    for r in strings:
+        seen.setdefault((r["key"], r["more"]), set()).add(dict(zip([i for i, _ in rows], texts))[r["id"]][r["lo"] : r["lo"] + 100])
+    assert len(strings) == sum(max(len(t) - 99, 0) for t in texts) and all(len(x) == 1 for x in seen.values())
+
+
+def test_a_text_of_a_hundred_megabytes_takes_bounded_memory():
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 100_000_000, dtype=np.uint8).tobytes().decode()
+    table = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])
+    tracemalloc.start()
+    n, spans = 0, []
+    for b in suffixes._grouped([], 100, 64, None, 0)(iter([table])):
+        n += b.num_rows
+        spans.append((b.column(2).to_numpy().astype(np.int64) * suffixes.SPAN + b.column(3).to_numpy())[::50])
+    whole = np.concatenate(spans)
+    cut = pa.RecordBatch.from_arrays([*table.columns, pa.array([whole], pa.list_(pa.int64()))], ["id", "text", "spans"])
+    assert sum(b.num_rows for b in suffixes._strings(100)(iter([cut]))) == int((whole % suffixes.SPAN).sum())
+    (out,) = suffixes._cut(100)(iter([cut]))
+    assert out.column(1)[0].as_py() == len(text) and 0 < out.column(2)[0].as_py() < len(text)
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000_000 and n > 4_000_000
+    tracemalloc.stop()
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "y" * 150, 0, 0, 0, 0)], ["doc_id", "text", "id", "spans", "a.b", "n_bytes"])
+    assert [(r.doc_id, r.n_removed) for r in suffixes.dedup_substrings(df).collect()] == [(1, 149)]
