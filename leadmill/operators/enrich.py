@@ -87,8 +87,9 @@ def merge_enrichment(base: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def latest_enrichment(enrichments: DataFrame) -> DataFrame:
-    """The newest record per company and source."""
-    return keep_first(enrichments, ["dedupe_key", "source_id"], F.col("fetched_at").desc())
+    """The newest record per company and source; of several of one time, the first by all its other columns as text."""
+    rest = [F.to_json(F.struct(c)) for c in enrichments.columns if c not in ("dedupe_key", "source_id", "fetched_at")]
+    return keep_first(enrichments, ["dedupe_key", "source_id"], F.col("fetched_at").desc(), *rest)
 
 
 def enrichment_audit(enrichments: DataFrame, since: Column, until: Column) -> DataFrame:
@@ -96,22 +97,23 @@ def enrichment_audit(enrichments: DataFrame, since: Column, until: Column) -> Da
     return enrichments.where((F.col("fetched_at") >= since) & (F.col("fetched_at") < until)).groupBy("source_id").agg(F.countDistinct("dedupe_key").alias("companies"))
 
 
+def _kept() -> list[Column]:
+    """What a master keeps of the latest and the earliest sighting."""
+    return [F.col(c).alias(name) for c, name in (("late.name", "name"), ("early.source_id", "first_source"), ("early.seen_at", "first_seen_at"), ("late.seen_at", "last_seen_at"), ("late.source_id", "last_source"))]
+
+
 def company_master(sightings: DataFrame) -> DataFrame:
     """One row per company from (dedupe_key, name, domain, source_id, seen_at): latest name, first source, times and count."""
     new = sightings.where("dedupe_key <> ''").groupBy("dedupe_key")
     late, early = F.struct("seen_at", "source_id", "name"), F.struct("seen_at", "source_id")
-    return new.agg(F.max(late).alias("late"), F.min(early).alias("early"), F.count("*").alias("seen_count"), F.max("seen_at").alias("last_seen_at")).select(
-        "dedupe_key", F.col("late.name").alias("name"), F.col("early.source_id").alias("first_source"), F.col("early.seen_at").alias("first_seen_at"), "last_seen_at", "seen_count"
-    )
+    return new.agg(F.max(late).alias("late"), F.min(early).alias("early"), F.count("*").alias("seen_count")).select("dedupe_key", *_kept(), "seen_count")
 
 
 def merge_master(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two masters as one, without reading the sightings again."""
+    """Two masters as one, without reading the sightings again; equal to one master of all sightings, ties included."""
+    late, early = F.struct(F.col("last_seen_at").alias("seen_at"), F.col("last_source").alias("source_id"), "name"), F.struct(F.col("first_seen_at").alias("seen_at"), F.col("first_source").alias("source_id"))
     both = old.unionByName(new).groupBy("dedupe_key")
-    return both.agg(
-        F.max_by("name", "last_seen_at").alias("name"), F.min_by("first_source", "first_seen_at").alias("first_source"), F.min("first_seen_at").alias("first_seen_at"),
-        F.max("last_seen_at").alias("last_seen_at"), F.sum("seen_count").alias("seen_count"),
-    )
+    return both.agg(F.max(late).alias("late"), F.min(early).alias("early"), F.sum("seen_count").alias("seen_count")).select("dedupe_key", *_kept(), "seen_count")
 
 
 def first_seen_by_source(master: DataFrame, period: str = "month") -> DataFrame:

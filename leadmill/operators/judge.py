@@ -214,8 +214,15 @@ def evaluation_rows(judged: DataFrame, people: bool = False) -> DataFrame:
     return rows.select("list_id", "row_key", "pos", F.col("v.criterion").alias("condition"), F.col("v.verdict").alias("status"), F.col("v.weight").alias("weight"), F.coalesce(source(F.col("v.category")), F.lit("")).alias("source_url"))
 
 
-def row_references(evidence: Column, name: Column, address: Column) -> Column:
-    """Evidence links, else the home page."""
+def row_references(evidence: Column, name: Column, address: Column, label: Column | None = None) -> Column:
+    """array<struct<title, url>> of the evidence links, else a company's home page.
+
+    With a ``label``, of the source of a person's profile, the address is the profile's; a person without one has no link.
+    """
     links = F.transform(evidence, lambda e: F.struct(e["title"].alias("title"), e["url"].alias("url")))
-    home = F.array(F.struct(F.concat(name, F.lit("（官网首页）")).alias("title"), F.concat(F.lit("https://"), address).alias("url")))
-    return F.when(F.size(evidence) > 0, links).otherwise(home)
+    link = lambda title, url: F.array(F.struct(title.alias("title"), url.alias("url")))
+    if label is None:
+        own = link(F.concat(name, F.lit("（官网首页）")), F.concat(F.lit("https://"), address))
+    else:
+        own = F.when(address != "", link(F.concat(name, F.lit(" · "), F.when(label != "", label).otherwise("公开档案")), address)).otherwise(F.array().cast("array<struct<title: string, url: string>>"))
+    return F.when(F.size(evidence) > 0, links).otherwise(own)

@@ -83,8 +83,15 @@ def opportunity_page(opportunities: DataFrame, page: int, level: str = "", size:
     return ranked.where((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size)).withColumn("page", at.cast("int"))
 
 
-def row_research_state(rows: DataFrame) -> DataFrame:
-    """What research found per row; ready needs content."""
+def row_research_state(rows: DataFrame, people: bool = False) -> DataFrame:
+    """What research found per row; ready needs content. For people: contact and completeness of the profile."""
+    if people:
+        reached = (F.col("contact_state") == "ready") & (F.col("contact_count") > 0)
+        whole = (F.col("summary_state") == "ready") & (F.col("title") != "")
+        return rows.select(
+            "list_id", "row_id", F.when(reached, "ready").otherwise("failed").alias("contact_state"), F.when(reached, "已获取邮箱或电话").otherwise("未找到结果").alias("contact_summary"),
+            F.when(whole, "ready").otherwise("blocked").alias("profile_state"), F.when(whole, "职位与归属齐备").otherwise("缺少职位或所属机构").alias("profile_summary"),
+        )
     contact = (F.col("contact_state") == "ready") & (F.col("contact_count") > 0)
     official = (F.col("official_contact_state") == "ready") & (F.trim("official_note") != "")
     return rows.select(

@@ -7,6 +7,7 @@ for any partitioning. Filters on sites come before the windows, so portals with
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,39 @@ def top(df: DataFrame, keys: Sequence[str], n: Column | int, *order: Column | st
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct strings of n characters in a text."""
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.filter(found, lambda g: F.length(g) == n))
+
+
+#: Words that texts are compared with one by one, and words that are broadcast.
+FEW, BROADCAST = 64, 500_000
+
+
+def containing(texts: DataFrame, words: DataFrame, few: int = FEW, most: int = BROADCAST) -> DataFrame:
+    """texts (pos, said) and words (word): the distinct (pos, word) of the words that a text contains.
+
+    Up to ``few`` words are broadcast and compared with every text. More are found by an equi-join on one
+    block of each: of its strings of three characters, or the whole word if it is shorter, the one in fewest
+    texts, so no common block gathers rows; words with a block that no text has go at once. The blocks are
+    broadcast up to ``most`` words and shuffled beyond. Texts are read again only where a block was met.
+    """
+    words = words.select("word").where("word <> ''").distinct()
+    n = words.limit(max(few, most) + 1).count()
+    if n <= few:
+        return texts.join(F.broadcast(words), F.contains("said", F.col("word"))).select("pos", "word")
+    small = F.broadcast if n <= most else (lambda df: df)
+    sizes = sorted(r[0] for r in words.select(F.least(F.length("word"), F.lit(3))).distinct().collect())  # three at most
+    own = F.coalesce(*[F.when(F.least(F.length("word"), F.lit(3)) == k, grams(F.col("word"), k)) for k in sizes])
+    blocks = words.select("word", F.explode(own).alias("block"))
+    opened = texts.select("pos", F.explode(F.concat(*[grams(F.col("said"), k) for k in sizes])).alias("block"))
+    met = opened.join(small(blocks.select("block").distinct()), "block").groupBy("block").agg(F.count("*").alias("n"))
+    rarest = blocks.join(met, "block", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block")).alias("b")).where("b.n > 0")
+    near = opened.join(small(rarest.select("word", F.col("b.block").alias("block"))), "block").select("pos", "word")
+    return near.join(texts, "pos").where(F.contains("said", F.col("word"))).select("pos", "word")
+
+
 def web_to_companies(results: DataFrame, queries: DataFrame, registrable=T.registrable_domain, non_company: Sequence[str] = vocab.NON_COMPANY_SITES, directories: Sequence[str] = vocab.DIRECTORY_SITES, domain_only: bool = False) -> DataFrame:
     """(query_id, rank, url, title, content) and (query_id, hints, limit) to candidates of each query.
 
@@ -41,7 +75,7 @@ def web_to_companies(results: DataFrame, queries: DataFrame, registrable=T.regis
     if domain_only:
         rows = rows.where("domain <> ''")
     name = F.coalesce(T.blank_to_null(T.name_from_title(F.col("title"), F.col("domain"), registrable)), T.name_from_domain(F.col("domain"), registrable))
-    rows = rows.withColumn("name", name).where("name <> ''")
+    rows = rows.select("*", F.explode(F.array(name)).alias("name")).where("name <> ''")  # a long expression, evaluated once
     rows = rows.withColumn("key", F.when(F.col("domain") != "", registrable(F.col("domain"))).otherwise(F.lower("name")))
     first = keep_first(rows, ["query_id", "key"], "rank")
     joined = first.join(queries.select("query_id", "hints", "limit"), "query_id")
@@ -114,50 +148,96 @@ def rotated(pos: Column, offset: Column, n: Column) -> Column:
     return F.pmod(pos - F.pmod(offset, F.greatest(n, F.lit(1))), F.greatest(n, F.lit(1)))
 
 
+#: Ranges of positions that a corpus is cut into for ranks.
+RANGES = 64
+
+
+def _ranged(corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """With ``range``, the number of the range of positions that a row lies in."""
+    cuts = sorted({int(c) for c in corpus.approxQuantile("pos", [i / RANGES for i in range(1, RANGES)], 0.002)})
+    return corpus.select(*keys, "pos", sum((F.col("pos") > c).cast("int") for c in cuts) if cuts else F.lit(0)).toDF(*keys, "pos", "range")
+
+
+def _rotated_recall(queries: DataFrame, hits: DataFrame, scoped: DataFrame, one_scope: bool = False) -> DataFrame:
+    """queries (query_id, scope, seed, limit, turned), hits (query_id, pos, score), scoped (scope, pos): (query_id, pos, score, place).
+
+    Hits come first: by score and position, or where ``turned``, by position rotated by the seed. The rest of
+    the scope follows, rotated by it, as far as the limit reaches. Ranks in the rest are sums over ranges of
+    positions, so only the ranges are read that hold wanted ranks, and no query meets its whole scope.
+    """
+    sizes = scoped.groupBy("scope", "range").agg(F.count("*").alias("size"))
+    sizes = F.broadcast(sizes) if one_scope else sizes  # then it has a row per range
+    hits = hits.join(scoped.select("pos", "range").distinct(), "pos")
+    found = hits.groupBy("query_id", "range").agg(F.count("*").alias("found"))
+    upto = Window.partitionBy("query_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("query_id")
+    grid = queries.join(sizes, "scope").join(found, ["query_id", "range"], "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("rest", F.col("size") - F.col("found"))
+    grid = grid.withColumn("before", F.coalesce(F.sum("rest").over(upto), F.lit(0))).withColumn("hits_before", F.coalesce(F.sum("found").over(upto), F.lit(0)))
+    grid = grid.withColumn("n", F.sum("rest").over(whole)).withColumn("hits", F.sum("found").over(whole))
+    # hits: those of a query in a range are numbered on their own where positions count
+    told = grid.select("query_id", "range", "hits", "hits_before", "seed", "limit", "turned", "n")
+    rows = hits.join(told, ["query_id", "range"])
+    at = F.row_number().over(Window.partitionBy("query_id", "range").orderBy("pos")) - 1 + F.col("hits_before")
+    turned = rows.where("turned").withColumn("at", at).withColumn("turn", rotated(F.col("at"), F.pmod("seed", "hits"), F.col("hits")))
+    plain = rows.where("not turned").withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos")) - 1)
+    first = turned.drop("at").unionByName(plain).where("turn < limit").select("query_id", "pos", "score", (F.col("turn") + 1).cast("int").alias("place"))
+    # the rest: ranks from start on, around the end
+    start = F.pmod(F.when(F.col("turned"), F.pmod("seed", F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.greatest("n", F.lit(1))))).otherwise(F.col("seed")), F.greatest("n", F.lit(1)))
+    open_ = grid.where("hits < limit and rest > 0").withColumn("start", start).withColumn("need", F.col("limit") - F.col("hits"))
+    meets = lambda lo: (F.col("before") < lo + F.col("need")) & (F.col("before") + F.col("rest") > lo)
+    open_ = open_.where(meets(F.col("start")) | meets(F.col("start") - F.col("n"))).select("query_id", "scope", "range", "before", "n", "hits", "start", "need")
+    rest = open_.join(scoped, ["scope", "range"]).join(hits.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
+    at = F.row_number().over(Window.partitionBy("query_id", "range").orderBy("pos")) - 1 + F.col("before")
+    rest = rest.withColumn("turn", F.pmod(at - F.col("start"), F.col("n"))).where("turn < need")
+    return first.unionByName(rest.select("query_id", "pos", F.lit(0).alias("score"), (F.col("hits") + F.col("turn") + 1).cast("int").alias("place")))
+
+
+def _of_hints(queries: DataFrame, column: str, texts: DataFrame) -> DataFrame:
+    """The distinct (query_id, pos) of the texts (pos, said) that contain a hint of a query."""
+    asked = queries.select("query_id", F.explode(column).alias("word"))
+    return containing(texts, asked).join(asked, "word").select("query_id", "pos").distinct()
+
+
 def rank_companies(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, city, hints, seed, limit) x (pos, name, location, industries, ...): hits first, each part rotated.
+    """(query_id, city, hints, seed, limit) and (pos, location, industries, ...): the corpus' columns with query_id, place and hit.
 
-    The city is a hard filter, taken as an equi-join where the corpus has a column ``city``. Positions in the
-    parts are counted per query.
+    Companies with an industry hint come first, each part rotated. The city is a hard filter, taken as an
+    equi-join where the corpus has a column ``city``. Positions are unique; hints and cities are found by
+    equi-joins, never by comparing all pairs.
     """
-    q = queries.select("query_id", "hints", "seed", "limit", F.coalesce("city", F.lit("")).alias("wanted"))
+    q = queries.select("query_id", "hints", "seed", "limit", F.coalesce("city", F.lit("")).alias("scope"), F.lit(True).alias("turned"))
+    scopes = q.select("scope").distinct()
+    ranged = _ranged(corpus, [c for c in ("city", "location") if c in corpus.columns])
     if "city" in corpus.columns:
-        everywhere = q.where("wanted = ''").join(corpus)
-        pairs = q.where("wanted <> ''").join(corpus, F.col("wanted") == corpus["city"]).unionByName(everywhere)
+        of_city = ranged.select(F.col("city").alias("scope"), "pos", "range").where("scope <> ''")
     else:
-        pairs = q.join(corpus, (F.col("wanted") == "") | F.contains(corpus["location"], F.col("wanted")))
-    hit = T.any_in(F.array_join("industries", ""), F.col("hints"))
-    rows = pairs.withColumn("hit", hit)
-    part = Window.partitionBy("query_id", "hit")
-    rows = rows.withColumn("at", F.row_number().over(part.orderBy("pos")) - 1).withColumn("n", F.count("*").over(part)).withColumn("hits", F.sum(F.col("hit").cast("int")).over(Window.partitionBy("query_id"))).withColumn("all", F.count("*").over(Window.partitionBy("query_id")))
-    offset = F.pmod(F.col("seed"), F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.greatest("all", F.lit(1))))
-    rows = rows.withColumn("turn", rotated(F.col("at"), offset, F.col("n")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("hit").desc(), "turn"))
-    return rows.withColumn("place", place).where("place <= limit").drop("wanted", "at", "n", "hits", "all", "turn")
+        of_city = containing(ranged.select("pos", F.col("location").alias("said")), scopes.withColumnRenamed("scope", "word")).withColumnRenamed("word", "scope").join(ranged.select("pos", "range"), "pos").select("scope", "pos", "range")
+    scoped = of_city.union(ranged.select(F.lit(""), "pos", "range")).join(F.broadcast(scopes) if scopes.limit(BROADCAST + 1).count() <= BROADCAST else scopes, "scope", "left_semi")
+    hits = _of_hints(queries, "hints", corpus.select("pos", F.array_join("industries", "").alias("said")))
+    hits = hits.join(q.select("query_id", "scope"), "query_id").join(scoped.select("scope", "pos"), ["scope", "pos"], "left_semi")
+    best = _rotated_recall(q.drop("hints"), hits.select("query_id", "pos", F.lit(1).alias("score")), scoped)
+    return best.join(corpus, "pos").withColumn("hit", F.col("score") > 0).drop("score")
 
 
 def rank_people(queries: DataFrame, people: DataFrame) -> DataFrame:
-    """(query_id, name_hints, role_hints, company_hints, city, seed, limit) x people (pos, ...): by relevance.
+    """(query_id, name_hints, role_hints, company_hints, city, seed, limit) and people (pos, ...): people's columns with query_id, relevance and place.
 
     Full name 4, part of a name 2, role 2, company 2, city 1. Hits keep their order for any seed; the others
-    follow, rotated by it. The hit part is small; the rest is needed only as far as the limit reaches.
+    follow, rotated by it. Positions are unique; every part of the relevance is found by equi-joins on name
+    forms and words, and of the others only those are read that the limit reaches.
     """
-    forms = people.withColumn("forms", T.name_forms(T.all_names(F.col("name"), F.col("name_local"), F.col("aliases"))))
-    pairs = queries.withColumnRenamed("city", "wanted").join(forms)
-    level = T.match_name(F.col("forms"), F.col("name_hints"))["level"]
     words = F.array_join("keywords", "")
-    score = (
-        F.when(level == "full", 4).when(level == "partial", 2).otherwise(0)
-        + F.when(T.any_in(F.concat("title", words), F.col("role_hints")), 2).otherwise(0)
-        + F.when(T.any_in(F.concat("company", "company_domain", words), F.col("company_hints")), 2).otherwise(0)
-        + F.when(F.coalesce((F.col("wanted") != "") & F.contains("location", F.col("wanted")), F.lit(False)), 1).otherwise(0)
-    )
-    rows = pairs.withColumn("relevance", score).withColumn("hit", F.col("relevance") > 0)
-    part = Window.partitionBy("query_id", "hit")
-    rows = rows.withColumn("at", F.row_number().over(part.orderBy(F.col("relevance").desc(), "pos")) - 1).withColumn("n", F.count("*").over(part))
-    turn = F.when(F.col("hit"), F.col("at")).otherwise(rotated(F.col("at"), F.col("seed"), F.col("n")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("hit").desc(), turn))
-    return rows.withColumn("place", place).where("place <= limit").drop("wanted", "forms", "at", "n", "hit")
+    named = name_matches(queries.select("query_id", F.explode("name_hints").alias("hint")), people.select("pos", T.all_names(F.col("name"), F.col("name_local"), F.col("aliases")).alias("names")))
+    parts = [
+        named.select("query_id", "pos", F.when(F.col("level") == "full", 4).otherwise(2).alias("score")),
+        _of_hints(queries, "role_hints", people.select("pos", F.concat("title", words).alias("said"))).withColumn("score", F.lit(2)),
+        _of_hints(queries, "company_hints", people.select("pos", F.concat("company", "company_domain", words).alias("said"))).withColumn("score", F.lit(2)),
+        _of_hints(queries.withColumn("cities", F.array(F.coalesce("city", F.lit("")))), "cities", people.select("pos", F.col("location").alias("said"))).withColumn("score", F.lit(1)),
+    ]
+    hits = reduce(DataFrame.unionByName, parts).groupBy("query_id", "pos").agg(F.sum("score").cast("int").alias("score"))
+    q = queries.select("query_id", F.lit("").alias("scope"), "seed", "limit", F.lit(False).alias("turned"))
+    best = _rotated_recall(q, hits, _ranged(people, []).select(F.lit("").alias("scope"), "pos", "range"), True)
+    return best.join(people, "pos").withColumnRenamed("score", "relevance")
 
 
 def name_matches(queries: DataFrame, people: DataFrame) -> DataFrame:
@@ -195,27 +275,22 @@ def contacts_by_domain(requests: DataFrame, contacts: DataFrame) -> DataFrame:
     return first.where((F.size(wanted) == 0) | T.any_in(F.lower("title"), wanted))
 
 
-def entity_pages(entities: DataFrame, pages: DataFrame, n: int = 4, most: int = 10_000) -> DataFrame:
+def entity_pages(entities: DataFrame, pages: DataFrame, n: int = 4, few: int = FEW, most: int = BROADCAST) -> DataFrame:
     """entities (entity_id, name, evidence_url, reason), pages (pos, url, title, content): evidence of each entity.
 
-    Pages that name it, the first n; else its own link. Names are broadcast while they are at most ``most``;
-    more are joined by their first three characters before the full test.
+    Pages that name it, the first n; else its own link. Each distinct name is looked for once (``containing``)
+    and keeps its first n pages before entities come in, so many entities of one name, or a name on every
+    page, cost a row each and never their product. Positions of pages are unique.
     """
-    named = entities.where("name <> ''").select("entity_id", "name")
-    said = pages.select("pos", "url", "title", "content", F.concat("title", F.lit(" "), "content").alias("said"))
-    if named.limit(most + 1).count() <= most:
-        hits = said.join(F.broadcast(named), F.contains("said", F.col("name")))
-    else:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("said") - 2, F.lit(1))), lambda i: F.substring(F.col("said"), i, F.lit(3)))
-        short = said.join(F.broadcast(named.where("length(name) < 3")), F.contains("said", F.col("name")))
-        opened = said.withColumn("block", F.explode(F.array_distinct(grams)))
-        blocked = opened.join(named.where("length(name) >= 3").withColumn("block", F.substring("name", 1, 3)), "block").where(F.contains("said", F.col("name"))).drop("block")
-        hits = short.unionByName(blocked)
-    first = top(hits, ["entity_id"], n, "pos")
+    names = entities.where("name <> ''").select(F.col("name").alias("word")).distinct()
+    said = pages.select("pos", F.concat("title", F.lit(" "), "content").alias("said"))
+    first = top(containing(said, names, few, most), ["word"], n, "pos")
     item = F.struct("pos", F.substring("title", 1, 120).alias("title"), "url", F.substring("content", 1, 200).alias("snippet"))
-    listed = first.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["snippet"].alias("snippet"))).alias("found"))
+    items = first.join(pages.select("pos", item.alias("item")), "pos")
+    listed = items.groupBy(F.col("word").alias("name")).agg(F.transform(F.array_sort(F.collect_list("item")), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["snippet"].alias("snippet"))).alias("found"))
+    listed = F.broadcast(listed) if names.limit(FEW + 1).count() <= FEW else listed  # a few names may have most entities
     own = F.when(F.col("evidence_url") != "", F.array(F.struct(F.col("name").alias("title"), F.col("evidence_url").alias("url"), F.col("reason").alias("snippet")))).otherwise(F.array().cast(f"array<{EVIDENCE}>"))
-    return entities.join(listed, "entity_id", "left").select("entity_id", F.coalesce("found", own).alias("evidence"))
+    return entities.join(listed, "name", "left").select("entity_id", F.coalesce("found", own).alias("evidence"))
 
 
 def dedupe_entities(entities: DataFrame) -> DataFrame:
@@ -273,9 +348,12 @@ def pack_documents(documents: DataFrame, n: int = 16, body: int = 260, materials
 
 
 def find_mentioned_company(queries: DataFrame, companies: DataFrame) -> DataFrame:
-    """queries (query_id, text), companies (pos, name): the first company whose short name, or its last four characters, occurs."""
+    """queries (query_id, text), companies (pos, name): the first company whose short name, or its last four characters, occurs.
+
+    Of companies with the same such characters only the first is looked for; ids of queries are unique.
+    """
     short = F.replace(F.replace("name", F.lit("有限公司"), F.lit("")), F.lit("股份"), F.lit(""))
     brand = F.when(F.length("short") > 4, F.right("short", F.lit(4))).otherwise(F.col("short"))
-    known = companies.select("pos", "name", short.alias("short")).withColumn("brand", brand).where("short <> ''")
-    hits = queries.join(known, F.contains("text", F.col("brand")))  # the short name holds the brand
-    return hits.groupBy("query_id").agg(F.min_by("name", "pos").alias("company"))
+    known = companies.select("pos", "name", short.alias("short")).where("short <> ''").groupBy(brand.alias("word")).agg(F.min(F.struct("pos", "name")).alias("first"))
+    hits = containing(queries.select(F.col("query_id").alias("pos"), F.col("text").alias("said")), known.select("word"))  # the short name holds the brand
+    return hits.join(known, "word").groupBy(F.col("pos").alias("query_id")).agg(F.min("first").alias("first")).select("query_id", F.col("first.name").alias("company"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import text as T
 from leadmill.operators import enrich as E
+from leadmill.plans.recalling import ENTITY_NAME_SQL, entity_name
 from leadmill.schemas import EVIDENCE
 from leadmill.sources import adapters as A
 
@@ -121,7 +122,7 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_master(E.company_master(early), E.company_master(late))
 
 
-MASTER_SQL = f"""WITH {A.SIGHTINGS} SELECT dedupe_key, arg_max(name, (seen_at, source_id, name)) AS name, arg_min(source_id, (seen_at, source_id)) AS first_source, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, count(*) AS seen_count FROM sightings GROUP BY dedupe_key"""
+MASTER_SQL = f"""WITH {A.SIGHTINGS} SELECT dedupe_key, arg_max(name, (seen_at, source_id, name)) AS name, arg_min(source_id, (seen_at, source_id)) AS first_source, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, arg_max(source_id, (seen_at, source_id, name)) AS last_source, count(*) AS seen_count FROM sightings GROUP BY dedupe_key"""
 
 
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,12 +193,12 @@ def light_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadmill.operators.recall import entity_pages
 
     p = A.table(spark, sf_dir, "part")
-    e = p.select(F.col("p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 2 == 0, "the").otherwise(F.lit("p_name")).alias("name"), F.concat(F.lit(" "), F.col("p_type"), F.lit(".Org")).alias("domain"), F.lit(" s ").alias("summary"), (F.col("p_size") > 25).alias("matched"), F.col("p_brand").alias("reason"), F.lit("").alias("evidence_url"), F.create_map(F.lit("agent"), F.lit("x"), F.lit("brand"), F.col("p_brand")).alias("attributes"))
+    e = p.select(F.col("p_partkey").alias("entity_id"), entity_name().alias("name"), F.concat(F.lit(" "), F.col("p_type"), F.lit(".Org")).alias("domain"), F.lit(" s ").alias("summary"), (F.col("p_size") > 25).alias("matched"), F.col("p_brand").alias("reason"), F.lit("").alias("evidence_url"), F.create_map(F.lit("agent"), F.lit("x"), F.lit("brand"), F.col("p_brand")).alias("attributes"))
     out = E.entity_to_record(e, entity_pages(e, A.web_results(spark, sf_dir)))
     return out.select("entity_id", "name", "domain", "summary", "match_level", "score", F.col("attributes")["agent"].alias("agent"), F.size("attributes").alias("attributes"), F.size("evidence").alias("evidence"))
 
 
-LIGHT_SQL = f"""WITH {A.WEB}, d AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'the' ELSE 'p_name' END AS name, * FROM part), n AS (SELECT name, least(4, count(*))::INT AS n FROM (SELECT DISTINCT name FROM d) x JOIN web ON contains(title || ' ' || content, name) GROUP BY name)
+LIGHT_SQL = f"""WITH {A.WEB}, d AS (SELECT {ENTITY_NAME_SQL} AS name, * FROM part), n AS (SELECT name, least(4, count(*))::INT AS n FROM (SELECT DISTINCT name FROM d) x JOIN web ON contains(title || ' ' || content, name) GROUP BY name)
 SELECT p_partkey AS entity_id, d.name, lower(p_type) || '.org' AS domain, 's' AS summary, CASE WHEN p_size > 25 THEN '明确符合' ELSE '可能符合' END AS match_level, CASE WHEN p_size > 25 THEN 90 ELSE 45 END AS score, 'discovery' AS agent, 3 AS attributes, coalesce(n.n, 0) AS evidence FROM d LEFT JOIN n USING (name)"""
 
 QUERIES = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadmill.operators import criteria as C
 from leadmill.operators import judge as J
 from leadmill.operators import listing as L
+from leadmill.schemas import EVIDENCE
 from leadmill.sources import adapters as A
 
 
@@ -125,10 +126,43 @@ RESEARCH_SQL = f"""WITH {ROWS} SELECT list_id, row_id, contact_state AS contacts
   CASE WHEN pos % 2 = 0 THEN 'ready' ELSE 'blocked' END AS official_state, CASE WHEN pos % 4 = 0 THEN 'mail' ELSE '未找到结果' END AS official_summary FROM listed"""
 
 
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rows of companies and people point to: their pages, else a home page, a profile or nothing."""
+    c = A.companies(spark, sf_dir).where("domain <> '' or pos % 2 = 0")
+    p = _people(spark, sf_dir).withColumn("source_url", F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("source_url")))
+    label = F.when(F.col("pos") % 2 == 0, "site").otherwise("")
+    both = c.select("external_id", J.row_references(F.col("evidence"), F.col("name"), F.col("domain")).alias("r")).unionByName(p.select("external_id", J.row_references(F.col("evidence"), F.col("name"), F.col("source_url"), label).alias("r")))
+    return both.select("external_id", F.size("r").alias("links"), F.coalesce(F.get("r", F.lit(0))["title"], F.lit("")).alias("title"), F.coalesce(F.get("r", F.lit(0))["url"], F.lit("")).alias("url"))
+
+
 # People
 
 
-def judged_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People with a profile, a team page and a post, with a profile, or without pages."""
+    page = lambda end: F.struct(F.concat(F.lit("page"), F.lit(end)).alias("title"), F.concat("source_url", F.lit(end)).alias("url"), F.lit("").alias("snippet"))
+    k = F.col("pos") % 3
+    pages = F.when(k == 0, F.array(page(""), page("/team"), page("/posts/1"))).when(k == 1, F.array(page(""))).otherwise(F.array().cast(f"array<{EVIDENCE}>"))
+    return A.people(spark, sf_dir).withColumn("evidence", pages)
+
+
+def person_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per person and criterion with the page that backs it."""
+    return J.evaluation_rows(_judged_people(spark, sf_dir, _people(spark, sf_dir)).withColumn("row_key", F.col("external_id")), True)
+
+
+def person_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What research found of each person."""
+    mailed = F.col("contact_email") != ""
+    rows = A.people(spark, sf_dir).select(F.col("n_name").alias("list_id"), F.col("external_id").alias("row_id"), F.when(mailed, "ready").otherwise("blocked").alias("contact_state"), (F.col("pos") % 8).cast("int").alias("contact_count"), F.when(F.col("summary") != "", "ready").otherwise("failed").alias("summary_state"), "title")
+    return L.row_research_state(rows, True)
+
+
+PERSON_RESEARCH_SQL = f"""WITH {A.PEOPLE} SELECT n_name AS list_id, external_id AS row_id, CASE WHEN has_mail AND pos % 8 > 0 THEN 'ready' ELSE 'failed' END AS contact_state, CASE WHEN has_mail AND pos % 8 > 0 THEN '已获取邮箱或电话' ELSE '未找到结果' END AS contact_summary,
+  CASE WHEN summary <> '' AND title <> '' THEN 'ready' ELSE 'blocked' END AS profile_state, CASE WHEN summary <> '' AND title <> '' THEN '职位与归属齐备' ELSE '缺少职位或所属机构' END AS profile_summary FROM people"""
+
+
+def _judged_people(spark: SparkSession, sf_dir: str, people: DataFrame) -> DataFrame:
     """Each nation's list judges the people of its region by name, role, seniority, employer, place and background."""
     tokens = lambda *xs: F.array(*map(F.lit, xs))
     made = F.array(
@@ -137,25 +171,40 @@ def judged_people(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.criterion("g", "地域：x", "", "geo", 3, F.array("list_id"), "x", ""), C.criterion("b", "履历背景：sales", "", "background", 3, tokens("sales before"), "", "", True),
     )
     listed = A.places(spark, sf_dir).select(F.col("n_name").alias("list_id"), F.col("r_name").alias("region")).withColumn("criteria", C.with_reachability(made, True))
-    judged = J.judge(A.people(spark, sf_dir).join(F.broadcast(listed), F.col("r_name") == F.col("region")), True)
+    return J.judge(people.join(F.broadcast(listed), F.col("r_name") == F.col("region")), True)
+
+
+def judged_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = _judged_people(spark, sf_dir, A.people(spark, sf_dir))
     return judged.select("list_id", "external_id", "score", "match_level", "hard_miss", F.array_join(F.transform("verdicts", lambda v: v["verdict"]), "/").alias("verdicts"))
 
 
-PEOPLE_SQL = f"""WITH {A.PEOPLE},
+PEOPLE_JUDGED = f"""{A.PEOPLE},
 v AS (SELECT l.n_name AS list_id, p.*, CASE WHEN first = 'Chen' AND last = 'Kehang' THEN 1.0 WHEN last = 'Berg' THEN 0.5 ELSE 0.0 END AS a,
     CASE WHEN title = '' THEN 0.5 WHEN contains(lower(title), 'sales') OR contains(lower(title), 'marketing') THEN 1.0 WHEN contains(summary, 'sales') THEN 0.5 ELSE 0.0 END AS b,
     CASE title WHEN 'Sales Director' THEN 1.0 WHEN 'VP Engineering' THEN 1.0 WHEN 'Marketing Manager' THEN 0.5 WHEN '' THEN 0.5 WHEN 'Engineer' THEN 0.0 WHEN 'Procurement Lead' THEN 1.0 WHEN 'CTO' THEN 1.0
       WHEN 'Finance Analyst' THEN 0.0 WHEN 'Sales Manager' THEN 0.5 WHEN 'Chief Marketing Officer' THEN 1.0 ELSE 0.5 END AS c,
     CASE WHEN company || summary || keywords = '' THEN 0.5 WHEN contains(company || summary || keywords, 'software') THEN 1.0 WHEN contains(company, 'retail') THEN 0.0 ELSE 0.5 END AS d,
     CASE WHEN location = '' THEN 0.5 WHEN contains(location, l.n_name) THEN 1.0 ELSE 0.0 END AS e, CASE WHEN summary <> '' THEN 1.0 ELSE 0.5 END AS f, CASE WHEN has_mail THEN 1.0 ELSE 0.5 END AS g
-  FROM people p JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) l ON p.r_name = l.r_name),
+  FROM people p JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) l ON p.r_name = l.r_name)"""
+PEOPLE_SQL = f"""WITH {PEOPLE_JUDGED},
 s AS (SELECT *, (5 * a + 4 * b + 3 * c + 4 * d + 3 * e + 3 * f + g)::DOUBLE / 23 AS ratio, a = 0 OR b = 0 OR c = 0 OR d = 0 OR e = 0 AS hard_miss FROM v)
 SELECT list_id, external_id, round_even(ratio * 100, 0)::INT AS score, CASE WHEN ratio >= 0.75 AND NOT hard_miss THEN '明确符合' WHEN ratio >= 0.45 THEN '可能符合' ELSE '待确认' END AS match_level, hard_miss,
   array_to_string(list_transform([a, b, c, d, e, f, g], lambda x: CASE x WHEN 1 THEN '符合' WHEN 0.5 THEN '不确定' ELSE '不符合' END), '/') AS verdicts FROM s"""
 
+PERSON_EVALUATIONS_SQL = f"""WITH {PEOPLE_JUDGED}, e AS (SELECT list_id, external_id AS row_key, v.pos AS k, unnest([
+    {{'pos': 0, 'condition': '姓名：Kehang Chen', 'v': a, 'weight': 5}}, {{'pos': 1, 'condition': '职位：销售', 'v': b, 'weight': 4}}, {{'pos': 2, 'condition': '职级：管理层及以上', 'v': c, 'weight': 3}}, {{'pos': 3, 'condition': '公司特征：软件', 'v': d, 'weight': 4}},
+    {{'pos': 4, 'condition': '地域：x', 'v': e, 'weight': 3}}, {{'pos': 5, 'condition': '履历背景：sales', 'v': f, 'weight': 3}}, {{'pos': 6, 'condition': '可触达性', 'v': g, 'weight': 1}}]) AS x FROM v)
+SELECT list_id, row_key, x.pos AS pos, x.condition AS condition, CASE x.v WHEN 1 THEN '符合' WHEN 0.5 THEN '不确定' ELSE '不符合' END AS status, x.weight AS weight,
+  CASE k % 3 WHEN 2 THEN '' ELSE 'https://people.org/in/' || k || CASE WHEN k % 3 = 0 AND x.pos = 6 THEN '/team' ELSE '' END END AS source_url FROM e"""
+REFERENCES_SQL = f"""WITH {A.COMPANIES}, {A.PEOPLE}
+SELECT external_id, CASE WHEN domain = '' THEN 1 ELSE 3 END AS links, CASE WHEN domain = '' THEN name || '（官网首页）' ELSE name || ' home' END AS title, CASE WHEN domain = '' THEN 'https://' ELSE 'https://' || domain || '/home' END AS url FROM companies WHERE domain <> '' OR pos % 2 = 0
+UNION ALL SELECT external_id, CASE pos % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE (pos % 5 <> 0)::INT END, CASE WHEN pos % 3 < 2 THEN 'page' WHEN pos % 5 = 0 THEN '' ELSE first || ' ' || last || ' · ' || CASE pos % 2 WHEN 0 THEN 'site' ELSE '公开档案' END END,
+  CASE WHEN pos % 3 < 2 THEN 'https://people.org/in/' || pos WHEN pos % 5 = 0 THEN '' ELSE 'https://people.org/in/' || pos END FROM people"""
+
 QUERIES = {
-    "w1_ranked_companies": ranked_companies, "j_evaluations": evaluations, "j_rejudged": rejudged, "l_built_rows": built_rows, "l_paged_rows": paged_rows, "l_blocked_rows": blocked, "l_research_states": research_states, "w2_judged_people": judged_people,
+    "w1_ranked_companies": ranked_companies, "j_evaluations": evaluations, "j_rejudged": rejudged, "l_built_rows": built_rows, "l_paged_rows": paged_rows, "l_blocked_rows": blocked, "l_research_states": research_states, "w2_judged_people": judged_people, "j_references": references, "j_person_evaluations": person_evaluations, "l_person_research": person_research,
 }
 ORACLE = {
-    "w1_ranked_companies": RANKED_SQL, "j_evaluations": EVALUATIONS_SQL, "j_rejudged": REJUDGED_SQL, "l_built_rows": BUILT_SQL, "l_paged_rows": PAGED_SQL, "l_blocked_rows": BLOCKED_SQL, "l_research_states": RESEARCH_SQL, "w2_judged_people": PEOPLE_SQL,
+    "w1_ranked_companies": RANKED_SQL, "j_evaluations": EVALUATIONS_SQL, "j_rejudged": REJUDGED_SQL, "l_built_rows": BUILT_SQL, "l_paged_rows": PAGED_SQL, "l_blocked_rows": BLOCKED_SQL, "l_research_states": RESEARCH_SQL, "w2_judged_people": PEOPLE_SQL, "j_references": REFERENCES_SQL, "j_person_evaluations": PERSON_EVALUATIONS_SQL, "l_person_research": PERSON_RESEARCH_SQL,
 }

@@ -10,6 +10,8 @@ from leadmill.plans.texts import _SITE, SKIP, SUFFIXES, site
 from leadmill.sources import adapters as A
 
 HINTS = ("the", "que", "zzz")
+#: A site that stands for a directory of companies.
+DIRECTORY = "ththth.example.net"
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +22,25 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web results to the first twelve companies of each query, one per site."""
-    results = A.web_results(spark, sf_dir).withColumn("title", F.lit("")).drop("html")
-    found = R.web_to_companies(results, _queries(spark, sf_dir), site, SKIP, ())
-    return found.select("query_id", "rank", "key", "name", "domain", F.array_join("industries", "/").alias("industries"), F.size("missing_fields").alias("missing"))
-
-
-WEB_SQL = f"""WITH {A.WEB}, h AS (SELECT *, {_SITE} AS site, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body FROM web),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id, site ORDER BY rank) AS nth FROM h WHERE site NOT IN {SKIP}),
+    k = F.col("rank")
+    named = F.when(k % 3 == 0, F.concat(F.lit("星河"), k.cast("string"), F.lit("科技有限公司 - "), "title")).when(k % 3 == 1, F.concat(F.lit("一个好用的平台。"), "title")).otherwise("")
+    told = F.when(k % 2 == 0, F.concat(F.lit("注册资本为 "), k.cast("string"), F.lit("万元，法定代表人：李雷，"), "content")).otherwise(F.col("content"))
+    results = A.web_results(spark, sf_dir).withColumn("title", named).withColumn("content", told).drop("html")
+    found = R.web_to_companies(results, _queries(spark, sf_dir), site, SKIP, (DIRECTORY,))
+    return found.select(
+        "query_id", "rank", "key", "name", "domain", F.array_join("industries", "/").alias("industries"), F.size("missing_fields").alias("missing"), F.element_at("evidence", 1)["title"].alias("title"),
+        F.coalesce(F.col("attributes")["registered_capital"], F.lit("")).alias("capital"), F.coalesce(F.col("attributes")["legal_rep"], F.lit("")).alias("head"),
+    )
+
+
+WEB_SQL = f"""WITH {A.WEB}, t AS (SELECT *, CASE rank % 3 WHEN 0 THEN '星河' || rank || '科技有限公司 - ' || title WHEN 1 THEN '一个好用的平台。' || title ELSE '' END AS said, CASE WHEN rank % 2 = 0 THEN '注册资本为 ' || rank || '万元，法定代表人：李雷，' || content ELSE content END AS text FROM web),
+h AS (SELECT *, {_SITE} AS site, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, regexp_replace(said, '^\\s+|\\s+$', '', 'g') AS shown, host = '{DIRECTORY}' OR host LIKE '%.{DIRECTORY}' AS listed FROM t),
+n AS (SELECT *, CASE WHEN rank % 3 = 0 THEN '星河' || rank || '科技有限公司' WHEN listed THEN '' ELSE upper(substr(site, 1, 1)) || replace(substr(split_part(site, '.', 1), 2), '-', ' ') END AS name FROM h WHERE listed OR site NOT IN {SKIP}),
+f AS (SELECT *, CASE WHEN listed THEN lower(name) ELSE site END AS key, row_number() OVER (PARTITION BY query_id, CASE WHEN listed THEN lower(name) ELSE site END ORDER BY rank) AS nth FROM n WHERE name <> ''),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM f WHERE nth = 1)
-SELECT query_id, rank, site AS key, upper(substr(site, 1, 1)) || replace(substr(split_part(site, '.', 1), 2), '-', ' ') AS name, host AS domain,
-  array_to_string(list_filter(['the', 'que', 'zzz'], lambda t: contains(body, t)), '/') AS industries, CASE WHEN body = '' THEN 3 ELSE 2 END AS missing FROM k WHERE place <= 12"""
+SELECT query_id, rank, key, name, CASE WHEN listed THEN '' ELSE host END AS domain, array_to_string(list_filter(['the', 'que', 'zzz'], lambda t: contains(shown || ' ' || body, t)), '/') AS industries,
+  CASE WHEN body = '' THEN 3 ELSE 2 END AS missing, CASE WHEN shown = '' THEN name ELSE shown END AS title, CASE WHEN listed AND rank % 2 = 0 THEN rank || '万元' ELSE '' END AS capital, CASE WHEN listed AND rank % 2 = 0 THEN '李雷' ELSE '' END AS head
+FROM k WHERE place <= 12"""
 
 
 def merged_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +51,16 @@ def merged_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_recalls(first, more)
 
 
+MERGED_SQL = f"""WITH RECURSIVE {A.COMPANIES}, a AS (SELECT n_name AS query_id, pos, name, domain, 0 AS part, pos AS o, row_number() OVER (PARTITION BY n_name ORDER BY pos) AS nth FROM companies
+    UNION ALL SELECT n_name, pos, name, domain, 1, pos, row_number() OVER (PARTITION BY n_name ORDER BY contact_count DESC, pos) FROM companies),
+n AS (SELECT *, CASE WHEN domain = '' THEN lower(name) ELSE domain END AS key, lower(name) AS fold, row_number() OVER (PARTITION BY query_id ORDER BY part, o) AS rn FROM a WHERE nth <= 20),
+r AS (SELECT query_id, 0::BIGINT AS rn, ''::VARCHAR AS name, ''::VARCHAR AS domain, 0 AS part, []::VARCHAR[] AS keys, []::VARCHAR[] AS names, false AS ok FROM (SELECT DISTINCT query_id FROM n)
+  UNION ALL SELECT n.query_id, n.rn, n.name, n.domain, n.part, CASE WHEN n.part = 0 OR NOT (list_contains(r.keys, n.key) OR list_contains(r.names, n.fold)) THEN list_append(r.keys, n.key) ELSE r.keys END,
+    CASE WHEN n.part = 0 OR NOT (list_contains(r.keys, n.key) OR list_contains(r.names, n.fold)) THEN list_append(r.names, n.fold) ELSE r.names END, n.part = 0 OR NOT (list_contains(r.keys, n.key) OR list_contains(r.names, n.fold))
+  FROM r JOIN n ON n.query_id = r.query_id AND n.rn = r.rn + 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rn) - 1 AS place, part, name, domain FROM r WHERE ok"""
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Companies as items of four sources per nation, of which one has failed in some."""
     c = A.companies(spark, sf_dir)
@@ -133,14 +154,25 @@ def domain_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTACTS_SQL = f"WITH {A.PEOPLE}, x AS (SELECT n_name AS request_id, external_id, title, row_number() OVER (PARTITION BY n_name ORDER BY pos) AS nth FROM people) SELECT request_id, external_id, title FROM x WHERE nth <= 40 AND contains(lower(title), 'sales')"
 
 
+def entity_name():
+    """Names of parts as entities: a letter with an ending that pages may have, so that hundreds of names differ, some on many pages, some on none."""
+    k = F.col("p_partkey")
+    letters = lambda n: F.substring(F.md5(k.cast("string")), n, 1)
+    return F.when(k % 50 == 0, F.substring("p_name", 1, 3)).when(k % 7 == 0, "th").otherwise(F.concat(F.translate(letters(1), "0123456789", "ghiklmnors"), F.translate(letters(2), "0123456789", "aeiouaeiou"), F.translate(letters(3), "0123456789", "stnrlstnrl")))
+
+
+ENTITY_NAME_SQL = """CASE WHEN p_partkey % 50 = 0 THEN substr(p_name, 1, 3) WHEN p_partkey % 7 = 0 THEN 'th' ELSE translate(substr(md5(p_partkey::VARCHAR), 1, 1), '0123456789', 'ghiklmnors')
+  || translate(substr(md5(p_partkey::VARCHAR), 2, 1), '0123456789', 'aeiouaeiou') || translate(substr(md5(p_partkey::VARCHAR), 3, 1), '0123456789', 'stnrlstnrl') END"""
+
+
 def named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four pages that name each entity, or its own link."""
-    e = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 50 == 0, F.substring("p_name", 1, 3)).otherwise(F.lit("name")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, "https://x.org").otherwise("").alias("evidence_url"), F.lit("why").alias("reason"))
+    e = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), entity_name().alias("name"), F.when(F.col("p_partkey") % 2 == 0, "https://x.org").otherwise("").alias("evidence_url"), F.lit("why").alias("reason"))
     found = R.entity_pages(e, A.web_results(spark, sf_dir))
     return found.select("entity_id", F.size("evidence").alias("pages"), F.coalesce(F.get("evidence", F.lit(0))["url"], F.lit("")).alias("first_url"))
 
 
-PAGES_SQL = f"""WITH {A.WEB}, e AS (SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 50 = 0 THEN substr(p_name, 1, 3) ELSE 'name' END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'https://x.org' ELSE '' END AS link FROM part),
+PAGES_SQL = f"""WITH {A.WEB}, e AS (SELECT p_partkey AS entity_id, {ENTITY_NAME_SQL} AS name, CASE WHEN p_partkey % 2 = 0 THEN 'https://x.org' ELSE '' END AS link FROM part),
 d AS (SELECT DISTINCT name FROM e), h AS (SELECT d.name, url, pos, row_number() OVER (PARTITION BY d.name ORDER BY pos) AS nth FROM d JOIN web ON contains(title || ' ' || content, d.name)),
 g AS (SELECT name, count(*) AS n, min_by(url, pos) AS url FROM h WHERE nth <= 4 GROUP BY name)
 SELECT entity_id, CASE WHEN n IS NOT NULL THEN n WHEN link <> '' THEN 1 ELSE 0 END::INT AS pages, coalesce(url, link) AS first_url FROM e LEFT JOIN g USING (name)"""
@@ -166,13 +198,14 @@ HOMEPAGES_SQL = f"""WITH {A.WEB}, h AS (SELECT pos % 40 AS entity_id, rank, {_SI
 def subpages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best links of each site among the page addresses of its query."""
     w = A.web_results(spark, sf_dir)
-    links = w.select(F.col("query_id").alias("page_id"), F.lit("https://therin.example.net/").alias("home"), F.col("url").alias("link"))
+    word = F.element_at(F.array(*map(F.lit, ("about-us", "products", "x", "news/contact", "关于我们", "join"))), (F.col("pos") % 6).cast("int") + 1)
+    links = w.select(F.col("query_id").alias("page_id"), F.lit("https://therin.example.net/").alias("home"), F.regexp_replace("url", F.lit("(//[^/]*/)"), F.concat(F.lit("$1"), word, F.lit("/"))).alias("link"))
     return R.pick_subpages(links, 3, SUFFIXES)
 
 
-SUBPAGES_SQL = f"""WITH {A.WEB}, l AS (SELECT query_id AS page_id, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS link, {_SITE} AS site FROM web),
-p AS (SELECT *, coalesce(string_split(link, '/')[4], '') AS path FROM l WHERE site = 'therin.example.net'),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(path), link) AS place FROM p WHERE path <> '') SELECT page_id, place::INT AS place, link, 0 AS score FROM r WHERE place <= 3"""
+SUBPAGES_SQL = f"""WITH {A.WEB}, l AS (SELECT query_id AS page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '(//[^/]*/)', '\\1' || list_extract(['about-us', 'products', 'x', 'news/contact', '关于我们', 'join'], (pos % 6)::INT + 1) || '/'), '[?#].*$', ''), '/+$', '')) AS link, {_SITE} AS site FROM web),
+g AS (SELECT *, contains(path, 'about')::INT + contains(path, '关于')::INT + contains(path, 'product')::INT + contains(path, 'join')::INT + contains(path, 'news')::INT AS score FROM (SELECT *, coalesce(string_split(link, '/')[4], '') AS path FROM l)),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(path), link) AS place FROM g WHERE site = 'therin.example.net' AND path <> '') SELECT page_id, place::INT AS place, link, score FROM r WHERE place <= 3"""
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +234,6 @@ QUERIES = {
     "r_more_candidates": more_candidates, "r_domain_contacts": domain_contacts, "r_named_pages": named_pages, "r_first_entities": first_entities, "r_homepages": homepages, "r_subpages": subpages, "r_packed_documents": packed_documents, "r_mentioned_companies": mentioned_companies,
 }
 ORACLE = {
-    "r_web_candidates": WEB_SQL, "r_waterfall": WATERFALL_SQL, "r_waterfall_summary": SUMMARY_SQL, "r_ranked_corpus": CORPUS_SQL, "r_ranked_people": RANKED_PEOPLE_SQL, "r_matched_names": MATCHED_SQL, "r_more_candidates": MORE_SQL,
+    "r_web_candidates": WEB_SQL, "r_merged_recalls": MERGED_SQL, "r_waterfall": WATERFALL_SQL, "r_waterfall_summary": SUMMARY_SQL, "r_ranked_corpus": CORPUS_SQL, "r_ranked_people": RANKED_PEOPLE_SQL, "r_matched_names": MATCHED_SQL, "r_more_candidates": MORE_SQL,
     "r_domain_contacts": CONTACTS_SQL, "r_named_pages": PAGES_SQL, "r_first_entities": ENTITIES_SQL, "r_homepages": HOMEPAGES_SQL, "r_subpages": SUBPAGES_SQL, "r_packed_documents": PACKED_SQL, "r_mentioned_companies": MENTIONED_SQL,
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadmill.operators import listing as L
 from leadmill.operators import reports as R
+from leadmill.plans.enriching import MASTER_SQL
 from leadmill.plans.judging import JUDGED, ROWS, built
 from leadmill.sources import adapters as A
 from leadmill.sources import io
@@ -161,13 +161,65 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_SQL = f"WITH {A.COMPANIES} SELECT external_id, name, industry AS industries, contact_count::INT AS contact_count, lower(name) AS origin FROM companies"
 
 
+def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company names as an uploaded file, with a header and blank rows, read back; an upload counts up to a thousand names."""
+    c = A.companies(spark, sf_dir).select("pos", F.when(F.col("pos") % 9 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("name"), F.lit(", \"x\" "))).alias("name"))
+    path = f"{io.shared_folder(spark)}/upload-{uuid.uuid4().hex[:12]}"
+    rows = c.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("pos"), F.lit("Company Name").alias("name")))
+    rows.coalesce(1).sortWithinPartitions("pos").select("name", F.lit("more").alias("more")).write.csv(path, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return io.import_names(spark, path)
+
+
+IMPORTED_SQL = f"""WITH {A.COMPANIES}, n AS (SELECT *, row_number() OVER (ORDER BY pos) AS nr FROM companies), k AS (SELECT nr AS pos, name || ', "x"' AS name, row_number() OVER (ORDER BY nr) AS nth FROM n WHERE pos % 9 <> 0) SELECT pos, name FROM k WHERE nth <= 1000"""
+
+
+def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a JSON table that lacks columns and values, in their schema and without nulls."""
+    c = A.companies(spark, sf_dir).select("external_id", "name", F.expr("nullif(location, '')").alias("location"), F.when(F.size("industries") > 0, F.col("industries")).alias("industries"), F.when(F.col("contact_count") > 0, F.col("contact_count")).alias("contact_count"), F.lit("x").alias("unknown"))
+    path = f"{io.shared_folder(spark)}/records-{uuid.uuid4().hex[:12]}"
+    c.write.json(path)
+    r = io.read_records(spark, path, "company", "json")
+    return r.select("external_id", "name", "location", "summary", F.array_join("industries", "/").alias("industries"), "contact_count", F.size("evidence").alias("evidence"), F.size("attributes").alias("attributes"))
+
+
+READ_SQL = f"WITH {A.COMPANIES} SELECT external_id, name, location, '' AS summary, industry AS industries, contact_count::INT AS contact_count, 0 AS evidence, 0 AS attributes FROM companies"
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list per nation; those of one region are written again with fewer rows, and no other list changes."""
+    c = A.companies(spark, sf_dir).select("external_id", "contact_count", "r_name", F.col("n_name").alias("list_id"))
+    path = f"{io.shared_folder(spark)}/lists-{uuid.uuid4().hex[:12]}"
+    io.write_list(c, path)
+    io.write_list(c.where("r_name = 'ASIA' and contact_count = 0"), path)
+    return spark.read.parquet(path).select("list_id", "external_id")
+
+
+REWRITTEN_SQL = f"WITH {A.COMPANIES} SELECT n_name AS list_id, external_id FROM companies WHERE r_name <> 'ASIA' OR contact_count = 0"
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored lists and rows, some of them broken, read back."""
+    lists = A.lists(spark, sf_dir).select("list_id", "status", F.when(F.col("id") % 11 == 0, "oops").otherwise('{"a": "b"}').alias("payload"))
+    k = F.col("l_partkey")
+    rows = A.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("l"), F.col("l_orderkey").cast("string")).alias("list_id"), F.col("l_linenumber").cast("string").alias("row_id"), F.when(k % 7 == 0, "oops").otherwise(F.concat(F.lit('{"name": "n'), k.cast("string"), F.lit('", "more": 1}'))).alias("row_json"),
+        F.when(k % 101 == 0, "{").otherwise("{}").alias("record_json"), F.when(k % 103 == 0, "no").otherwise("{}").alias("judgment_json"),
+    )
+    good, fine = io.load_lists(lists, rows, "name string")
+    return fine.join(good.select("list_id", "status"), "list_id").select("list_id", "row_id", "name", "status")
+
+
+LOADED_SQL = f"""WITH {A.LISTS}, b AS (SELECT DISTINCT 'l' || l_orderkey AS list_id FROM lineitem WHERE l_partkey % 101 = 0 OR l_partkey % 103 = 0)
+SELECT l.list_id, l_linenumber::VARCHAR AS row_id, 'n' || l_partkey AS name, CASE status WHEN 'running' THEN 'completed' ELSE status END AS status
+FROM lists l JOIN lineitem ON l.list_id = 'l' || l_orderkey WHERE id % 11 <> 0 AND l_partkey % 7 <> 0 AND l.list_id NOT IN (FROM b)"""
+
+
 # Streams, run over the table as it is until it is read
 
 
 def _ended(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     """The final state of a stream over what its source has now, as a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-    root = f"{base}/stream-{uuid.uuid4().hex[:12]}"
+    root = f"{io.shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.parquet(f"{root}/out/batch={number}")
@@ -213,11 +265,23 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAM_SCORES_SQL = f"WITH {JUDGED} SELECT list_id, external_id, score, match_level FROM j WHERE list_id = n_name"
 
+
+
+def streamed_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The company master from a stream of sightings that arrive in three files."""
+    root = f"{io.shared_folder(spark)}/master-{uuid.uuid4().hex[:12]}"
+    seen = A.sightings(spark, sf_dir)
+    seen.repartition(3, F.xxhash64("name")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    jobs.stream_company_master(stream, f"{root}/out", f"{root}/state", 16).trigger(availableNow=True).start().awaitTermination()
+    return jobs.read_master(spark, f"{root}/out")
+
+
 QUERIES = {
     "p_list_progress": progress, "p_overview": overview, "p_opportunity_levels": levels, "p_activity_feed": feed, "p_kpi_cards": kpis, "p_trend_chart": trends, "p_channels": channels, "p_outreach": outreach, "p_source_costs": costs, "p_criteria_usage": usage,
-    "l_opportunity_page": opportunities, "l_keyword_search": found_turns, "l_recent_first": newest, "s_deleted_lists": kept_lists, "s_uploaded_names": uploaded, "s_record_json": record_json, "m_stream_trends": streamed_trends, "m_stream_dedupe": streamed_names, "m_stream_judge": streamed_scores,
+    "l_opportunity_page": opportunities, "l_keyword_search": found_turns, "l_recent_first": newest, "s_deleted_lists": kept_lists, "s_uploaded_names": uploaded, "s_record_json": record_json, "m_stream_trends": streamed_trends, "m_stream_dedupe": streamed_names, "m_stream_judge": streamed_scores, "m_stream_company_master": streamed_master, "s_imported_names": imported, "s_read_records": read_back, "s_rewritten_lists": rewritten, "s_loaded_lists": loaded,
 }
 ORACLE = {
     "p_list_progress": PROGRESS_SQL, "p_overview": OVERVIEW_SQL, "p_opportunity_levels": LEVELS_SQL, "p_activity_feed": FEED_SQL, "p_kpi_cards": KPI_SQL, "p_trend_chart": TRENDS_SQL, "p_channels": CHANNELS_SQL, "p_outreach": OUTREACH_SQL, "p_source_costs": COSTS_SQL, "p_criteria_usage": USAGE_SQL,
-    "l_opportunity_page": OPPORTUNITY_SQL, "l_keyword_search": FOUND_SQL, "l_recent_first": NEWEST_SQL, "s_deleted_lists": KEPT_SQL, "s_uploaded_names": UPLOADED_SQL, "s_record_json": JSON_SQL, "m_stream_trends": STREAM_TRENDS_SQL, "m_stream_dedupe": STREAM_NAMES_SQL, "m_stream_judge": STREAM_SCORES_SQL,
+    "l_opportunity_page": OPPORTUNITY_SQL, "l_keyword_search": FOUND_SQL, "l_recent_first": NEWEST_SQL, "s_deleted_lists": KEPT_SQL, "s_uploaded_names": UPLOADED_SQL, "s_record_json": JSON_SQL, "m_stream_trends": STREAM_TRENDS_SQL, "m_stream_dedupe": STREAM_NAMES_SQL, "m_stream_judge": STREAM_SCORES_SQL, "m_stream_company_master": MASTER_SQL, "s_imported_names": IMPORTED_SQL, "s_read_records": READ_SQL, "s_rewritten_lists": REWRITTEN_SQL, "s_loaded_lists": LOADED_SQL,
 }

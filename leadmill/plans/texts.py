@@ -79,14 +79,14 @@ SELECT external_id, CASE WHEN first = 'Chen' AND last = 'Kehang' THEN 'full' WHE
 def conversation_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report titles, section counts, truth values and contact items over conversation texts."""
     t = A.table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    question = F.concat(F.lit("帮我查一下"), F.substring("text", 1, 12), F.lit("有限公司这家公司"))
+    question = F.concat(F.lit("帮我查一下"), "text", F.lit("有限公司这家公司"))
     report = F.concat(F.lit("# a\n## b\n"), "text", F.lit("\n## c"))
     contact = F.concat(F.lit("客服：a"), F.col("turn").cast("string"), F.lit("@x.org；电话 12"))
     items = T.contact_items(contact)
     return t.select("conv_id", "turn", T.report_title(question).alias("title"), T.report_sections(report).alias("sections"), T.as_bool(F.when(F.col("turn") % 2 == 0, " Yes ").otherwise("no")).alias("truth"), F.get(items, F.lit(0))["label"].alias("label"), F.get(items, F.lit(0))["email"].alias("email"), F.size(items).alias("items"))
 
 
-CONVERSATION_SQL = r"""SELECT conv_id, turn, substr(ltrim(substr(coalesce(text, ''), 1, 12), '，。？！?! '), 1, 20) AS title,
+CONVERSATION_SQL = r"""SELECT conv_id, turn, substr(ltrim(coalesce(text, ''), '，。？！?! '), 1, 20) AS title,
   (2 + len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: starts_with(l, '## '))))::INT AS sections, turn % 2 = 0 AS truth, '客服' AS label, 'a' || turn || '@x.org' AS email, 2 AS items FROM conversations"""
 
 
@@ -97,13 +97,38 @@ def seeds_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(key.alias("request_key")).agg(F.count("*").alias("requests"), F.min(T.stable_seed(F.coalesce("text", F.lit("")))).alias("seed"))
 
 
+#: CRC-32 of a text in SQL: the table by its rule, then the bytes one by one.
+CRC = """RECURSIVE crc_steps(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM crc_steps WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text; the table crc_table must be joined."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda j: ('0x' || substr(hex(encode({text})), 2 * j + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, o: xor(c >> 8, crcs[(xor(c, o) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+KEYS_SQL = f"""WITH {CRC}, t AS (SELECT role, coalesce(text, '') AS text FROM conversations), k AS (SELECT *, sha256('v1' || chr(31) || 'm' || chr(31) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(31) || role) AS request_key FROM t)
+SELECT request_key, count(*) AS requests, min({crc_sql("text")} % 100000)::BIGINT AS seed FROM k, crc_table GROUP BY request_key"""
+
+
 def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text, links and icons of pages, and their decoded bytes."""
-    p = A.table(spark, sf_dir, "pages")
+    """Visible text, title, links and icons of pages, each page read once, and their decoded bytes."""
+    p = A.table(spark, sf_dir, "pages").select("page_id", html.page(F.col("html"), F.col("url")).alias("p"), F.length(html.decode_bytes(F.encode("html", "utf-8"), F.lit(""))).alias("decoded_chars"))
     return p.select(
-        "page_id", F.length(html.html_to_text(F.col("html"))).alias("text_chars"), html.html_links(F.col("html"), F.col("url")).alias("links"), html.html_icons(F.col("html"), F.col("url")).alias("icons"),
-        F.length(html.decode_bytes(F.encode("html", "utf-8"), F.lit(""))).alias("decoded_chars"),
-    ).select("page_id", "text_chars", F.size("links").alias("n_links"), F.get("links", F.lit(0)).alias("first_link"), F.element_at("icons", -1).alias("last_icon"), "decoded_chars")
+        "page_id", F.length("p.text").alias("text_chars"), F.sha2(F.col("p.text").cast("binary"), 256).alias("text_sha256"), F.col("p.title").alias("title"), F.size("p.links").alias("n_links"),
+        F.get("p.links", F.lit(0)).alias("first_link"), F.element_at("p.icons", -1).alias("last_icon"), "decoded_chars",
+    )
+
+
+_BREAKS = "p|div|br|li|tr|td|th|section|article|h1|h2|h3|h4|h5|h6|blockquote|pre|hr"
+_PLAIN = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+MARKUP_SQL = rf"""WITH s AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<head>.*?</head>', '', 'g'), '(?s)<script.*?</script>', '', 'g') AS body FROM pages),
+t AS (SELECT *, regexp_replace(regexp_replace(body, '(?i)</?(?:{_BREAKS})(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>|<[^>]*$', '', 'g') AS bare FROM s),
+x AS (SELECT *, array_to_string(list_filter(list_transform(string_split({_PLAIN.format("bare")}, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10)) AS said, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS root FROM t),
+l AS (SELECT *, list_distinct(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: h[1] = '/')) AS links FROM x)
+SELECT page_id, length(said)::INT AS text_chars, sha256(said) AS text_sha256, {_PLAIN.format("trim(regexp_extract(html, '<title>([^<]*)</title>', 1))")} AS title, len(links)::INT AS n_links,
+  root || regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) || 'favicon.ico' AS last_icon, length(html)::INT AS decoded_chars FROM l"""
 
 
 # Profiles
@@ -153,17 +178,19 @@ def profile_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(more, ["list_id", "pos"])
 
 
-CRITERIA_SQL = f"""WITH {A.COMPANIES}, d AS (SELECT external_id, pos AS k, {_PLACE} AS place, {_FAMILY} AS family FROM companies c), x AS (
-  SELECT external_id AS list_id, 1 AS o, '地域：' || place AS text, 'geo' AS category, 5 AS weight, place AS expected, CASE WHEN place IN ('ASIA', 'EUROPE') THEN 5 ELSE 1 END AS tokens, false AS lenient FROM d WHERE place IS NOT NULL
-  UNION ALL SELECT external_id, 2, '行业：' || family, 'industry', 5, family, CASE family WHEN 'making' THEN 2 ELSE 3 END, false FROM d WHERE family <> ''
-  UNION ALL SELECT external_id, 3, CASE k % 3 WHEN 0 THEN '规模：50 人以上' ELSE '规模：50 人以下' END, 'size', 3, CASE k % 3 WHEN 0 THEN '50:1000000' ELSE '1:50' END, 0, false FROM d WHERE k % 3 < 2
-  UNION ALL SELECT external_id, 4, '融资阶段：A轮', 'funding', 3, 'A轮', 1, false FROM d WHERE k % 4 = 0
-  UNION ALL SELECT external_id, 5, CASE k % 5 WHEN 0 THEN '意向信号：urgent hiring' ELSE '意向信号：hiring' END, 'signal', 2, '', 1, true FROM d WHERE k % 5 < 2
-  UNION ALL SELECT external_id, 7, '业务特征：cold chain logistics', 'business', 3, '', 1, true FROM d WHERE k % 6 = 0
-  UNION ALL SELECT c.external_id, 6, '业务特征：' || CASE WHEN length(t) <= 22 THEN t ELSE substr(t, 1, 22) || '…' END, 'business', 3, '', 1, true
+CRITERIA_ROWS = f"""{A.COMPANIES}, d AS (SELECT external_id, pos AS k, {_PLACE} AS place, {_FAMILY} AS family FROM companies c), x AS (
+  SELECT external_id AS list_id, 1 AS o, '地域：' || place AS text, 'geo' AS category, 5 AS weight, place AS expected, CASE WHEN place IN ('ASIA', 'EUROPE') THEN 5 ELSE 1 END AS tokens, false AS lenient,
+    CASE place WHEN 'ASIA' THEN 'NATION_2/NATION_7/NATION_12/NATION_17/NATION_22' WHEN 'EUROPE' THEN 'NATION_3/NATION_8/NATION_13/NATION_18/NATION_23' ELSE place END AS words FROM d WHERE place IS NOT NULL
+  UNION ALL SELECT external_id, 2, '行业：' || family, 'industry', 5, family, CASE family WHEN 'making' THEN 2 ELSE 3 END, false, CASE family WHEN 'making' THEN 'machinery/automobile' ELSE 'building/furniture/household' END FROM d WHERE family <> ''
+  UNION ALL SELECT external_id, 3, CASE k % 3 WHEN 0 THEN '规模：50 人以上' ELSE '规模：50 人以下' END, 'size', 3, CASE k % 3 WHEN 0 THEN '50:1000000' ELSE '1:50' END, 0, false, '' FROM d WHERE k % 3 < 2
+  UNION ALL SELECT external_id, 4, '融资阶段：A轮', 'funding', 3, 'A轮', 1, false, 'A轮' FROM d WHERE k % 4 = 0
+  UNION ALL SELECT external_id, 5, CASE k % 5 WHEN 0 THEN '意向信号：urgent hiring' ELSE '意向信号：hiring' END, 'signal', 2, '', 1, true, CASE k % 5 WHEN 0 THEN 'urgent hiring' ELSE 'hiring' END FROM d WHERE k % 5 < 2
+  UNION ALL SELECT external_id, 7, '业务特征：cold chain logistics', 'business', 3, '', 1, true, 'cold chain logistics' FROM d WHERE k % 6 = 0
+  UNION ALL SELECT c.external_id, 6, '业务特征：' || CASE WHEN length(t) <= 22 THEN t ELSE substr(t, 1, 22) || '…' END, 'business', 3, '', 1, true, t
     FROM (SELECT c.external_id, 'Find ' || CASE WHEN industry = '' THEN 'any' ELSE industry END || ' companies in ' || replace(c.location, ', ', ' of ') AS seg, d.place, d.family, industry FROM companies c JOIN d USING (external_id)) c,
     LATERAL (SELECT regexp_replace(c.seg, '\\s+$', '') AS t), LATERAL (SELECT trim(replace(replace(replace(replace(CASE WHEN c.family <> '' THEN replace(CASE WHEN c.place IS NULL THEN t ELSE replace(t, c.place, '') END, c.industry, '') ELSE CASE WHEN c.place IS NULL THEN t ELSE replace(t, c.place, '') END END, 'companies', ''), 'Find', ''), 'in', ''), '', ''), ' ') AS rest) WHERE length(rest) >= 4
-  UNION ALL SELECT external_id, 8, '可触达性', 'reachability', 1, '', 0, false FROM d)
+  UNION ALL SELECT external_id, 8, '可触达性', 'reachability', 1, '', 0, false, '' FROM d)"""
+CRITERIA_SQL = f"""WITH {CRITERIA_ROWS}
 SELECT list_id, (row_number() OVER (PARTITION BY list_id ORDER BY o) - 1)::INT AS pos, text, ((row_number() OVER (PARTITION BY list_id ORDER BY o) - 1) % 4)::INT AS color, category, weight, expected, tokens, lenient FROM x"""
 
 
@@ -192,6 +219,27 @@ def merged_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("list_id", F.posexplode(made).alias("pos", "c")).select("list_id", "pos", F.col("c.name").alias("text"), F.col("c.category").alias("category"), F.array_join("c.tokens", "/").alias("tokens"))
 
 
+PERSON_SQL = f"""WITH {A.PEOPLE}, p AS (SELECT *, first || ' ' || last AS full_name, n_name IN ('NATION_21', 'NATION_17', 'NATION_8', 'NATION_3') AS city FROM people), x AS (
+  SELECT external_id AS list_id, 1 AS o, '姓名：' || full_name AS text, 'name' AS category, 5 AS weight, full_name AS tokens FROM p
+  UNION ALL SELECT external_id, 2, '职位：销售／市场／技术（任一）', 'title', 4, '销售/sales/市场/marketing/cmo/技术/研发/engineering/cto' FROM p
+  UNION ALL SELECT external_id, 3, '职级：管理层及以上', 'seniority', 3, 'director' FROM p
+  UNION ALL SELECT external_id, 4, '地域：' || n_name, 'geo', 3, n_name FROM p WHERE city
+  UNION ALL SELECT external_id, 5, '意向信号：正在招聘', 'signal', 2, '正在招聘' FROM p
+  UNION ALL SELECT external_id, 6, '履历背景：' || n_name, 'background', 3, n_name FROM p WHERE NOT city
+  UNION ALL SELECT external_id, 7, '履历背景：speaks three languages', 'background', 3, 'speaks three languages' FROM p
+  UNION ALL SELECT external_id, 8, '履历背景：likes long walks', 'background', 3, 'likes long walks' FROM p
+  UNION ALL SELECT external_id, 9, '可触达性', 'reachability', 1, '' FROM p)
+SELECT list_id, (row_number() OVER (PARTITION BY list_id ORDER BY o) - 1)::INT AS pos, text, category, weight, tokens FROM x"""
+MERGED_SQL = f"""WITH {CRITERIA_ROWS}, f AS (SELECT d.external_id AS list_id, place, family, n_name, n_name IN ('NATION_21', 'NATION_17', 'NATION_8', 'NATION_3') AS city,
+    EXISTS (FROM x WHERE x.list_id = d.external_id AND x.category = 'business' AND contains(x.text, 'furniture')) AS named FROM d JOIN companies USING (external_id)),
+y AS (SELECT x.list_id, o, CASE WHEN category = 'industry' AND family = 'making' AND NOT named THEN '行业：making／homes（任一）' ELSE text END AS text, category, CASE WHEN category = 'industry' AND family = 'making' AND NOT named THEN words || '/building/furniture/household' ELSE words END AS tokens
+    FROM x JOIN f USING (list_id) WHERE category <> 'reachability'
+  UNION ALL SELECT list_id, 11, CASE WHEN city THEN '地域：' ELSE '业务特征：' END || n_name, CASE WHEN city THEN 'geo' ELSE 'business' END, n_name FROM f WHERE place IS DISTINCT FROM n_name
+  UNION ALL SELECT list_id, 12, '业务特征：cold storage', 'business', 'cold storage' FROM f
+  UNION ALL SELECT list_id, 13, '行业：homes', 'industry', 'building/furniture/household' FROM f WHERE family = '' AND NOT named)
+SELECT list_id, (row_number() OVER (PARTITION BY list_id ORDER BY o) - 1)::INT AS pos, text, category, tokens FROM y"""
+
+
 def raw_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as the output of a generator: a list per order, good and bad entries mixed."""
     x = A.table(spark, sf_dir, "lineitem")
@@ -199,20 +247,21 @@ def raw_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("geo", "industry", "size", "funding", "business", "reachability"))), (k % 6).cast("int") + 1)
     expected = F.when(k % 6 == 2, F.concat((k % 90).cast("string"), F.lit(":"), (k % 70 + 20).cast("string"))).when(k % 6 == 3, F.when(k % 4 == 1, "A轮").otherwise("Z轮")).otherwise("x")
     tokens = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(" a "), F.lit("a"), F.lit("")))
-    return x.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string")).alias("list_id"), n.alias("pos"), kind.alias("category"), F.concat(F.lit(" n"), F.col("l_linenumber").cast("string")).alias("name"), F.lit("").alias("question"), expected.alias("expected"), F.lit("").alias("note"), (k % 7).cast("string").alias("weight"), tokens.alias("tokens"))
+    return x.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string")).alias("list_id"), n.alias("pos"), kind.alias("category"), F.concat(F.lit(" n"), F.col("l_linenumber").cast("string")).alias("name"), F.when(k % 8 == 0, " q ").otherwise("").alias("question"), expected.alias("expected"), F.when(k % 9 == 0, " why ").otherwise("").alias("note"), (k % 7).cast("string").alias("weight"), tokens.alias("tokens"))
 
 
 def validated_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.validate_criteria(raw_criteria(spark, sf_dir)).withColumn("tokens", F.array_join("tokens", "/"))
+    return C.validate_criteria(raw_criteria(spark, sf_dir)).withColumn("tokens", F.array_join("tokens", "/")).drop("lenient")
 
 
-VALIDATED_SQL = """WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS pos FROM lineitem),
+VALIDATED_SQL = f"""WITH {CRC}, u AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS pos FROM lineitem),
 r AS (SELECT 'l' || l_orderkey AS list_id, pos, list_extract(['geo', 'industry', 'size', 'funding', 'business', 'reachability'], (k % 6)::INT + 1) AS category, 'n' || l_linenumber AS name, (k % 7)::INT AS weight, k FROM u),
 g AS (SELECT *, row_number() OVER (PARTITION BY list_id, category ORDER BY pos) AS nth FROM r WHERE category <> 'reachability' AND weight BETWEEN 1 AND 5
   AND CASE category WHEN 'size' THEN k % 90 <= k % 70 + 20 WHEN 'funding' THEN k % 4 = 1 ELSE k % 5 <> 0 END),
-f AS (SELECT *, count(*) OVER (PARTITION BY list_id) AS n FROM g WHERE nth <= CASE category WHEN 'business' THEN 3 ELSE 1 END)
-SELECT list_id, pos, category, name, weight, CASE WHEN category = 'size' THEN '' WHEN k % 5 = 0 THEN 'A轮' ELSE 'a' END AS tokens,
-  CASE category WHEN 'size' THEN (k % 90) || ':' || (k % 70 + 20) WHEN 'funding' THEN 'A轮' ELSE 'x' END AS expected, category = 'business' AS lenient FROM f WHERE n >= 2"""
+f AS (SELECT *, count(*) OVER (PARTITION BY list_id) AS n FROM g WHERE nth <= CASE category WHEN 'business' THEN 3 ELSE 1 END),
+e AS (SELECT *, CASE category WHEN 'size' THEN (k % 90) || ':' || (k % 70 + 20) WHEN 'funding' THEN 'A轮' ELSE 'x' END AS expected FROM f WHERE n >= 2),
+ids AS (SELECT name, expected, {crc_sql("name || '|' || expected")} % 1000000 AS crc FROM (SELECT DISTINCT name, expected FROM e), crc_table)
+SELECT list_id, pos, 'criterion-' || category || '-' || crc AS id, CASE WHEN k % 8 = 0 THEN 'q' ELSE '公开资料是否体现了「' || name || '」？' END AS question, CASE WHEN k % 9 = 0 THEN 'why' ELSE '由 LLM 依据画像推导。' END AS rationale, category, name, weight, CASE WHEN category = 'size' THEN '' WHEN k % 5 = 0 THEN 'A轮' ELSE 'a' END AS tokens, expected FROM e JOIN ids USING (name, expected)"""
 
 QUERIES = {
     "t_url_scalars": url_scalars, "t_title_names": title_names, "t_size_and_funding": size_and_funding, "t_name_matching": name_matching, "t_conversation_scalars": conversation_scalars, "t_request_keys": seeds_and_keys,
@@ -221,5 +270,5 @@ QUERIES = {
 }
 ORACLE = {
     "t_url_scalars": URL_SQL, "t_title_names": TITLE_SQL, "t_size_and_funding": SIZE_SQL, "t_name_matching": NAME_SQL, "t_conversation_scalars": CONVERSATION_SQL,
-    "c_profile_detection": DETECTION_SQL, "c_profile_criteria": CRITERIA_SQL, "c_profile_hints": HINTS_SQL, "c_validated_criteria": VALIDATED_SQL,
+    "t_request_keys": KEYS_SQL, "t_page_markup": MARKUP_SQL, "c_person_criteria": PERSON_SQL, "c_merged_conditions": MERGED_SQL, "c_profile_detection": DETECTION_SQL, "c_profile_criteria": CRITERIA_SQL, "c_profile_hints": HINTS_SQL, "c_validated_criteria": VALIDATED_SQL,
 }

@@ -18,4 +18,5 @@ CRITERION = (
     "struct<id: string, name: string, question: string, category: string, weight: int, tokens: array<string>, expected: string, rationale: string, lenient: boolean>"
 )
 VERDICT = "struct<criterion: string, category: string, weight: int, hard: boolean, verdict: string>"
+MASTER = "dedupe_key string, name string, first_source string, first_seen_at timestamp, last_seen_at timestamp, last_source string, seen_count long"
 KINDS = {"company": COMPANY, "person": PERSON, "contact": CONTACT, "web_result": WEB_RESULT}

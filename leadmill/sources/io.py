@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +14,18 @@ from leadmill.functions import text as X
 from leadmill.schemas import KINDS
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the cluster that all executors share; a temporary one only in a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="spark-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def no_nulls(df: DataFrame) -> DataFrame:
     """Nulls as the empty value of their type."""
     out = []

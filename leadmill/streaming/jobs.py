@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.operators.enrich import company_master, merge_master
 from leadmill.operators.judge import judge
+from leadmill.schemas import MASTER
 
 
 def stream_judge(candidates: DataFrame, criteria: DataFrame, people: bool = False) -> DataFrame:
@@ -19,15 +20,51 @@ def stream_dedupe(entities: DataFrame, late: str = "1 hour") -> DataFrame:
     return entities.withWatermark("found_at", late).dropDuplicatesWithinWatermark(["run_id", "name"])
 
 
-def stream_company_master(sightings: DataFrame, path: str, checkpoint: str):
-    """Keeps the company master at ``path`` from a stream of sightings: each batch is merged into a new version."""
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The complete versions of each part of a master, ascending."""
+    jvm, found = spark._jvm, {}
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for version in fs.listStatus(root) if fs.exists(root) else ():
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(version.getPath(), "_SUCCESS")):
+            for part in fs.listStatus(version.getPath()):
+                if (name := part.getPath().getName()).startswith("part="):
+                    found.setdefault(int(name[5:]), []).append(int(version.getPath().getName()[8:]))
+    return {part: sorted(numbers) for part, numbers in found.items()}
+
+
+def _part_path(path: str, part: int, number: int) -> str:
+    return f"{path}/version={number}/part={part}"
+
+
+def read_master(spark: SparkSession, path: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+    """The newest version of each part of the master at ``path``; empty where there is none."""
+    newest = {p: [n for n in ns if before is None or n < before] for p, ns in _versions(spark, path).items() if parts is None or p in parts}
+    paths = [_part_path(path, p, ns[-1]) for p, ns in sorted(newest.items()) if ns]
+    return spark.read.schema(MASTER).parquet(*paths) if paths else spark.createDataFrame([], MASTER)
+
+
+def stream_company_master(sightings: DataFrame, path: str, checkpoint: str, parts: int = 256):
+    """Keeps the company master at ``path`` from a stream of sightings; read it by ``read_master``.
+
+    The master is cut into parts by a hash of the key. A batch reads and rewrites only the parts that its keys
+    lie in, as a version with the batch's number, so a batch that runs again gives the same. Of each part
+    the last two versions stay.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = company_master(batch)
-        if number:
-            new = merge_master(spark.read.parquet(f"{path}/version={number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        part = F.expr(f"cast(pmod(xxhash64(dedupe_key), {parts}) as int)").alias("part")
+        new = company_master(batch).persist()
+        touched = [r["part"] for r in new.select(part).distinct().collect()]  # ``parts`` at most
+        if touched:
+            merged = merge_master(read_master(spark, path, number, touched), new)
+            merged.select("*", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/version={number}")
+            for p, numbers in _versions(spark, path).items():
+                for old in [n for n in numbers if n <= number][:-2] if p in touched else ():
+                    gone = spark._jvm.org.apache.hadoop.fs.Path(_part_path(path, p, old))
+                    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        new.unpersist()
 
     return sightings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
