@@ -19,6 +19,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _SPACE, "")
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct strings of n characters in a text, found in one pass of a pattern."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 

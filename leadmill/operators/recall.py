@@ -28,12 +28,6 @@ def top(df: DataFrame, keys: Sequence[str], n: Column | int, *order: Column | st
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")
 
 
-def grams(text: Column, n: int) -> Column:
-    """The distinct strings of n characters in a text."""
-    found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.filter(found, lambda g: F.length(g) == n))
-
-
 #: Words that texts are compared with one by one, and words that are broadcast.
 FEW, BROADCAST = 64, 500_000
 
@@ -44,17 +38,20 @@ def containing(texts: DataFrame, words: DataFrame, few: int = FEW, most: int = B
     Up to ``few`` words are broadcast and compared with every text. More are found by an equi-join on one
     block of each: of its strings of three characters, or the whole word if it is shorter, the one in fewest
     texts, so no common block gathers rows; words with a block that no text has go at once. The blocks are
-    broadcast up to ``most`` words and shuffled beyond. Texts are read again only where a block was met.
+    broadcast up to ``most`` words and shuffled beyond. Texts are read again only where a block was met. A
+    table in fewer files than there are cores is dealt to all of them first.
     """
     words = words.select("word").where("word <> ''").distinct()
     n = words.limit(max(few, most) + 1).count()
     if n <= few:
         return texts.join(F.broadcast(words), F.contains("said", F.col("word"))).select("pos", "word")
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    texts = texts.repartition(cores, "pos") if len(texts.inputFiles()) < cores else texts
     small = F.broadcast if n <= most else (lambda df: df)
     sizes = sorted(r[0] for r in words.select(F.least(F.length("word"), F.lit(3))).distinct().collect())  # three at most
-    own = F.coalesce(*[F.when(F.least(F.length("word"), F.lit(3)) == k, grams(F.col("word"), k)) for k in sizes])
+    own = F.coalesce(*[F.when(F.least(F.length("word"), F.lit(3)) == k, T.grams(F.col("word"), k)) for k in sizes])
     blocks = words.select("word", F.explode(own).alias("block"))
-    opened = texts.select("pos", F.explode(F.concat(*[grams(F.col("said"), k) for k in sizes])).alias("block"))
+    opened = texts.select("pos", F.explode(F.concat(*[T.grams(F.col("said"), k) for k in sizes])).alias("block"))
     met = opened.join(small(blocks.select("block").distinct()), "block").groupBy("block").agg(F.count("*").alias("n"))
     rarest = blocks.join(met, "block", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block")).alias("b")).where("b.n > 0")
     near = opened.join(small(rarest.select("word", F.col("b.block").alias("block"))), "block").select("pos", "word")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadmill.functions import text as T
 from leadmill.operators import recall as R
 from leadmill.plans.texts import _SITE, SKIP, SUFFIXES, site
 from leadmill.sources import adapters as A
@@ -196,16 +197,17 @@ HOMEPAGES_SQL = f"""WITH {A.WEB}, h AS (SELECT pos % 40 AS entity_id, rank, {_SI
 
 
 def subpages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best links of each site among the page addresses of its query."""
+    """The three best links of each site among the page addresses; every seventh was found on another site."""
     w = A.web_results(spark, sf_dir)
     word = F.element_at(F.array(*map(F.lit, ("about-us", "products", "x", "news/contact", "关于我们", "join"))), (F.col("pos") % 6).cast("int") + 1)
-    links = w.select(F.col("query_id").alias("page_id"), F.lit("https://therin.example.net/").alias("home"), F.regexp_replace("url", F.lit("(//[^/]*/)"), F.concat(F.lit("$1"), word, F.lit("/"))).alias("link"))
+    own = site(T.extract_host(F.col("url")))
+    links = w.select(own.alias("page_id"), F.when(F.col("pos") % 7 == 0, "https://none.example.net/").otherwise(F.concat(F.lit("https://"), own)).alias("home"), F.regexp_replace("url", F.lit("(//[^/]*/)"), F.concat(F.lit("$1"), word, F.lit("/"))).alias("link"))
     return R.pick_subpages(links, 3, SUFFIXES)
 
 
-SUBPAGES_SQL = f"""WITH {A.WEB}, l AS (SELECT query_id AS page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '(//[^/]*/)', '\\1' || list_extract(['about-us', 'products', 'x', 'news/contact', '关于我们', 'join'], (pos % 6)::INT + 1) || '/'), '[?#].*$', ''), '/+$', '')) AS link, {_SITE} AS site FROM web),
+SUBPAGES_SQL = f"""WITH {A.WEB}, l AS (SELECT {_SITE} AS page_id, pos, lower(regexp_replace(regexp_replace(regexp_replace(url, '(//[^/]*/)', '\\1' || list_extract(['about-us', 'products', 'x', 'news/contact', '关于我们', 'join'], (pos % 6)::INT + 1) || '/'), '[?#].*$', ''), '/+$', '')) AS link, {_SITE} AS site FROM web),
 g AS (SELECT *, contains(path, 'about')::INT + contains(path, '关于')::INT + contains(path, 'product')::INT + contains(path, 'join')::INT + contains(path, 'news')::INT AS score FROM (SELECT *, coalesce(string_split(link, '/')[4], '') AS path FROM l)),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(path), link) AS place FROM g WHERE site = 'therin.example.net' AND path <> '') SELECT page_id, place::INT AS place, link, score FROM r WHERE place <= 3"""
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(path), link) AS place FROM g WHERE pos % 7 <> 0 AND path <> '') SELECT page_id, place::INT AS place, link, score FROM r WHERE place <= 3"""
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

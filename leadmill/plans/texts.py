@@ -122,7 +122,7 @@ def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BREAKS = "p|div|br|li|tr|td|th|section|article|h1|h2|h3|h4|h5|h6|blockquote|pre|hr"
-_PLAIN = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
 MARKUP_SQL = rf"""WITH s AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<head>.*?</head>', '', 'g'), '(?s)<script.*?</script>', '', 'g') AS body FROM pages),
 t AS (SELECT *, regexp_replace(regexp_replace(body, '(?i)</?(?:{_BREAKS})(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>|<[^>]*$', '', 'g') AS bare FROM s),
 x AS (SELECT *, array_to_string(list_filter(list_transform(string_split({_PLAIN.format("bare")}, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10)) AS said, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS root FROM t),
