@@ -19,9 +19,9 @@ very long one takes some 50 bytes a word in its task.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,28 @@ SCRIPTS = (
 NAMES = sorted({s for s, _, _ in SCRIPTS}) + ["other"]
 _EDGES = sorted((a, b, NAMES.index(s)) for s, a, b in SCRIPTS)
 _STARTS, _ENDS, _KINDS = (np.array(x) for x in zip(*_EDGES, strict=True))
-#: Word characters that are neither letters nor decimal digits, such as fractions and letter numbers.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def _runs(word: str) -> Iterator[tuple[int, str]]:
+    """The runs of letters in a word that also has other characters, such as fractions and letter numbers."""
+    at = 0
+    for letters, run in groupby(word, str.isalpha):
+        part = "".join(run)
+        if letters:
+            yield at, part
+        at += len(part)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a lowered text, runs of letters."""
+    found = WORD.findall(text)
+    return found if "".join(found).isalpha() or not found else [part for w in found for _, part in _runs(w)]
+
+
+def places_of(text: str) -> list[int]:
+    """Where the words of a lowered text begin."""
+    return [m.start() + at for m in WORD.finditer(text) for at, _ in _runs(m[0])]
 
 
 def lowered(text: str) -> str:
@@ -94,7 +113,7 @@ def _counted(langs: list[str], bits: int):
         for batch in (whole.slice(i, BATCH) for whole in batches for i in range(0, whole.num_rows, BATCH)):
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(WORD.findall(lowered(text)))
+                seen.setdefault(lang, Counter()).update(words_of(lowered(text)))
             for lang, words in seen.items():
                 if words:
                     times = np.array(list(words.values()), np.float64)
@@ -200,7 +219,7 @@ def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
     words: list[str] = []
     lengths = np.zeros(len(texts), np.int64)
     for d, text in enumerate(texts):
-        own = WORD.findall(lowered(text)) if text else []
+        own = words_of(lowered(text)) if text else []
         lengths[d] = len(own)
         words.extend(own)
     model.learn(words)
@@ -229,7 +248,7 @@ def label(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
         elif not len(cuts):
             spans.append([{"begin": 0, "end": len(text), "lang": model.langs[own[0]]}])
         else:  # a span ends where the next one's first word begins
-            begins = [m.start() for m in WORD.finditer(lowered(text))]
+            begins = places_of(lowered(text))
             at = [0, *(begins[c] for c in cuts), len(text)]
             spans.append([{"begin": a, "end": b, "lang": model.langs[own[c]]} for a, b, c in zip(at, at[1:], [0, *cuts], strict=False)])
     return [langs[b] for b in best], np.clip(score, 0, 1), familiar, spans
