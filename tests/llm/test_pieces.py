@@ -45,7 +45,7 @@ def charmap(pairs):
         texts += new + b"\0"
     size = 1 << 16
     units = [0] * size
-    states, free = {b"": 0}, [1]
+    states, bases = {b"": 0}, set()  # every state needs a base of its own, or it has another one's children
     prefixes = sorted({s[:i] for s in pairs for i in range(len(s) + 1)}, key=len)
 
     def children(p):
@@ -54,9 +54,10 @@ def charmap(pairs):
     used = {0}
     for p in prefixes:
         node, labels = states[p], children(p) + ([0] if p in pairs else [])
-        base = free[0]
-        while any((base ^ c) in used for c in labels) or base ^ node >= 1 << 21:
+        base = 1
+        while base in bases or any((base ^ c) in used for c in labels) or base ^ node >= 1 << 21:
             base += 1
+        bases.add(base)
         units[node] |= (base ^ node) << 10 | (1 << 8 if p in pairs else 0)
         for c in labels:
             used.add(base ^ c)
