@@ -25,6 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,8 +33,10 @@ from pyspark.sql.types import StructType
 from leadmill.llm.columns import col, free
 
 PER_LANG, SLOT_BITS, PENALTY, SMOOTHING = 2000, 17, 6.0, 0.5
-#: Texts at a time, and distinct words that a worker remembers before it starts afresh.
-BATCH, REMEMBERED = 1024, 250_000
+#: Texts and bytes of them at a time (one text at least), and distinct words that a worker remembers before it starts afresh.
+BATCH, BATCH_BYTES, REMEMBERED = 1024, 1 << 21, 250_000
+#: Distinct words whose n-grams are in memory at once.
+AT_ONCE = 1 << 14
 #: First and last code points of scripts (Unicode blocks).
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
@@ -101,6 +104,18 @@ def grams(words: list[str], bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(slots), np.concatenate(owners), np.bitwise_or.reduceat(kinds, ends - sizes)
 
 
+def parts(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so few texts and bytes that their words fit in memory."""
+    sizes = batch.column(text_at).cast(pa.large_binary())
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(sizes), 0).to_numpy())])
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, ends[start] + BATCH_BYTES, "right")) - 1
+        stop = min(max(stop, start + 1), start + BATCH, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def held_out(ident: Column) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % 3 == 1
 
@@ -110,15 +125,16 @@ def _counted(langs: list[str], bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(langs), (1 << bits) + len(NAMES)))
-        for batch in (whole.slice(i, BATCH) for whole in batches for i in range(0, whole.num_rows, BATCH)):
+        for batch in (part for whole in batches for part in parts(whole, 0)):
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(lowered(text)))
             for lang, words in seen.items():
-                if words:
-                    times = np.array(list(words.values()), np.float64)
-                    slots, owner, kinds = grams(list(words), bits)
-                    row = counts[langs.index(lang)]
+                row, found = counts[langs.index(lang)], list(words)
+                for i in range(0, len(found), AT_ONCE):
+                    some = found[i : i + AT_ONCE]
+                    times = np.array([words[w] for w in some], np.float64)
+                    slots, owner, kinds = grams(some, bits)
                     row[: 1 << bits] += np.bincount(slots, times[owner], 1 << bits)
                     row[1 << bits :] += [times[kinds >> k & 1 > 0].sum() for k in range(len(NAMES))]
         for i, row in enumerate(counts):
@@ -152,17 +168,25 @@ class Model:
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         if not new:
             return
-        slots, owner, kinds = grams(new, self.bits)
-        score = np.stack([np.bincount(owner, self.logp[slots, k], len(new)) for k in range(len(self.langs))], axis=1) / 3
+        tables, knowns = [self.table], [self.known]
+        for i in range(0, len(new), AT_ONCE):
+            score, known = self.scored(new[i : i + AT_ONCE])
+            tables.append(score)
+            knowns.append(known)
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        self.table, self.known = np.concatenate(tables), np.concatenate(knowns)
+
+    def scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words by language, and their n-grams seen by language and in all."""
+        slots, owner, kinds = grams(words, self.bits)
+        score = np.stack([np.bincount(owner, self.logp[slots, k], len(words)) for k in range(len(self.langs))], axis=1) / 3
         masks, at = np.unique(kinds, return_inverse=True)
         fits = np.array([[all(self.uses[k, b] for b in range(len(NAMES)) if m >> b & 1) for k in range(len(self.langs))] for m in masks])
         fits[~fits.any(axis=1)] = True
         score = np.where(fits[at], score, score.min(axis=1, keepdims=True) - 50)
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, score.astype(np.float32)])
         seen = self.seen[slots]
-        known = [np.bincount(owner[seen[:, k]], minlength=len(new)) for k in range(len(self.langs))] + [np.bincount(owner, minlength=len(new))]
-        self.known = np.concatenate([self.known, np.stack(known, axis=1).astype(np.int32)])
+        known = [np.bincount(owner[seen[:, k]], minlength=len(words)) for k in range(len(self.langs))] + [np.bincount(owner, minlength=len(words))]
+        return score.astype(np.float32), np.stack(known, axis=1).astype(np.int32)
 
     def __getstate__(self):
         return {**self.__dict__, "memo": {}, "table": self.table[:0], "known": self.known[:0]}
@@ -262,8 +286,7 @@ _KINDS_ADDED = ("string", "double", "double", "array<struct<begin: int, end: int
 def _labelled(shared, text_at: int, kept: list[int], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(start, BATCH)
+            for batch in parts(whole, text_at):
                 langs, score, familiar, spans = label(batch.column(text_at).to_pylist(), shared.value)
                 names = [batch.schema.names[i] for i in kept]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(score), pa.array(familiar), pa.array(spans, SPANS)], [*names, *added])

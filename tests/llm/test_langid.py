@@ -3,6 +3,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,27 @@ def test_viterbi_equals_one_text_at_a_time(seed):
         best = max(paths, key=lambda x: x[1])
         value = lambda p: sum(float(scores[a + t, k]) for t, k in enumerate(p)) - 3.0 * sum(x != y for x, y in zip(p, p[1:]))
         assert abs(value(list(got[a : a + n])) - best[1]) < 1e-4
+
+
+def test_parts_bound_texts_and_bytes(monkeypatch):
+    """Slices keep all rows in order; a text over the bound is a slice of its own."""
+    texts = [None, "", "ä" * 40, "a" * 200, "b", None, "c" * 99, "d"] + ["e"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]).slice(0, len(texts))
+    monkeypatch.setattr(langid, "BATCH", 3)
+    monkeypatch.setattr(langid, "BATCH_BYTES", 100)
+    got = [part.column(0).to_pylist() for part in langid.parts(batch, 0)]
+    assert [t for part in got for t in part] == texts
+    assert all(len(part) <= 3 and (len(part) == 1 or sum(len((t or "").encode()) for t in part) <= 100) for part in got)
+    assert list(langid.parts(batch.slice(2, 0), 0)) == []
+
+
+def test_words_learned_in_pieces(monkeypatch):
+    """How many words are scored at a time doesn't change a score."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, (3, (1 << 10) + len(langid.NAMES)))
+    words = ["".join(rng.choice(list("abcdefgäжя"), rng.integers(1, 9))) for _ in range(200)]
+    whole, pieces = langid.Model(["x", "y", "z"], counts, 10), langid.Model(["x", "y", "z"], counts, 10)
+    whole.learn(words)
+    monkeypatch.setattr(langid, "AT_ONCE", 7)
+    pieces.learn(words)
+    assert whole.memo == pieces.memo and (whole.table == pieces.table).all() and (whole.known == pieces.known).all()
