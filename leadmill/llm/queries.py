@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import chat, langid, linededup, lmscore, minhash, mixing, mpegts, pieces, sketch, suffixes
+from leadmill.llm import chat, hardneg, langid, lexical, linededup, lmscore, minhash, mixing, mpegts, packing, pieces, sketch, suffixes
 
-#: The tokenizer of op4, a name of the installed public tokenizers.
-TOKENIZER = "piece_bpe_32k.model"
+#: The tokenizers of op4 and op12, names of the installed public tokenizers.
+TOKENIZER, BYTE_TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +76,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_whole(lmscore.with_flag(docs, good, "__good"), F.col("__good"))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_docs(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_chat_formatting, op3_line_dedup, op4_sentencepiece, op5_document_fingerprints,
         op6_transport_streams, op7_suffix_array_dedup, op8_language_id, op9_source_mixing, op10_lm_scoring,
+        op11_block_max_search, op12_retrieval_packing, op13_hard_negatives,
     )
 }
-ORACLE: dict[str, str] = {"op1_minhash_near_dedup": minhash.ORACLE, "op7_suffix_array_dedup": suffixes.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": minhash.ORACLE, "op7_suffix_array_dedup": suffixes.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_source_mixing": mixing.ORACLE, "op11_block_max_search": lexical.ORACLE, "op13_hard_negatives": hardneg.ORACLE}
