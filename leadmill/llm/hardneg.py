@@ -219,10 +219,11 @@ def candidates(unit: np.ndarray, focus: np.ndarray, least: float, bucket: Bucket
     ranges = []
     for f in focus.tolist():
         own = float(unit[f])
-        half = np.sqrt(max(0.0, 1 - least * least) * max(0.0, 1 - own * own)) + 1e-9
+        half = np.sqrt(max(0.0, 1 - least * least) * max(0.0, 1 - own * own))
+        left, right = -1.0 if own <= -least else own * least - half, 1.0 if own >= least else own * least + half  # of all cosines from least to 1
         low, high = bucket.ends[0][f], bucket.ends[1][f]
-        if min(high, own * least + half) - max(low, own * least - half) < NARROW * (high - low):
-            ranges.append((f, own * least - half, own * least + half))
+        if min(high, right) - max(low, left) < NARROW * (high - low):
+            ranges.append((f, left - 1e-9, right + 1e-9))
     if not ranges:
         return None
     looked = []
