@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from leadmill.llm.columns import col, free
+from leadmill.llm.tasks import tidy
 
 PER_LANG, SLOT_BITS, PENALTY, SMOOTHING = 2000, 17, 6.0, 0.5
-#: Texts and bytes of them at a time (one text at least), and distinct words that a worker remembers before it starts afresh.
+#: Texts and bytes of them at a time (one text at least), and distinct words that a task remembers before it starts afresh.
 BATCH, BATCH_BYTES, REMEMBERED = 1024, 1 << 21, 250_000
 #: Distinct words whose n-grams are in memory at once.
 AT_ONCE = 1 << 14
@@ -106,8 +107,7 @@ def grams(words: list[str], bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarr
 
 def parts(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of so few texts and bytes that their words fit in memory."""
-    sizes = batch.column(text_at).cast(pa.large_binary())
-    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(sizes), 0).to_numpy())])
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy().astype(np.int64))])
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(ends, ends[start] + BATCH_BYTES, "right")) - 1
@@ -142,7 +142,7 @@ def _counted(langs: list[str], bits: int):
             if len(full):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, np.int32)), pa.array(full.astype(np.int32)), pa.array(row[full].astype(np.int64))], ["lang", "slot", "n"])
 
-    return run
+    return tidy(run)
 
 
 class Model:
@@ -164,7 +164,7 @@ class Model:
         A full memory starts afresh.
         """
         if len(self.memo) > REMEMBERED:
-            self.memo, self.table, self.known = {}, self.table[:0], self.known[:0]
+            self.forget()
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         if not new:
             return
@@ -188,6 +188,9 @@ class Model:
         known = [np.bincount(owner[seen[:, k]], minlength=len(words)) for k in range(len(self.langs))] + [np.bincount(owner, minlength=len(words))]
         return score.astype(np.float32), np.stack(known, axis=1).astype(np.int32)
 
+    def forget(self) -> None:
+        self.memo, self.table, self.known = {}, self.table[:0].copy(), self.known[:0].copy()
+
     def __getstate__(self):
         return {**self.__dict__, "memo": {}, "table": self.table[:0], "known": self.known[:0]}
 
@@ -291,7 +294,7 @@ def _labelled(shared, text_at: int, kept: list[int], added: list[str]):
                 names = [batch.schema.names[i] for i in kept]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(score), pa.array(familiar), pa.array(spans, SPANS)], [*names, *added])
 
-    return run
+    return tidy(run, lambda: shared.value.forget())
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, bits: int = SLOT_BITS, penalty: float = PENALTY) -> Model:

@@ -3,7 +3,7 @@
 The model's own normaliser is applied by longest-prefix matches through its compiled character map, and
 every normalised byte remembers the source bytes it came from; the pieces tile the normalised text, so each
 one projects to a span of original bytes. The ids are the library's. Texts repeat their words, and no piece
-of such a vocabulary reaches over a word or line start, so a word is encoded once per worker and looked up
+of such a vocabulary reaches over a word or line start, so a word is encoded once per task and looked up
 afterwards; a model with pieces across words is given whole texts.
 
 Nulls: a null text counts as empty and has no pieces. Rows are kept one to one, with null and repeated ids;
@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadmill.llm.tasks import tidy
+
 SPACE = "▁"
-#: Distinct words, and characters of them, that a worker remembers before it starts afresh.
+#: Distinct words, and characters of them, that a task remembers before it starts afresh.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 8_000_000
 
 
@@ -167,19 +169,9 @@ class Codec:
         return begin[np.concatenate([[0], stop[:-1]])], end[stop - 1]
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def codec(model: bytes) -> Codec:
-    key = hash(model)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
-
-
 def _encoded(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = Codec(model)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -195,7 +187,7 @@ def _encoded(model: bytes):
                     [part.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in (ids, begins, ends)), pa.array(decoded, pa.string())], ["id", "ids", "begins", "ends", "decoded"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
