@@ -19,11 +19,12 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 HIDDEN = frozenset("script style noscript svg head template".split())
 BLOCKS = frozenset("p div br li tr td th section article h1 h2 h3 h4 h5 h6 blockquote pre hr".split())
 
-#: Comments; raw elements with all that they hold; tags with their attributes; broken markup at the end; text.
+#: Comments; raw elements with all that they hold; tags with any number of attributes; broken markup at the end; text.
+#: A quote opens a value only behind "=", and only if it is closed somewhere; else the tag ends at its first ">".
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
       | <(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
-      | <(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<given>(?:"[^"]*"|'[^']*'|[^>"']++){0,400}+)>
+      | <(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<given>(?:[^>=]++|=\s*+"[^"]*"|=\s*+'[^']*'|=)*+)(?P<end>>|\Z)
       | <[!?/][^>]*>
       | <[a-z/!?][^>]*\Z
       | (?P<text>[^<]+|<)""",
@@ -58,7 +59,7 @@ def read(markup: str) -> tuple[str, str, list[str], list[str]]:
                 title.append(plain)
             if not depth:
                 shown.append(plain)
-        if not tag:
+        if not tag or not token["end"]:  # a tag that never ends is none
             continue
         closes, alone = bool(token["close"]), token["given"].endswith("/")
         if tag in BLOCKS:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import text as T
+from leadmill.operators.ranks import free
 from leadmill.operators.recall import keep_first
 from leadmill.schemas import EVIDENCE
 
@@ -65,23 +68,46 @@ def merge_evidence(base: Column, more: Column) -> Column:
     )
 
 
-def merge_enrichment(base: DataFrame, enriched: DataFrame) -> DataFrame:
-    """base records with blanks filled from ``enriched`` (company schema), by dedupe key; blank keys never meet."""
-    new = enriched.withColumn("__key", T.dedupe_key(F.col("domain"), F.col("name"))).where("__key <> ''")
-    new = new.select("__key", *(F.col(c).alias(f"new_{c}") for c in (*FILLABLE, "industries", "evidence", "attributes", "source_id")))
-    key = T.dedupe_key(F.col("domain"), F.col("name"))
-    rows = base.withColumn("__key", T.blank_to_null(key)).join(new, "__key", "left")
-    got = F.col("new_source_id").isNotNull()
-    filled = {c: F.when(got & (F.col(c) == ""), F.coalesce(f"new_{c}", F.lit(""))).otherwise(F.col(c)) for c in FILLABLE}
-    lost = got & (F.col("summary") == "") & (F.coalesce("new_summary", F.lit("")) != "")
-    fresh = F.map_concat(F.map_filter(F.coalesce("new_attributes", F.expr("cast(map() as map<string, string>)")), lambda k, _: k != "enriched_by"), F.create_map(F.lit("enriched_by"), F.col("new_source_id")))
-    attributes = F.map_concat(F.map_filter("attributes", lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the first by all its other columns as text: an aggregate, so a key of any size is no hot one."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    kept, tie = F.struct(*[F.col(c) for c in rest]), F.to_json(F.struct(*[F.struct(F.col(c)).alias(f"c{i}") for i, c in enumerate(rest)]))
+    held = free(df.columns, "kept")
+    return df.groupBy(*keys).agg(F.min_by(kept, tie).alias(held)).select(*keys, *[F.col(held)[c].alias(c) for c in rest])
+
+
+def merge_enrichment(base: DataFrame, enriched: DataFrame, priority: Sequence[str] = ()) -> DataFrame:
+    """base records with blanks filled from ``enriched`` (company schema), by dedupe key; blank keys never meet.
+
+    Sources answer in the order of ``priority``, others after them by name. A field takes the first value that isn't
+    blank, evidence is joined in that order, an attribute comes from the first source that has it, and ``enriched_by``
+    names all, joined by ``+``. Of several records of one source and key, the first as text counts. A base record
+    stays one row.
+    """
+    none = F.expr("cast(map() as map<string, string>)")
+    at, key_col, found = (free(base.columns, c) for c in ("rank", "key", "found"))
+    rank = F.coalesce(*[F.when(F.col("source_id") == x, i) for i, x in enumerate(priority)], F.lit(len(priority))) if priority else F.lit(0)
+    new = enriched.select(T.dedupe_key(F.col("domain"), F.col("name")).alias(key_col), "source_id", *FILLABLE, "industries", "evidence", "attributes").where(F.col(key_col) != "").where(F.col("source_id").isNotNull())
+    new = one_of_each(new, [key_col, "source_id"])
+    first = lambda a, b: F.when(a[at] < b[at], -1).when(a[at] > b[at], 1).when(a["source_id"] < b["source_id"], -1).when(a["source_id"] > b["source_id"], 1).otherwise(0)
+    sources = new.withColumn(at, rank).groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct(at, "source_id", *FILLABLE, "industries", "evidence", "attributes")), first).alias(found))  # a record per source
+    rows = base.withColumn(key_col, T.blank_to_null(T.dedupe_key(F.col("domain"), F.col("name")))).join(sources, key_col, "left")
+    got, of = F.col(found).isNotNull(), lambda c: F.transform(found, lambda x: x[c])
+    best = {c: F.coalesce(F.get(F.filter(of(c), lambda x: x != ""), F.lit(0)), F.lit("")) for c in FILLABLE}
+    filled = {c: F.when(got & (F.col(c) == ""), best[c]).otherwise(F.col(c)) for c in FILLABLE}
+    lost = got & (F.col("summary") == "") & (best["summary"] != "")
+    without = lambda m, other: F.map_filter(m, lambda k, _: ~F.array_contains(F.map_keys(other), k))
+    own = F.aggregate(of("attributes"), none, lambda a, m: F.map_concat(a, without(F.coalesce(m, none), a)))
+    fresh = F.map_concat(F.map_filter(own, lambda k, _: k != "enriched_by"), F.create_map(F.lit("enriched_by"), F.array_join(of("source_id"), "+")))
+    empty = F.array().cast(f"array<{EVIDENCE}>")
     out = {
         **filled,
-        "industries": F.when(got & (F.size("industries") == 0), F.coalesce("new_industries", "industries")).otherwise(F.col("industries")),
-        "evidence": F.when(got, merge_evidence(F.col("evidence"), F.coalesce("new_evidence", F.array().cast(f"array<{EVIDENCE}>")))).otherwise(F.col("evidence")),
+        "industries": F.when(got & (F.size("industries") == 0), F.coalesce(F.get(F.filter(of("industries"), lambda x: F.size(x) > 0), F.lit(0)), "industries")).otherwise(F.col("industries")),
+        "evidence": F.when(got, merge_evidence(F.col("evidence"), F.flatten(F.transform(of("evidence"), lambda x: F.coalesce(x, empty))))).otherwise(F.col("evidence")),
         "missing_fields": F.when(lost, F.array_remove("missing_fields", "summary")).otherwise(F.col("missing_fields")),
-        "attributes": F.when(got, attributes).otherwise(F.col("attributes")),
+        "attributes": F.when(got, F.map_concat(without(F.col("attributes"), fresh), fresh)).otherwise(F.col("attributes")),
     }
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in base.columns])
 
@@ -102,18 +128,31 @@ def _kept() -> list[Column]:
     return [F.col(c).alias(name) for c, name in (("late.name", "name"), ("early.source_id", "first_source"), ("early.seen_at", "first_seen_at"), ("late.seen_at", "last_seen_at"), ("late.source_id", "last_source"))]
 
 
+def _ends(seen_at: str, late_source: str, early_at: str, early_source: str) -> tuple[Column, Column]:
+    """Latest and earliest sighting; one without a time is neither while there is one with a time."""
+    early = F.struct(F.col(early_at).alias("seen_at"), F.col(early_source).alias("source_id"))
+    return F.max(F.struct(F.col(seen_at).alias("seen_at"), F.col(late_source).alias("source_id"), "name")), F.coalesce(F.min(F.when(F.col(early_at).isNotNull(), early)), F.min(early))
+
+
 def company_master(sightings: DataFrame) -> DataFrame:
-    """One row per company from (dedupe_key, name, domain, source_id, seen_at): latest name, first source, times and count."""
+    """One row per company from (dedupe_key, name, domain, source_id, seen_at): latest name, first source, times and count.
+
+    Sightings without a time count, but are first or last only for a company that has no other.
+    """
+    late, early = _ends("seen_at", "source_id", "seen_at", "source_id")
     new = sightings.where("dedupe_key <> ''").groupBy("dedupe_key")
-    late, early = F.struct("seen_at", "source_id", "name"), F.struct("seen_at", "source_id")
-    return new.agg(F.max(late).alias("late"), F.min(early).alias("early"), F.count("*").alias("seen_count")).select("dedupe_key", *_kept(), "seen_count")
+    return new.agg(late.alias("late"), early.alias("early"), F.count("*").alias("seen_count")).select("dedupe_key", *_kept(), "seen_count")
+
+
+def merged_master(rows: DataFrame) -> DataFrame:
+    """Rows of several masters as one, without reading the sightings again; equal to one master of all sightings, ties included."""
+    late, early = _ends("last_seen_at", "last_source", "first_seen_at", "first_source")
+    return rows.groupBy("dedupe_key").agg(late.alias("late"), early.alias("early"), F.sum("seen_count").alias("seen_count")).select("dedupe_key", *_kept(), "seen_count")
 
 
 def merge_master(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two masters as one, without reading the sightings again; equal to one master of all sightings, ties included."""
-    late, early = F.struct(F.col("last_seen_at").alias("seen_at"), F.col("last_source").alias("source_id"), "name"), F.struct(F.col("first_seen_at").alias("seen_at"), F.col("first_source").alias("source_id"))
-    both = old.unionByName(new).groupBy("dedupe_key")
-    return both.agg(F.max(late).alias("late"), F.min(early).alias("early"), F.sum("seen_count").alias("seen_count")).select("dedupe_key", *_kept(), "seen_count")
+    """Two masters as one."""
+    return merged_master(old.unionByName(new))
 
 
 def first_seen_by_source(master: DataFrame, period: str = "month") -> DataFrame:
@@ -217,13 +256,14 @@ def apply_dossier(rows: DataFrame, dossiers: DataFrame, extra_fields: tuple[str,
 
     The legal name, else the dossier's, replaces the row's: the only overwrite. Contacts found make that
     state ready, fields without a place in the row go to ``agent_fields``, what was written to ``written``.
+    Fields that the dossiers don't have are blank. Of several dossiers of a key the first as text counts, so a row stays one.
     """
-    d = dossiers.select("row_key", *(F.col(c).alias(f"d_{c}") for c in dossiers.columns if c != "row_key"))
-    joined = rows.join(d, "row_key", "left")
-    col = lambda c: T.strip(F.coalesce(f"d_{c}", F.lit(""))) if f"d_{c}" in d.columns else F.lit("")
+    names = {c: free([*rows.columns, *dossiers.columns], f"d_{c}") for c in dossiers.columns if c != "row_key"}
+    joined = rows.join(one_of_each(dossiers, ["row_key"]).withColumnsRenamed(names), "row_key", "left")
+    col = lambda c: T.strip(F.coalesce(names[c], F.lit(""))) if c in names else F.lit("")
     upgraded = F.coalesce(T.blank_to_null(col("legal_name")), T.blank_to_null(col("name")), F.col("name"))
     fill = {c: F.when(F.col(c) == "", col(c)).otherwise(F.col(c)) for c in ROW_FIELDS}
-    industries = F.when(F.size("industries") == 0, F.coalesce("d_industries", "industries")).otherwise(F.col("industries"))
+    industries = F.when(F.size("industries") == 0, F.coalesce(names["industries"], "industries") if "industries" in names else F.col("industries")).otherwise(F.col("industries"))
     wrote = [F.when(upgraded != F.col("name"), F.struct(F.lit("name").alias("k"), upgraded.alias("v")))]
     wrote += [F.when((F.col(c) == "") & (fill[c] != ""), F.struct(F.lit(c).alias("k"), fill[c].alias("v"))) for c in ROW_FIELDS]
     wrote.append(F.when((F.size("industries") == 0) & (F.size(industries) > 0), F.struct(F.lit("industries").alias("k"), F.array_join(industries, "、").alias("v"))))

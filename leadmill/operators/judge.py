@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadmill import vocab
 from leadmill.functions.text import all_names, any_in, blank_to_null, employee_range, literals, match_name, name_forms, normalize_funding, range_covers, strip
+from leadmill.operators.enrich import one_of_each
 from leadmill.vocab import NO, UNSURE, YES
 
 
@@ -200,11 +201,14 @@ def judge(records: DataFrame, people: bool = False) -> DataFrame:
 
 
 def rejudge(rows: DataFrame, records: DataFrame, people: bool = False) -> DataFrame:
-    """rows (list_id, row_key, score, match_level, match_reason, criteria) judged anew where a record (row_key, ...) exists."""
-    new = judge(rows.select("list_id", "row_key", "criteria").join(records, "row_key"), people)
-    new = new.select("list_id", "row_key", *(F.col(c).alias(f"new_{c}") for c in ("score", "match_level", "match_reason")))
-    kept = [F.coalesce(f"new_{c}", c).alias(c) for c in ("score", "match_level", "match_reason")]
-    return rows.join(new, ["list_id", "row_key"], "left").select("list_id", "row_key", *kept)
+    """rows (list_id, row_key, score, match_level, match_reason, criteria) judged anew where a record (row_key, ...) exists.
+
+    A row stays one row: of several records of a key the first as text counts, and rows that repeat a key are judged each.
+    """
+    out = ("list_id", "row_key", "score", "match_level", "match_reason")
+    one = one_of_each(records, ["row_key"])
+    new = judge(rows.select("list_id", "row_key", "criteria").join(one, "row_key"), people)
+    return new.select(*out).unionByName(rows.join(one.select("row_key"), "row_key", "left_anti").select(*out))
 
 
 def evaluation_rows(judged: DataFrame, people: bool = False) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Rows of lists: building, filtering, sorting, paging. Windows are always per list."""
+"""Rows of lists: building, filtering, sorting, paging.
+
+Places in a list come from ``ranks.numbered``, so a list with most of the rows is sorted by all tasks.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +10,27 @@ from pyspark.sql import functions as F
 
 from leadmill import vocab
 from leadmill.functions.text import row_key
+from leadmill.operators.ranks import MOST, free, numbered, same_keys
 
 
 def level_order(level: Column) -> Column:
     return F.when(level == vocab.FULL, 0).when(level == vocab.PARTIAL, 1).when(level == vocab.UNCONFIRMED, 2).otherwise(9)
 
 
-def build_rows(judged: DataFrame, started: Column, people: bool = False) -> DataFrame:
+def build_rows(judged: DataFrame, started: Column, people: bool = False, most: int = MOST) -> DataFrame:
     """Judged records (list_id, seed, pos, ...) to rows: id by seed and position, states, time of creation."""
-    at = (F.row_number().over(Window.partitionBy("list_id").orderBy("pos")) - 1).alias("at")
-    rows = judged.select("*", at)
+    place = free(judged.columns, "at")
+    rows = numbered(judged, ["list_id"], ["pos"], place, most)
+    at = F.col(place) - 1
     lacks = lambda c: F.array_contains("missing_fields", c)
     key = row_key(F.col("source_url"), F.col("name")) if people else row_key(F.col("domain"), F.col("name"))
     reach = (F.col("contact_email") != "") | (F.col("contact_phone") != "") if people else ~lacks("contacts")
     count = F.when(reach, 1).otherwise(0) if people else F.col("contact_count")
     own = [] if people else [F.when(lacks("official_contact"), "blocked").otherwise("ready").alias("official_contact_state")]
     return rows.select(
-        "list_id", F.concat(F.lit("row-"), F.col("seed").cast("string"), F.lit("-"), F.col("at").cast("string")).alias("row_id"), F.col("at").alias("pos"), key.alias("row_key"), "name", "score", "match_level", "match_reason",
+        "list_id", F.concat(F.lit("row-"), F.col("seed").cast("string"), F.lit("-"), at.cast("string")).alias("row_id"), at.alias("pos"), key.alias("row_key"), "name", "score", "match_level", "match_reason",
         F.when(lacks("summary"), "failed").otherwise("ready").alias("summary_state"), F.when(reach, "ready").otherwise("failed").alias("contact_state"), *own, count.cast("long").alias("contact_count"),
-        (started + F.make_dt_interval(secs=F.col("at") * 7)).alias("created_at"),
+        (started + F.make_dt_interval(secs=at * 7)).alias("created_at"),
     )
 
 
@@ -45,17 +50,17 @@ def order_by(sort: str = "match", address: str = "row_key") -> list[Column]:
     return [*first, F.col("pos")]
 
 
-def sort_rows(rows: DataFrame, sort: str = "match") -> DataFrame:
+def sort_rows(rows: DataFrame, sort: str = "match", most: int = MOST) -> DataFrame:
     """With the place of each row in its list."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("list_id").orderBy(*order_by(sort))))
+    return numbered(rows, ["list_id"], order_by(sort), "place", most)
 
 
-def page_rows(rows: DataFrame, lists: DataFrame, page: int, size: int, keyword: str = "", match_level: str = "", sort: str = "match", people: bool = False) -> DataFrame:
+def page_rows(rows: DataFrame, lists: DataFrame, page: int, size: int, keyword: str = "", match_level: str = "", sort: str = "match", people: bool = False, most: int = MOST) -> DataFrame:
     """One page of each list with the total: the discovered prefix, filtered, sorted, cut."""
     seen = rows.join(lists.select("list_id", "discovered_count"), "list_id").where("pos < discovered_count").drop("discovered_count")
-    ranked = sort_rows(filter_rows(seen, keyword, match_level, people), sort)
-    total = F.count("*").over(Window.partitionBy("list_id"))
-    return ranked.withColumn("total", total).where(F.col("place").between((page - 1) * size + 1, page * size))
+    chosen = filter_rows(seen, keyword, match_level, people)
+    totals = chosen.groupBy("list_id").agg(F.count("*").alias("total"))
+    return same_keys(sort_rows(chosen, sort, most).where(F.col("place").between((page - 1) * size + 1, page * size)), totals, ["list_id"], "inner")
 
 
 def blocked_rows(rows: DataFrame, selected: DataFrame) -> DataFrame:

@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 
 from leadmill import vocab
 from leadmill.functions import text as T
+from leadmill.operators.ranks import MOST, free, numbered
+from leadmill.sources.io import stored
 from leadmill.schemas import EVIDENCE
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """The first row of each key in the given order."""
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
+    return top(df, keys, 1, *order)
 
 
 def top(df: DataFrame, keys: Sequence[str], n: Column | int, *order: Column | str) -> DataFrame:
     """The first n rows of each key."""
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")
+    nth = free(df.columns, "nth")
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(nth) <= n).drop(nth)
 
 
 #: Words that texts are compared with one by one, and words that are broadcast.
@@ -145,48 +148,36 @@ def rotated(pos: Column, offset: Column, n: Column) -> Column:
     return F.pmod(pos - F.pmod(offset, F.greatest(n, F.lit(1))), F.greatest(n, F.lit(1)))
 
 
-#: Ranges of positions that a corpus is cut into for ranks.
-RANGES = 64
-
-
-def _ranged(corpus: DataFrame, keys: list[str]) -> DataFrame:
-    """With ``range``, the number of the range of positions that a row lies in."""
-    cuts = sorted({int(c) for c in corpus.approxQuantile("pos", [i / RANGES for i in range(1, RANGES)], 0.002)})
-    return corpus.select(*keys, "pos", sum((F.col("pos") > c).cast("int") for c in cuts) if cuts else F.lit(0)).toDF(*keys, "pos", "range")
-
-
-def _rotated_recall(queries: DataFrame, hits: DataFrame, scoped: DataFrame, one_scope: bool = False) -> DataFrame:
-    """queries (query_id, scope, seed, limit, turned), hits (query_id, pos, score), scoped (scope, pos): (query_id, pos, score, place).
+def _rotated_recall(queries: DataFrame, hits: DataFrame, scoped: DataFrame, turned: bool, most: int) -> DataFrame:
+    """queries (query_id, scope, seed, limit), hits (query_id, pos, score), scoped (scope, pos): (query_id, pos, score, place).
 
     Hits come first: by score and position, or where ``turned``, by position rotated by the seed. The rest of
-    the scope follows, rotated by it, as far as the limit reaches. Ranks in the rest are sums over ranges of
-    positions, so only the ranges are read that hold wanted ranks, and no query meets its whole scope.
+    the scope follows, rotated by it, as far as the limit reaches. Positions have a rank in their scope. The
+    place j of the rest is the rank j plus the hits that lie before it: those whose own rank less the hits
+    before them is j at most. A rest is only wanted by a query with fewer hits than its limit, so ranks are found from
+    less than twice its limit of rows, and looked up by an equi-join: a query meets as many rows of its scope as it returns.
     """
-    sizes = scoped.groupBy("scope", "range").agg(F.count("*").alias("size"))
-    sizes = F.broadcast(sizes) if one_scope else sizes  # then it has a row per range
-    hits = hits.join(scoped.select("pos", "range").distinct(), "pos")
-    found = hits.groupBy("query_id", "range").agg(F.count("*").alias("found"))
-    upto = Window.partitionBy("query_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("query_id")
-    grid = queries.join(sizes, "scope").join(found, ["query_id", "range"], "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("rest", F.col("size") - F.col("found"))
-    grid = grid.withColumn("before", F.coalesce(F.sum("rest").over(upto), F.lit(0))).withColumn("hits_before", F.coalesce(F.sum("found").over(upto), F.lit(0)))
-    grid = grid.withColumn("n", F.sum("rest").over(whole)).withColumn("hits", F.sum("found").over(whole))
-    # hits: those of a query in a range are numbered on their own where positions count
-    told = grid.select("query_id", "range", "hits", "hits_before", "seed", "limit", "turned", "n")
-    rows = hits.join(told, ["query_id", "range"])
-    at = F.row_number().over(Window.partitionBy("query_id", "range").orderBy("pos")) - 1 + F.col("hits_before")
-    turned = rows.where("turned").withColumn("at", at).withColumn("turn", rotated(F.col("at"), F.pmod("seed", "hits"), F.col("hits")))
-    plain = rows.where("not turned").withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos")) - 1)
-    first = turned.drop("at").unionByName(plain).where("turn < limit").select("query_id", "pos", "score", (F.col("turn") + 1).cast("int").alias("place"))
-    # the rest: ranks from start on, around the end
-    start = F.pmod(F.when(F.col("turned"), F.pmod("seed", F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.greatest("n", F.lit(1))))).otherwise(F.col("seed")), F.greatest("n", F.lit(1)))
-    open_ = grid.where("hits < limit and rest > 0").withColumn("start", start).withColumn("need", F.col("limit") - F.col("hits"))
-    meets = lambda lo: (F.col("before") < lo + F.col("need")) & (F.col("before") + F.col("rest") > lo)
-    open_ = open_.where(meets(F.col("start")) | meets(F.col("start") - F.col("n"))).select("query_id", "scope", "range", "before", "n", "hits", "start", "need")
-    rest = open_.join(scoped, ["scope", "range"]).join(hits.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
-    at = F.row_number().over(Window.partitionBy("query_id", "range").orderBy("pos")) - 1 + F.col("before")
-    rest = rest.withColumn("turn", F.pmod(at - F.col("start"), F.col("n"))).where("turn < need")
-    return first.unionByName(rest.select("query_id", "pos", F.lit(0).alias("score"), (F.col("hits") + F.col("turn") + 1).cast("int").alias("place")))
+    hits, scoped = stored(hits, "hits"), stored(scoped, "scoped")
+    ranked = numbered(scoped, ["scope"], ["pos"], "rank", most).withColumn("rank", F.col("rank").cast("long") - 1)
+    sizes = scoped.groupBy("scope").agg(F.count("*").alias("size"))
+    found = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
+    asked = queries.join(sizes, "scope").join(found, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+    rows = numbered(hits, ["query_id"], ["pos"] if turned else [F.col("score").desc(), "pos"], "turn", most).join(asked, "query_id").withColumn("turn", F.col("turn") - 1)
+    rows = rows.withColumn("turn", rotated(F.col("turn"), F.pmod("seed", "hits"), F.col("hits"))) if turned else rows
+    first = rows.where("turn < limit").select("query_id", "pos", "score", (F.col("turn") + 1).cast("int").alias("place"))
+    # the rest: places from start on, around the end
+    n = F.col("size") - F.col("hits")
+    start = F.pmod(F.when(F.col("hits") > 0, F.pmod("seed", "hits")).otherwise(F.col("seed")) if turned else F.col("seed"), n)
+    open_ = asked.where("hits < limit and hits < size").select("query_id", "scope", "hits", n.alias("n"), start.alias("start"), F.least(F.col("limit") - F.col("hits"), n).alias("need"))
+    wanted = open_.select("query_id", "scope", "hits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("turn"), "start", "n")
+    wanted = wanted.select("query_id", "scope", F.pmod(F.col("start") + F.col("turn"), F.col("n")).alias("at"), (F.col("hits") + F.col("turn") + 1).cast("int").alias("place"))
+    own = hits.join(open_.select("query_id", "scope"), "query_id").join(ranked, ["scope", "pos"])  # fewer than the limit
+    own = own.withColumn("at", F.col("rank") - F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) + 1)
+    both = wanted.unionByName(own.select("query_id", "scope", "at", F.lit(None).cast("int").alias("place")))
+    before = F.count(F.when(F.col("place").isNull(), 1)).over(Window.partitionBy("query_id").orderBy("at", F.col("place").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("rank", F.col("at") + before).where("place is not null")
+    rest = both.join(ranked, ["scope", "rank"]).select("query_id", "pos", F.lit(0).alias("score"), "place")
+    return first.unionByName(rest)
 
 
 def _of_hints(queries: DataFrame, column: str, texts: DataFrame) -> DataFrame:
@@ -195,28 +186,27 @@ def _of_hints(queries: DataFrame, column: str, texts: DataFrame) -> DataFrame:
     return containing(texts, asked).join(asked, "word").select("query_id", "pos").distinct()
 
 
-def rank_companies(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def rank_companies(queries: DataFrame, corpus: DataFrame, most: int = MOST) -> DataFrame:
     """(query_id, city, hints, seed, limit) and (pos, location, industries, ...): the corpus' columns with query_id, place and hit.
 
     Companies with an industry hint come first, each part rotated. The city is a hard filter, taken as an
     equi-join where the corpus has a column ``city``. Positions are unique; hints and cities are found by
-    equi-joins, never by comparing all pairs.
+    equi-joins, never by comparing all pairs. Scopes and hits of over ``most`` rows are ranked by many tasks.
     """
-    q = queries.select("query_id", "hints", "seed", "limit", F.coalesce("city", F.lit("")).alias("scope"), F.lit(True).alias("turned"))
+    q = queries.select("query_id", "hints", "seed", "limit", F.coalesce("city", F.lit("")).alias("scope"))
     scopes = q.select("scope").distinct()
-    ranged = _ranged(corpus, [c for c in ("city", "location") if c in corpus.columns])
     if "city" in corpus.columns:
-        of_city = ranged.select(F.col("city").alias("scope"), "pos", "range").where("scope <> ''")
+        of_city = corpus.select(F.col("city").alias("scope"), "pos").where("scope <> ''")
     else:
-        of_city = containing(ranged.select("pos", F.col("location").alias("said")), scopes.withColumnRenamed("scope", "word")).withColumnRenamed("word", "scope").join(ranged.select("pos", "range"), "pos").select("scope", "pos", "range")
-    scoped = of_city.union(ranged.select(F.lit(""), "pos", "range")).join(F.broadcast(scopes) if scopes.limit(BROADCAST + 1).count() <= BROADCAST else scopes, "scope", "left_semi")
+        of_city = containing(corpus.select("pos", F.col("location").alias("said")), scopes.withColumnRenamed("scope", "word")).select(F.col("word").alias("scope"), "pos")
+    scoped = of_city.union(corpus.select(F.lit(""), "pos")).join(F.broadcast(scopes) if scopes.limit(BROADCAST + 1).count() <= BROADCAST else scopes, "scope", "left_semi")
     hits = _of_hints(queries, "hints", corpus.select("pos", F.array_join("industries", "").alias("said")))
-    hits = hits.join(q.select("query_id", "scope"), "query_id").join(scoped.select("scope", "pos"), ["scope", "pos"], "left_semi")
-    best = _rotated_recall(q.drop("hints"), hits.select("query_id", "pos", F.lit(1).alias("score")), scoped)
+    hits = hits.join(q.select("query_id", "scope"), "query_id").join(scoped, ["scope", "pos"], "left_semi")
+    best = _rotated_recall(q.drop("hints"), hits.select("query_id", "pos", F.lit(1).alias("score")), scoped, True, most)
     return best.join(corpus, "pos").withColumn("hit", F.col("score") > 0).drop("score")
 
 
-def rank_people(queries: DataFrame, people: DataFrame) -> DataFrame:
+def rank_people(queries: DataFrame, people: DataFrame, most: int = MOST) -> DataFrame:
     """(query_id, name_hints, role_hints, company_hints, city, seed, limit) and people (pos, ...): people's columns with query_id, relevance and place.
 
     Full name 4, part of a name 2, role 2, company 2, city 1. Hits keep their order for any seed; the others
@@ -232,8 +222,8 @@ def rank_people(queries: DataFrame, people: DataFrame) -> DataFrame:
         _of_hints(queries.withColumn("cities", F.array(F.coalesce("city", F.lit("")))), "cities", people.select("pos", F.col("location").alias("said"))).withColumn("score", F.lit(1)),
     ]
     hits = reduce(DataFrame.unionByName, parts).groupBy("query_id", "pos").agg(F.sum("score").cast("int").alias("score"))
-    q = queries.select("query_id", F.lit("").alias("scope"), "seed", "limit", F.lit(False).alias("turned"))
-    best = _rotated_recall(q, hits, _ranged(people, []).select(F.lit("").alias("scope"), "pos", "range"), True)
+    q = queries.select("query_id", F.lit("").alias("scope"), "seed", "limit")
+    best = _rotated_recall(q, hits, people.select(F.lit("").alias("scope"), "pos"), False, most)
     return best.join(people, "pos").withColumnRenamed("score", "relevance")
 
 

@@ -273,7 +273,7 @@ def streamed_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = A.sightings(spark, sf_dir)
     seen.repartition(3, F.xxhash64("name")).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    jobs.stream_company_master(stream, f"{root}/out", f"{root}/state", 16).trigger(availableNow=True).start().awaitTermination()
+    jobs.stream_company_master(stream, f"{root}/out", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return jobs.read_master(spark, f"{root}/out")
 
 

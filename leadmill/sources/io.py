@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_folder(spark)}/leadmill-{app}"
+    return _FOLDERS[app]
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: what several plans read is computed once.
+
+    The table outlives lost executors. It stays, as frames that read it may be used at any time, until ``drop_stored``.
+    """
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored; no frame may read them afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def no_nulls(df: DataFrame) -> DataFrame:
     """Nulls as the empty value of their type."""
     out = []
