@@ -11,6 +11,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def give_back() -> None:
@@ -35,3 +36,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fo
             give_back()
 
     return tidied
+
+
+def text_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let the session pass texts to Python in Arrow batches of ``most`` bytes, unless it has a setting of its own.
+
+    Spark's default of 64 MB is meant for narrow rows. A batch is held by the executor and its worker at once, in
+    several copies, outside the heap; one long text still is a batch of its own.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("", "64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(key, most)
