@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leadmill.llm import langid, linededup, minhash, mixing, pieces
 from leadmill.llm.columns import col
 from leadmill.llm.scratch import delete, shared_dir, temporary
+from leadmill.llm.tasks import text_batches
 
 #: The tokenizer's file, a name of the installed public tokenizers.
 TOKENIZER = "piece_bpe_32k.model"
@@ -22,6 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    text_batches(spark)
     return langid.keep_known(docs, langid.fit(docs)).select(*COLUMNS)
 
 
@@ -35,6 +37,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of every group of near copies."""
+    text_batches(spark)
     return minhash.keep_one_each(docs).select(*COLUMNS)
 
 
@@ -45,6 +48,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and byte spans of every document."""
+    text_batches(spark)
     import public_tokenizers
 
     return pieces.encode(docs, pieces.read_model(public_tokenizers.path(TOKENIZER))).drop("decoded")
