@@ -45,5 +45,5 @@ def text_batches(spark: SparkSession, most: str = "4m") -> None:
     several copies, outside the heap; one long text still is a batch of its own.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("", "64m", "64MB", "67108864", "67108864b"):
+    if spark.conf.get(key) in ("64m", "64MB", "67108864", "67108864b"):
         spark.conf.set(key, most)
