@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,27 +91,36 @@ def web_to_companies(results: DataFrame, queries: DataFrame, registrable=T.regis
     )
 
 
-def merge_recalls(primary: DataFrame, extra: DataFrame, registrable=T.registrable_domain) -> DataFrame:
+def merge_recalls(primary: DataFrame, extra: DataFrame, registrable=T.registrable_domain, most: int = MOST) -> DataFrame:
     """Rows (query_id, pos, name, domain) of a query: all primary ones, then extra ones with a new key and a new name.
 
-    A dropped extra must not block a later one, so the rule is a fold over a query's rows in order. It runs
-    per query on keys only; recall limits a query to some tens of rows.
+    A dropped extra must not block a later one, so rows are decided in rounds, for all queries at once: the first open
+    row of both its key and its name is kept, open rows with its key or its name are dropped. The first open row of a
+    query is decided in every round; there are as many rounds as a chain of rows has links that block each other by
+    turns. Groups of any size are aggregates and joins by key, and no query is one task's.
     """
-    keyed = lambda df, part: df.select("query_id", F.lit(part).alias("part"), "pos", "name", "domain", F.when(F.col("domain") != "", registrable(F.col("domain"))).otherwise(F.lower(T.strip(F.col("name")))).alias("key"), F.lower(T.strip(F.col("name"))).alias("fold"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "pos"])
-        keys, names, keep = set(), set(), []
-        for part, key, name in zip(pdf["part"], pdf["key"], pdf["fold"], strict=True):
-            ok = part == 0 or not (key in keys or (name and name in names))
-            keep.append(ok)
-            if ok:
-                keys.add(key)
-                names.add(name) if name else None
-        out = pdf[keep]
-        return out.assign(place=range(len(out)))[["query_id", "place", "part", "name", "domain"]]
-
-    return keyed(primary, 0).union(keyed(extra, 1)).groupBy("query_id").applyInPandas(fold, "query_id string, place long, part int, name string, domain string")
+
+    def keyed(df: DataFrame, part: int) -> DataFrame:
+        name = F.lower(T.strip(F.coalesce("name", F.lit(""))))
+        key = F.when(F.col("domain") != "", registrable(F.col("domain"))).otherwise(name)
+        return df.select("query_id", F.lit(part).alias("part"), "pos", "name", "domain", key.alias("key"), name.alias("fold"))
+
+    def without(df: DataFrame, taken: DataFrame) -> DataFrame:
+        left = df.join(taken.select("query_id", "key").distinct(), ["query_id", "key"], "left_anti")
+        return left.join(taken.where("fold <> ''").select("query_id", "fold").distinct(), ["query_id", "fold"], "left_anti")
+
+    first = keyed(primary, 0)
+    kept, at = [first], F.struct("pos", "row")
+    open_ = stored(without(keyed(extra, 1), first).withColumn("row", F.monotonically_increasing_id()), "open")
+    while not open_.isEmpty():
+        by_key = open_.groupBy("query_id", "key").agg(F.min(at).alias("of_key"))
+        by_name = open_.where("fold <> ''").groupBy("query_id", "fold").agg(F.min(at).alias("of_name"))
+        both = open_.join(by_key, ["query_id", "key"]).join(by_name, ["query_id", "fold"], "left")
+        won = stored(both.where((at == F.col("of_key")) & ((F.col("fold") == "") | (at == F.col("of_name")))).select(open_.columns), "won")
+        kept.append(won.drop("row"))
+        open_ = stored(without(open_, won), "open")
+    placed = numbered(reduce(DataFrame.unionByName, kept), ["query_id"], ["part", "pos"], "place", most)
+    return placed.select("query_id", (F.col("place") - 1).cast("long").alias("place"), "part", "name", "domain")
 
 
 def waterfall_collect(items: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:

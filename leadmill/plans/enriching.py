@@ -87,6 +87,29 @@ MERGED_SQL = f"""WITH {MERGED} SELECT external_id, CASE WHEN got AND summary = '
   CASE WHEN got THEN 'second' ELSE lower(name) END AS origin, CASE WHEN got THEN 'vendor' END AS enriched_by FROM m"""
 
 
+def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies filled from three sources with gaps, of which keys repeat: a field comes from the first that has it."""
+    base = A.companies(spark, sf_dir)
+    sources = F.array(*[F.when(F.col("pos") % step == 0, source) for source, step in (("alpha", 2), ("beta", 3), ("gamma", 5))])
+    c = base.where("name <> ''").select("pos", "name", "domain", F.explode(F.array_compact(sources)).alias("source_id"))
+    c = c.groupBy(T.dedupe_key(F.col("domain"), F.col("name")).alias("key"), "source_id").agg(F.min_by(F.struct("name", "domain"), "pos").alias("x"))
+    said = lambda word: F.concat(F.col("source_id"), F.lit(word))
+    new = c.select(
+        F.col("x.name").alias("name"), F.col("x.domain").alias("domain"), F.when(F.col("source_id") == "alpha", "").otherwise(said(" says")).alias("summary"), said(" town").alias("location"),
+        F.when(F.col("source_id") == "gamma", "").otherwise(said(" staff")).alias("employees"), F.lit("").alias("funding_stage"), F.array().cast("array<string>").alias("industries"),
+        F.array().cast(f"array<{EVIDENCE}>").alias("evidence"), F.create_map(F.lit("of"), F.col("source_id")).alias("attributes"), "source_id",
+    )
+    blank = base.select(*[F.lit("").alias(x) if x in E.FILLABLE else F.col(x) for x in base.columns])
+    m = E.merge_enrichment(blank, new.union(new), ("gamma", "alpha"))
+    return m.select("external_id", "summary", "location", "employees", F.try_element_at("attributes", F.lit("of")).alias("of"), F.try_element_at("attributes", F.lit("enriched_by")).alias("enriched_by"))
+
+
+BY_SOURCE_SQL = f"""WITH {A.COMPANIES}, s AS (SELECT dedupe_key, bool_or(pos % 5 = 0) AS g, bool_or(pos % 2 = 0) AS a, bool_or(pos % 3 = 0) AS b FROM companies WHERE name <> '' AND dedupe_key <> '' GROUP BY dedupe_key)
+SELECT external_id, CASE WHEN g THEN 'gamma says' WHEN b THEN 'beta says' ELSE '' END AS summary, CASE WHEN g THEN 'gamma town' WHEN a THEN 'alpha town' WHEN b THEN 'beta town' ELSE '' END AS location,
+  CASE WHEN a THEN 'alpha staff' WHEN b THEN 'beta staff' ELSE '' END AS employees, CASE WHEN g THEN 'gamma' WHEN a THEN 'alpha' WHEN b THEN 'beta' END AS of,
+  nullif(concat_ws('+', CASE WHEN g THEN 'gamma' END, CASE WHEN a THEN 'alpha' END, CASE WHEN b THEN 'beta' END), '') AS enriched_by FROM companies LEFT JOIN s USING (dedupe_key)"""
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = E.merge_enrichment(A.companies(spark, sf_dir), _enriched(spark, sf_dir))
     labels = A.table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("vendor").alias("source_id"), F.lit("Vendor data").alias("label"))
@@ -202,10 +225,10 @@ LIGHT_SQL = f"""WITH {A.WEB}, d AS (SELECT {ENTITY_NAME_SQL} AS name, * FROM par
 SELECT p_partkey AS entity_id, d.name, lower(p_type) || '.org' AS domain, 's' AS summary, CASE WHEN p_size > 25 THEN '明确符合' ELSE '可能符合' END AS match_level, CASE WHEN p_size > 25 THEN 90 ELSE 45 END AS score, 'discovery' AS agent, 3 AS attributes, coalesce(n.n, 0) AS evidence FROM d LEFT JOIN n USING (name)"""
 
 QUERIES = {
-    "e_targets": targets, "e_first_relevant": relevant, "e_cache_lookup": cached, "e_cache_prune": pruned, "e_merge_enrichment": merged, "e_ledger": ledger, "e_latest": latest, "e_audit": audit, "e_company_master": master, "e_first_seen": first_seen,
+    "e_targets": targets, "e_first_relevant": relevant, "e_cache_lookup": cached, "e_cache_prune": pruned, "e_merge_enrichment": merged, "e_enriched_by_source": by_source, "e_ledger": ledger, "e_latest": latest, "e_audit": audit, "e_company_master": master, "e_first_seen": first_seen,
     "e_vendor_profiles": vendor_profiles, "e_dossiers": dossiers, "e_entities": entities, "e_applied_dossiers": applied, "e_light_records": light_records,
 }
 ORACLE = {
-    "e_targets": TARGETS_SQL, "e_first_relevant": RELEVANT_SQL, "e_cache_lookup": CACHED_SQL, "e_cache_prune": PRUNED_SQL, "e_merge_enrichment": MERGED_SQL, "e_ledger": LEDGER_SQL, "e_latest": LATEST_SQL, "e_audit": AUDIT_SQL, "e_company_master": MASTER_SQL, "e_first_seen": FIRST_SQL,
+    "e_targets": TARGETS_SQL, "e_first_relevant": RELEVANT_SQL, "e_cache_lookup": CACHED_SQL, "e_cache_prune": PRUNED_SQL, "e_merge_enrichment": MERGED_SQL, "e_enriched_by_source": BY_SOURCE_SQL, "e_ledger": LEDGER_SQL, "e_latest": LATEST_SQL, "e_audit": AUDIT_SQL, "e_company_master": MASTER_SQL, "e_first_seen": FIRST_SQL,
     "e_vendor_profiles": VENDOR_SQL, "e_dossiers": DOSSIER_SQL, "e_entities": ENTITY_SQL, "e_applied_dossiers": APPLIED_SQL, "e_light_records": LIGHT_SQL,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadmill import vocab
 from leadmill.operators import criteria as C
 from leadmill.operators import judge as J
 from leadmill.operators import listing as L
@@ -107,6 +108,16 @@ PAGED_SQL = f"""WITH {ROWS}, f AS (SELECT listed.*, row_number() OVER (PARTITION
 SELECT list_id, place::INT AS place, row_id, name, total FROM f WHERE place BETWEEN 13 AND 24"""
 
 
+def one_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as rows of one list, in their places; no task has the list to itself."""
+    o = A.table(spark, sf_dir, "orders")
+    rows = o.select(F.lit("all").alias("list_id"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") == "F", vocab.FULL).when(F.col("o_orderstatus") == "O", vocab.PARTIAL).otherwise(vocab.UNCONFIRMED).alias("match_level"), F.floor("o_totalprice").alias("score"))
+    return L.sort_rows(rows, most=1000).select("pos", "place")
+
+
+ONE_LIST_SQL = "SELECT o_orderkey AS pos, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, floor(o_totalprice) DESC, o_orderkey) AS place FROM orders"
+
+
 def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected rows, those that may match, that have no deep dive yet."""
     rows = built(spark, sf_dir).withColumn("dossier_state", F.when(F.col("contact_count") == 2, "ready").otherwise("blocked"))
@@ -203,8 +214,8 @@ UNION ALL SELECT external_id, CASE pos % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE (pos
   CASE WHEN pos % 3 < 2 THEN 'https://people.org/in/' || pos WHEN pos % 5 = 0 THEN '' ELSE 'https://people.org/in/' || pos END FROM people"""
 
 QUERIES = {
-    "w1_ranked_companies": ranked_companies, "j_evaluations": evaluations, "j_rejudged": rejudged, "l_built_rows": built_rows, "l_paged_rows": paged_rows, "l_blocked_rows": blocked, "l_research_states": research_states, "w2_judged_people": judged_people, "j_references": references, "j_person_evaluations": person_evaluations, "l_person_research": person_research,
+    "w1_ranked_companies": ranked_companies, "j_evaluations": evaluations, "j_rejudged": rejudged, "l_built_rows": built_rows, "l_paged_rows": paged_rows, "l_one_list": one_list, "l_blocked_rows": blocked, "l_research_states": research_states, "w2_judged_people": judged_people, "j_references": references, "j_person_evaluations": person_evaluations, "l_person_research": person_research,
 }
 ORACLE = {
-    "w1_ranked_companies": RANKED_SQL, "j_evaluations": EVALUATIONS_SQL, "j_rejudged": REJUDGED_SQL, "l_built_rows": BUILT_SQL, "l_paged_rows": PAGED_SQL, "l_blocked_rows": BLOCKED_SQL, "l_research_states": RESEARCH_SQL, "w2_judged_people": PEOPLE_SQL, "j_references": REFERENCES_SQL, "j_person_evaluations": PERSON_EVALUATIONS_SQL, "l_person_research": PERSON_RESEARCH_SQL,
+    "w1_ranked_companies": RANKED_SQL, "j_evaluations": EVALUATIONS_SQL, "j_rejudged": REJUDGED_SQL, "l_built_rows": BUILT_SQL, "l_paged_rows": PAGED_SQL, "l_one_list": ONE_LIST_SQL, "l_blocked_rows": BLOCKED_SQL, "l_research_states": RESEARCH_SQL, "w2_judged_people": PEOPLE_SQL, "j_references": REFERENCES_SQL, "j_person_evaluations": PERSON_EVALUATIONS_SQL, "l_person_research": PERSON_RESEARCH_SQL,
 }

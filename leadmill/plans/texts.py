@@ -108,6 +108,17 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce({octets}, lambda c, o: xor(c >> 8, crcs[(xor(c, o) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
 
 
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests: a role has many askers of one key; what orders' priorities say is known, all else is answered once."""
+    t = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "5-LOW").when(F.col("turn") % 3 == 1, F.concat("role", F.lit("?"))).otherwise(F.coalesce("text", F.lit(""))).alias("key"))
+    known = A.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), F.concat(F.lit("known "), "o_orderpriority").alias("answer"))
+    told, _ = C.answered_once(t, known, lambda new: new.select("key", F.concat(F.lit("made "), F.length("key").cast("string")).alias("answer")))
+    return told.select("conv_id", "turn", "answer")
+
+
+ANSWERED_SQL = """WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '5-LOW' WHEN turn % 3 = 1 THEN role || '?' ELSE coalesce(text, '') END AS key FROM conversations)
+SELECT conv_id, turn, CASE WHEN key IN (SELECT o_orderpriority FROM orders) THEN 'known ' || key ELSE 'made ' || length(key) END AS answer FROM t"""
+
 KEYS_SQL = f"""WITH {CRC}, t AS (SELECT role, coalesce(text, '') AS text FROM conversations), k AS (SELECT *, sha256('v1' || chr(31) || 'm' || chr(31) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(31) || role) AS request_key FROM t)
 SELECT request_key, count(*) AS requests, min({crc_sql("text")} % 100000)::BIGINT AS seed FROM k, crc_table GROUP BY request_key"""
 
@@ -264,11 +275,11 @@ ids AS (SELECT name, expected, {crc_sql("name || '|' || expected")} % 1000000 AS
 SELECT list_id, pos, 'criterion-' || category || '-' || crc AS id, CASE WHEN k % 8 = 0 THEN 'q' ELSE '公开资料是否体现了「' || name || '」？' END AS question, CASE WHEN k % 9 = 0 THEN 'why' ELSE '由 LLM 依据画像推导。' END AS rationale, category, name, weight, CASE WHEN category = 'size' THEN '' WHEN k % 5 = 0 THEN 'A轮' ELSE 'a' END AS tokens, expected FROM e JOIN ids USING (name, expected)"""
 
 QUERIES = {
-    "t_url_scalars": url_scalars, "t_title_names": title_names, "t_size_and_funding": size_and_funding, "t_name_matching": name_matching, "t_conversation_scalars": conversation_scalars, "t_request_keys": seeds_and_keys,
+    "t_url_scalars": url_scalars, "t_title_names": title_names, "t_size_and_funding": size_and_funding, "t_name_matching": name_matching, "t_conversation_scalars": conversation_scalars, "t_request_keys": seeds_and_keys, "c_answered_once": answered_requests,
     "t_page_markup": page_markup, "c_profile_detection": profile_detection, "c_profile_criteria": profile_criteria, "c_profile_hints": profile_hints, "c_person_criteria": person_profile_criteria, "c_merged_conditions": merged_conditions,
     "c_validated_criteria": validated_criteria,
 }
 ORACLE = {
     "t_url_scalars": URL_SQL, "t_title_names": TITLE_SQL, "t_size_and_funding": SIZE_SQL, "t_name_matching": NAME_SQL, "t_conversation_scalars": CONVERSATION_SQL,
-    "t_request_keys": KEYS_SQL, "t_page_markup": MARKUP_SQL, "c_person_criteria": PERSON_SQL, "c_merged_conditions": MERGED_SQL, "c_profile_detection": DETECTION_SQL, "c_profile_criteria": CRITERIA_SQL, "c_profile_hints": HINTS_SQL, "c_validated_criteria": VALIDATED_SQL,
+    "t_request_keys": KEYS_SQL, "c_answered_once": ANSWERED_SQL, "t_page_markup": MARKUP_SQL, "c_person_criteria": PERSON_SQL, "c_merged_conditions": MERGED_SQL, "c_profile_detection": DETECTION_SQL, "c_profile_criteria": CRITERIA_SQL, "c_profile_hints": HINTS_SQL, "c_validated_criteria": VALIDATED_SQL,
 }

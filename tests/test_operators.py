@@ -217,15 +217,14 @@ def turned(items, seed):
     return items[seed % len(items) :] + items[: seed % len(items)] if items else []
 
 
-@pytest.mark.parametrize("by_city", [True, False])
-def test_ranked_companies_equal_brute_force(spark, monkeypatch, by_city):
-    monkeypatch.setattr(R, "RANGES", 7)
+@pytest.mark.parametrize(("by_city", "most"), [(True, 1_000_000), (False, 5)])
+def test_ranked_companies_equal_brute_force(spark, by_city, most):
     rng = random.Random(6)
     corpus = [(i * 3, rng.choice(["杭州", "上海", ""]), [rng.choice(["食品", "软件", "钢铁"])]) for i in range(90)]
     queries = [(f"q{i}", rng.choice(["杭州", "上海", "", None, "无"]), rng.choice([["食品"], ["软件", "食品"], ["无"], []]), rng.randint(0, 500), rng.choice([1, 5, 200])) for i in range(20)]
     frame = spark.createDataFrame(corpus, "pos int, location string, industries array<string>")
     frame = frame.withColumn("city", F.col("location")) if by_city else frame
-    out = R.rank_companies(spark.createDataFrame(queries, "query_id string, city string, hints array<string>, seed int, limit int"), frame)
+    out = R.rank_companies(spark.createDataFrame(queries, "query_id string, city string, hints array<string>, seed int, limit int"), frame, most)
     assert "CartesianProduct" not in out._jdf.queryExecution().toString()
     got = {}
     for r in out.collect():
@@ -238,13 +237,13 @@ def test_ranked_companies_equal_brute_force(spark, monkeypatch, by_city):
         assert sorted(got.get(q, [])) == [(i + 1, p, h) for i, (p, h) in enumerate(want[:limit])], (q, city, hints, seed, limit)
 
 
-def test_ranked_people_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(R, "RANGES", 5)
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_ranked_people_equal_brute_force(spark, most):
     rng = random.Random(9)
     rows = [{"name": rng.choice(["Ann Lee", "Bo Chen", "Cy Novak"]), "title": rng.choice(["Sales", "Clerk", ""]), "company": rng.choice(["soft", "steel", ""]), "location": rng.choice(["Rome", "Oslo", ""])} for _ in range(70)]
     people = records(spark, "person", *({**r, "external_id": str(i)} for i, r in enumerate(rows))).withColumn("pos", F.col("external_id").cast("int"))
     queries = [(f"q{i}", rng.choice([["Lee Ann"], ["novak"], []]), rng.choice([["Sales"], []]), rng.choice([["soft"], ["zz"], []]), rng.choice(["Rome", "", None]), rng.randint(0, 99), rng.choice([3, 30, 500])) for i in range(16)]
-    out = R.rank_people(spark.createDataFrame(queries, "query_id string, name_hints array<string>, role_hints array<string>, company_hints array<string>, city string, seed int, limit int"), people)
+    out = R.rank_people(spark.createDataFrame(queries, "query_id string, name_hints array<string>, role_hints array<string>, company_hints array<string>, city string, seed int, limit int"), people, most)
     assert "CartesianProduct" not in out._jdf.queryExecution().toString()
     got = {}
     for r in out.collect():
