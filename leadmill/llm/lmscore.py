@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference.
 
 A target model (documents labelled as good) and a background model (all documents) are matched: word
-bigrams over one vocabulary, the same smoothing and the same pruning. A document's score is the mean over
+bigrams over one vocabulary and the same smoothing. A document's score is the mean over
 its tokens of target loss minus background loss; lower is more like the target.
 
 ``score_whole`` keeps every word and every bigram of the corpus that it scores. Documents are gathered into
@@ -10,17 +10,12 @@ slices of the key space, to be added up. What comes back are the corpus' counts
 block's own, and the block scores its documents with them. A key has a row per block at most, however common
 it is; nothing is broadcast and nothing but four sums reaches the driver. Keys are hashes of 63 bits.
 
-``fit`` and ``score`` make a small model that is broadcast and may score other documents. Its vocabulary
-holds every word whose share of the corpus is at least 1 / ``words``, and bigrams of a share under
-1 / ``pairs`` in both corpora back off to unigrams: at most ``words`` words and 2 * ``pairs`` bigrams.
-
 Nulls: a null text, or one without words, has no tokens and score 0. Rows map one to one, with null and
 repeated ids. Without target documents both models are equal up to smoothing. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,161 +25,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadmill.llm.columns import col, free
 from leadmill.llm.words import mix, word_hashes, words_of
 
-WORDS, PAIRS = 1 << 16, 1 << 18
 WEIGHT, SMOOTHING = 0.6, 0.5
-UNKNOWN, START = 0, 1
+START = 1
 #: Ids that are broadcast at most.
 BROADCAST = 4_000_000
 #: Tokens of a block; bytes of text that a slice of the key space stands for, and slices at least.
 BLOCK, SLICE, SLICES = 1_000_000, 16 << 20, 512
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    both: tuple[Counter, Counter] = Counter(), Counter()
-
-    def out() -> pa.RecordBatch:
-        words = list(both[0])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array([both[1][w] for w in words], pa.int64()), pa.array([both[0][w] for w in words], pa.int64())], ["word", "target", "background"]
-        )
-
-    for batch in batches:
-        for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            both[0].update(words)
-            if target:
-                both[1].update(words)
-        if len(both[0]) > 250_000:
-            yield out()
-            both[0].clear(), both[1].clear()
-    yield out()
-
-
-class Vocabulary:
-    """Words in byte order with ids from 2 on, and their counts in both corpora."""
-
-    def __init__(self, words: list[bytes], target: np.ndarray, background: np.ndarray):
-        self.words = words
-        self.ids = {w: i + 2 for i, w in enumerate(words)}
-        self.counts = np.stack([target, background]).astype(np.float64)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        get = self.ids.get
-        return np.array([get(w, UNKNOWN) for w in words_of(text)], np.int64)
-
-
-def _pair_counts(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
-        for batch in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
-            keys, flags = [], []
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = v.encode(text)
-                if len(ids):
-                    keys.append(pairs_of(ids))
-                    flags.append(np.full(len(ids), bool(target)))
-            if keys:
-                all_keys, all_flags = np.concatenate(keys), np.concatenate(flags)
-                found, inverse = np.unique(all_keys, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(np.bincount(inverse, all_flags, len(found)).astype(np.int64)), pa.array(np.bincount(inverse, minlength=len(found)))], ["pair", "target", "background"]
-                )
-
-    return run
-
-
-def pairs_of(ids: np.ndarray) -> np.ndarray:
-    """Context and word of each token in one number; the first context is the start."""
-    return np.concatenate([[START], ids[:-1]]) << 32 | ids
-
-
-class Model:
-    """Both models: interpolated bigrams whose weight is what the kept bigrams of a context hold."""
-
-    def __init__(self, vocabulary: Vocabulary, totals: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        self.vocabulary, self.pairs = vocabulary, pairs
-        n = len(vocabulary.words) + 2
-        single = np.zeros((2, n))
-        single[:, 2:] = vocabulary.counts
-        single[:, UNKNOWN] = totals - vocabulary.counts.sum(axis=1)
-        usable = np.ones(n)
-        usable[START] = 0
-        self.single = (single + SMOOTHING * usable) / (totals[:, None] + SMOOTHING * usable.sum())
-        self.single[:, START] = 1.0  # never asked for
-        before = pairs >> 32
-        seen = np.maximum(contexts, 1)
-        self.pair = WEIGHT * counts / seen[:, before]
-        kept = np.stack([np.bincount(before, c, n) for c in counts]) if len(pairs) else np.zeros((2, n))
-        self.rest = 1 - WEIGHT * kept / seen
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """(2, tokens) losses in nats under target and background."""
-        keys = pairs_of(ids)
-        p = self.rest[:, keys >> 32] * self.single[:, ids]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            p = p + np.where(self.pairs[at] == keys, self.pair[:, at], 0)
-        return -np.log(p)
-
-
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                n, out = [], np.zeros((2, batch.num_rows))
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = model.vocabulary.encode(text)
-                    n.append(len(ids))
-                    if len(ids):
-                        out[:, i] = model.losses(ids).mean(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out[0]), pa.array(out[1]), pa.array(out[0] - out[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return run
-
-
 def with_flag(docs: DataFrame, chosen: DataFrame, name: str, id_col: str = "doc_id", most: int = BROADCAST) -> DataFrame:
-    """``docs`` with a boolean column: whether the id is among ``chosen`` (id_col).
+    """``docs`` with a boolean column, in place of one of that name: whether the id is among ``chosen`` (id_col).
 
     The ids are broadcast while there are at most ``most``; beyond, documents and ids are shuffled.
     """
-    ids = chosen.select(F.col(id_col).alias("__chosen")).where("__chosen is not null").distinct()
+    (own,) = free([*docs.columns, name], "chosen")
+    ids = chosen.select(col(id_col).alias(own)).where(col(own).isNotNull()).distinct()
     side = F.broadcast(ids) if ids.count() <= most else ids
-    return docs.join(side, F.col(id_col) == F.col("__chosen"), "left").withColumn(name, F.col("__chosen").isNotNull()).drop("__chosen")
-
-
-def fit(docs: DataFrame, is_target: Column, text_col: str = "text", words: int = WORDS, pairs: int = PAIRS) -> Model:
-    """Both models from all rows of ``docs``."""
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
-    counts = rows.mapInArrow(_word_counts, "word binary, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    spark = docs.sparkSession
-    from leadmill.llm.scratch import Scratch
-
-    scratch = Scratch(spark, "lm")
-    counts = scratch.write(counts, "words")
-    total = counts.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("background"), F.lit(0)).alias("b")).first()
-    often = counts.where(F.col("background") * words >= total["b"]).orderBy("word").toPandas()  # at most ``words`` rows
-    scratch.drop(counts)
-    vocabulary = Vocabulary([bytes(w) for w in often["word"]], often["target"].to_numpy(), often["background"].to_numpy())
-    shared = spark.sparkContext.broadcast(vocabulary)
-    met = rows.mapInArrow(_pair_counts(shared), "pair long, target long, background long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    met = scratch.write(met, "pairs")
-    kept = met.where((F.col("background") * pairs >= total["b"]) | ((F.col("target") > 0) & (F.col("target") * pairs >= total["t"]))).orderBy("pair").toPandas()  # at most 2 * ``pairs`` rows
-    before = met.groupBy(F.shiftright("pair", 32).alias("before")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas()  # a row per word
-    scratch.drop(met)
-    contexts = np.zeros((2, len(vocabulary.words) + 2))
-    contexts[:, before["before"].to_numpy(np.int64)] = before[["target", "background"]].to_numpy().T
-    return Model(vocabulary, np.array([total["t"], total["b"]], np.float64), contexts, kept["pair"].to_numpy(np.int64), kept[["target", "background"]].to_numpy(np.float64).T)
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(_scored(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return docs.join(side, col(id_col) == col(own), "left").withColumn(name, col(own).isNotNull()).drop(own)
 
 
 def _pack(*columns: np.ndarray) -> bytes:

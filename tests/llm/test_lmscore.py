@@ -1,5 +1,4 @@
-import math
-from collections import Counter
+"""Flags and the direction of the score; ``test_lmscore_whole`` has the brute force."""
 
 from pyspark.sql import functions as F
 
@@ -8,74 +7,20 @@ from leadmill.llm import lmscore
 SCHEMA = "doc_id long, text string, word string, pair int, good boolean"
 
 
-def brute(rows, words, pairs):
-    docs = [((t or "").lower().split(), g) for _, t, g in rows]
-    count = [Counter(), Counter()]
-    for own, good in docs:
-        count[1].update(own)
-        if good:
-            count[0].update(own)
-    total = [sum(c.values()) for c in count]
-    vocabulary = {w for w, n in count[1].items() if n * words >= total[1]}
-    fold = lambda own: [w if w in vocabulary else "<unk>" for w in own]
-    two, context, one = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
-    for own, good in docs:
-        own = fold(own)
-        for m in (0, 1):
-            if m or good:
-                for a, b in zip(["<s>", *own], own):
-                    two[m][a, b] += 1
-                    context[m][a] += 1
-                    one[m][b] += 1
-    kept = {p for p, n in two[1].items() if n * pairs >= total[1]} | {p for p, n in two[0].items() if n * pairs >= total[0]}
-    size = len(vocabulary) + 1
-
-    def loss(m, a, b):
-        seen = max(context[m][a], 1)
-        rest = 1 - lmscore.WEIGHT * sum(n for p, n in two[m].items() if p in kept and p[0] == a) / seen
-        single = (one[m][b] + lmscore.SMOOTHING) / (total[m] + lmscore.SMOOTHING * size)
-        return -math.log(rest * single + (lmscore.WEIGHT * two[m][a, b] / seen if (a, b) in kept else 0))
-
-    out = {}
-    for (i, _, _), (own, _) in zip(rows, docs):
-        own = fold(own)
-        losses = [[loss(m, a, b) for a, b in zip(["<s>", *own], own)] for m in (0, 1)]
-        out[i] = (len(own), *(sum(x) / len(x) if x else 0.0 for x in losses))
-    return out
-
-
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "w", 1, g) for i, t, g in rows], SCHEMA).repartition(3)
 
 
-def test_equals_brute_force(spark):
-    rows = [(i, " ".join(("The", "cat", "sat", f"x{i % 5}", "on")[(i * k) % 5] for k in range(1, 3 + i % 17)), i % 3 == 0) for i in range(80)]
-    rows += [(200, None, True), (201, "", None), (202, "never seen words here", False), (203, "cat " * 20_000, None)]
-    df = frame(spark, rows)
-    for words, pairs in ((1 << 16, 1 << 18), (12, 40)):
-        model = lmscore.fit(df, F.col("good"), words=words, pairs=pairs)
-        found = {r.doc_id: r for r in lmscore.score(df, model).collect()}
-        for i, (n, a, b) in brute(rows, words, pairs).items():
-            r = found[i]
-            assert r.n_tokens == n and abs(r.target_loss - a) < 1e-9 and abs(r.background_loss - b) < 1e-9 and abs(r.score - (a - b)) < 1e-9
-
-
 def test_target_like_texts_score_lower(spark):
     rows = [(i, "good clean words again " * 5, True) for i in range(10)] + [(i + 100, "junk spam noise " * 5, False) for i in range(10)]
-    df = frame(spark, rows)
-    by = {r.doc_id: r.score for r in lmscore.score(df, lmscore.fit(df, F.col("good"))).collect()}
+    by = {r.doc_id: r.score for r in lmscore.score_whole(frame(spark, rows), F.col("good")).collect()}
     assert max(by[i] for i in range(10)) < min(by[i + 100] for i in range(10))
 
 
-def test_odd_tables(spark):
-    df = frame(spark, [(1, "a b", False), (1, "a b", False), (None, "a", False)])
-    assert lmscore.score(df, lmscore.fit(df, F.col("good"))).count() == 3
-    none = df.limit(0)
-    assert lmscore.score(none, lmscore.fit(none, F.col("good"))).count() == 0
-
-
 def test_flag_with_and_without_broadcast(spark):
-    df = frame(spark, [(1, "a", None), (2, "b", None), (None, "c", None)])
+    df = frame(spark, [(1, "a", None), (2, "b", None), (None, "c", None)]).withColumn("CHOSEN", F.lit("x")).withColumn("chosen_", F.lit("y"))
     ids = spark.createDataFrame([(2,), (2,), (None,)], "doc_id long")
     for most in (100, 0):
-        assert {r.text: r.chosen for r in lmscore.with_flag(df, ids, "chosen", most=most).collect()} == {"a": False, "b": True, "c": False}
+        out = lmscore.with_flag(df, ids, "mark", most=most)
+        assert out.columns == [*df.columns, "mark"] and {r.text: r.mark for r in out.collect()} == {"a": False, "b": True, "c": False}
+        assert {r.text: r.good for r in lmscore.with_flag(df, ids, "good", most=most).collect()} == {"a": False, "b": True, "c": False}
