@@ -4,12 +4,48 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from leadmill.llm import lmscore, queries
-from tests.llm.test_lmscore import brute, frame
+from tests.llm.test_lmscore import frame
 
 DIR = "/root/testdata/sf0.001"
 ALL = 1 << 62
 
 
+def brute(rows, words, pairs):
+    docs = [((t or "").lower().split(), g) for _, t, g in rows]
+    count = [Counter(), Counter()]
+    for own, good in docs:
+        count[1].update(own)
+        if good:
+            count[0].update(own)
+    total = [sum(c.values()) for c in count]
+    vocabulary = {w for w, n in count[1].items() if n * words >= total[1]}
+    fold = lambda own: [w if w in vocabulary else "<unk>" for w in own]
+    two, context, one = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for own, good in docs:
+        own = fold(own)
+        for m in (0, 1):
+            if m or good:
+                for a, b in zip(["<s>", *own], own):
+                    two[m][a, b] += 1
+                    context[m][a] += 1
+                    one[m][b] += 1
+    kept = {p for p, n in two[1].items() if n * pairs >= total[1]} | {p for p, n in two[0].items() if n * pairs >= total[0]}
+    size = len(vocabulary) + 1
+
+    def loss(m, a, b):
+        seen = max(context[m][a], 1)
+        rest = 1 - lmscore.WEIGHT * sum(n for p, n in two[m].items() if p in kept and p[0] == a) / seen
+        single = (one[m][b] + lmscore.SMOOTHING) / (total[m] + lmscore.SMOOTHING * size)
+        return -math.log(rest * single + (lmscore.WEIGHT * two[m][a, b] / seen if (a, b) in kept else 0))
+
+    out = {}
+    for (i, _, _), (own, _) in zip(rows, docs):
+        own = fold(own)
+        losses = [[loss(m, a, b) for a, b in zip(["<s>", *own], own)] for m in (0, 1)]
+        out[i] = (len(own), *(sum(x) / len(x) if x else 0.0 for x in losses))
+    return out
+
+
 def plain(rows):
     """As ``brute`` without a threshold, where a context's bigrams are the context's count."""
     docs = {i: ((t or "").encode().lower().split(), g) for i, t, g in rows}
