@@ -104,8 +104,11 @@ def from_json_col(text, schema: str):
 
 
 def write_list(rows: DataFrame, path: str) -> None:
-    """Replace all rows of the lists in ``rows``, and only of those."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list_id").parquet(path)
+    """Replace all rows of the lists in ``rows``, and only of those.
+
+    Rows are dealt by list first, so a list is a file and not one per task; Spark splits a list that is much larger than others.
+    """
+    rows.hint("rebalance", "list_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list_id").parquet(path)
 
 
 def load_lists(lists: DataFrame, rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from leadmill.operators import judge as J
 from leadmill.operators import listing as L
 from leadmill.operators import ranks
 from leadmill.operators import recall as R
+from leadmill.sources import io
 from leadmill.streaming import jobs
 from tests.test_operators import records
 
@@ -191,3 +192,11 @@ def test_a_stream_never_forgets_a_name(spark, tmp_path):
     query = jobs.stream_dedupe(stream).writeStream.format("memory").queryName("never").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.name for r in spark.table("never").collect()) == ["a", "b", "c"]
+
+
+def test_a_list_is_a_file(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("l"), F.col("id") % 50).alias("list_id"), F.col("id").alias("row_id"))
+    io.write_list(rows, str(tmp_path / "lists"))
+    assert sum(n.endswith(".parquet") for _, _, names in os.walk(tmp_path / "lists") for n in names) == 50
+    io.write_list(rows.where("list_id = 'l3'").limit(7), str(tmp_path / "lists"))  # another list stays
+    assert spark.read.parquet(str(tmp_path / "lists")).groupBy("list_id").count().where("count <> 80").collect()[0]["count"] == 7
