@@ -203,6 +203,30 @@ s AS (SELECT *, (5 * a + 4 * b + 3 * c + 4 * d + 3 * e + 3 * f + g)::DOUBLE / 23
 SELECT list_id, external_id, round_even(ratio * 100, 0)::INT AS score, CASE WHEN ratio >= 0.75 AND NOT hard_miss THEN '明确符合' WHEN ratio >= 0.45 THEN '可能符合' ELSE '待确认' END AS match_level, hard_miss,
   array_to_string(list_transform([a, b, c, d, e, f, g], lambda x: CASE x WHEN 1 THEN '符合' WHEN 0.5 THEN '不确定' ELSE '不符合' END), '/') AS verdicts FROM s"""
 
+
+
+def built_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged people as rows of their lists with reasons in their wording; those who have to do with sales."""
+    p = A.people(spark, sf_dir).withColumn("seed", F.lit(7)).withColumn("missing_fields", F.when(F.col("summary") == "", F.array(F.lit("summary"))).otherwise(F.array().cast("array<string>")))
+    rows = L.build_rows(_judged_people(spark, sf_dir, p), F.lit("2024-01-31").cast("timestamp"), True)
+    told = p.select(F.col("source_url").alias("row_key"), "name_local", "title", "company", "company_domain", "source_url", "summary", "location")
+    return L.filter_rows(rows.join(told, "row_key"), "SALES", people=True).select(rows.columns)
+
+
+BUILT_PEOPLE_SQL = f"""WITH {PEOPLE_JUDGED},
+s AS (SELECT *, (5 * a + 4 * b + 3 * c + 4 * d + 3 * e + 3 * f + g)::DOUBLE / 23 AS ratio, a = 0 OR b = 0 OR c = 0 OR d = 0 OR e = 0 AS hard_miss, [a, b, c, d, e, f, g] AS vs,
+    ['姓名：Kehang Chen', '职位：销售', '职级：管理层及以上', '公司特征：软件', '地域：x'] AS names FROM v),
+j AS (SELECT *, round_even(ratio * 100, 0)::INT AS score, CASE WHEN ratio >= 0.75 AND NOT hard_miss THEN '明确符合' WHEN ratio >= 0.45 THEN '可能符合' ELSE '待确认' END AS match_level, len(list_filter(vs, lambda x: x = 1)) AS hits, len(list_filter(vs, lambda x: x = 0.5)) AS unsure,
+    list_slice(list_filter(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN vs[i] = 0 THEN names[i] END), lambda x: x IS NOT NULL), 1, 2) AS missed,
+    list_slice(list_filter(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN vs[i] = 1 THEN split_part(names[i], '：', 1) END), lambda x: x IS NOT NULL), 1, 2) AS met, row_number() OVER (PARTITION BY list_id ORDER BY pos) - 1 AS ix FROM s)
+SELECT list_id, 'row-7-' || ix AS row_id, ix::INT AS pos, 'https://people.org/in/' || pos AS row_key, first || ' ' || last AS name, score, match_level,
+  CASE WHEN match_level = '明确符合' THEN hits || '/7 条标准命中（加权得分 ' || score || '），' || CASE WHEN len(met) = 0 THEN '硬性条件' ELSE array_to_string(met, '、') END || '等硬性条件均一致，可进入触达序列。'
+    WHEN match_level = '可能符合' AND hard_miss THEN hits || '/7 条标准命中，但「' || array_to_string(missed, '、') || '」不符合，建议人工确认后再跟进。'
+    WHEN match_level = '可能符合' THEN hits || '/7 条标准命中（加权得分 ' || score || '），仍有 ' || unsure || ' 条需补充核实。'
+    ELSE '仅 ' || hits || '/7 条标准命中（加权得分 ' || score || '），公开信息不足以支撑判断，需要补充调研。' END AS match_reason,
+  CASE WHEN summary = '' THEN 'failed' ELSE 'ready' END AS summary_state, CASE WHEN has_mail THEN 'ready' ELSE 'failed' END AS contact_state, has_mail::BIGINT AS contact_count, TIMESTAMP '2024-01-31' + to_seconds(ix * 7) AS created_at
+FROM j WHERE contains(lower(title), 'sales') OR contains(summary, 'sales')"""
+
 PERSON_EVALUATIONS_SQL = f"""WITH {PEOPLE_JUDGED}, e AS (SELECT list_id, external_id AS row_key, v.pos AS k, unnest([
     {{'pos': 0, 'condition': '姓名：Kehang Chen', 'v': a, 'weight': 5}}, {{'pos': 1, 'condition': '职位：销售', 'v': b, 'weight': 4}}, {{'pos': 2, 'condition': '职级：管理层及以上', 'v': c, 'weight': 3}}, {{'pos': 3, 'condition': '公司特征：软件', 'v': d, 'weight': 4}},
     {{'pos': 4, 'condition': '地域：x', 'v': e, 'weight': 3}}, {{'pos': 5, 'condition': '履历背景：sales', 'v': f, 'weight': 3}}, {{'pos': 6, 'condition': '可触达性', 'v': g, 'weight': 1}}]) AS x FROM v)
@@ -214,8 +238,8 @@ UNION ALL SELECT external_id, CASE pos % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE (pos
   CASE WHEN pos % 3 < 2 THEN 'https://people.org/in/' || pos WHEN pos % 5 = 0 THEN '' ELSE 'https://people.org/in/' || pos END FROM people"""
 
 QUERIES = {
-    "w1_ranked_companies": ranked_companies, "j_evaluations": evaluations, "j_rejudged": rejudged, "l_built_rows": built_rows, "l_paged_rows": paged_rows, "l_one_list": one_list, "l_blocked_rows": blocked, "l_research_states": research_states, "w2_judged_people": judged_people, "j_references": references, "j_person_evaluations": person_evaluations, "l_person_research": person_research,
+    "w1_ranked_companies": ranked_companies, "j_evaluations": evaluations, "j_rejudged": rejudged, "l_built_rows": built_rows, "l_built_people": built_people, "l_paged_rows": paged_rows, "l_one_list": one_list, "l_blocked_rows": blocked, "l_research_states": research_states, "w2_judged_people": judged_people, "j_references": references, "j_person_evaluations": person_evaluations, "l_person_research": person_research,
 }
 ORACLE = {
-    "w1_ranked_companies": RANKED_SQL, "j_evaluations": EVALUATIONS_SQL, "j_rejudged": REJUDGED_SQL, "l_built_rows": BUILT_SQL, "l_paged_rows": PAGED_SQL, "l_one_list": ONE_LIST_SQL, "l_blocked_rows": BLOCKED_SQL, "l_research_states": RESEARCH_SQL, "w2_judged_people": PEOPLE_SQL, "j_references": REFERENCES_SQL, "j_person_evaluations": PERSON_EVALUATIONS_SQL, "l_person_research": PERSON_RESEARCH_SQL,
+    "w1_ranked_companies": RANKED_SQL, "j_evaluations": EVALUATIONS_SQL, "j_rejudged": REJUDGED_SQL, "l_built_rows": BUILT_SQL, "l_built_people": BUILT_PEOPLE_SQL, "l_paged_rows": PAGED_SQL, "l_one_list": ONE_LIST_SQL, "l_blocked_rows": BLOCKED_SQL, "l_research_states": RESEARCH_SQL, "w2_judged_people": PEOPLE_SQL, "j_references": REFERENCES_SQL, "j_person_evaluations": PERSON_EVALUATIONS_SQL, "l_person_research": PERSON_RESEARCH_SQL,
 }

@@ -21,6 +21,20 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("query_id", F.array(*map(F.lit, HINTS)).alias("hints"), F.lit(12).alias("limit"))
 
 
+def web_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``web_candidates``, of a source whose results must have a site of their own."""
+    k = F.col("rank")
+    named = F.when(k % 3 == 0, F.concat(F.lit("星河"), k.cast("string"), F.lit("科技有限公司 - "), "title")).otherwise("")
+    results = A.web_results(spark, sf_dir).withColumn("title", named).drop("html")
+    return R.web_to_companies(results, _queries(spark, sf_dir), site, SKIP, (DIRECTORY,), domain_only=True).select("query_id", "rank", "key", "name", "domain")
+
+
+WEB_SITES_SQL = f"""WITH {A.WEB}, h AS (SELECT *, {_SITE} AS site FROM web WHERE host <> '' AND host <> '{DIRECTORY}' AND host NOT LIKE '%.{DIRECTORY}'),
+n AS (SELECT *, CASE WHEN rank % 3 = 0 THEN '星河' || rank || '科技有限公司' ELSE upper(substr(site, 1, 1)) || replace(substr(split_part(site, '.', 1), 2), '-', ' ') END AS name FROM h WHERE site NOT IN {SKIP}),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, site ORDER BY rank) AS nth FROM n WHERE name <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM f WHERE nth = 1)
+SELECT query_id, rank, site AS key, name, host AS domain FROM k WHERE place <= 12"""
+
+
 def web_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web results to the first twelve companies of each query, one per site."""
     k = F.col("rank")
@@ -222,6 +236,17 @@ p AS (SELECT list_id, count(*) AS n, string_agg('[' || nth || '] ' || lang || ch
 SELECT list_id, n::INT AS n_documents, length(packed)::BIGINT AS chars, sha256(packed) AS digest FROM p"""
 
 
+def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``packed_documents``, by language, with whole bodies."""
+    d = A.table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("list_id"), F.col("doc_id").alias("pos"), F.coalesce("source", F.lit("")).alias("title"), F.lit(" u ").alias("url"), F.coalesce("text", F.lit("")).alias("content"), F.lit("w").alias("website"), F.lit("d").alias("date"))
+    return R.pack_documents(d, materials=True).select("list_id", "n_documents", F.length("packed").cast("long").alias("chars"), F.sha2(F.col("packed").cast("binary"), 256).alias("digest"))
+
+
+MATERIALS_SQL = r"""WITH d AS (SELECT coalesce(lang, '') AS list_id, coalesce(source, '') AS title, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS body, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) AS nth FROM documents),
+p AS (SELECT list_id, count(*) AS n, string_agg('[' || nth || '] ' || title || chr(10) || '    URL：u' || chr(10) || '    正文：' || body, chr(10) ORDER BY nth) AS packed FROM d WHERE nth <= 16 GROUP BY list_id)
+SELECT list_id, n::INT AS n_documents, length(packed)::BIGINT AS chars, sha256(packed) AS digest FROM p"""
+
+
 def mentioned_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first nation whose name, or its last four letters, a conversation line mentions."""
     q = A.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn", "role").alias("query_id"), F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(F.lit(" in NATION_3"), F.lit(" ON_1 "), F.lit("")), (F.col("turn") % 3).cast("int") + 1)).alias("text"))
@@ -233,9 +258,9 @@ SELECT query_id, min_by(n_name || '股份有限公司', n_nationkey) AS company
 
 QUERIES = {
     "r_web_candidates": web_candidates, "r_merged_recalls": merged_recalls, "r_waterfall": waterfall, "r_waterfall_summary": waterfall_summary, "r_ranked_corpus": ranked_corpus, "r_ranked_people": ranked_people, "r_matched_names": matched_names,
-    "r_more_candidates": more_candidates, "r_domain_contacts": domain_contacts, "r_named_pages": named_pages, "r_first_entities": first_entities, "r_homepages": homepages, "r_subpages": subpages, "r_packed_documents": packed_documents, "r_mentioned_companies": mentioned_companies,
+    "r_more_candidates": more_candidates, "r_domain_contacts": domain_contacts, "r_named_pages": named_pages, "r_first_entities": first_entities, "r_homepages": homepages, "r_subpages": subpages, "r_packed_documents": packed_documents, "r_mentioned_companies": mentioned_companies, "r_web_sites": web_sites, "r_materials": materials,
 }
 ORACLE = {
     "r_web_candidates": WEB_SQL, "r_merged_recalls": MERGED_SQL, "r_waterfall": WATERFALL_SQL, "r_waterfall_summary": SUMMARY_SQL, "r_ranked_corpus": CORPUS_SQL, "r_ranked_people": RANKED_PEOPLE_SQL, "r_matched_names": MATCHED_SQL, "r_more_candidates": MORE_SQL,
-    "r_domain_contacts": CONTACTS_SQL, "r_named_pages": PAGES_SQL, "r_first_entities": ENTITIES_SQL, "r_homepages": HOMEPAGES_SQL, "r_subpages": SUBPAGES_SQL, "r_packed_documents": PACKED_SQL, "r_mentioned_companies": MENTIONED_SQL,
+    "r_domain_contacts": CONTACTS_SQL, "r_named_pages": PAGES_SQL, "r_first_entities": ENTITIES_SQL, "r_homepages": HOMEPAGES_SQL, "r_subpages": SUBPAGES_SQL, "r_packed_documents": PACKED_SQL, "r_mentioned_companies": MENTIONED_SQL, "r_web_sites": WEB_SITES_SQL, "r_materials": MATERIALS_SQL,
 }

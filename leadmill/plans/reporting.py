@@ -12,7 +12,7 @@ from leadmill.operators import reports as R
 from leadmill.plans.enriching import MASTER_SQL
 from leadmill.plans.judging import JUDGED, ROWS, built
 from leadmill.sources import adapters as A
-from leadmill.sources import io
+from leadmill.sources import io, snapshots
 from leadmill.streaming import jobs
 
 NOW = "2024-01-31"
@@ -197,6 +197,21 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 REWRITTEN_SQL = f"WITH {A.COMPANIES} SELECT n_name AS list_id, external_id FROM companies WHERE r_name <> 'ASIA' OR contact_count = 0"
 
 
+def list_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list per nation in buckets; those of one region are replaced by fewer rows, one list is deleted. Read before and after."""
+    c = A.companies(spark, sf_dir).select("external_id", "contact_count", "r_name", F.col("n_name").alias("list_id"))
+    store = snapshots.ListStore(spark, f"{io.shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}", 8)
+    store.replace(c)
+    before = store.read()  # stays readable
+    store.replace(c.where("r_name = 'ASIA' and contact_count = 0"), c.where("r_name = 'ASIA' or list_id = 'NATION_3'").select("list_id"))
+    kept = before.groupBy("list_id").agg(F.count("*").alias("n")).select("list_id", F.lit("before").alias("external_id"), "n")
+    return store.read().select("list_id", "external_id", F.lit(1).cast("long").alias("n")).unionByName(kept)
+
+
+STORE_SQL = f"""WITH {A.COMPANIES} SELECT n_name AS list_id, external_id, 1::BIGINT AS n FROM companies WHERE n_name <> 'NATION_3' AND (r_name <> 'ASIA' OR contact_count = 0)
+UNION ALL SELECT n_name, 'before', count(*) FROM companies GROUP BY n_name"""
+
+
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored lists and rows, some of them broken, read back."""
     lists = A.lists(spark, sf_dir).select("list_id", "status", F.when(F.col("id") % 11 == 0, "oops").otherwise('{"a": "b"}').alias("payload"))
@@ -279,9 +294,9 @@ def streamed_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p_list_progress": progress, "p_overview": overview, "p_opportunity_levels": levels, "p_activity_feed": feed, "p_kpi_cards": kpis, "p_trend_chart": trends, "p_channels": channels, "p_outreach": outreach, "p_source_costs": costs, "p_criteria_usage": usage,
-    "l_opportunity_page": opportunities, "l_keyword_search": found_turns, "l_recent_first": newest, "s_deleted_lists": kept_lists, "s_uploaded_names": uploaded, "s_record_json": record_json, "m_stream_trends": streamed_trends, "m_stream_dedupe": streamed_names, "m_stream_judge": streamed_scores, "m_stream_company_master": streamed_master, "s_imported_names": imported, "s_read_records": read_back, "s_rewritten_lists": rewritten, "s_loaded_lists": loaded,
+    "l_opportunity_page": opportunities, "l_keyword_search": found_turns, "l_recent_first": newest, "s_deleted_lists": kept_lists, "s_uploaded_names": uploaded, "s_record_json": record_json, "m_stream_trends": streamed_trends, "m_stream_dedupe": streamed_names, "m_stream_judge": streamed_scores, "m_stream_company_master": streamed_master, "s_imported_names": imported, "s_read_records": read_back, "s_rewritten_lists": rewritten, "s_list_store": list_store, "s_loaded_lists": loaded,
 }
 ORACLE = {
     "p_list_progress": PROGRESS_SQL, "p_overview": OVERVIEW_SQL, "p_opportunity_levels": LEVELS_SQL, "p_activity_feed": FEED_SQL, "p_kpi_cards": KPI_SQL, "p_trend_chart": TRENDS_SQL, "p_channels": CHANNELS_SQL, "p_outreach": OUTREACH_SQL, "p_source_costs": COSTS_SQL, "p_criteria_usage": USAGE_SQL,
-    "l_opportunity_page": OPPORTUNITY_SQL, "l_keyword_search": FOUND_SQL, "l_recent_first": NEWEST_SQL, "s_deleted_lists": KEPT_SQL, "s_uploaded_names": UPLOADED_SQL, "s_record_json": JSON_SQL, "m_stream_trends": STREAM_TRENDS_SQL, "m_stream_dedupe": STREAM_NAMES_SQL, "m_stream_judge": STREAM_SCORES_SQL, "m_stream_company_master": MASTER_SQL, "s_imported_names": IMPORTED_SQL, "s_read_records": READ_SQL, "s_rewritten_lists": REWRITTEN_SQL, "s_loaded_lists": LOADED_SQL,
+    "l_opportunity_page": OPPORTUNITY_SQL, "l_keyword_search": FOUND_SQL, "l_recent_first": NEWEST_SQL, "s_deleted_lists": KEPT_SQL, "s_uploaded_names": UPLOADED_SQL, "s_record_json": JSON_SQL, "m_stream_trends": STREAM_TRENDS_SQL, "m_stream_dedupe": STREAM_NAMES_SQL, "m_stream_judge": STREAM_SCORES_SQL, "m_stream_company_master": MASTER_SQL, "s_imported_names": IMPORTED_SQL, "s_read_records": READ_SQL, "s_rewritten_lists": REWRITTEN_SQL, "s_list_store": STORE_SQL, "s_loaded_lists": LOADED_SQL,
 }

@@ -274,12 +274,77 @@ e AS (SELECT *, CASE category WHEN 'size' THEN (k % 90) || ':' || (k % 70 + 20)
 ids AS (SELECT name, expected, {crc_sql("name || '|' || expected")} % 1000000 AS crc FROM (SELECT DISTINCT name, expected FROM e), crc_table)
 SELECT list_id, pos, 'criterion-' || category || '-' || crc AS id, CASE WHEN k % 8 = 0 THEN 'q' ELSE '公开资料是否体现了「' || name || '」？' END AS question, CASE WHEN k % 9 = 0 THEN 'why' ELSE '由 LLM 依据画像推导。' END AS rationale, category, name, weight, CASE WHEN category = 'size' THEN '' WHEN k % 5 = 0 THEN 'A轮' ELSE 'a' END AS tokens, expected FROM e JOIN ids USING (name, expected)"""
 
+def raw_person_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``raw_criteria``, of people."""
+    k = F.col("l_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("name", "title", "company", "seniority", "background", "reachability"))), (k % 6).cast("int") + 1)
+    expected = F.when(k % 6 == 3, F.when(k % 4 == 1, "管理层").otherwise("Z")).when(k % 6 == 4, F.when(k % 11 < 6, "").otherwise("x")).otherwise("x")
+    tokens = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(" a "), F.lit("a"), F.lit("")))
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    x = A.table(spark, sf_dir, "lineitem")
+    return x.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string")).alias("list_id"), n.alias("pos"), kind.alias("category"), F.concat(F.lit(" n"), F.col("l_linenumber").cast("string")).alias("name"), F.lit("").alias("question"), expected.alias("expected"), F.lit("").alias("note"), (k % 7).cast("string").alias("weight"), tokens.alias("tokens"))
+
+
+def validated_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.validate_criteria(raw_person_criteria(spark, sf_dir), True).select("list_id", "pos", "id", "category", "name", "weight", F.array_join("tokens", "/").alias("tokens"), "expected")
+
+
+VALIDATED_PEOPLE_SQL = f"""WITH {CRC}, u AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS pos FROM lineitem),
+r AS (SELECT 'l' || l_orderkey AS list_id, pos, list_extract(['name', 'title', 'company', 'seniority', 'background', 'reachability'], (k % 6)::INT + 1) AS category, 'n' || l_linenumber AS name, (k % 7)::INT AS weight, k FROM u),
+g AS (SELECT *, row_number() OVER (PARTITION BY list_id, category ORDER BY pos) AS nth FROM r WHERE category <> 'reachability' AND weight BETWEEN 1 AND 5
+  AND CASE category WHEN 'seniority' THEN k % 4 = 1 WHEN 'background' THEN k % 11 < 6 AND k % 5 <> 0 ELSE k % 5 <> 0 END),
+f AS (SELECT *, count(*) OVER (PARTITION BY list_id) AS n FROM g WHERE nth <= CASE category WHEN 'background' THEN 2 ELSE 1 END),
+e AS (SELECT *, CASE category WHEN 'seniority' THEN '管理层' WHEN 'background' THEN '' ELSE 'x' END AS expected FROM f WHERE n >= 2),
+ids AS (SELECT name, expected, {crc_sql("name || '|' || expected")} % 1000000 AS crc FROM (SELECT DISTINCT name, expected FROM e), crc_table)
+SELECT list_id, pos, 'criterion-' || category || '-' || crc AS id, category, name, weight, CASE WHEN k % 5 = 0 THEN '' ELSE 'a' END AS tokens, expected FROM e JOIN ids USING (name, expected)"""
+
+
+def person_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is searched for people's profiles: names, roles, the whole families of the words for companies, the city."""
+    p = A.people(spark, sf_dir)
+    text = F.concat(F.lit("联系人："), F.col("name"), F.lit("，sales director，"), F.col("n_name"), F.lit("，furniture"))
+    made = p.select(F.col("external_id").alias("list_id"), text.alias("text"), C.detect_person_names(text).alias("names")).withColumn("h", C.criteria_hints(C.person_criteria(F.col("text"), F.col("names"), VOCABULARY), True, VOCABULARY))
+    return made.select("list_id", "h.city", *[F.array_join(f"h.{n}", "/").alias(n) for n in ("name_hints", "role_hints", "company_hints")])
+
+
+PERSON_HINTS_SQL = f"""WITH {A.PEOPLE} SELECT external_id AS list_id, CASE WHEN n_name IN ('NATION_21', 'NATION_17', 'NATION_8', 'NATION_3') THEN n_name END AS city,
+  first || ' ' || last AS name_hints, '销售/sales/技术/研发/engineering/cto' AS role_hints, 'furniture/building/household' AS company_hints FROM people"""
+
+
+def vocabulary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that share a word of eight letters and more with a document; any place in a text counts."""
+    said = A.table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0))).alias("token"))
+    words = said.groupBy("conv_id").agg(F.collect_set("token").alias("tokens")).select(F.col("conv_id").alias("pos"), F.concat(F.lit("v"), F.col("conv_id").cast("string")).alias("family"), "tokens")
+    found = C.match_vocabulary(A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("list_id"), "text"), words)
+    return found.select("list_id", F.size("families").alias("n_families"), F.array_join("families", "/").alias("families"))
+
+
+VOCABULARY_SQL = """WITH t AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[a-z]{8,}')) AS token FROM conversations),
+h AS (SELECT doc_id, token FROM documents JOIN (SELECT DISTINCT token FROM t) ON contains(text, token)),
+p AS (SELECT DISTINCT doc_id, conv_id FROM h JOIN t USING (token))
+SELECT doc_id AS list_id, count(*)::INT AS n_families, string_agg('v' || conv_id, '/' ORDER BY conv_id) AS families FROM p GROUP BY doc_id"""
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry fields of web results: capital, head and founding date, each in some of them."""
+    k = F.col("rank")
+    text = F.concat(
+        F.col("content"), F.when(k % 2 == 0, F.concat(F.lit(" 注册资本：1,"), k.cast("string"), F.lit(".5万元 "))).otherwise(""), F.when(k % 3 == 0, "法定代表人为李雷·王；").otherwise(""),
+        F.when(k % 5 == 0, F.concat(F.lit("成立日期："), (k % 40 + 1980).cast("string"), F.lit("年5月6日"))).when(k % 5 == 1, F.concat(F.lit("成立于 "), (k % 40 + 1980).cast("string"), F.lit("-05-06"))).otherwise(""),
+    )
+    return A.web_results(spark, sf_dir).select("rank", T.registry_fields(text).alias("f")).select("rank", *[F.coalesce(F.col("f")[n], F.lit("")).alias(n) for n in ("registered_capital", "legal_rep", "founded")])
+
+
+REGISTRY_SQL = f"""WITH {A.WEB} SELECT rank, CASE WHEN rank % 2 = 0 THEN '1,' || rank || '.5万元' ELSE '' END AS registered_capital, CASE WHEN rank % 3 = 0 THEN '李雷·王' ELSE '' END AS legal_rep,
+  CASE rank % 5 WHEN 0 THEN (rank % 40 + 1980) || '年5月6日' WHEN 1 THEN (rank % 40 + 1980) || '-05-06' ELSE '' END AS founded FROM web"""
+
 QUERIES = {
     "t_url_scalars": url_scalars, "t_title_names": title_names, "t_size_and_funding": size_and_funding, "t_name_matching": name_matching, "t_conversation_scalars": conversation_scalars, "t_request_keys": seeds_and_keys, "c_answered_once": answered_requests,
     "t_page_markup": page_markup, "c_profile_detection": profile_detection, "c_profile_criteria": profile_criteria, "c_profile_hints": profile_hints, "c_person_criteria": person_profile_criteria, "c_merged_conditions": merged_conditions,
-    "c_validated_criteria": validated_criteria,
+    "c_validated_criteria": validated_criteria, "c_validated_people": validated_people, "c_person_hints": person_hints, "c_vocabulary_matches": vocabulary_matches, "t_registry_fields": registry,
 }
 ORACLE = {
     "t_url_scalars": URL_SQL, "t_title_names": TITLE_SQL, "t_size_and_funding": SIZE_SQL, "t_name_matching": NAME_SQL, "t_conversation_scalars": CONVERSATION_SQL,
     "t_request_keys": KEYS_SQL, "c_answered_once": ANSWERED_SQL, "t_page_markup": MARKUP_SQL, "c_person_criteria": PERSON_SQL, "c_merged_conditions": MERGED_SQL, "c_profile_detection": DETECTION_SQL, "c_profile_criteria": CRITERIA_SQL, "c_profile_hints": HINTS_SQL, "c_validated_criteria": VALIDATED_SQL,
+    "c_validated_people": VALIDATED_PEOPLE_SQL, "c_person_hints": PERSON_HINTS_SQL, "c_vocabulary_matches": VOCABULARY_SQL, "t_registry_fields": REGISTRY_SQL,
 }

@@ -12,13 +12,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
+from leadmill.functions import tries
 from leadmill.operators import criteria as C
 from leadmill.operators import enrich as E
 from leadmill.operators import judge as J
 from leadmill.operators import listing as L
 from leadmill.operators import ranks
 from leadmill.operators import recall as R
-from leadmill.sources import io
+from leadmill.sources import io, snapshots
 from leadmill.streaming import jobs
 from tests.test_operators import records
 
@@ -200,3 +201,95 @@ def test_a_list_is_a_file(spark, tmp_path):
     assert sum(n.endswith(".parquet") for _, _, names in os.walk(tmp_path / "lists") for n in names) == 50
     io.write_list(rows.where("list_id = 'l3'").limit(7), str(tmp_path / "lists"))  # another list stays
     assert spark.read.parquet(str(tmp_path / "lists")).groupBy("list_id").count().where("count <> 80").collect()[0]["count"] == 7
+
+
+def test_many_words_are_one_pass(spark):
+    """A pattern in the shape of a trie against looking for every word by itself."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("ab金属 (.\\[") for _ in range(n))
+    words = sorted({some(rng.randint(1, 4)) for _ in range(60)})
+    texts = [some(rng.randint(0, 40)) for _ in range(300)] + ["", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    longer = tries.extensions(words, words)
+    got = {r.i: {w for w in words if set(longer[w]) & set(r.f)} for r in rows.select("i", tries.found(F.col("t"), words).alias("f")).collect()}
+    assert got == {i: {w for w in words if t and w in t} for i, t in enumerate(texts)}
+    families = tuple((f"f{i}", tuple(rng.sample(words, 3))) for i in range(20))
+    named = {r.i: [x.name for x in r.f] for r in rows.select("i", C.match_families(F.col("t"), families).alias("f")).collect()}
+    assert named == {i: [n for n, tokens in families if t and any(w in t for w in tokens)] for i, t in enumerate(texts)}
+    signals = {r.i: r.f for r in rows.select("i", C.detect_signals(F.col("t"), tuple(words)).alias("f")).collect()}
+    for i, t in enumerate(texts):
+        hits = [w for w in words if t and w in t]
+        assert signals[i] == [w for w in hits if not any(w != o and w in o for o in hits)]
+
+
+def test_ten_thousand_words(spark):
+    """Both ways of ``match_vocabulary`` agree, on words that nest too deep for a pattern too."""
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abcdefgh的了") for _ in range(rng.randint(2, 7))) for _ in range(10_000)})
+    table = spark.createDataFrame([(i, f"v{i}", words[i * 50 : i * 50 + 50]) for i in range(len(words) // 50)], "pos int, family string, tokens array<string>")
+    texts = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh的了") for _ in range(60))) for i in range(40)], "list_id int, text string")
+    one, other = ({r.list_id: r.families for r in C.match_vocabulary(texts, table, most).collect()} for most in (100_000, 0))
+    assert one == other and len(one) == 40
+    with pytest.raises(tries.TooDeep):
+        tries.pattern(["a" * n for n in range(1, 400)])
+    deep = spark.createDataFrame([(0, "deep", ["a" * n for n in range(1, 400)])], "pos int, family string, tokens array<string>")
+    assert C.match_vocabulary(spark.createDataFrame([(1, "xaa"), (2, "b"), (3, None)], "list_id int, text string"), deep).collect() == [(1, ["deep"])]
+    assert C.match_vocabulary(texts, deep.limit(0)).collect() == []
+
+
+def _store(spark, path, n=200):
+    store = snapshots.ListStore(spark, str(path), 4)
+    rows = spark.range(0, n * 5, 1, 8).select(F.concat(F.lit("l"), F.col("id") % n).alias("list_id"), F.col("id").alias("bucket"))
+    store.replace(rows.unionByName(spark.createDataFrame([(None, -1)], rows.schema)))
+    return store
+
+
+def _counts(df):
+    return {r.list_id: r["count"] for r in df.groupBy("list_id").count().collect()}
+
+
+def test_a_store_of_lists(spark, tmp_path):
+    store = _store(spark, tmp_path / "s")
+    files = sum(n.endswith(".parquet") for _, _, names in os.walk(tmp_path / "s") for n in names)
+    assert files <= 8  # by buckets, not by the 200 lists
+    old = store.read()
+    new = spark.createDataFrame([("l3", 7), ("x", 8), (None, 9)], "list_id string, bucket long")
+    assert store.replace(new, spark.createDataFrame([("l4",)], "list_id string")) == 2
+    want = {f"l{i}": 5 for i in range(200)} | {None: 1}
+    assert _counts(old) == want  # as when it was opened
+    assert _counts(store.read()) == {k: v for k, v in want.items() if k != "l4"} | {"l3": 1, "x": 1}
+    assert [r.bucket for r in store.read(["l3"]).collect()] == [7] and store.read(["l4", "none"]).count() == 0
+    assert {r.bucket for r in store.read().where("list_id is null").collect()} == {9}
+    for i in range(5):
+        store.replace(spark.createDataFrame([("x", i)], "list_id string, bucket long"))
+    assert store.versions() == [5, 6, 7] and store.read().count() == 5 * 198 + 3
+    with pytest.raises(ValueError):
+        store.replace(spark.createDataFrame([("x", "y")], "list_id string, other string"))
+    assert store.replace(new.limit(0)) == 8 and _counts(store.read())["x"] == 1
+
+
+def test_a_store_keeps_what_others_wrote(spark, tmp_path, monkeypatch):
+    """A second writer is first between reading and committing; then a writer breaks off."""
+    store, real = _store(spark, tmp_path / "s", 20), snapshots.ListStore.commit
+    row = lambda name: spark.createDataFrame([(name, 1)], "list_id string, bucket long")
+
+    def late(self, manifest):
+        monkeypatch.setattr(snapshots.ListStore, "commit", real)
+        snapshots.ListStore(spark, str(tmp_path / "s")).replace(row("other"))
+        real(self, manifest)
+
+    monkeypatch.setattr(snapshots.ListStore, "commit", late)
+    assert store.replace(row("mine")) == 3
+    have = _counts(store.read())
+    assert have["other"] == have["mine"] == 1 and len(have) == 23
+
+    def broken(self, manifest):
+        raise OSError("gone")
+
+    monkeypatch.setattr(snapshots.ListStore, "commit", broken)
+    with pytest.raises(OSError):
+        store.replace(row("lost"))
+    monkeypatch.setattr(snapshots.ListStore, "commit", real)
+    assert _counts(store.read()) == have
+    store.sweep()
+    assert _counts(store.read()) == have and not [n for n in os.listdir(tmp_path / "s") if n.startswith(("staged-", "new-"))]
