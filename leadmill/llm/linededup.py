@@ -12,6 +12,7 @@ lines of repeats are deleted, so of a long passage that occurs twice the later o
   of the same fingerprint. Every further line of a longer match lies around the next fingerprint of the same
   match, so ``min_lines - 1`` lines each way are enough, and what was extended is a key that can be
   aggregated: a line that repeats in thousands of documents is never paired with all its copies.
+* Runs are equal if two hashes of 64 bits are, each made of its lines' hashes with a seed of its own.
 * Lines under repeats are merged into maximal runs, which are cut from the text.
 
 Nulls: a null text stays null and an empty one empty. Rows with a null id are left as they are. Rows with
@@ -40,10 +41,10 @@ def _enough(n: int, words: list[str], min_lines: int, min_words: int) -> str:
 def fingerprints(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs: (id, mark, text) to (id, mark, at, fingerprint, around), a row per selected line.
 
-    ``at`` counts the lines that aren't blank; ``around`` has hash h and words w of the lines from
+    ``at`` counts the lines that aren't blank; ``around`` has hashes h and g and words w of the lines from
     ``min_lines - 1`` before it to as many after it, null beyond the ends of the text.
     """
-    lines = F.expr(f"filter(transform(split(text, '\\n'), l -> struct(xxhash64(l) as h, regexp_count(l, r'{TOKEN}') as w)), x -> x.w > 0)")
+    lines = F.expr(f"filter(transform(split(text, '\\n'), l -> struct(xxhash64(l) as h, xxhash64(1, l) as g, regexp_count(l, r'{TOKEN}') as w)), x -> x.w > 0)")
     # the smallest hash of the window, the last on a tie: its place is kept negative
     least = lambda n: "array_min(array(" + ", ".join(f"struct(lines[i + {k}].h as h, -(i + {k}) as j)" for k in range(n)) + ")).j"
     window = " ".join(f"WHEN i + {n} <= size(lines) AND {_enough(n, [f'lines[i + {k}].w' for k in range(n)], min_lines, min_words)} THEN -{least(n)}" for n in range(1, min_lines + 1))
@@ -56,13 +57,14 @@ def fingerprints(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
 
 
 def _extended(min_lines: int, min_words: int) -> str:
-    """Of a position: before, after and a hash of every run around it that is long enough, up to ``min_lines`` lines."""
+    """Of a position: before, after and two hashes of every run around it that is long enough, up to ``min_lines`` lines."""
     far, runs = min_lines - 1, []
     for before in range(min_lines):
         for after in range(min_lines - before):
             at = range(far - before, far + after + 1)
             there = " AND ".join(f"around[{k}] is not null" for k in at)
-            run = f"struct({before} as before, {after} as after, xxhash64({', '.join(f'around[{k}].h' for k in at)}) as key)"
+            key, check = (f"xxhash64({', '.join(f'around[{k}].{x}' for k in at)})" for x in "hg")
+            run = f"struct({before} as before, {after} as after, {key} as key, {check} as check)"
             runs.append(f"CASE WHEN {there} AND {_enough(len(at), [f'around[{k}].w' for k in at], min_lines, min_words)} THEN {run} END")
     return f"array_compact(array({', '.join(runs)}))"
 
@@ -74,8 +76,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     # sums by key are tables of their own, so that the joins with them can split a hot key
     shared = scratch.write(selected.groupBy("fingerprint").agg(F.count("*").alias("c")).where("c > 1").select("fingerprint"), "shared")
     met = selected.join(shared, "fingerprint").select("id", "mark", "at", "fingerprint", F.explode(F.expr(_extended(min_lines, min_words))).alias("x"))
-    met = scratch.write(met.select("id", "mark", (F.col("at") - F.col("x.before")).alias("i"), (F.col("x.before") + F.col("x.after") + 1).alias("n"), "fingerprint", "x.before", "x.key"), "extended")
-    start, same = F.struct("id", "mark", "i"), ["key", "fingerprint", "before"]
+    met = scratch.write(met.select("id", "mark", (F.col("at") - F.col("x.before")).alias("i"), (F.col("x.before") + F.col("x.after") + 1).alias("n"), "fingerprint", "x.before", "x.key", "x.check"), "extended")
+    start, same = F.struct("id", "mark", "i"), ["key", "check", "fingerprint", "before"]
     first = met.groupBy(*same).agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first < last").select(*same, "first")
     again = met.join(scratch.write(first, "first"), same).where(start > F.col("first"))
     under = again.select("id", "mark", F.explode(F.expr("sequence(i, i + n - 1)")).alias("line"))
