@@ -150,6 +150,7 @@ VOCABULARY = C.Vocabulary(
     families=(("making", ("machinery", "automobile")), ("homes", ("building", "furniture", "household"))),
     signals=("urgent", "hiring", "urgent hiring"),
     intent=("Find", "companies", "in"),
+    roles=(("销售", ("销售", "sales")), ("市场", ("市场", "marketing", "cmo")), ("技术", ("技术", "研发", "engineering", "cto")), ("采购", ("采购", "procurement")), ("财务", ("财务", "finance", "cfo"))),
 )
 
 
