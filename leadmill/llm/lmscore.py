@@ -10,12 +10,17 @@ slices of the key space, to be added up. What comes back are the corpus' counts
 block's own, and the block scores its documents with them. A key has a row per block at most, however common
 it is; nothing is broadcast and nothing but four sums reaches the driver. Keys are hashes of 63 bits.
 
+A block sends ``WIDE`` slices at most, so that a slice is worth its row. Where the corpus needs more, sums are made
+in two levels, both with about the root of the number: groups of blocks add up wide ranges of keys, each is cut into slices, and
+these are added up over the groups. Counts go back the same way; results are the same.
+
 Nulls: a null text, or one without words, has no tokens and score 0. Rows map one to one, with null and
 repeated ids. Without target documents both models are equal up to smoothing. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,6 +39,8 @@ START = 1
 BROADCAST = 4_000_000
 #: Tokens of a block; bytes of text that a slice of the key space stands for, and slices at least.
 BLOCK, SLICE, SLICES = 1_000_000, 16 << 20, 512
+#: Slices that a block sends at most before groups of blocks are added up first.
+WIDE = 4096
 
 
 def with_flag(docs: DataFrame, chosen: DataFrame, name: str, id_col: str = "doc_id", most: int = BROADCAST) -> DataFrame:
@@ -102,9 +109,9 @@ def _tally(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, flags: np.nda
     return keys[order], counts[:, order], rank[n + at], rank[pair]
 
 
-def _slices(keys: np.ndarray, slices: int) -> np.ndarray:
-    """Where each slice of the key space begins among ordered keys, and their number."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32), np.arange(slices + 1, dtype=np.uint64))
+def _slices(keys: np.ndarray, slices: int, first: int = 0, n: int | None = None) -> np.ndarray:
+    """Where each slice of the key space (n of them, from the first) begins among ordered keys, and where the last ends."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32), np.arange(first, first + (slices if n is None else n) + 1, dtype=np.uint64))
 
 
 def _sent(slices: int):
@@ -145,16 +152,45 @@ def _sent(slices: int):
     return run
 
 
+_SENT = "at long, block long, data binary"
 _ADDED = "block long, part long, data binary, words long, target long, background long"
 
 
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.binary() if n == "data" else pa.int64() for n in names]
+    return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _summed(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of unpacked rows in order, their sums, and the place among them of each row's keys, one row after the other."""
+    keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    own = np.stack([np.concatenate([p[k] for p in parts]) for k in range(1, 5)]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return ranked[first], np.add.reduceat(own[:, order], np.flatnonzero(first), axis=1), which
+
+
+def _returned(blocks: list[int], parts: list[list[np.ndarray]], sums: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """For each block that sent less than all of it: where, and the sums."""
+    begin = 0
+    for block, p in zip(blocks, parts, strict=True):
+        all_of = sums[:, which[begin : begin + len(p[0])]]
+        more = np.flatnonzero(all_of[1] != p[2].astype(np.int64))
+        begin += len(p[0])
+        if len(more):
+            yield block, _pack(_steps(more), *all_of[:, more])
+
+
 def _added(table: pa.Table) -> pa.Table:
     """The sums of a slice for each block that sent less than all of it (part: the slice), and a row of totals.
 
     Blocks pass as part -1, with their number of texts under target and background.
     """
     at, blocks, data = table.column("at")[0].as_py(), table.column("block").to_pylist(), table.column("data").to_pylist()
-    names = [x.split()[0] for x in _ADDED.split(", ")]
     if at < 0:
         rows = []
         for block, x in zip(blocks, data, strict=True):
@@ -162,24 +198,41 @@ def _added(table: pa.Table) -> pa.Table:
             rows.append((block, -1, x, 0, int(((flags > 0) & (lengths > 0)).sum()), int((lengths > 0).sum())))
     else:
         parts = [_unpack(x) for x in data]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        own = np.stack([np.concatenate([p[k] for p in parts]) for k in range(1, 5)]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        sums = np.add.reduceat(own[:, order], np.flatnonzero(first), axis=1)
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.cumsum(first) - 1
-        words = (ranked[first] & np.uint64(1)) > 0
-        rows, begin = [(-1, -2, None, int(words.sum()), int(sums[0, words].sum()), int(sums[1, words].sum()))], 0
-        for block, p in zip(blocks, parts, strict=True):
-            all_of = sums[:, which[begin : begin + len(p[0])]]
-            more = np.flatnonzero(all_of[1] != own[1, begin : begin + len(p[0])])
-            begin += len(p[0])
-            if len(more):
-                rows.append((block, at, _pack(_steps(more), *all_of[:, more]), 0, 0, 0))
-    kinds = {"data": pa.binary()}
-    return pa.table({n: pa.array(list(x), kinds.get(n, pa.int64())) for n, x in zip(names, zip(*rows, strict=True), strict=True)})
+        keys, sums, which = _summed(parts)
+        words = (keys & np.uint64(1)) > 0
+        rows = [(-1, -2, None, int(words.sum()), int(sums[0, words].sum()), int(sums[1, words].sum()))]
+        rows += [(block, at, x, 0, 0, 0) for block, x in _returned(blocks, parts, sums, which)]
+    return _table(_ADDED, rows)
+
+
+def _merged(ranges: int, fine: int):
+    """The rows of a group of blocks in one range of keys to one row a slice of that range, from the unit of both."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit, at = table.column("unit")[0].as_py(), table.column("at")[0].as_py()
+        keys, sums, _ = _summed([_unpack(x) for x in table.column("data").to_pylist()])
+        begin = _slices(keys, ranges * fine, at * fine, fine)
+        met = np.flatnonzero(np.diff(begin))
+        return _table(_SENT, [(at * fine + int(k), unit, _pack(_steps(keys[begin[k] : begin[k + 1]]), *sums[:, begin[k] : begin[k + 1]])) for k in met])
+
+    return run
+
+
+def _handed(ranges: int, fine: int):
+    """What a unit's blocks sent, and the sums that came back to the unit, to the sums that each block lacks."""
+
+    def run(sent: pa.Table, back: pa.Table) -> pa.Table:
+        if not sent.num_rows:
+            return _table("block long, part long, data binary", [])
+        at, parts = sent.column("at")[0].as_py(), [_unpack(x) for x in sent.column("data").to_pylist()]
+        keys, sums, which = _summed(parts)
+        begin = _slices(keys, ranges * fine, at * fine, fine)
+        for part, data in zip(back.column("part").to_pylist(), back.column("data").to_pylist(), strict=True):
+            places, *whole = _unpack(data)
+            sums[:, begin[part - at * fine] + np.cumsum(places, dtype=np.uint64).astype(np.int64)] = np.stack(whole)
+        return _table("block long, part long, data binary", [(block, at, x) for block, x in _returned(sent.column("block").to_pylist(), parts, sums, which)])
+
+    return run
 
 
 def _block_scores(slices: int, words: int, totals: list[int], texts: list[int]):
@@ -217,12 +270,25 @@ def score_whole(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
     slices = max(SLICES, (docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0) // SLICE)
+    fine = 1 if slices <= WIDE else math.isqrt(slices - 1) + 1
+    ranges = -(-slices // fine)
     scratch = Scratch(docs.sparkSession, "lm")
-    added = scratch.write(rows.mapInArrow(_sent(slices), "at long, block long, data binary").groupBy("at").applyInArrow(_added, _ADDED), "sums")
+    sent = rows.mapInArrow(_sent(ranges), _SENT)
+    if fine > 1:  # as many groups of blocks as slices in a range, so that a unit adds up as much as a slice
+        sent = scratch.write(sent, "sent").withColumn("unit", F.pmod(F.xxhash64("block"), F.lit(fine)) * ranges + F.col("at"))
+        units = sent.where("at >= 0")
+        last = units.groupBy("unit").applyInArrow(_merged(ranges, fine), _SENT).unionByName(sent.where("at < 0").drop("unit"))
+    else:
+        last = sent
+    added = scratch.write(last.groupBy("at").applyInArrow(_added, _ADDED), "sums")
     of = {r["texts"]: r for r in added.groupBy((F.col("part") == -1).alias("texts")).agg(*[F.sum(c).alias(c) for c in ("words", "target", "background")]).collect()}  # two rows
     scratch.reclaim()  # what was sent goes before the sums travel
     if not of:
         of = dict.fromkeys((True, False), {"words": 0, "target": 0, "background": 0})
     both = lambda texts: [of[texts][c] if texts in of else 0 for c in ("target", "background")]
-    scores = _block_scores(slices, of[False]["words"] if False in of else 0, both(False), both(True))
-    return added.where("block >= 0").select("block", "part", "data").groupBy("block").applyInArrow(scores, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    scores = _block_scores(ranges, of[False]["words"] if False in of else 0, both(False), both(True))
+    back = added.where("block >= 0").select("block", "part", "data")
+    if fine > 1:
+        down = units.groupBy("unit").cogroup(back.where("part >= 0").groupBy("block")).applyInArrow(_handed(ranges, fine), "block long, part long, data binary")
+        back = back.where("part = -1").unionByName(down)
+    return back.groupBy("block").applyInArrow(scores, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -80,6 +80,20 @@ def test_whole_models_equal_brute_force(spark, monkeypatch):
         close(found, plain(rows))
 
 
+def test_two_levels_equal_one(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(1, 3 + i % 17)) + f" once{i}", i % 3 == 0) for i in range(80)]
+    rows += [(200, None, True), (201, "", None), (203, "cat " * 5_000, None), (None, "cat w1", True)]
+    monkeypatch.setattr(lmscore, "BLOCK", 10)
+    expected = plain(rows)
+    for slices, wide in ((64, 8), (70, 8), (5, 4)):
+        monkeypatch.setattr(lmscore, "SLICES", slices)
+        monkeypatch.setattr(lmscore, "WIDE", wide)
+        found = lmscore.score_whole(frame(spark, rows), F.col("good")).collect()
+        assert len(found) == len(rows)
+        close({r.doc_id: r for r in found}, expected)
+    assert lmscore.score_whole(frame(spark, rows).limit(0), F.col("good")).count() == 0
+
+
 def test_query_keeps_rare_words_and_bigrams(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{DIR}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
