@@ -7,8 +7,9 @@ control string and dropping one backslash restores it.
 
 A conversation whose last turn is no reply also gets one row without trainable characters, so that the
 rows hold every turn. Turns with the same number are ordered by role and text. Null roles and texts are
-empty; rows with a null conversation id form one conversation. Other columns are ignored, an empty table
-gives no rows. A conversation is windowed, not collected: its rows are sorted and spill.
+empty. A row with a null conversation id belongs to no other row: it is a conversation of one turn, formatted where
+it is read. Other columns are ignored, an empty table gives no rows. A conversation is windowed, not collected: its
+rows are sorted and spill.
 """
 
 from __future__ import annotations
@@ -45,17 +46,21 @@ def format_chats(turns: DataFrame, reply_role: str = "assistant") -> DataFrame:
         .withColumn("piece", F.concat("head", "body", F.lit(TAIL)))
     )
     reply = F.col("role") == reply_role
-    placed = pieces.select(
-        "conv_id",
-        "role",
-        F.length("head").alias("head"),
-        F.length("body").alias("body"),
-        F.row_number().over(order).alias("example"),
-        F.lead("role").over(order).isNull().alias("is_last"),
-        F.sum(F.length("piece").cast("long")).over(upto).alias("end"),
-        F.collect_list("piece").over(upto).alias("prefix"),
-    ).where(reply | F.col("is_last"))
-    return placed.select(
+    own = ("conv_id", "role", F.length("head").alias("head"), F.length("body").alias("body"))
+    size = F.length("piece").cast("long")
+    placed = (
+        pieces.where("conv_id IS NOT NULL")
+        .select(
+            *own,
+            F.row_number().over(order).alias("example"),
+            F.lead("role").over(order).isNull().alias("is_last"),
+            F.sum(size).over(upto).alias("end"),
+            F.collect_list("piece").over(upto).alias("prefix"),
+        )
+        .where(reply | F.col("is_last"))
+    )
+    alone = pieces.where("conv_id IS NULL").select(*own, F.lit(1).alias("example"), F.lit(True).alias("is_last"), size.alias("end"), F.array("piece").alias("prefix"))
+    return placed.unionByName(alone).select(
         "conv_id",
         "example",
         F.array_join("prefix", "").alias("formatted"),
@@ -84,7 +89,7 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """Per conversation, read back from the examples: turns and trainable text as digests."""
+    """Per conversation (of rows with a null id: per row), read back from the examples: turns and trainable text as digests."""
     parts = examples.select(
         "conv_id",
         "example",
@@ -92,13 +97,14 @@ def digests(examples: DataFrame) -> DataFrame:
         F.when(F.col("loss_chars") > 0, trainable()).alias("loss"),
         F.when(F.col("is_last"), read_turns(F.col("formatted"))).alias("turns"),
     )
-    whole = parts.groupBy("conv_id").agg(
+    whole = parts.where("conv_id IS NOT NULL").groupBy("conv_id").agg(
         F.sum("chars").alias("formatted_chars"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss")))), lambda x: x["loss"]), "").alias("loss"),
         F.first("turns", ignorenulls=True).alias("turns"),
     )
+    alone = parts.where("conv_id IS NULL").select("conv_id", F.col("chars").alias("formatted_chars"), F.coalesce("loss", F.lit("")).alias("loss"), "turns")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return whole.select(
+    return whole.unionByName(alone).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
@@ -110,13 +116,13 @@ def digests(examples: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 0 UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 0),
 e AS (SELECT *, length(regexp_replace(role, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + length(regexp_replace(text, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + 20 AS n FROM t),
-c AS (SELECT *, sum(n) OVER w AS upto, lead(role) OVER w IS NULL AS is_last FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+c AS (SELECT *, sum(n) OVER w AS upto, lead(role) OVER w IS NULL AS is_last FROM e WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn, role, text))
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(upto) FILTER (WHERE role = 'assistant' OR is_last)::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, own
 """

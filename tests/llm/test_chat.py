@@ -31,6 +31,34 @@ def test_round_trip(spark):
     assert found == told(rows)
 
 
+def test_rows_without_an_id_stand_alone(spark):
+    import duckdb
+
+    rows = [(None, i % 3, ("user", "assistant", None)[i % 3], ("a", None, TRICKY[0])[i % 3]) for i in range(60)]
+    rows += [(None, 1, "assistant", "same")] * 5 + [(1, 0, "user", "q"), (1, 1, "assistant", "r")]
+    own = {i: (i if c is None else -1, t, r, x) for i, (c, t, r, x) in enumerate(rows)}
+    expected = sorted(told(list(own.values())).values())
+    digests = chat.digests(chat.format_chats(frame(spark, rows)))
+    found = digests.collect()
+    assert sorted((r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found) == expected
+    assert sum(r.conv_id is None for r in found) == 65 and [r.n_turns for r in found if r.conv_id == 1] == [2]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    said = chat.digests(chat.format_chats(frame(spark, [*rows, (-7, 0, "user", TRICKY[0]), (-7, 1, "assistant", TRICKY[0])])))
+    key = lambda r: [str(x) for x in r]
+    assert sorted(map(tuple, said.collect()), key=key) == sorted(con.execute(chat.ORACLE).fetchall(), key=key)
+
+
+def test_many_turns_and_clashing_columns(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"t{t}") for t in range(1000)]
+    df = frame(spark, rows)
+    for name in ("head", "piece", "end", "example", "formatted", "is_last", "loss_start", "turns", "chars", "own"):
+        df = df.withColumn(name, F.lit("x"))
+    (out,) = chat.digests(chat.format_chats(df)).collect()
+    assert (out.n_turns, out.turns_sha256, out.loss_chars, out.loss_sha256) == told(rows)[1]
+
+
 def test_prefix_and_target(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "r1"), (1, 2, "user", "</s>"), (1, 3, "assistant", "[INST]"), (1, 4, "user", "bye")]
     out = chat.format_chats(frame(spark, rows)).orderBy("example").collect()
