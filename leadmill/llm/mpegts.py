@@ -8,7 +8,7 @@ length; missing packets are counted. Both are row-local, so no data move between
 
 Nulls: a null text is empty, and its payload is one unit of blanks; null media give a null payload with no
 program. Rows map one to one, with null and repeated ids; other columns are dropped. A very long text is one
-stream in one task, which holds it about eight times.
+stream in one task; writing and reading each take four and a half times its bytes at their peak (measured on 19 MB).
 """
 
 from __future__ import annotations
@@ -201,7 +201,8 @@ def _elementary(packets: np.ndarray, places: np.ndarray) -> dict:
     starts = np.where(own[:, 3] & 0x10 > 0, starts, PACKET)
     fresh = _unrepeated(own, starts)
     duplicates = int((~fresh).sum())
-    own, places, adapted, starts = own[fresh], places[fresh], adapted[fresh], starts[fresh]
+    if duplicates:
+        own, places, adapted, starts = own[fresh], places[fresh], adapted[fresh], starts[fresh]
     flagged = adapted & (own[:, 4] > 0)
     counted = own[:, 3] & 0x10 > 0
     steps = (np.diff(own[counted, 3].astype(int) & 15) - 1) % 16
@@ -223,10 +224,9 @@ def _elementary(packets: np.ndarray, places: np.ndarray) -> dict:
     ends = np.append(heads[1:], n)
     ends = np.where(size > 0, np.minimum(heads + 6 + size, ends), ends)
     begins = np.minimum(heads + width, ends)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, begins, 1)
-    np.add.at(edge, ends, -1)
-    return {"payload": data[np.cumsum(edge[:-1]) > 0].tobytes(), "pts": pts.tolist(), "access": access.tolist(), "lost": lost, "duplicates": duplicates}
+    view = memoryview(data)
+    payload = b"".join(view[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True))
+    return {"payload": payload, "pts": pts.tolist(), "access": access.tolist(), "lost": lost, "duplicates": duplicates}
 
 
 def payload_of(text: str | None) -> bytes:
