@@ -13,7 +13,8 @@ task sees more than its range.
 
 Nulls: a null text is empty; equal texts have equal fingerprints; two texts without paragraphs (empty or
 blank) have likeness 1, one against any other 0. Rows with a null id come last in the order, rows with one id
-in the order of a hash of their text; such rows are read by one task, which keeps 256 of them at a time. A
+in the order of a hash of their text; where one id or the null holds more than its share of the rows, they are dealt
+to several ranges by that hash. Only rows equal in id and text stay in one task, which keeps 256 of them at a time. A
 table of one row is its own neighbour. Other columns are ignored. A very long text is held by one task, with
 40 bytes a paragraph.
 """
@@ -196,7 +197,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * parts
-    cuts = np.unique(picked.select("id").approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) or [0.0])
+    marks = picked.select("id").approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) or [0.0]
+    cuts = np.unique([*marks, *(v + 1 for v, w in zip(marks, marks[1:], strict=False) if v == w)])  # an id met twice gets a range of its own
 
     def place(ids: pd.Series) -> pd.Series:
         """Range of an id, descending; null ids come last."""
@@ -204,17 +206,36 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pd.Series(np.where(ids.isna(), len(cuts) + 1, at).astype("int32"))
 
     dealt = picked.withColumn("place", F.pandas_udf(place, "int")("id"))
-    heads = {r["place"]: r["head"] for r in dealt.groupBy("place").agg(F.max("id").alias("head")).collect()}  # a row per range
+    counted = dealt.groupBy("place").agg(F.max("id").alias("head"), F.min("id").alias("least"), F.count("*").alias("n")).collect()  # a row per range
+    share = max(1, sum(r["n"] for r in counted) // ranges)
+    pieces = np.ones(len(cuts) + 2, np.int64)
+    for r in counted:
+        if r["head"] == r["least"] and r["n"] > 2 * share:
+            pieces[r["place"]] = -(-r["n"] // share)
+    base = np.cumsum(pieces) - pieces
+
+    def number(places: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Ranges of one id are cut by the hashes of texts."""
+        at = places.to_numpy(np.int64)
+        return pd.Series((base[at] + (((hashes.to_numpy(np.int64) >> 32) + (1 << 31)) * pieces[at] >> 32)).astype("int32"))
+
+    told = dealt.withColumn("hash", F.xxhash64("text")).withColumn("number", F.pandas_udf(number, "int")("place", "hash"))
+    heads = {int(base[r["place"]]): (r["head"], None) for r in counted if pieces[r["place"]] == 1}
+    if split := np.flatnonzero(pieces > 1).tolist():
+        own = told.where(F.col("place").isin(split)).groupBy("number").agg(F.max("id").alias("head"), F.min("hash").alias("hash"))
+        heads |= {r["number"]: (r["head"], r["hash"]) for r in own.collect()}  # twice as many as ranges at most
     order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}
 
-    def goals(places: pd.Series, ids: pd.Series) -> pd.Series:
+    def goals(numbers: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
         """The ranges that a document goes to: its own, and for the first of a range the one before."""
-        first = places.map(heads)
+        first = numbers.map({p: head for p, (head, _) in heads.items()})
         is_first = (ids == first) | (ids.isna() & first.isna())
-        return pd.Series([[p, before[p]] if f else [p] for p, f in zip(places, is_first, strict=True)], dtype=object)
+        least = {p: h for p, (_, h) in heads.items() if h is not None}
+        is_first &= [least.get(p, h) == h for p, h in zip(numbers, hashes, strict=True)]
+        return pd.Series([[p, before[p]] if f else [p] for p, f in zip(numbers, is_first, strict=True)], dtype=object)
 
-    sent = dealt.select("id", "text", F.posexplode(F.pandas_udf(goals, "array<int>")("place", "id")).alias("copied", "range"))
+    sent = told.select("id", "text", F.posexplode(F.pandas_udf(goals, "array<int>")("number", "id", "hash")).alias("copied", "range"))
     ordered = sent.repartition(parts, "range").sortWithinPartitions("range", "copied", F.col("id").desc_nulls_last(), F.xxhash64("text"))
     return ordered.select("range", "copied", "id", "text").mapInArrow(
         _compared(cells), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

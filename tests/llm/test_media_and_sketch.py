@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadmill.llm import mpegts, sketch
 
@@ -131,3 +132,16 @@ def test_ties_and_empty(spark):
     assert sorted((r.doc_id or 0) for r in out) == [0, 0, 1, 1, 1]
     assert sketch.compare_with_next(df.limit(0)).count() == 0
     assert sketch.fingerprints(df).count() == 5
+
+
+def test_hot_ids_are_split_and_keep_their_order(spark):
+    texts = [f"text {i}. of {i % 7} parts" for i in range(120)] + ["same"] * 30
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    expected = [(i, len(t), sha(sketch.edited_text(t, line[(k + 1) % len(line)][1]))) for k, (i, t) in enumerate(line)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    out = sketch.compare_with_next(df)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in out.collect()), key=key) == sorted(expected, key=key)
