@@ -1,5 +1,8 @@
 import sys
+from collections import Counter
 
+import public_tokenizers
+import sentencepiece
 from leadmill.llm import langid, queries
 
 import corpus_pipeline
@@ -20,7 +23,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         if name != "sentencepiece":
             assert docs.columns == list(corpus_pipeline.COLUMNS)
-    known = {r.doc_id for r in langid.predict(inputs["language_id"], langid.fit(inputs["language_id"])).where("lang_pred <> 'und' and score >= 0.3").collect()}
+    known = {r.doc_id for r in langid.predict(inputs["language_id"], langid.fit(inputs["language_id"])).where("lang_pred <> 'und' and score >= 0.3 and familiar >= 0.5").collect()}
     rows = lambda df: [tuple(r) for r in df.select("doc_id", "text").collect()]
     assert {r[0] for r in rows(inputs["line_dedup"])} == known
     left = lines_left(rows(inputs["line_dedup"]))
@@ -31,6 +34,22 @@ def test_stages_equal_brute_force(spark, tmp_path):
     times = mixed([tuple(r) for r in inputs["source_mix"].select("doc_id", "text", "source").collect()])
     assert inputs["sentencepiece"].count() == sum(taken // size for size, _, _, taken in times.values() if size)
     assert docs.count() == inputs["sentencepiece"].count()
+    texts = dict(rows(inputs["source_mix"]))
+    assert Counter(rows(inputs["sentencepiece"])) == Counter({(i, texts[i]): taken // size for i, (size, _, _, taken) in times.items() if size and taken})
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    coded = {i: tuple(library.encode(t)) for i, t in set(rows(inputs["sentencepiece"]))}
+    assert Counter((r.doc_id, tuple(r.ids)) for r in docs.collect()) == Counter((i, coded[i]) for i, _ in rows(inputs["sentencepiece"]))
+
+
+def test_first_stage_drops_what_no_language_fits(spark):
+    """Consonant heaps in letters of known languages, text of unlearned scripts, and no text go; clean documents stay."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    junk = ["xqzv kjwq zzxv qpqk vxzj wqqz " * 30, "\u0531\u0532\u0533 \u0534\u0535\u0536 " * 40, "1234 5678 !!", "", None]
+    own = spark.createDataFrame([(10**9 + i, t, None, "s", 0) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.known_languages(spark, docs.unionByName(own), DIR).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10**9}
+    clean = {r.doc_id for r in langid.predict(docs, langid.fit(docs)).where("lang_pred <> 'und' and score >= 0.9 and familiar >= 0.9").collect()}
+    assert clean <= kept and len(clean) > docs.count() // 2
 
 
 def test_run_is_registered(spark):
