@@ -46,11 +46,12 @@ def format_chats(turns: DataFrame, reply_role: str = "assistant") -> DataFrame:
         .withColumn("piece", F.concat("head", "body", F.lit(TAIL)))
     )
     reply = F.col("role") == reply_role
-    own = ("conv_id", "role", F.length("head").alias("head"), F.length("body").alias("body"))
+    own = ("role", F.length("head").alias("head"), F.length("body").alias("body"))
     size = F.length("piece").cast("long")
     placed = (
         pieces.where("conv_id IS NOT NULL")
         .select(
+            "conv_id",
             *own,
             F.row_number().over(order).alias("example"),
             F.lead("role").over(order).isNull().alias("is_last"),
@@ -59,7 +60,8 @@ def format_chats(turns: DataFrame, reply_role: str = "assistant") -> DataFrame:
         )
         .where(reply | F.col("is_last"))
     )
-    alone = pieces.where("conv_id IS NULL").select(*own, F.lit(1).alias("example"), F.lit(True).alias("is_last"), size.alias("end"), F.array("piece").alias("prefix"))
+    nothing = F.lit(None).cast(turns.select("conv_id").schema[0].dataType).alias("conv_id")  # a literal, so that plans by id leave these rows out
+    alone = pieces.where("conv_id IS NULL").select(nothing, *own, F.lit(1).alias("example"), F.lit(True).alias("is_last"), size.alias("end"), F.array("piece").alias("prefix"))
     return placed.unionByName(alone).select(
         "conv_id",
         "example",
