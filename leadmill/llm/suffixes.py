@@ -9,22 +9,23 @@ suffixes that point to one place form a group, about one per 19 bytes of text. A
 one entry per group, in the order of its first eight bytes, then of a 128-bit hash of all that the group's
 strings cover. Groups and strings are equal when those bytes and hashes are.
 
-Documents come in batches by ascending id. A batch's distinct entries are dealt to ranges of the suffix order
+Documents come in batches by ascending id. A batch's entries are dealt to ranges of the suffix order
 and sorted; ``merge_scan`` runs over them and the entries of all levels side by side, in that order, and what
 no level has becomes a level of its own. Levels of as many batches are merged into one of twice as many. The
 levels hold the first occurrence of every group.
 
 * A group that occurred before is a match of full length: all its strings are repeats.
 * The ends of matches are groups that are new although their smallest hash is shared with another group.
-  Only there are strings compared one by one, by 128-bit hash and first position.
+  Only there are strings compared one by one, by 128-bit hash and first position, sorted by both.
 
 ``dedup_substrings`` knows the whole corpus, so groups whose smallest hash occurs once in it stay out of the
 index; a bitmap of the others filters them in the tasks while it is at most ``BITMAP`` bytes, and a join does
 beyond. A ``SuffixIndex`` keeps its levels in a folder, with every group, and takes further batches in later
 sessions.
 
-Every step aggregates by key with map-side combination before rows are dealt, so a passage in a third of all
-documents is never paired with itself and is one row of a range. Texts longer than ``CHUNK`` are read in
+Equal groups and equal strings of one list of texts (``CHUNK`` bytes, or the strings of ``ROWS`` texts) are told
+apart where they are made: only the first one is dealt to a range, so a passage in a third of all documents is never
+paired with itself and is one row for each list there. Texts longer than ``CHUNK`` are read in
 pieces that overlap by a string; a group that a piece's end cuts is an end of a match like any other.
 
 Nulls: a null text is empty; rows with a null id are never cut and cut nothing. Ids should be unique: rows
@@ -33,7 +34,8 @@ with one id share what is removed from any of them. Other columns are ignored, w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,31 +57,38 @@ BITMAP, BITS_EACH = 1 << 26, 16
 BLOCK = 4096
 #: Bytes of text that are hashed at once; rows, and bytes of them, that a task turns into one batch.
 CHUNK = 1 << 20
+#: Bytes whose hashes are made at once, so that their arrays stay in the processor's cache.
+STEP = 1 << 15
 ROWS, BYTES = 512, 1 << 25
 
 
-def rolling(data: np.ndarray, sizes: tuple[int, ...], base: np.uint64 = _BASE, bytes_: np.ndarray = _BYTE) -> list[np.ndarray]:
-    """Polynomial hashes of the strings of each size at every position, by doubling."""
-    power = lambda n: np.uint64(pow(int(base), n, 1 << 64))
-    doubled = {1: bytes_[data]}
-    k = 1
-    while 2 * k <= max(sizes) and len(doubled[k]) > k:
-        h = doubled[k]
-        doubled[2 * k] = h[:-k] * power(k) + h[k:]
-        k *= 2
-    out = []
-    for size in sizes:
-        n = len(data) - size + 1
-        if n <= 0:
-            out.append(np.empty(0, np.uint64))
-            continue
-        h, done = np.zeros(n, np.uint64), 0
-        for k in sorted(doubled, reverse=True):
-            if size & k:
-                h = h * power(k) + doubled[k][done : done + n]
-                done += k
-        out.append(h)
-    return out
+@lru_cache
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+def rolling(data: np.ndarray, size: int, at: np.ndarray | slice = slice(None), base: np.uint64 = _BASE, bytes_: np.ndarray = _BYTE) -> np.ndarray:
+    """Polynomial hashes of the strings of ``size`` bytes at the given positions, by sums from the beginning on.
+
+    data: at most STEP bytes and a string. The base is odd, so a sum is moved to its place by a power of its inverse.
+    """
+    room = -(-max(len(data), 1) // STEP) * STEP
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(bytes_[data] * _powers(pow(int(base), -1, 1 << 64), room)[: len(data)], out=sums[1:])
+    n = max(len(data) - size + 1, 0)
+    return (sums[size:][at] - sums[:n][at]) * _powers(int(base), room)[size - 1 : size - 1 + n][at] if n else sums[:0]
+
+
+def strings_at(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the strings of ``length`` bytes at the positions, which ascend."""
+    out = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    begins = np.arange(0, len(data), STEP)
+    for begin, i, j in zip(begins.tolist(), np.searchsorted(at, begins).tolist(), np.searchsorted(at, begins + STEP).tolist(), strict=True):
+        if i < j:
+            piece, own = data[begin : begin + STEP + length - 1], at[i:j] - begin
+            out[0].append(rolling(piece, length, own))
+            out[1].append(rolling(piece, length, own, _BASE2, _BYTE2))
+    return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -95,36 +104,50 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return n - 1 - (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def groups(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, only_anchors: bool = False) -> tuple[np.ndarray, ...]:
-    """Of the texts laid end to end: anchor, text number, first suffix, number of suffixes, head and two hashes of each group."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
+def _winnowed(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and last suffix of each group of texts laid end to end, over STEP suffixes at a time."""
+    valid = np.ones(len(data) + 1, bool)
+    for end, size in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
+        valid[end - min(size, length - 1) : end] = False
+    valid[-1] = False
+    names, firsts, lasts, last = [], [], [], -1
+    for begin in range(0, len(data) - length + 1, STEP):
+        order = mix(rolling(data[begin : begin + STEP + length - 1], gram))
+        at = smallest(order, length - gram + 1)
+        own = valid[begin : begin + len(at)]
+        new = np.concatenate([[at[0] + begin != last or not begin or not valid[begin - 1]], (at[1:] != at[:-1]) | ~own[:-1]])
+        lo = np.flatnonzero(new & own)
+        names.append(order[at[lo]])
+        firsts.append(lo + begin)
+        last = at[-1] + begin
+    lo = np.concatenate(firsts)
+    # a group ends before the next one or before the suffixes that are too short
+    gaps = np.flatnonzero(valid[:-1] & ~valid[1:])
+    hi = np.minimum(np.concatenate([lo[1:] - 1, gaps[-1:]]), gaps[np.searchsorted(gaps, lo)]) if len(lo) else lo
+    return np.concatenate(names).view(np.int64), lo, hi
+
+
+def groups(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, only_anchors: bool = False, kept: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Of the texts laid end to end: anchor, text number, first suffix, number of suffixes, head and two hashes of each group.
+
+    kept: which anchors' groups are wanted; nothing but the anchor is computed of the others.
+    """
+    ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
     data = np.frombuffer(b"".join(texts), np.uint8)
-    none = (np.empty(0, np.int64),) * (1 if only_anchors else 7)
     if len(data) < length:
-        return none
-    short, *full = rolling(data, (gram,) if only_anchors else (gram, length))
-    anchor = smallest(mix(short), length - gram + 1)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
-    place = np.flatnonzero(np.arange(length, length + len(anchor)) <= ends[owner])
-    if not len(place):
-        return none
-    at = anchor[place]
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)])
-    name = mix(short[at[new]]).view(np.int64)
+        return (np.empty(0, np.int64),) * (1 if only_anchors else 7)
+    name, lo, hi = _winnowed(data, ends, length, gram)
     if only_anchors:
         return (name,)
-    lo = place[new]
-    hi = place[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(place) - 1]])]
+    if kept:
+        name, lo, hi = (x[k] for k in [kept(name)] for x in (name, lo, hi))
     n = hi - lo + 1
-    whole = lambda h: mix(h[lo] * np.uint64(0x9E3779B97F4A7C15) + mix(h[hi] + n.astype(np.uint64))).view(np.int64)
-    second = rolling(data, (length,), _BASE2, _BYTE2)[0]
-    head = np.zeros(len(lo), np.uint64)
-    for i in range(8):
-        head = head << np.uint64(8) | data[lo + i].astype(np.uint64)
-    text = owner[lo]
+    whole = lambda a, b: mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + n.astype(np.uint64))).view(np.int64)
+    (full, second), (full_hi, second_hi) = strings_at(data, lo, length), strings_at(data, hi, length)
+    head = np.lib.stride_tricks.sliding_window_view(data, 8)[lo].view(">u8").ravel().astype(np.uint64)
     head = (head ^ np.uint64(1 << 63)).view(np.int64)  # keeps the byte order in a signed number
-    return name, text, lo - (ends - sizes)[text], n, head, whole(full[0]), whole(second)
+    text = np.searchsorted(ends, lo, "right")
+    return name, text, lo - np.concatenate([[0], ends])[text], n, head, whole(full, full_hi), whole(second, second_hi)
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -147,6 +170,20 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield np.array(rows), np.array(offsets), parts
 
 
+def later(keys: tuple[np.ndarray, ...], ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Which rows have an equal one at an earlier place, by id and ``lo``, in the same list."""
+    out = np.zeros(len(ids), bool)
+    by = np.argsort(keys[0])
+    tied = keys[0][by[1:]] == keys[0][by[:-1]]
+    if tied.any():
+        some = by[np.append(tied, False) | np.append(False, tied)]
+        some = some[np.lexsort((lo[some], ids[some], *(k[some] for k in reversed(keys))))]
+        new = np.append(True, np.any([k[some[1:]] != k[some[:-1]] for k in keys], axis=0))
+        first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+        out[some] = (ids[some] != ids[first]) | (lo[some] != lo[first])
+    return out
+
+
 def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``ROWS`` rows, and ``BYTES`` bytes of text unless one text has more."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -199,25 +236,29 @@ def _bitmap(shared: DataFrame, size: int) -> bytes:
 #: An entry's columns: where its group is, and what makes it equal to another.
 ENTRY = "id long, lo int, n short, head long, whole long, more long, anchor long"
 ORDER = ("head", "whole", "more")
+#: What tasks make: the batch, the entry, and whether it is the first of its group in the list that was read with it.
+MADE = f"batch int, {ENTRY}, leads boolean"
 
 
 def _grouped(cuts: list[float], length: int, gram: int, bitmap, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
+
+        def kept(anchor: np.ndarray) -> np.ndarray:
+            slot = anchor & (size - 1)
+            return table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+
         for batch in batches:
             for part in _slices(batch, 1):
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 for rows, offsets, texts in _pieces([t.encode() for t in part.column(1).to_pylist()], length):
-                    found = groups(texts, length, gram)
-                    if table is not None:
-                        slot = found[0] & (size - 1)
-                        keep = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-                        found = tuple(x[keep] for x in found)
-                    anchor, text, lo, n, head, whole, more = found
+                    anchor, text, lo, n, head, whole, more = groups(texts, length, gram, kept=kept if bitmap else None)
                     own = ids[rows[text]].astype(np.int64)
                     turn = np.searchsorted(cuts, own, "right").astype(np.int32)
                     lo = (lo + offsets[text]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (turn, own, lo, n.astype(np.int16), head, whole, more, anchor)], ["batch", "id", "lo", "n", "head", "whole", "more", "anchor"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (turn, own, lo, n.astype(np.int16), head, whole, more, anchor, ~later((whole, more, head), own, lo))], ["batch", "id", "lo", "n", "head", "whole", "more", "anchor", "leads"]
+                    )
 
     return run
 
@@ -229,14 +270,14 @@ def candidate_groups(texts: DataFrame, cuts: list[float], scratch: Scratch, leng
     size = 1 << max(18, (shared.count() * BITS_EACH).bit_length())
     fits = size <= most * 8
     bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(shared, size)) if fits else None
-    found = texts.mapInArrow(_grouped(cuts, length, gram, bitmap, size), f"batch int, {ENTRY}")
+    found = texts.mapInArrow(_grouped(cuts, length, gram, bitmap, size), MADE)
     found = scratch.write(found if fits else found.join(shared, "anchor", "left_semi"), "groups")
     scratch.drop(shared)
     return found
 
 
 def _unmatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows in suffix order, those of levels first among equals: the new entries that no level has."""
+    """Over rows in suffix order, those of levels first among equals, then by place: the first new entry of each group that no level has."""
     last = None
     for batch in batches:
         keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ORDER])
@@ -251,15 +292,15 @@ def _unmatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_scan(batch: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """The entries of ``batch`` that no level has, in ranges of the suffix order and sorted.
 
-    batch: entries, one of each group. Batch and levels are dealt to the same ranges, and each task reads
-    its range of all of them in one sorted pass.
+    batch: entries; of those of one group the first is taken. Batch and levels are dealt to the same ranges, and
+    each task reads its range of all of them in one sorted pass.
     """
     place = [c for c in batch.columns if c not in ORDER]
     rows = batch.select(F.lit(1).cast("byte").alias("new"), *batch.columns)
     for level in levels:
         known = [F.lit(None).cast(batch.schema[c].dataType).alias(c) if c in place else F.col(c) for c in batch.columns]
         rows = rows.unionByName(level.select(F.lit(0).cast("byte").alias("new"), *known))
-    ranged = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER, "new")
+    ranged = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER, "new", "id", "lo")
     return ranged.mapInArrow(_unmatched, batch.schema)
 
 
@@ -297,8 +338,8 @@ class IndexFamily:
         return first, n, self._read(first, n)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """batch: entries of ids after all that the family has. Returns those of new groups, which the family now has."""
-        own = batch.groupBy(*ORDER).agg(F.min(F.struct("id", "lo", "n", "anchor")).alias("first")).select("first.id", "first.lo", "first.n", *ORDER, "first.anchor")
+        """batch: entries (``MADE``) of ids after all that the family has. Returns those of new groups, which the family now has."""
+        own = batch.where("leads").select("id", "lo", "n", *ORDER, "anchor")
         self.levels.append(self._write(self.batches, 1, merge_scan(own, [level for *_, level in self.levels])))
         while len(self.levels) > 1 and self.levels[-1][1] == self.levels[-2][1]:
             (_, n, b), (first, _, a) = self.levels.pop(), self.levels.pop()
@@ -326,6 +367,14 @@ def _spans(column: pa.ListArray) -> list[np.ndarray | None]:
 
 
 def _strings(length: int):
+    """Strings with their place; one that stands earlier in the same list is known, and has a key of its own instead of its hashes."""
+
+    def listed(*columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, more, ids, lo = (np.concatenate(x) for x in columns)
+        known = later((key, more), ids, lo)
+        key[known], more[known] = mix(ids[known].view(np.uint64) * _BASE + lo[known].astype(np.uint64)).view(np.int64), 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, more, ids, lo, known)], ["key", "more", "id", "lo", "known"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 1):
@@ -340,20 +389,37 @@ def _strings(length: int):
                         piece = data[start : start + CHUNK + length - 1]
                         at = at[(at >= 0) & (at < CHUNK) & (at + length <= len(piece))]
                         if len(at):
-                            keys.append(mix(rolling(piece, (length,))[0][at]).view(np.int64))
-                            more.append(mix(rolling(piece, (length,), _BASE2, _BYTE2)[0][at]).view(np.int64))
+                            full, second = strings_at(piece, at, length)
+                            keys.append(mix(full).view(np.int64))
+                            more.append(mix(second).view(np.int64))
                             ids.append(np.full(len(at), own, np.int64))
                             places.append((at + start).astype(np.int32))
                             held += len(at)
                         if held > CHUNK:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, more, ids, places)], ["key", "more", "id", "lo"])
+                            yield listed(keys, more, ids, places)
                             keys, more, ids, places, held = [], [], [], [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, more, ids, places)], ["key", "more", "id", "lo"])
+                    yield listed(keys, more, ids, places)
 
     return run
 
 
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over strings sorted by hashes and place: places of those that are known to stand earlier, or whose equals do."""
+    last, place = None, (0, 0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        keys = np.stack([known.astype(np.int64), *(batch.column(c).to_numpy() for c in ("key", "more"))])
+        new = np.append(last is None or bool((keys[:, 0] != last).any()), (keys[:, 1:] != keys[:, :-1]).any(axis=0))
+        ids, lo = (np.append(x, batch.column(c).to_numpy()) for x, c in zip(place, ("id", "lo"), strict=True))
+        first = np.maximum.accumulate(np.where(new, np.arange(1, len(ids)), 0))
+        again = known | (ids[1:] != ids[first]) | (lo[1:] != lo[first])
+        last, place = keys[:, -1].copy(), (ids[first[-1]], lo[first[-1]])
+        yield batch.filter(pa.array(again)).select(["id", "lo"])
+
+
 def removed_runs(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs of bytes that the strings of the spans cover."""
     spans = np.sort(spans)
@@ -402,12 +468,10 @@ def _repeats(found: DataFrame, texts: DataFrame, family: IndexFamily, scratch: S
     if drop:
         scratch.drop(found)
         delete(scratch.spark, family.root)
-    strings = scratch.write(texts.join(edges, "id").select("id", "text", "spans").mapInArrow(_strings(length), "key long, more long, id long, lo int"), "strings")
-    first = strings.groupBy("key", "more").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "more", "first")
-    first = scratch.write(first, "first")  # as a table of its own, so that the join can split a hot key
-    again = strings.join(first, ["key", "more"]).where(F.struct("id", "lo") > F.col("first"))
-    again = scratch.write(_as_spans(again.select("id", "lo", F.lit(1).alias("n"))), "ends")
-    scratch.drop(strings, first, edges)
+    strings = texts.join(edges, "id").select("id", "text", "spans").mapInArrow(_strings(length), "key long, more long, id long, lo int, known boolean")
+    sorted_ = strings.repartition("key", "more").sortWithinPartitions("known", "key", "more", "id", "lo")
+    again = scratch.write(_as_spans(sorted_.mapInArrow(_again, "id long, lo int").withColumn("n", F.lit(1))), "ends")
+    scratch.drop(edges)
     return repeats.union(again).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -451,7 +515,7 @@ class SuffixIndex:
         texts, older = _picked(docs, id_col, text_col), _picked(known, id_col, text_col)
         long_enough = f"id is not null and octet_length(text) >= {length}"
         scratch = Scratch(spark, "suffixes")
-        found = scratch.write(texts.where(long_enough).mapInArrow(_grouped([], length, self.gram, None, 0), f"batch int, {ENTRY}").drop("batch"), "groups")
+        found = scratch.write(texts.where(long_enough).mapInArrow(_grouped([], length, self.gram, None, 0), MADE).drop("batch"), "groups")
         self.family.add(found)
         spans = _repeats(found, older.union(texts).where(long_enough), self.family, scratch, length, False)
         return _cut_texts(texts, spans, length)

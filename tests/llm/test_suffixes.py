@@ -168,3 +168,53 @@ def test_a_text_of_a_hundred_megabytes_takes_bounded_memory():
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "y" * 150, 0, 0, 0, 0)], ["doc_id", "text", "id", "spans", "a.b", "n_bytes"])
     assert [(r.doc_id, r.n_removed) for r in suffixes.dedup_substrings(df).collect()] == [(1, 149)]
+
+
+def test_hashes_are_the_polynomials(monkeypatch):
+    monkeypatch.setattr(suffixes, "STEP", 64)
+    data = np.random.default_rng(3).integers(0, 256, 500, dtype=np.uint8)
+    at = np.array([0, 1, 63, 64, 65, 200, 400])
+    for found, base, bytes_ in zip(suffixes.strings_at(data, at, 100), (suffixes._BASE, suffixes._BASE2), (suffixes._BYTE, suffixes._BYTE2), strict=True):
+        assert found.tolist() == [sum(int(bytes_[b]) * pow(int(base), 99 - j, 1 << 64) for j, b in enumerate(data[p : p + 100])) % (1 << 64) for p in at]
+
+
+def test_only_the_wanted_groups_are_hashed(monkeypatch):
+    texts, hashed, strings_at = [t.encode() for _, t in corpus(9)], [], suffixes.strings_at
+    monkeypatch.setattr(suffixes, "strings_at", lambda data, at, length: hashed.append(len(at)) or strings_at(data, at, length))
+    every = suffixes.groups(texts)
+    some = suffixes.groups(texts, kept=lambda name: name % 4 == 0)
+    assert all((a == b[every[0] % 4 == 0]).all() for a, b in zip(some, every, strict=True))
+    assert 0 < len(some[0]) < len(every[0]) and hashed == [len(every[0])] * 2 + [len(some[0])] * 2
+
+
+def test_small_steps_make_the_same_groups(monkeypatch):
+    texts = [t.encode() for _, t in corpus(10)] + [b"", b"a" * 99, b"a" * 100, b""]
+    whole = suffixes.groups(texts)
+    monkeypatch.setattr(suffixes, "STEP", 32)
+    assert all((a == b).all() for a, b in zip(suffixes.groups(texts), whole, strict=True))
+
+
+def test_a_batch_is_dealt_once(spark, monkeypatch):
+    """Between the groups' table and the ranges no row is aggregated, and a common passage is one row for each list."""
+    dealt, merge_scan = [], suffixes.merge_scan
+    monkeypatch.setattr(suffixes, "merge_scan", lambda batch, levels: dealt.append((batch._jdf.queryExecution().toString(), batch.collect())) or merge_scan(batch, levels))
+    same = " ".join(f"w{j}" for j in range(60))
+    rows = [(i, same) for i in range(300)]
+    assert found(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(3), batches=1) == brute(rows, 100)
+    ((plan, batch),) = dealt
+    assert "Aggregate" not in plan and len(batch) == 3 * len({(r.head, r.whole, r.more) for r in batch})
+
+
+def test_strings_known_in_their_list_and_found_later():
+    """Strings of lists of two texts, in batches of seven rows; a place of its own is no repeat."""
+    texts = [(5, "ab" * 60), (2, "ab" * 70), (9, "ab" * 60 + "x"), (9, "ab" * 60 + "x"), (1, "a" * 105), (7, "b" + "a" * 104)]
+    table = lambda part: pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([t for _, t in part]), pa.array([[p * suffixes.SPAN + 1 for p in range(len(t) - 99)] for _, t in part], pa.list_(pa.int64()))], ["id", "text", "spans"])
+    made = pa.Table.from_batches([b for k in (0, 2, 4) for b in suffixes._strings(100)(iter([table(texts[k : k + 2])]))])
+    assert made.column("known").to_pylist().count(True) > 50
+    ordered = made.sort_by([(c, "ascending") for c in ("known", "key", "more", "id", "lo")]).combine_chunks()
+    got = {(r["id"], r["lo"]) for b in suffixes._again(iter(ordered.to_batches(max_chunksize=7))) for r in b.to_pylist()}
+    places = {}
+    for i, t in texts:
+        for p in range(len(t) - 99):
+            places.setdefault(t[p : p + 100], set()).add((i, p))
+    assert got == {x for s in places.values() for x in s - {min(s)}}
