@@ -110,10 +110,21 @@ def registrable_label(domain: Column, registrable=registrable_domain) -> Column:
     return F.substring_index(registrable(domain), ".", 1)
 
 
+def _lead(title: Column) -> Column:
+    """What stands before the separator that comes first in the title."""
+    separators = "|".join(f"\\Q{s}\\E" for s in vocab.TITLE_SEPARATORS)
+    return strip(F.regexp_replace(title, f"(?s)(?:{separators}).*", ""))
+
+
+def _segment(title: Column) -> Column:
+    """The first segment, or the lead where that ends with a company suffix: what is joined behind a whole name says nothing about it."""
+    return let(_lead(title), lambda lead: F.when((lead != "") & (_suffix_end(lead) == F.length(lead)), lead).otherwise(_first_segment(title)))
+
+
 def name_from_title(title: Column, domain: Column, registrable=registrable_domain) -> Column:
     """A company name from a page title, or ``''``: see the three ways in."""
     return let(
-        F.struct(_first_segment(title).alias("segment"), registrable_label(domain, registrable).alias("label")),
+        F.struct(_segment(title).alias("segment"), registrable_label(domain, registrable).alias("label")),
         lambda x: let(F.struct(x["segment"].alias("segment"), x["label"].alias("label"), _suffix_end(x["segment"]).alias("end")), lambda y: _title_name(y["segment"], y["label"], y["end"])),
     )
 

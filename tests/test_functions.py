@@ -48,6 +48,14 @@ def test_title_names(spark):
     assert one(spark, T.name_from_domain(COL.a), "m.tensor-SECURITY.cn", "") == ["Tensor security", ""]
 
 
+def test_a_company_before_the_first_separator_is_the_name(spark):
+    rows = [
+        ("星河7科技有限公司 - Atonea, | reeast", ""), ("Acme Cloud Inc. — a b c d | Home", ""), ("星河7科技有限公司_Foo Co | x", ""), ("公司·a, | b", ""), (" 明月集团 ｜ 新闻！ - x", ""),
+        ("星河 - 青石有限公司 | 首页", ""), ("Atonea, - 星河7科技有限公司 | x", ""), ("云杉 - 网络 | 首页", ""), ("a, - b | c", ""),
+    ]
+    assert values(spark, T.name_from_title(COL.a, COL.b), rows) == ["星河7科技有限公司", "Acme Cloud Inc.", "星河7科技有限公司", "公司", "明月集团", "星河 - 青石有限公司", "", "云杉 - 网络", ""]
+
+
 def test_names(spark):
     def level(names, hints):
         df = spark.createDataFrame([(names, hints)], "n array<string>, h array<string>")

@@ -43,6 +43,21 @@ def test_query(spark, oracle, name):
         assert len(got)
 
 
+def titled(spark, name, folder) -> tuple[list, list]:
+    """Rows of a query and of its SQL over pages whose titles have separators of several kinds."""
+    titles = ["Atonea, | reeast | tibleer", "a b c d | e", "ering. - heoren | x", "For ble_hendnt · co | a", "Foo Co | Bar Inc", "x — y, | z", ""]
+    rows = [(i, f"https://site-{i // 3}.example.com/{i}", f"<html><title>{titles[i // 3 % 7]}</title><article>the {i}</article>") for i in range(63)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS FROM '{folder}/pages.parquet/*.parquet'")
+    return plain(catalog.QUERIES[name](spark, str(folder)).toPandas()), plain(con.sql(catalog.ORACLE[name]).df())
+
+
+def test_candidates_of_titles_with_several_separators(spark, tmp_path):
+    got, want = titled(spark, "r_web_candidates", tmp_path)
+    assert got == want and len(got) > 20
+
+
 def test_library_stands_alone():
     """Nothing outside the optional subpackage imports it."""
     import subprocess
