@@ -58,6 +58,11 @@ def test_candidates_of_titles_with_several_separators(spark, tmp_path):
     assert got == want and len(got) > 20
 
 
+def test_sites_of_titles_with_several_separators(spark, tmp_path):
+    got, want = titled(spark, "r_web_sites", tmp_path)
+    assert got == want and len(got) > 20
+
+
 def test_library_stands_alone():
     """Nothing outside the optional subpackage imports it."""
     import subprocess
